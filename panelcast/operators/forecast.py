@@ -259,7 +259,8 @@ def cv_r2(df: DataFrame, features: Sequence[str], label: str = "close", n_folds:
 
 def r2_expr(actual: str, predicted: str) -> Column:
     """1 - SSres/SStot; SStot = 0 gives 1.0 for a perfect fit, else 0.0."""
-    ss_res = F.sum(F.pow(F.col(actual) - F.col(predicted), 2))
+    err = F.col(actual) - F.col(predicted)
+    ss_res = F.sum(err * err)
     ss_tot = F.var_pop(actual) * F.count(actual)
     return (F.when(ss_tot == 0, F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
              .otherwise(F.lit(1.0) - ss_res / ss_tot))
