@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import safe_name
 from panelcast.operators import align, features, forecast, split
+from panelcast.session import cut_lineage
 from panelcast.sources import testdata
 
 
@@ -118,8 +119,13 @@ def ols_single_backtest(feat: DataFrame, horizon: int, x: str = "close",
 def ols_multi_backtest(feat: DataFrame, feats: Sequence[str], horizon: int,
                        model: str = "LinearRegression", test_size: float = 0.2,
                        neutral: str = "") -> DataFrame:
-    """G3 + G5 (many features) -> backtest rows."""
-    sup = supervised(feat, horizon, test_size)
+    """G3 + G5 (many features) -> backtest rows.
+
+    The supervised frame (one row per ticker-month) feeds the scaler, the
+    moments and the predictions; it is checkpointed once to the shared
+    checkpoint folder instead of being recomputed from the raw scans.
+    """
+    sup = cut_lineage(supervised(feat, horizon, test_size))
     coef, stats = forecast.fit_ols(sup, feats)
     scored = forecast.predict_ols(sup, coef, stats, feats)
     return forecast.backtest(scored, model, horizon, neutral=neutral)
