@@ -103,3 +103,11 @@ def wide_to_long(wide: DataFrame, id_cols: Sequence[str], value_cols: Sequence[s
                  var_name: str = "series_id", value_name: str = "value") -> DataFrame:
     """Unpivot a wide table (one column per series) into long rows."""
     return wide.unpivot(list(id_cols), list(value_cols), var_name, value_name)
+
+
+def wide_prices(panel: DataFrame, tickers: Sequence[str], key: str = "ticker",
+                month: str = "month") -> DataFrame:
+    """``{T}_Close`` / ``{T}_Volume`` columns per month (wide layout)."""
+    return (panel.where(F.col(key).isin(list(tickers)))
+                 .groupBy(month).pivot(key, list(tickers))
+                 .agg(F.first("close").alias("Close"), F.first("volume").alias("Volume")))

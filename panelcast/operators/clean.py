@@ -118,3 +118,31 @@ def split_run_name(df: DataFrame, col: str, sep: str = "_",
               .withColumn(left, F.col("_parts")[0])
               .withColumn(right, F.col("_parts")[1])
               .drop("_parts"))
+
+
+class MissingColumnsError(ValueError):
+    """Raised before planning when required columns are absent."""
+
+    def __init__(self, missing: Sequence[str]):
+        super().__init__(f"missing columns: {list(missing)}")
+        self.missing = list(missing)
+
+
+def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Fail fast (typed error) when target / feature columns are absent."""
+    have = set(df.columns)
+    missing = [c for c in cols if c not in have]
+    if missing:
+        raise MissingColumnsError(missing)
+    return df
+
+
+def columns_except(df: DataFrame, target: str, extra: Sequence[str] = ()) -> list[str]:
+    """P10: every column but the target, its ``{target}_t*`` leads and ``extra``."""
+    return [c for c in df.columns
+            if c != target and not c.startswith(f"{target}_t") and c not in set(extra)]
+
+
+def preview(df: DataFrame, n: int = 5, order: Sequence[str] = ("ticker", "month")) -> DataFrame:
+    """First ``n`` rows in time order (a bounded top-n, not a collect)."""
+    return df.orderBy(*[c for c in order if c in df.columns]).limit(n)

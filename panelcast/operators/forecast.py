@@ -264,3 +264,12 @@ def r2_expr(actual: str, predicted: str) -> Column:
     ss_tot = F.var_pop(actual) * F.count(actual)
     return (F.when(ss_tot == 0, F.when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
              .otherwise(F.lit(1.0) - ss_res / ss_tot))
+
+
+def apply_per_ticker(df: DataFrame, fn, schema, key: str = "ticker") -> DataFrame:
+    """H1 escape hatch: run a pandas function on each ticker's rows.
+
+    Only for the monthly panel, whose groups are bounded by the calendar
+    (a few hundred rows per ticker); never for raw trade or event rows.
+    """
+    return df.groupBy(key).applyInPandas(fn, schema)

@@ -94,3 +94,17 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], key: str | None = "ti
     if digits is not None:
         out = out.withColumn("r", round_half_even("r", digits))
     return out
+
+
+def latest_per_run(results: DataFrame, keys: Sequence[str] = ("ticker", "model"),
+                   order: str = "run_seq") -> DataFrame:
+    """One result per (ticker, model); the last run wins on a collision."""
+    others = [c for c in results.columns if c not in keys]
+    last = F.max_by(F.struct(*[F.col(c) for c in others]), F.col(order)).alias("_r")
+    return results.groupBy(*keys).agg(last).select(*keys, "_r.*")
+
+
+def sort_table(df: DataFrame, by: Sequence[str], ascending: Sequence[bool] | None = None) -> DataFrame:
+    """Multi-column sort of a report table (output edge only)."""
+    asc = list(ascending) if ascending is not None else [True] * len(by)
+    return df.orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in zip(by, asc)])

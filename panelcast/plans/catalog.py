@@ -318,6 +318,14 @@ def cv_r2(spark, sf):
     return forecast.cv_r2(ft, E1.feature_list(), label="close")
 
 
+def universe_sweep(spark, sf):
+    from panelcast.plans import experiments
+    feat = feature_table(spark, sf)
+    cands = clean.columns_except(feat, "close", ("ticker", "month"))
+    _, best = experiments.universe_sweep(feat, cands)
+    return best
+
+
 def score_saved_model(spark, sf):
     from panelcast.plans import monitoring
     return monitoring.score_saved_model(spark, sf)
@@ -336,5 +344,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
     ks_drift_statistic, ks_drift_test, adf_lag0, adf_test,
-    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, score_saved_model,
+    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, universe_sweep,
+    score_saved_model,
 )}

@@ -77,28 +77,52 @@ def load_prices(spark: SparkSession, sf_dir: str, exp: Experiment) -> DataFrame:
     return p
 
 
+def align_frames(prices: DataFrame, indicators: DataFrame, exp: Experiment,
+                 check_present: bool = True) -> tuple[DataFrame, list[str]]:
+    """Prices aligned with the experiment's indicators (present ones only).
+
+    ``indicators`` is long (series_id, month, value), at any frequency; as-of
+    alignment carries low-frequency and ended series forward.
+    """
+    if exp.tickers:
+        prices = prices.where(F.col("ticker").isin(list(exp.tickers)))
+    ids = align.present_series(indicators, exp.indicators) if check_present \
+        else list(exp.indicators)
+    if exp.align == "asof":
+        return align.align_asof(prices, indicators, ids), ids
+    return align.align_inner(prices, indicators, ids), ids
+
+
+def features_from(prices: DataFrame, indicators: DataFrame, exp: Experiment,
+                  check_present: bool = True) -> DataFrame:
+    """Feature table of one experiment from any (prices, indicators) frames."""
+    panel, ids = align_frames(prices, indicators, exp, check_present)
+    ind_cols = [safe_name(s) for s in ids]
+    lag_cols = (["volume"] if exp.lag_volume else []) + ind_cols
+    return features.build_features(panel, target="close", lag_cols=lag_cols, lags=exp.lags,
+                                   mas=exp.mas, volatility=exp.volatility,
+                                   lag_target=exp.lag_target, warmup=exp.warmup)
+
+
 def aligned_panel(spark: SparkSession, sf_dir: str, exp: Experiment,
                   check_present: bool = True) -> tuple[DataFrame, list[str]]:
-    """Prices aligned with the experiment's indicators (present ones only)."""
+    """Test-data prices aligned with the experiment's indicators."""
     prices = load_prices(spark, sf_dir, exp)
     if exp.align == "asof":
         ind = testdata.quarterly(spark, sf_dir, exp.start, exp.end)
     else:
         ind = testdata.indicators(spark, sf_dir, exp.start, exp.end)
-    ids = align.present_series(ind, exp.indicators) if check_present else list(exp.indicators)
-    if exp.align == "asof":
-        return align.align_asof(prices, ind, ids), ids
-    return align.align_inner(prices, ind, ids), ids
+    return align_frames(prices, ind, exp, check_present)
 
 
 def feature_table(spark: SparkSession, sf_dir: str, exp: Experiment,
                   check_present: bool = True) -> DataFrame:
-    panel, ids = aligned_panel(spark, sf_dir, exp, check_present)
-    ind_cols = [safe_name(s) for s in ids]
-    lag_cols = (["volume"] if exp.lag_volume else []) + ind_cols
-    return features.build_features(panel, target="close", lag_cols=lag_cols, lags=exp.lags,
-                                   mas=exp.mas, volatility=exp.volatility,
-                                   lag_target=exp.lag_target, warmup=exp.warmup)
+    prices = load_prices(spark, sf_dir, exp)
+    if exp.align == "asof":
+        ind = testdata.quarterly(spark, sf_dir, exp.start, exp.end)
+    else:
+        ind = testdata.indicators(spark, sf_dir, exp.start, exp.end)
+    return features_from(prices, ind, exp, check_present)
 
 
 def supervised(feat: DataFrame, horizon: int, test_size: float = 0.2) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
@@ -57,11 +57,18 @@ def read_indicator_csvs(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = _split_header(_text_lines(spark, path))
     rows = rows.where(F.trim("line") != "")
-    return rows.select(
+    out = rows.select(
         F.trim(F.col("header")[1]).alias("series_id"),
-        month_start(F.to_date(F.trim(F.col("cells")[0]))).alias("month"),
+        month_start(_parse_date(F.col("cells")[0])).alias("month"),
         to_double(F.trim(F.col("cells")[1])).alias("value"),
         F.col("line_no").alias("obs_order"))
+    return out.where(F.col("month").isNotNull())
+
+
+def _parse_date(col: Column) -> Column:
+    # lenient: the optimizer may evaluate this before the header row is
+    # filtered out, and junk dates become NULL rows that are dropped
+    return F.try_to_date(F.trim(col))
 
 
 def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
@@ -73,21 +80,22 @@ def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
     close_txt = F.when(close_i == 1, cells[1]).otherwise(cells[2])
     vol_txt = F.when(close_i == 1, cells[2]).otherwise(cells[1])
     close_name = F.when(close_i == 1, hdr[1]).otherwise(hdr[2])
-    return rows.select(
+    out = rows.select(
         F.regexp_replace(F.trim(close_name), "_Close$", "").alias("ticker"),
-        month_start(F.to_date(F.trim(cells[0]))).alias("month"),
+        month_start(_parse_date(cells[0])).alias("month"),
         round_half_even(to_double(F.trim(close_txt)), 4).alias("close"),
         to_double(F.trim(vol_txt)).alias("volume"),
         F.col("line_no").alias("obs_order"))
+    return out.where(F.col("month").isNotNull())
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str = "obs_order") -> DataFrame:
-    """D1 on landed rows: the first row of each key in file order; rows with
-    missing values dropped afterwards (P8)."""
+    """D1 + P8 on landed rows: rows with a missing value are dropped first,
+    then the first remaining row of each key (file order) is kept."""
     values = [c for c in df.columns if c not in (*keys, order)]
     first = F.min_by(F.struct(*values), F.col(order)).alias("_f")
-    out = df.groupBy(*keys).agg(first).select(*keys, "_f.*")
-    return out.dropna(how="any")
+    return (df.dropna(how="any", subset=values)
+              .groupBy(*keys).agg(first).select(*keys, "_f.*"))
 
 
 def read_observations_json(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
@@ -96,7 +104,7 @@ def read_observations_json(spark: SparkSession, path: str, series_id: str | None
     df = df.select(F.input_file_name().alias("file"), F.explode("observations").alias("o"))
     sid = F.lit(series_id) if series_id else F.regexp_extract("file", r"([^/]+)\.json$", 1)
     return df.select(sid.alias("series_id"),
-                     month_start(F.to_date("o.date")).alias("month"),
+                     month_start(_parse_date(F.col("o.date"))).alias("month"),
                      to_double("o.value").alias("value"))
 
 
@@ -105,7 +113,7 @@ def flatten_observations(df: DataFrame, json_col: str) -> DataFrame:
     parsed = df.withColumn("_j", F.from_json(json_col, OBSERVATIONS_SCHEMA))
     keep = [c for c in df.columns if c != json_col]
     return parsed.select(*keep, F.explode("_j.observations").alias("_o")).select(
-        *keep, F.to_date("_o.date").alias("date"), to_double("_o.value").alias("value"))
+        *keep, _parse_date(F.col("_o.date")).alias("date"), to_double("_o.value").alias("value"))
 
 
 def flatten_json_object(df: DataFrame, json_col: str) -> DataFrame:
@@ -134,6 +142,6 @@ def read_wide_combined(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", "true").csv(path)
     month_col = df.columns[0]
     values = df.columns[1:]
-    cast = df.select(F.to_date(F.col(f"`{month_col}`")).alias("month"),
+    cast = df.select(_parse_date(F.col(f"`{month_col}`")).alias("month"),
                      *[to_double(F.col(f"`{c}`")).alias(c) for c in values])
     return cast.unpivot(["month"], values, "series_id", "value")

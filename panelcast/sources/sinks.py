@@ -65,7 +65,9 @@ def log_run(spark: SparkSession, root: str, run_name: str,
     rows = []
     for kind, items in (("param", params), ("metric", metrics), ("tag", tags)):
         for k, v in (items or {}).items():
-            rows.append((run_name, kind, str(k), str(v), now))
+            # List parameters (feature names) are stored joined by ", "
+            text = ", ".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v)
+            rows.append((run_name, kind, str(k), text, now))
     df = spark.createDataFrame(rows, "run_name string, kind string, key string, value string, ts timestamp")
     df.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
     return df
