@@ -99,3 +99,37 @@ def adf_pvalue(stat: float) -> float:
     coef = ADF_C_SMALLP if stat <= ADF_C_TAU_STAR else ADF_C_LARGEP
     z = sum(c * stat ** p for p, c in enumerate(coef))
     return normal_cdf(z)
+
+
+# MacKinnon (2010) critical values for the ADF test with a constant, one
+# variable: tau(nobs) = b0 + b1/nobs + b2/nobs^2 + b3/nobs^3 (fixed values).
+ADF_C_CRIT = {
+    "1%": (-3.43035, -6.5393, -16.786, -79.433),
+    "5%": (-2.86154, -2.8903, -4.234, -40.040),
+    "10%": (-2.56677, -1.5384, -2.809, 0.0),
+}
+
+
+def adf_critical_values(nobs: int) -> dict[str, float]:
+    return {k: b[0] + b[1] / nobs + b[2] / nobs ** 2 + b[3] / nobs ** 3
+            for k, b in ADF_C_CRIT.items()}
+
+
+def adf_default_maxlag(nobs: int) -> int:
+    """ceil(12 (n/100)^(1/4)), capped so the regression keeps enough rows."""
+    return max(0, min(nobs // 2 - 2, int(math.ceil(12.0 * (nobs / 100.0) ** 0.25))))
+
+
+def ols_centered(s: np.ndarray, n: float, cols: list[int], yi: int):
+    """OLS with an intercept from a raw moment matrix ``s`` whose column 0 is
+    the constant. Returns (beta over ``cols``, ssr, inverse of the centred
+    cross-product matrix)."""
+    sx = s[0, cols]
+    sy = s[0, yi]
+    cxx = s[np.ix_(cols, cols)] - np.outer(sx, sx) / n
+    cxy = s[cols, yi] - sx * sy / n
+    cyy = s[yi, yi] - sy * sy / n
+    inv = np.linalg.pinv(cxx, hermitian=True)
+    beta = inv @ cxy
+    ssr = float(cyy - beta @ cxy)
+    return beta, max(ssr, 0.0), inv

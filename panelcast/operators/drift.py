@@ -17,10 +17,12 @@ Only the per-series result row (D, n1, n2) reaches Python, to get p.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+                               StructType)
 
 from panelcast.functions import stats
 from panelcast.functions.exact import exact_comoment
@@ -149,3 +151,130 @@ def adf_test(df: DataFrame, value: str = "close", key: str = "ticker", order: st
     res = adf_lag0(df, value, key, order)
     return (res.withColumn("p_value", _adf_p(F.col("adf_stat")))
                .withColumn("stationary", F.coalesce(F.col("p_value") < alpha, F.lit(False))))
+
+
+# ---------------------------------------------------------------------------
+# ADF with augmentation lags and AIC lag selection
+# ---------------------------------------------------------------------------
+
+
+def _adf_frame(df: DataFrame, value: str, key: str, order: str, max_lag: int | None):
+    """Per key: t (1-based), y_{t-1}, dy_t and dy lags 1..M, with the key's
+    maximum lag; M is the largest maximum lag over keys (one scalar)."""
+    from panelcast.functions.stats import adf_default_maxlag
+    base = df.select(key, order, value).where(F.col(value).isNotNull())
+    w = Window.partitionBy(key).orderBy(order)
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    if max_lag is None:
+        cap = F.least(F.floor(n / 2) - 2,
+                      F.ceil(F.lit(12.0) * F.pow(n.cast("double") / 100.0, 0.25)))
+        ml = F.greatest(cap, F.lit(0)).cast("int")
+    else:
+        ml = F.lit(int(max_lag))
+    framed = base.select(key, order, value, F.row_number().over(w).alias("t"),
+                         n.alias("n_total"), ml.alias("max_lag"),
+                         F.lag(value, 1).over(w).alias("ylag"),
+                         (F.col(value) - F.lag(value, 1).over(w)).alias("dy"))
+    if max_lag is None:
+        big = framed.agg(F.max("n_total")).first()[0] or 0  # one number
+        m = adf_default_maxlag(int(big))
+    else:
+        m = int(max_lag)
+    w2 = Window.partitionBy(key).orderBy(order)
+    framed = framed.select("*", *[F.lag("dy", j).over(w2).alias(f"dl{j}") for j in range(1, m + 1)])
+    return framed, m
+
+
+def _moments(rows: DataFrame, key: str, cols: list[str], extra: list[str]) -> DataFrame:
+    k = len(cols)
+    cross = [F.sum(F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k)]
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nobs"), F.array(*cross).alias("m"),
+                                 *[F.first(e).alias(e) for e in extra])
+
+
+def _unpack(m, k):
+    s = np.zeros((k, k))
+    s[np.triu_indices(k)] = np.asarray(m, dtype=float)
+    return s + np.triu(s, 1).T
+
+
+def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "month",
+        max_lag: int | None = None, autolag: str | None = "aic", alpha: float = 0.05) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant, per key.
+
+    Regress dy_t on [1, y_{t-1}, dy_{t-1} .. dy_{t-p}]; the statistic is the
+    t-value of y_{t-1}. With ``autolag='aic'`` every p in 0..max_lag is fitted
+    on the common sample (rows with all max_lag lags) and the smallest AIC
+    wins; the chosen p is then refitted on its own sample. Default max_lag is
+    ceil(12 (n/100)^(1/4)) capped at n//2 - 2.
+
+    Two grouped aggregations of cross-products (partial aggregation); the
+    small per-key solves run on one row per key.
+    """
+    from panelcast.functions.stats import adf_critical_values, adf_pvalue, ols_centered
+    framed, m = _adf_frame(df, value, key, order, max_lag)
+    lags = [f"dl{j}" for j in range(1, m + 1)]
+    cols = ["_one", "ylag", *lags, "dy"]
+    k = len(cols)
+    key_type = df.schema[key].dataType
+
+    def zeroed(limit: Column):
+        # lags beyond the key's own lag order are unused: 0 instead of NULL
+        return [F.when(F.lit(j) <= limit, F.col(f"dl{j}")).otherwise(F.lit(0.0)).alias(f"dl{j}")
+                for j in range(1, m + 1)]
+
+    if autolag:
+        common = framed.where(F.col("t") >= F.col("max_lag") + 2).select(
+            key, F.lit(1.0).alias("_one"), "ylag", *zeroed(F.col("max_lag")), "dy", "max_lag")
+        mom = _moments(common, key, cols, ["max_lag"])
+
+        def choose(batches):
+            for pdf in batches:
+                best, ic = [], []
+                for nobs, mm, ml in zip(pdf["nobs"], pdf["m"], pdf["max_lag"]):
+                    s, n = _unpack(mm, k), float(nobs)
+                    cand = []
+                    for p in range(int(ml) + 1):
+                        _, ssr, _ = ols_centered(s, n, [1, *range(2, 2 + p)], k - 1)
+                        llf = -n / 2.0 * (np.log(2 * np.pi) + np.log(ssr / n) + 1.0)
+                        cand.append((-2.0 * llf + 2.0 * (p + 2), p))
+                    a, p = min(cand)
+                    best.append(p)
+                    ic.append(float(a))
+                yield pd.DataFrame({key: pdf[key], "used_lag": best, "ic_best": ic})
+        chosen = mom.mapInPandas(choose, StructType([
+            StructField(key, key_type), StructField("used_lag", IntegerType()),
+            StructField("ic_best", DoubleType())]))
+    else:
+        chosen = framed.groupBy(key).agg(F.first("max_lag").alias("used_lag"),
+                                         F.lit(None).cast("double").alias("ic_best"))
+
+    own = framed.join(chosen, on=key, how="inner").where(F.col("t") >= F.col("used_lag") + 2)
+    own = own.select(key, F.lit(1.0).alias("_one"), "ylag", *zeroed(F.col("used_lag")), "dy",
+                     "used_lag", "ic_best")
+    mom2 = _moments(own, key, cols, ["used_lag", "ic_best"])
+
+    def fit(batches):
+        for pdf in batches:
+            stat, pval, c1, c5, c10 = [], [], [], [], []
+            for nobs, mm, p in zip(pdf["nobs"], pdf["m"], pdf["used_lag"]):
+                s, n, p = _unpack(mm, k), float(nobs), int(p)
+                beta, ssr, inv = ols_centered(s, n, [1, *range(2, 2 + p)], k - 1)
+                dof = n - (p + 2)
+                se = np.sqrt(ssr / dof * inv[0, 0]) if dof > 0 else np.nan
+                t = float(beta[0] / se) if se and np.isfinite(se) and se > 0 else float("nan")
+                stat.append(t)
+                pval.append(adf_pvalue(t))
+                cv = adf_critical_values(int(nobs))
+                c1.append(cv["1%"])
+                c5.append(cv["5%"])
+                c10.append(cv["10%"])
+            yield pd.DataFrame({key: pdf[key], "nobs": pdf["nobs"], "used_lag": pdf["used_lag"],
+                                "ic_best": pdf["ic_best"], "adf_stat": stat, "p_value": pval,
+                                "crit_1pct": c1, "crit_5pct": c5, "crit_10pct": c10})
+    schema = StructType([StructField(key, key_type), StructField("nobs", LongType()),
+                         StructField("used_lag", IntegerType()), StructField("ic_best", DoubleType()),
+                         *[StructField(c, DoubleType()) for c in
+                           ("adf_stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct")]])
+    res = mom2.mapInPandas(fit, schema)
+    return res.withColumn("stationary", F.coalesce(F.col("p_value") < alpha, F.lit(False)))

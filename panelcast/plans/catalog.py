@@ -293,6 +293,10 @@ def adf_test(spark, sf):
     return drift.adf_test(testdata.prices(spark, sf))
 
 
+def adf_autolag(spark, sf):
+    return drift.adf(testdata.prices(spark, sf))
+
+
 # --- pooled / per-key ML models (rows-only checks) --------------------------------
 
 def multi_linear_forecast(spark, sf):
@@ -326,6 +330,19 @@ def universe_sweep(spark, sf):
     return best
 
 
+def streaming_monthly_bars(spark, sf):
+    """Trades landed as files, read by a Structured Streaming aggregation;
+    the months the watermark has closed (all but the newest)."""
+    import uuid
+
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.streaming import bars
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/q-{uuid.uuid4().hex[:8]}"
+    bars.stage_ticks(testdata.price_ticks(spark, sf), f"{root}/feed")
+    bars.run_bars(spark, f"{root}/feed", f"{root}/bars", checkpoint=f"{root}/ck")
+    return spark.read.parquet(f"{root}/bars")
+
+
 def score_saved_model(spark, sf):
     from panelcast.plans import monitoring
     return monitoring.score_saved_model(spark, sf)
@@ -343,7 +360,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ols_forecast, backtest_signals, signal_counts, buy_sell_markers,
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
-    ks_drift_statistic, ks_drift_test, adf_lag0, adf_test,
+    ks_drift_statistic, ks_drift_test, adf_lag0, adf_test, adf_autolag,
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, universe_sweep,
-    score_saved_model,
+    score_saved_model, streaming_monthly_bars,
 )}

@@ -468,3 +468,6 @@ SELECT ticker, n, sxy / sxx AS gamma,
        (sxy / sxx) / sqrt(((syy - sxy * sxy / sxx) / CAST(n AS DOUBLE)) / (CAST(n AS DOUBLE) - 2)
                           / (sxx / CAST(n AS DOUBLE))) AS adf_stat
 FROM g"""
+
+SQL["streaming_monthly_bars"] = (f"WITH {prices_cte()}\nSELECT * FROM prices "
+                                 "WHERE month < (SELECT max(month) FROM prices)")

@@ -132,3 +132,63 @@ def test_mackinnon_p_is_monotone_and_near_known_quantiles():
     assert stats.adf_pvalue(-3.43) == pytest.approx(0.01, abs=0.005)
     ps = [stats.adf_pvalue(t) for t in np.linspace(-6, 2, 50)]
     assert all(a <= b + 1e-12 for a, b in zip(ps, ps[1:]))
+
+
+def _adf_reference(x, maxlag=None):
+    """The documented ADF procedure (constant, AIC lag choice on a common
+    sample, refit on the chosen lag's own sample) written with numpy."""
+    x = np.asarray(x, dtype=float)
+    n_all = len(x)
+    if maxlag is None:
+        maxlag = max(0, min(n_all // 2 - 2, int(math.ceil(12 * (n_all / 100) ** 0.25))))
+    dx = np.diff(x)
+
+    def fit(p, start):
+        i = np.arange(start, len(dx))
+        X = np.column_stack([x[i]] + [dx[i - j] for j in range(1, p + 1)] + [np.ones(len(i))])
+        y = dx[i]
+        beta = np.linalg.lstsq(X, y, rcond=None)[0]
+        ssr = float(((y - X @ beta) ** 2).sum())
+        n, k = len(i), X.shape[1]
+        aic = -2 * (-n / 2 * (np.log(2 * np.pi) + np.log(ssr / n) + 1)) + 2 * k
+        t = beta[0] / math.sqrt(ssr / (n - k) * np.linalg.inv(X.T @ X)[0, 0])
+        return aic, t, n
+
+    best = min((fit(p, maxlag)[0], p) for p in range(maxlag + 1))[1]
+    _, t, n = fit(best, best)
+    return t, best, n
+
+
+@pytest.mark.parametrize("seed,phi", [(1, 0.5), (2, 0.95), (5, 0.2)])
+def test_adf_autolag_matches_reference_procedure(spark, seed, phi):
+    rng = np.random.default_rng(seed)
+    e = rng.normal(size=90)
+    y = np.zeros(90)
+    for i in range(1, 90):
+        y[i] = phi * y[i - 1] + e[i] + 0.4 * e[i - 1]
+    y = np.round(50 + y, 4)
+    recs = [("A", D(2000 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(y)]
+    recs += [("B", D(2000 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(y[:40])]
+    df = spark.createDataFrame(recs, "ticker string, month date, close double")
+    got = {r.ticker: r for r in drift.adf(df).collect()}
+    for tk, series in (("A", y), ("B", y[:40])):
+        t, lag, n = _adf_reference(series)
+        assert got[tk].used_lag == lag
+        assert got[tk].nobs == n
+        assert got[tk].adf_stat == pytest.approx(t, rel=1e-6)
+        assert got[tk].crit_5pct < got[tk].crit_10pct
+
+
+def test_adf_fixed_lag_without_autolag(spark):
+    rng = np.random.default_rng(9)
+    y = np.round(100 + np.cumsum(rng.normal(size=60)), 3)
+    df = spark.createDataFrame([("A", D(2000 + i // 12, i % 12 + 1, 1), float(v)) for i, v in enumerate(y)],
+                               "ticker string, month date, close double")
+    r = drift.adf(df, max_lag=2, autolag=None).first()
+    x, dx = y, np.diff(y)
+    i = np.arange(2, len(dx))
+    X = np.column_stack([x[i], dx[i - 1], dx[i - 2], np.ones(len(i))])
+    beta = np.linalg.lstsq(X, dx[i], rcond=None)[0]
+    ssr = ((dx[i] - X @ beta) ** 2).sum()
+    t = beta[0] / math.sqrt(ssr / (len(i) - 4) * np.linalg.inv(X.T @ X)[0, 0])
+    assert r.used_lag == 2 and r.adf_stat == pytest.approx(t, rel=1e-6)
