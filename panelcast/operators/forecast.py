@@ -241,7 +241,10 @@ def cv_r2(df: DataFrame, features: Sequence[str], label: str = "close", n_folds:
           num_trees: int = 50, seed: int = 42, key: str = "ticker") -> DataFrame:
     """G8 + A11: k-fold R2 of a random forest; mean and population std of folds."""
     from pyspark.ml.regression import RandomForestRegressor
-    data = assemble(fold_ids(df, n_folds, key), features)
+
+    from panelcast.session import cut_lineage
+    # k fits read the same assembled frame: materialise it once
+    data = cut_lineage(assemble(fold_ids(df, n_folds, key), features))
     rows = []
     for f in range(n_folds):  # k is a small constant: k pooled fits
         model = RandomForestRegressor(featuresCol="features", labelCol=label,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import forecast, metrics
 from panelcast.plans import pipeline
 from panelcast.plans.pipeline import Experiment
+from panelcast.session import cut_lineage
 
 # Experiment configurations (fixed values: indicator ids and tickers).
 REFERENCE_EXPERIMENTS = (
@@ -66,8 +67,14 @@ def run_experiment(prices: DataFrame, indicators: DataFrame, exp: Experiment,
 
 def run_experiments(prices: DataFrame, indicators: DataFrame,
                     experiments: Sequence[Experiment] = REFERENCE_EXPERIMENTS,
-                    model: str = "linear") -> tuple[DataFrame, DataFrame]:
-    """All experiments' backtests and metrics as two tables."""
+                    model: str = "linear", materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """All experiments' backtests and metrics as two tables.
+
+    With ``materialize`` the monthly inputs are checkpointed once, so the
+    experiments share one read of the raw sources.
+    """
+    if materialize:
+        prices, indicators = cut_lineage(prices), cut_lineage(indicators)
     out_bt = out_m = None
     for exp in experiments:
         bt, m = run_experiment(prices, indicators, exp, model)
@@ -85,6 +92,7 @@ def universe_sweep(feat: DataFrame, candidates: Sequence[str], horizons: Sequenc
 
     Returns (results with ``top_features`` array, top runs).
     """
+    feat = cut_lineage(feat)  # read by the forest and by every horizon's fit
     sup = pipeline.supervised(feat, 1)
     imp = forecast.rf_importance(sup, candidates, label="close", num_trees=num_trees, seed=seed)
     top = metrics.top_k(imp, n_features, "importance", ["feature"])
