@@ -44,16 +44,17 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
 
 
 def first_per_period(df: DataFrame, keys: Sequence[str], period: Column | str,
-                     order: Sequence[str], values: Sequence[str],
+                     order: Sequence[str] | Column, values: Sequence[str],
                      period_name: str = "month") -> DataFrame:
     """Keep the first row of each (keys, period) by a total order.
 
-    ``min_by`` over a struct is a partial aggregate: no group is ever
-    buffered whole, unlike a row_number window over the group.
+    ``order`` is a list of columns (compared as a struct) or one orderable
+    column such as ``order_key(ts, seq)``. ``min_by`` is a partial
+    aggregate: no group is ever buffered whole, unlike a row_number window.
     """
     p = F.col(period) if isinstance(period, str) else period
-    first = F.min_by(F.struct(*[F.col(v) for v in values]),
-                     F.struct(*[F.col(o) for o in order])).alias("_first")
+    key = order if isinstance(order, Column) else F.struct(*[F.col(o) for o in order])
+    first = F.min_by(F.struct(*[F.col(v) for v in values]), key).alias("_first")
     out = df.groupBy(*[F.col(k) for k in keys], p.alias(period_name)).agg(first)
     return out.select(*keys, period_name, *[F.col(f"_first.{v}").alias(v) for v in values])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.exact import exact_mean, exact_stddev
-from panelcast.functions.numeric import round_half_even, safe_name, to_double
+from panelcast.functions.numeric import order_key, round_half_even, safe_name, to_double
 from panelcast.operators import align, clean, drift, features, forecast, metrics, split
 from panelcast.plans import pipeline
 from panelcast.plans.pipeline import TEST_EXPERIMENTS, TEST_SERIES, Experiment
@@ -57,7 +57,7 @@ def numeric_coercion(spark, sf):
 def first_per_month(spark, sf):
     ticks = testdata.price_ticks(spark, sf)
     return clean.first_per_period(ticks, ["ticker"], F.trunc(F.to_date("ts"), "month"),
-                                  ["ts", "seq_a", "seq_b"], ["ts", "price", "qty"])
+                                  order_key("ts", "seq"), ["ts", "price", "qty"])
 
 
 def duplicate_month_check(spark, sf):

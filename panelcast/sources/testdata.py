@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.exact import exact_mean
-from panelcast.functions.numeric import month_start, round_half_even
+from panelcast.functions.numeric import month_start, order_key, round_half_even
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -67,7 +67,11 @@ def _slice_ts(df: DataFrame, ts_col: str, start, end) -> DataFrame:
 
 
 def price_ticks(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
-    """Trade-level rows: (ticker, ts, seq_a, seq_b, price, qty)."""
+    """Trade-level rows: (ticker, ts, seq, price, qty).
+
+    ``seq`` numbers the trades: orderkey * 8 + linenumber (line numbers are
+    1..7), so (ts, seq) orders trades as (ts, orderkey, linenumber).
+    """
     li = _slice_ts(
         table(spark, sf_dir, "lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
@@ -79,21 +83,20 @@ def price_ticks(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataF
     return (li.join(part, li.l_partkey == part.p_partkey)
               .select(F.col("p_brand").alias("ticker"),
                       F.col("l_shipdate").alias("ts"),
-                      F.col("l_orderkey").alias("seq_a"),
-                      F.col("l_linenumber").alias("seq_b"),
+                      (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
                       F.col("l_extendedprice").alias("price"),
                       F.col("l_quantity").alias("qty")))
 
 
 def monthly_bars(ticks: DataFrame, key: str = "ticker", ts: str = "ts",
-                 price: str = "price", qty: str = "qty",
-                 order=("ts", "seq_a", "seq_b")) -> DataFrame:
-    """A2: one bar per (key, month): last price by a total order, summed volume.
+                 price: str = "price", qty: str = "qty", seq: str = "seq") -> DataFrame:
+    """A2: one bar per (key, month): last price by (ts, seq), summed volume.
 
-    ``max_by`` is a declarative aggregate, so each map task combines its rows
-    first; a hot ticker-month costs one partial row per task in the shuffle.
+    ``max_by`` is a declarative aggregate on the hash path (decimal order
+    key), so each map task combines its rows first; a hot ticker-month costs
+    one partial row per task in the shuffle.
     """
-    last = F.struct(*[F.col(c) for c in order])
+    last = order_key(ts, seq)
     return (ticks.groupBy(F.col(key), month_start(ts).alias("month"))
                  .agg(round_half_even(F.max_by(price, last), 4).alias("close"),
                       F.sum(qty).alias("volume")))
@@ -145,7 +148,3 @@ def props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("obs_id"), "ts",
                     F.col("event_type").alias("series_id"), "props")
 
-
-def series_ids(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Indicator ids of the test data (order-priority values)."""
-    return ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

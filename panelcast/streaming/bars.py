@@ -14,15 +14,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
-                               StructType, TimestampType)
+from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
+                               TimestampType)
 
-from panelcast.functions.numeric import round_half_even
+from panelcast.functions.numeric import order_key, round_half_even
 from panelcast.session import ensure_checkpoint_dir
 
 TICK_SCHEMA = StructType([
     StructField("ticker", StringType()), StructField("ts", TimestampType()),
-    StructField("seq_a", LongType()), StructField("seq_b", IntegerType()),
+    StructField("seq", LongType()),
     StructField("price", DoubleType()), StructField("qty", DoubleType())])
 
 
@@ -36,7 +36,7 @@ def bars_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
     trades (e.g. '32 days' ~ one extra month).
     """
     month_ts = F.date_trunc("month", F.col("ts")).alias("month_ts")
-    last = F.struct("ts", "seq_a", "seq_b")
+    last = order_key("ts", "seq")
     return (ticks.select("*", month_ts)
                  .withWatermark("month_ts", delay)
                  .groupBy("ticker", "month_ts")
