@@ -48,12 +48,16 @@ def first_per_period(df: DataFrame, keys: Sequence[str], period: Column | str,
                      period_name: str = "month") -> DataFrame:
     """Keep the first row of each (keys, period) by a total order.
 
-    ``order`` is a list of columns (compared as a struct) or one orderable
-    column such as ``order_key(ts, seq)``. ``min_by`` is a partial
-    aggregate: no group is ever buffered whole, unlike a row_number window.
+    ``order`` is one orderable column such as ``order_key(ts, seq)`` (one
+    ``min_by`` per value column, all on the hash-aggregate path) or a list of
+    columns compared as a struct. ``min_by`` is a partial aggregate: no group
+    is ever buffered whole, unlike a row_number window over the group.
     """
     p = F.col(period) if isinstance(period, str) else period
-    key = order if isinstance(order, Column) else F.struct(*[F.col(o) for o in order])
+    if isinstance(order, Column):
+        firsts = [F.min_by(v, order).alias(v) for v in values]
+        return df.groupBy(*[F.col(k) for k in keys], p.alias(period_name)).agg(*firsts)
+    key = F.struct(*[F.col(o) for o in order])
     first = F.min_by(F.struct(*[F.col(v) for v in values]), key).alias("_first")
     out = df.groupBy(*[F.col(k) for k in keys], p.alias(period_name)).agg(first)
     return out.select(*keys, period_name, *[F.col(f"_first.{v}").alias(v) for v in values])

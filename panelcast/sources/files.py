@@ -93,9 +93,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "obs_order") ->
     """D1 + P8 on landed rows: rows with a missing value are dropped first,
     then the first remaining row of each key (file order) is kept."""
     values = [c for c in df.columns if c not in (*keys, order)]
-    first = F.min_by(F.struct(*values), F.col(order)).alias("_f")
+    # one min_by per column on a single long order: hash aggregation
     return (df.dropna(how="any", subset=values)
-              .groupBy(*keys).agg(first).select(*keys, "_f.*"))
+              .groupBy(*keys).agg(*[F.min_by(v, F.col(order)).alias(v) for v in values]))
 
 
 def read_observations_json(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
