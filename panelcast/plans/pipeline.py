@@ -8,7 +8,7 @@ never a Python loop: per-ticker work is partitioning.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,6 @@ class Experiment:
     end: str | None = None
     test_size: float = 0.2
     neutral: str = "Hold"
-    extra: dict = field(default_factory=dict, hash=False, compare=False)
 
     @property
     def indicator_cols(self) -> list[str]:

@@ -16,18 +16,42 @@ class EmptyResultError(ValueError):
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 fmt: str = "parquet", mode: str = "overwrite", refuse_empty: bool = True) -> str:
-    """K1/K2/K3: write a panel table, partitioned (e.g. by ticker)."""
-    if refuse_empty and df.isEmpty():
-        raise EmptyResultError(f"refusing to write an empty table to {path}")
+    """K1/K2/K3: write a panel table, partitioned (e.g. by ticker).
+
+    Empty results are refused without evaluating the plan twice: the table
+    is written in one pass, then the written files are probed (one row at
+    most) and an empty output is removed again.
+    """
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
         w = w.option("header", "true")
     w.format(fmt).save(path)
+    if refuse_empty:
+        spark = df.sparkSession
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        if _is_empty_output(spark, reader, path):
+            _remove(spark, path)
+            raise EmptyResultError(f"refusing to write an empty table to {path}")
     return path
 
 
+def _is_empty_output(spark: SparkSession, reader, path: str) -> bool:
+    try:
+        return reader.load(path).limit(1).count() == 0
+    except Exception:  # no data files at all (e.g. an empty partitioned write)
+        return True
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def save_combined(df: DataFrame, root: str, experiment: str) -> str:
     """K1: aligned table of an experiment."""
     return write_table(df, f"{root.rstrip('/')}/combined/{experiment}", ["ticker"])

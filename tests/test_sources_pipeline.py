@@ -97,6 +97,7 @@ def test_experiment_from_files_end_to_end_and_sinks(spark, landed, tmp_path):
     assert back.count() == bt.count()
     with pytest.raises(sinks.EmptyResultError):
         sinks.write_table(bt.limit(0), str(tmp_path / "empty"))
+    assert not (tmp_path / "empty").exists()
     sinks.log_run(spark, out, "AAA_LinearRegression_1", params={"features": ["a", "b"]},
                   metrics={"rmse": 1.0})
     runs = spark.read.parquet(f"{out}/runs")
