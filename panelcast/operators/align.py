@@ -91,18 +91,23 @@ def align_asof(prices: DataFrame, indicators: DataFrame, ids: Sequence[str],
 
 def wide_by_entity(panel: DataFrame, entities: Sequence[str], key: str = "ticker",
                    month: str = "month", value: str = "close",
-                   inner: bool = True) -> DataFrame:
-    """One column per entity on month; ``inner`` keeps months all share."""
+                   inner: bool = True, rename: bool = True) -> DataFrame:
+    """One column per entity on month; ``inner`` keeps months all share.
+
+    ``rename`` turns ids into column-safe names ('Brand#1' -> 'Brand_1');
+    otherwise columns are named by the ids themselves.
+    """
     wide = (panel.where(F.col(key).isin(list(entities)))
                  .groupBy(month).pivot(key, list(entities)).agg(F.first(value)))
-    wide = wide.select(month, *[F.col(f"`{e}`").alias(safe_name(e)) for e in entities])
+    name = safe_name if rename else (lambda e: e)
+    wide = wide.select(month, *[F.col(f"`{e}`").alias(name(e)) for e in entities])
     return wide.dropna(how="any") if inner else wide
 
 
 def wide_to_long(wide: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str],
                  var_name: str = "series_id", value_name: str = "value") -> DataFrame:
     """Unpivot a wide table (one column per series) into long rows."""
-    return wide.unpivot(list(id_cols), list(value_cols), var_name, value_name)
+    return wide.unpivot(list(id_cols), [F.col(f"`{c}`") for c in value_cols], var_name, value_name)
 
 
 def wide_prices(panel: DataFrame, tickers: Sequence[str], key: str = "ticker",

@@ -25,7 +25,6 @@ E1 = TEST_EXPERIMENTS[0]
 # warm-up, no volume / volatility columns
 GOLDEN = Experiment("golden_layout", TEST_SERIES, align="asof", warmup="backfill",
                     lag_target=True, lag_volume=False, volatility=False)
-PORTFOLIO = ("Brand#1", "Brand#2", "Brand#3", "Brand#4")
 REQUESTED = ("1-URGENT", "2-HIGH", "M2SL", "WTISPLC", "5-LOW")
 SLICE = ("1996-01-01", "2000-12-31")
 DRIFT_REF_END = "2024-01-20"
@@ -104,13 +103,15 @@ def align_asof(spark, sf):
 
 
 def wide_pivot(spark, sf):
-    return align.wide_by_entity(testdata.prices(spark, sf), PORTFOLIO)
+    """J1 over the whole ticker universe: months in which every ticker traded."""
+    universe = testdata.ticker_universe(spark, sf)
+    return align.wide_by_entity(testdata.prices(spark, sf), universe, rename=False)
 
 
 def wide_unpivot(spark, sf):
-    wide = align.wide_by_entity(testdata.prices(spark, sf), PORTFOLIO, inner=False)
-    return align.wide_to_long(wide, ["month"], [safe_name(t) for t in PORTFOLIO],
-                              "ticker", "close")
+    universe = testdata.ticker_universe(spark, sf)
+    wide = align.wide_by_entity(testdata.prices(spark, sf), universe, inner=False, rename=False)
+    return align.wide_to_long(wide, ["month"], universe, "ticker", "close")
 
 
 def range_slice(spark, sf):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from panelcast.functions.numeric import safe_name
-from panelcast.plans.catalog import (DRIFT_DAYS, DRIFT_REF_END, PORTFOLIO, REQUESTED, SLICE,
+from panelcast.plans.catalog import (DRIFT_DAYS, DRIFT_REF_END, REQUESTED, SLICE,
                                      TEST_EXPERIMENTS, TEST_SERIES)
 
 ALL = list(TEST_SERIES)
@@ -301,21 +301,17 @@ SQL["align_inner"] = f"WITH {panel_inner_cte(ALL)}\nSELECT * FROM panel"
 
 SQL["align_asof"] = f"WITH {panel_asof_cte(ALL)}\nSELECT * FROM panel"
 
-_pcols = [safe_name(t) for t in PORTFOLIO]
-_ppiv = ",\n       ".join(
-    f"max(CASE WHEN ticker = {_q(t)} THEN close END) AS {safe_name(t)}" for t in PORTFOLIO)
-_pwide = f"""pwide AS (
-  SELECT month,
-       {_ppiv}
-  FROM prices WHERE ticker IN {_in(PORTFOLIO)} GROUP BY month)"""
-
-SQL["wide_pivot"] = (f"WITH {prices_cte()},\n{_pwide}\nSELECT * FROM pwide WHERE "
-                     + " AND ".join(f"{c} IS NOT NULL" for c in _pcols))
-
-SQL["wide_unpivot"] = (f"WITH {prices_cte()},\n{_pwide}\n"
-                       + "\nUNION ALL\n".join(
-                           f"SELECT month, {_q(c)} AS ticker, {c} AS close FROM pwide"
-                           for c in _pcols))
+# dynamic PIVOT (columns = every traded ticker); its value pre-pass cannot
+# see sibling CTEs, so the price bars are an inline subquery
+_pwide = (f"pwide AS (PIVOT (WITH {prices_cte()} SELECT ticker, month, close FROM prices) "
+          "ON ticker USING first(close) GROUP BY month)")
+
+SQL["wide_pivot"] = (f"WITH {_pwide}\n"
+                     "SELECT * FROM pwide WHERE COLUMNS(* EXCLUDE (month)) IS NOT NULL")
+
+SQL["wide_unpivot"] = (f"WITH {_pwide}\n"
+                       "FROM pwide UNPIVOT INCLUDE NULLS "
+                       "(close FOR ticker IN (COLUMNS(* EXCLUDE (month))))")
 
 SQL["range_slice"] = f"WITH {prices_cte(*SLICE)}\nSELECT * FROM prices"
 
