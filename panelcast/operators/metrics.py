@@ -77,19 +77,31 @@ def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], by: str,
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], key: str | None = "ticker",
                        digits: int | None = 4) -> DataFrame:
-    """Pearson r for every column pair (pairwise complete), long form.
+    """Pearson r for every ordered column pair (pairwise complete), long.
 
-    One aggregation computes all pairs; corr is a partial aggregate.
+    One aggregation computes each unordered pair once (``corr`` is a partial
+    aggregate); the mirrored pair reuses the value inside the same explode.
+    The per-pair expressions are written as SQL text, parsed once on the JVM
+    side: building hundreds of them as Python Column objects costs far more
+    than running them. Rounding and NaN -> NULL apply once, after the explode.
     """
+    def q(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
+
+    def lit(c: str) -> str:
+        return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
     pairs = list(combinations_with_replacement(cols, 2))
-    aggs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     F.corr(a, b).alias("r")) for a, b in pairs]
     groups = [key] if key else []
-    wide = df.groupBy(*groups).agg(F.array(*aggs).alias("_m"))
-    long = wide.select(*groups, F.explode("_m").alias("_p")).select(*groups, "_p.*")
-    mirrored = long.where(F.col("col_a") != F.col("col_b")).select(
-        *groups, F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r")
-    out = long.unionByName(mirrored)
+    agg = df.groupBy(*groups).agg(*[F.expr(f"corr({q(a)}, {q(b)}) AS _r{i}")
+                                    for i, (a, b) in enumerate(pairs)])
+    entries = []
+    for i, (a, b) in enumerate(pairs):
+        entries.append(f"named_struct('col_a', {lit(a)}, 'col_b', {lit(b)}, 'r', _r{i})")
+        if a != b:
+            entries.append(f"named_struct('col_a', {lit(b)}, 'col_b', {lit(a)}, 'r', _r{i})")
+    out = agg.selectExpr(*[q(g) for g in groups], f"explode(array({', '.join(entries)})) AS _p")
+    out = out.select(*groups, "_p.col_a", "_p.col_b", "_p.r")
     out = out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
     if digits is not None:
         out = out.withColumn("r", round_half_even("r", digits))

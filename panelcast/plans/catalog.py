@@ -172,12 +172,13 @@ def feature_table_backfilled(spark, sf):
 
 def lagged_comparison(spark, sf):
     return features.lagged_comparison(_panel(spark, sf), "close",
-                                      ["s_1_URGENT", "s_2_HIGH"], 3)
+                                      [safe_name(s) for s in TEST_SERIES], 3)
 
 
 def correlation_matrix(spark, sf):
+    """Every numeric column of the feature table against every other."""
     ft = feature_table(spark, sf)
-    return metrics.correlation_matrix(ft, ["close", "volume", "close_ma3", "s_1_URGENT"])
+    return metrics.correlation_matrix(ft, [c for c, t in ft.dtypes if t == "double"])
 
 
 # --- supervised frame ---------------------------------------------------------

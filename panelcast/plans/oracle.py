@@ -348,17 +348,30 @@ _gold_ft, _ = features_cte(_gold_base, ["close", *_ind_cols], volatility=False,
                            warmup="backfill")
 SQL["feature_table_backfilled"] = f"WITH {panel_asof_cte(ALL)},\n{_gold_ft}\nSELECT * FROM ft"
 
-SQL["lagged_comparison"] = f"""WITH {panel_inner_cte(ALL)}
-SELECT ticker, month, close, lag(s_1_URGENT, 3) OVER {W} AS s_1_URGENT_lag3,
-       lag(s_2_HIGH, 3) OVER {W} AS s_2_HIGH_lag3
-FROM panel"""
-
-_corr_cols = ["close", "volume", "close_ma3", "s_1_URGENT"]
-SQL["correlation_matrix"] = f"WITH {e1_features()}\n" + "\nUNION ALL\n".join(
-    f"SELECT ticker, {_q(a)} AS col_a, {_q(b)} AS col_b, "
-    f"{rnd(f'CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END')} AS r "
-    f"FROM ft GROUP BY ticker"
-    for a in _corr_cols for b in _corr_cols)
+SQL["lagged_comparison"] = (f"WITH {panel_inner_cte(ALL)}\nSELECT ticker, month, close, "
+                            + ", ".join(f"lag({c}, 3) OVER {W} AS {c}_lag3" for c in _ind_cols)
+                            + "\nFROM panel")
+
+# every numeric feature column, in the feature table's column order
+_ft_cols = (["close", "volume", *_ind_cols, "close_ma3", "close_ma12", "close_volatility"]
+            + [f"{c}_lag{k}" for c in ["volume", *_ind_cols] for k in (1, 3, 6)])
+
+
+def _corr_sql() -> str:
+    from itertools import combinations_with_replacement
+    entries = []
+    for a, b in combinations_with_replacement(_ft_cols, 2):
+        r = f"corr({a}, {b})"
+        r = rnd(f"CASE WHEN isnan({r}) THEN NULL ELSE {r} END")
+        entries.append(f"{{'col_a': {_q(a)}, 'col_b': {_q(b)}, 'r': {r}}}")
+        if a != b:
+            entries.append(f"{{'col_a': {_q(b)}, 'col_b': {_q(a)}, 'r': {r}}}")
+    return (f"WITH {e1_features()},\n"
+            f"m AS (SELECT ticker, [{', '.join(entries)}] AS l FROM ft GROUP BY ticker)\n"
+            "SELECT ticker, unnest(l, recursive := true) FROM m")
+
+
+SQL["correlation_matrix"] = _corr_sql()
 
 SQL["chrono_split"] = f"WITH {e1_features()},\n{sup_cte(1)}\nSELECT ticker, month, rn, n, is_test FROM sup"
 
