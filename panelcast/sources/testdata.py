@@ -31,8 +31,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+_RELATIONS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The parquet relation of a driver table.
+
+    The relation (file listing + footer schema, not data) is resolved once
+    per application and path; every query plans against the same relation.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    k = (spark.sparkContext.applicationId, path)
+    if k not in _RELATIONS:
+        _RELATIONS[k] = spark.read.parquet(path)
+    return _RELATIONS[k]
 
 
 def _as_date(value) -> dt.date | None:
