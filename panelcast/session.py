@@ -55,8 +55,11 @@ def configure(spark: SparkSession) -> None:
             spark.conf.set(key, value)
         except Exception:  # static conf on a shared session: leave it
             pass
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    try:
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+    except Exception:  # e.g. a client session without a local SparkContext
+        pass
 
 
 _SHIPPED: set[str] = set()
