@@ -49,21 +49,39 @@ def tag_samples(df: DataFrame, key: str, date: str, value: str, reference_end,
                     in_ref.cast("long").alias("c_ref"), in_cur.cast("long").alias("c_cur"))
 
 
+def _quantile_bucket(df: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
+    """Attach ``out`` = index of the value among n-quantile cut points of its
+    ``keys`` group (cut points from a mergeable sketch, joined back)."""
+    probs = [i / n for i in range(1, n)]
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias(f"_c_{out}"))
+    return (df.join(cuts, on=keys, how="inner")
+              .withColumn(out, F.size(F.filter(f"_c_{out}", lambda c: c < F.col(value))))
+              .drop(f"_c_{out}"))
+
+
 def ks_statistic(df: DataFrame, key: str, date: str, value: str, reference_end,
                  window_months: int | None = 12, window_days: int | None = None,
-                 buckets: int = 64) -> DataFrame:
-    """(key, n_ref, n_cur, ks_statistic) per series."""
+                 buckets: int | tuple[int, int] = (64, 64)) -> DataFrame:
+    """(key, n_ref, n_cur, ks_statistic) per series.
+
+    ``buckets`` = (coarse, fine): values are cut into coarse quantile buckets
+    per series, and each coarse bucket again into fine ones (64 x 64 = 4096
+    buckets per series by default, ~128 comparisons per row). Running sums
+    then run per (series, bucket), so even a series holding a large share of
+    all rows spreads over thousands of window partitions.
+    """
+    coarse, fine = (buckets, 1) if isinstance(buckets, int) else buckets
     tagged = tag_samples(df, key, date, value, reference_end, window_months, window_days)
     counts = (tagged.groupBy(key, "v")
                     .agg(F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"))
                     .where((F.col("c_ref") > 0) | (F.col("c_cur") > 0)))
-    # quantile cut points over distinct values (a sketch: partial aggregate)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(key).agg(
-        F.percentile_approx("v", probs, 10000).alias("_cuts"),
-        F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    b = counts.join(cuts, on=key, how="inner").withColumn(
-        "bucket", F.size(F.filter("_cuts", lambda c: c < F.col("v"))))
+    totals = counts.groupBy(key).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
+    b = _quantile_bucket(counts, [key], "v", coarse, "_b1")
+    if fine > 1:
+        b = _quantile_bucket(b, [key, "_b1"], "v", fine, "_b2")
+        b = b.withColumn("bucket", F.col("_b1") * fine + F.col("_b2")).drop("_b1", "_b2")
+    else:
+        b = b.withColumnRenamed("_b1", "bucket")
     tot = b.groupBy(key, "bucket").agg(F.sum("c_ref").alias("t_ref"),
                                        F.sum("c_cur").alias("t_cur"))
     wb = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,9 +91,10 @@ def ks_statistic(df: DataFrame, key: str, date: str, value: str, reference_end,
     wv = (Window.partitionBy(key, "bucket").orderBy("v")
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cum = b.join(offs, on=[key, "bucket"], how="inner").select(
-        key, "n_ref", "n_cur",
+        key,
         (F.sum("c_ref").over(wv) + F.col("o_ref")).alias("cum_ref"),
         (F.sum("c_cur").over(wv) + F.col("o_cur")).alias("cum_cur"))
+    cum = cum.join(totals, on=key, how="inner")
     gap = F.abs(F.try_divide(F.col("cum_ref").cast("double"), F.col("n_ref").cast("double"))
                 - F.try_divide(F.col("cum_cur").cast("double"), F.col("n_cur").cast("double")))
     return cum.groupBy(key).agg(F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
@@ -94,7 +113,8 @@ def _ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.DataFrame:
 
 def ks_drift(df: DataFrame, key: str, date: str, value: str, reference_end="2024-12-31",
              window_months: int | None = 12, window_days: int | None = None,
-             threshold: float = 0.05, min_current: int = 6, buckets: int = 64) -> DataFrame:
+             threshold: float = 0.05, min_current: int = 6,
+             buckets: int | tuple[int, int] = (64, 64)) -> DataFrame:
     """(key, n_ref, n_cur, ks_statistic, p_value, method, drift_detected).
 
     Fewer than ``min_current`` current rows (or an empty reference sample)

@@ -192,3 +192,18 @@ def test_adf_fixed_lag_without_autolag(spark):
     ssr = ((dx[i] - X @ beta) ** 2).sum()
     t = beta[0] / math.sqrt(ssr / (len(i) - 4) * np.linalg.inv(X.T @ X)[0, 0])
     assert r.used_lag == 2 and r.adf_stat == pytest.approx(t, rel=1e-6)
+
+
+@pytest.mark.parametrize("buckets", [1, 4, (3, 3), (5, 7)])
+def test_ks_statistic_bucketing_never_changes_d(spark, buckets):
+    rng = np.random.default_rng(21)
+    vals = np.round(rng.gamma(2.0, size=200), 2)
+    pairs = [(D(2024, 1, 1) + dt.timedelta(days=i // 7), float(v)) for i, v in enumerate(vals)]
+    df = _daily(spark, {"S": pairs, "T": pairs[:50]})
+    got = {r.series_id: r.ks_statistic for r in drift.ks_statistic(
+        df, "series_id", "day", "value", "2024-01-15", window_days=10, buckets=buckets).collect()}
+    for sid, ps in (("S", pairs), ("T", pairs[:50])):
+        last = max(d for d, _ in ps)
+        ref = np.array([v for d, v in ps if d <= D(2024, 1, 15)])
+        cur = np.array([v for d, v in ps if d >= last - dt.timedelta(days=9)])
+        assert got[sid] == pytest.approx(ks_d(ref, cur), abs=1e-15)
