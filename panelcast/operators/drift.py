@@ -52,6 +52,8 @@ def tag_samples(df: DataFrame, key: str, date: str, value: str, reference_end,
 def _quantile_bucket(df: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
     """Attach ``out`` = index of the value among n-quantile cut points of its
     ``keys`` group (cut points from a mergeable sketch, joined back)."""
+    if n <= 1:
+        return df.withColumn(out, F.lit(0))
     probs = [i / n for i in range(1, n)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 10000).alias(f"_c_{out}"))
     return (df.join(cuts, on=keys, how="inner")
