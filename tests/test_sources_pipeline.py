@@ -112,3 +112,23 @@ def test_require_columns_and_preview(spark):
     assert e.value.missing == ["close_ma3"]
     assert [r.month.month for r in clean.preview(df, 3).collect()] == [1, 2, 3]
     assert clean.columns_except(df.withColumn("close_t1", F.lit(1.0)), "close", ["ticker"]) == ["month"]
+
+
+def test_command_line_experiments_and_drift(spark, landed, tmp_path):
+    import shutil
+
+    from panelcast.__main__ import main
+    px = tmp_path / "px"
+    px.mkdir()
+    shutil.copy(landed / "prices" / "AAA_monthly.csv", px / "XOM_monthly.csv")
+    (px / "XOM_monthly.csv").write_text((px / "XOM_monthly.csv").read_text().replace("AAA_", "XOM_"))
+    fred = tmp_path / "fred"
+    fred.mkdir()
+    (fred / "WTISPLC.csv").write_text((landed / "fred" / "UNRATE.csv").read_text().replace("UNRATE", "WTISPLC"))
+    out = str(tmp_path / "out")
+    main(["experiments", "--prices", str(px), "--indicators", str(fred), "--out", out, "--names", "oil"])
+    m = spark.read.parquet(f"{out}/metrics_summary")
+    assert rows(m, "experiment", "ticker", "model", "horizon") == [("oil", "XOM", "LinearRegression", 1)]
+    main(["drift", "--indicators", str(fred), "--out", out, "--reference-end", "2017-12-31"])
+    d = spark.read.parquet(f"{out}/drift").first()
+    assert d.series_id == "WTISPLC" and d.n_cur == 12 and d.ks_statistic is not None
