@@ -207,3 +207,17 @@ def test_ks_statistic_bucketing_never_changes_d(spark, buckets):
         ref = np.array([v for d, v in ps if d <= D(2024, 1, 15)])
         cur = np.array([v for d, v in ps if d >= last - dt.timedelta(days=9)])
         assert got[sid] == pytest.approx(ks_d(ref, cur), abs=1e-15)
+
+
+@pytest.mark.parametrize("n,d_crit,alpha", [(10, 0.40925, 0.05), (20, 0.29408, 0.05), (10, 0.48893, 0.01),
+                                            (5, 0.56328, 0.05), (40, 0.21012, 0.05)])
+def test_kolmogorov_n_matches_published_critical_values(n, d_crit, alpha):
+    assert stats.kolmogorov_n_sf(d_crit, n) == pytest.approx(alpha, abs=2e-4)
+
+
+def test_kolmogorov_n_small_cases_and_limit():
+    # n = 1: D = max(U, 1 - U), so P(D >= d) = 2 (1 - d) for d >= 1/2
+    assert stats.kolmogorov_n_sf(0.7, 1) == pytest.approx(0.6, abs=1e-12)
+    # large n approaches the limiting law
+    x = 1.2
+    assert stats.kolmogorov_n_sf(x / math.sqrt(4000), 4000) == pytest.approx(stats.kolmogorov_sf(x), abs=5e-3)
