@@ -260,6 +260,79 @@ def cv_r2(df: DataFrame, features: Sequence[str], label: str = "close", n_folds:
                         F.count(F.lit(1)).alias("n_folds"))
 
 
+def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int = 5,
+              key: str = "ticker", order: str = "month", train_flag: str | None = "is_test",
+              rcond: float = 1e-10) -> DataFrame:
+    """G8 + A11 per ticker: k-fold (contiguous, unshuffled) CV R2 of OLS.
+
+    Features are standardised once with train statistics (as the source
+    scales before cross-validating). Raw moment matrices are additive, so
+    one aggregation per (ticker, fold) gives every fold's training moments
+    as total - fold; the k solves and held-out scores per ticker run on one
+    row per ticker. Returns (ticker, cv_r2_mean, cv_r2_std (population),
+    n_folds).
+    """
+    import pandas as pd
+    feats = list(features)
+    data = df.where(F.col(train_flag) == F.lit(False)) if train_flag else df
+    flag = "__all_train"
+    data = data.withColumn(flag, F.lit(False))
+    stats = scaler_stats(data, feats, key, flag)
+    z = apply_scaler(data, stats, feats, key, suffix="__z")
+    z = fold_ids(z, n_folds, key, order, "fold")
+    cols = [F.lit(1.0)] + [F.col(f + "__z") for f in feats] + [F.col(y)]
+    m = len(cols)
+    cross = [F.sum(cols[i] * cols[j]) for i in range(m) for j in range(i, m)]
+    mom = z.groupBy(key, "fold").agg(F.array(*cross).alias("m"))
+    per_key = mom.groupBy(key).agg(F.collect_list(F.struct("fold", "m")).alias("folds"))
+    iu = np.triu_indices(m)
+
+    def unpack(v):
+        s = np.zeros((m, m))
+        s[iu] = np.asarray(v, dtype=float)
+        return s + np.triu(s, 1).T
+
+    def score(batches):
+        for pdf in batches:
+            means, stds, counts = [], [], []
+            for folds in pdf["folds"]:
+                mats = {int(f["fold"]): unpack(f["m"]) for f in folds}
+                total = sum(mats.values())
+                r2s = []
+                for f, held in sorted(mats.items()):
+                    tr = total - held
+                    n_tr, n_te = tr[0, 0], held[0, 0]
+                    if n_tr < 2 or n_te < 1:
+                        continue
+                    sx, sy = tr[0, 1:m - 1], tr[0, m - 1]
+                    cxx = tr[1:m - 1, 1:m - 1] - np.outer(sx, sx) / n_tr
+                    cxy = tr[1:m - 1, m - 1] - sx * sy / n_tr
+                    beta = np.linalg.pinv(cxx, rcond=rcond, hermitian=True) @ cxy
+                    b0 = sy / n_tr - beta @ sx / n_tr
+                    # held-out SSres around the fold's own means (well conditioned):
+                    # sum (yc - beta.xc)^2 + n_te (ybar - b0 - beta.xbar)^2
+                    hx, hy = held[0, 1:m - 1], held[0, m - 1]
+                    xbar, ybar = hx / n_te, hy / n_te
+                    hxx = held[1:m - 1, 1:m - 1] - np.outer(hx, hx) / n_te
+                    hxy = held[1:m - 1, m - 1] - hx * hy / n_te
+                    hyy = held[m - 1, m - 1] - hy * hy / n_te
+                    ss_res = hyy - 2 * beta @ hxy + beta @ hxx @ beta \
+                        + n_te * (ybar - b0 - beta @ xbar) ** 2
+                    if hyy <= 0:
+                        r2s.append(1.0 if ss_res <= 0 else 0.0)
+                    else:
+                        r2s.append(1.0 - ss_res / hyy)
+                means.append(float(np.mean(r2s)) if r2s else None)
+                stds.append(float(np.std(r2s)) if r2s else None)
+                counts.append(len(r2s))
+            yield pd.DataFrame({key: pdf[key], "cv_r2_mean": means, "cv_r2_std": stds,
+                                "n_folds": counts})
+    schema = StructType([StructField(key, df.schema[key].dataType),
+                         StructField("cv_r2_mean", DoubleType()), StructField("cv_r2_std", DoubleType()),
+                         StructField("n_folds", IntegerType())])
+    return per_key.mapInPandas(score, schema)
+
+
 def r2_expr(actual: str, predicted: str) -> Column:
     """1 - SSres/SStot; SStot = 0 gives 1.0 for a perfect fit, else 0.0."""
     err = F.col(actual) - F.col(predicted)

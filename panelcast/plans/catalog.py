@@ -329,6 +329,12 @@ def cv_r2(spark, sf):
     return forecast.cv_r2(ft, E1.feature_list(), label="close")
 
 
+def cv_ols_r2(spark, sf):
+    """Per-ticker 5-fold CV R2 (mean, population std) of the linear model."""
+    sup = pipeline.supervised(feature_table(spark, sf), 1)
+    return forecast.cv_ols_r2(sup, E1.feature_list())
+
+
 def universe_sweep(spark, sf):
     from panelcast.plans import experiments
     feat = feature_table(spark, sf)
@@ -368,6 +374,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
     ks_drift_statistic, ks_drift_test, adf_lag0, adf_test, adf_autolag,
-    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, universe_sweep,
+    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, universe_sweep,
     score_saved_model, streaming_monthly_bars,
 )}

@@ -157,3 +157,31 @@ def test_fold_ids_contiguous(spark):
     df = forecast.fold_ids(_panel(spark, {"A": range(12)}), 5)
     # 12 rows, 5 folds: the first 12 % 5 folds get one extra row
     assert [r.fold for r in df.orderBy("month").collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_cv_ols_r2_matches_numpy_kfold(spark):
+    rng = np.random.default_rng(4)
+    recs, ref = [], {}
+    for t, n in (("A", 23), ("B", 31)):
+        x = rng.normal(size=(n, 2)) * [3.0, 50.0] + [10.0, 500.0]
+        y = 1000.0 + x @ np.array([2.0, -0.3]) + rng.normal(scale=2.0, size=n)
+        recs += [(t, D(2000 + i // 12, i % 12 + 1, 1), float(x[i, 0]), float(x[i, 1]), float(y[i]))
+                 for i in range(n)]
+        # numpy reference: contiguous folds (first n % 5 one larger), OLS with intercept
+        sizes = [n // 5 + (1 if f < n % 5 else 0) for f in range(5)]
+        bounds = np.cumsum([0] + sizes)
+        r2 = []
+        for f in range(5):
+            te = np.arange(bounds[f], bounds[f + 1])
+            tr = np.setdiff1d(np.arange(n), te)
+            X = np.column_stack([np.ones(len(tr)), x[tr]])
+            w = np.linalg.lstsq(X, y[tr], rcond=None)[0]
+            pred = np.column_stack([np.ones(len(te)), x[te]]) @ w
+            r2.append(1 - ((y[te] - pred) ** 2).sum() / ((y[te] - y[te].mean()) ** 2).sum())
+        ref[t] = (np.mean(r2), np.std(r2))
+    df = spark.createDataFrame(recs, "ticker string, month date, a double, b double, y double")
+    got = {r.ticker: r for r in forecast.cv_ols_r2(df, ["a", "b"], train_flag=None).collect()}
+    for t, (mu, sd) in ref.items():
+        assert got[t].n_folds == 5
+        assert got[t].cv_r2_mean == pytest.approx(mu, rel=1e-8)
+        assert got[t].cv_r2_std == pytest.approx(sd, rel=1e-6)
