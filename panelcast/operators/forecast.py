@@ -260,6 +260,21 @@ def cv_r2(df: DataFrame, features: Sequence[str], label: str = "close", n_folds:
                         F.count(F.lit(1)).alias("n_folds"))
 
 
+def linear_importance(coef: DataFrame, features: Sequence[str], key: str = "ticker") -> DataFrame:
+    """Per-ticker feature ranking from a fitted linear model: |beta| on
+    train-standardised features, normalised to sum to 1 per ticker.
+
+    (key, feature, importance) - one row per ticker and feature.
+    """
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = coef.select(key, F.arrays_zip(names.alias("feature"), F.col("coef").alias("b")).alias("z"))
+    long = pairs.select(key, F.explode("z").alias("p")).select(
+        key, F.col("p.feature").alias("feature"), F.abs(F.col("p.b")).alias("w"))
+    from pyspark.sql import Window
+    total = F.sum("w").over(Window.partitionBy(key))
+    return long.select(key, "feature", F.when(total > 0, F.col("w") / total).alias("importance"))
+
+
 def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int = 5,
               key: str = "ticker", order: str = "month", train_flag: str | None = "is_test",
               rcond: float = 1e-10) -> DataFrame:

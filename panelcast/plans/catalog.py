@@ -329,6 +329,14 @@ def cv_r2(spark, sf):
     return forecast.cv_r2(ft, E1.feature_list(), label="close")
 
 
+def ticker_top_features(spark, sf):
+    """T2 per ticker: the 10 most important inputs of each ticker's linear model."""
+    sup = pipeline.supervised(feature_table(spark, sf), 1)
+    coef, _ = forecast.fit_ols(sup, E1.feature_list())
+    imp = forecast.linear_importance(coef, E1.feature_list())
+    return metrics.top_k_per_group(imp, 10, ["ticker"], "importance", ["feature"])
+
+
 def cv_ols_r2(spark, sf):
     """Per-ticker 5-fold CV R2 (mean, population std) of the linear model."""
     sup = pipeline.supervised(feature_table(spark, sf), 1)
@@ -374,6 +382,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
     ks_drift_statistic, ks_drift_test, adf_lag0, adf_test, adf_autolag,
-    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, universe_sweep,
+    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, ticker_top_features,
+    universe_sweep,
     score_saved_model, streaming_monthly_bars,
 )}

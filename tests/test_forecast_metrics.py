@@ -185,3 +185,17 @@ def test_cv_ols_r2_matches_numpy_kfold(spark):
         assert got[t].n_folds == 5
         assert got[t].cv_r2_mean == pytest.approx(mu, rel=1e-8)
         assert got[t].cv_r2_std == pytest.approx(sd, rel=1e-6)
+
+
+def test_linear_importance_ranks_standardised_coefficients(spark):
+    rng = np.random.default_rng(8)
+    n = 40
+    x = rng.normal(size=(n, 3)) * [1.0, 100.0, 0.01]
+    y = 5 + 2.0 * x[:, 0] + 0.01 * x[:, 1] + 300.0 * x[:, 2]   # standardised effects 2, 1, 3
+    df = spark.createDataFrame([("A", *map(float, x[i]), float(y[i]), False) for i in range(n)],
+                               "ticker string, f0 double, f1 double, f2 double, y double, is_test boolean")
+    coef, _ = forecast.fit_ols(df, ["f0", "f1", "f2"])
+    imp = forecast.linear_importance(coef, ["f0", "f1", "f2"])
+    top = metrics.top_k_per_group(imp, 2, ["ticker"], "importance", ["feature"])
+    assert [r.feature for r in top.orderBy("rank").collect()] == ["f2", "f0"]
+    assert sum(r.importance for r in imp.collect()) == pytest.approx(1.0)
