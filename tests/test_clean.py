@@ -1,5 +1,4 @@
 import datetime as dt
-import math
 
 from pyspark.sql import functions as F
 
@@ -80,4 +79,3 @@ def test_split_run_name_first_separator_and_invalid_skipped(spark):
     df = spark.createDataFrame([("BTC-USD_XGB_x",), ("SPY_LSTM",), ("nosep",)], "r string")
     out = rows(clean.split_run_name(df, "r"), "r", "ticker", "model")
     assert out == [("BTC-USD_XGB_x", "BTC-USD", "XGB_x"), ("SPY_LSTM", "SPY", "LSTM")]
-    assert not math.isnan(0.0)
