@@ -209,8 +209,9 @@ def _adf_frame(df: DataFrame, value: str, key: str, order: str, max_lag: int | N
 
 def _moments(rows: DataFrame, key: str, cols: list[str], extra: list[str]) -> DataFrame:
     k = len(cols)
-    cross = [F.sum(F.col(cols[i]) * F.col(cols[j])) for i in range(k) for j in range(i, k)]
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nobs"), F.array(*cross).alias("m"),
+    q = [f"`{c}`" for c in cols]
+    cross = ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nobs"), F.expr(f"array({cross})").alias("m"),
                                  *[F.first(e).alias(e) for e in extra])
 
 

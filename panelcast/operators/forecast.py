@@ -58,13 +58,15 @@ def predict_single(df: DataFrame, coef: DataFrame, x: str, key: str = "ticker",
 
 
 def _moment_aggs(zs: Sequence[str], y: str) -> list[Column]:
+    # SQL text: one JVM-side parse instead of thousands of Python Column calls
     k = len(zs)
-    cross = [F.sum(F.col(zs[i]) * F.col(zs[j])) for i in range(k) for j in range(i, k)]
+    q = [f"`{z}`" for z in zs]
+    cross = ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
     return [F.count(F.lit(1)).alias("n"),
-            F.array(*[F.sum(z) for z in zs]).alias("sz"),
+            F.expr(f"array({', '.join(f'sum({c})' for c in q)})").alias("sz"),
             F.sum(y).alias("sy"),
-            F.array(*cross).alias("szz"),
-            F.array(*[F.sum(F.col(z) * F.col(y)) for z in zs]).alias("szy")]
+            F.expr(f"array({cross})").alias("szz"),
+            F.expr(f"array({', '.join(f'sum({c} * `{y}`)' for c in q)})").alias("szy")]
 
 
 def _solver(k: int, rcond: float):
@@ -295,10 +297,10 @@ def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int
     stats = scaler_stats(data, feats, key, flag)
     z = apply_scaler(data, stats, feats, key, suffix="__z")
     z = fold_ids(z, n_folds, key, order, "fold")
-    cols = [F.lit(1.0)] + [F.col(f + "__z") for f in feats] + [F.col(y)]
+    cols = ["1D"] + [f"`{f}__z`" for f in feats] + [f"`{y}`"]
     m = len(cols)
-    cross = [F.sum(cols[i] * cols[j]) for i in range(m) for j in range(i, m)]
-    mom = z.groupBy(key, "fold").agg(F.array(*cross).alias("m"))
+    cross = ", ".join(f"sum({cols[i]} * {cols[j]})" for i in range(m) for j in range(i, m))
+    mom = z.groupBy(key, "fold").agg(F.expr(f"array({cross})").alias("m"))
     per_key = mom.groupBy(key).agg(F.collect_list(F.struct("fold", "m")).alias("folds"))
     iu = np.triu_indices(m)
 
