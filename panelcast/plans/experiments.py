@@ -19,24 +19,25 @@ from panelcast.plans import pipeline
 from panelcast.plans.pipeline import Experiment
 from panelcast.session import cut_lineage
 
+# Reference date window of the landed series (fixed values).
+DEFAULT_START, DEFAULT_END = "2010-01-01", "2025-04-30"
+
 # Experiment configurations (fixed values: indicator ids and tickers).
+_W = {"start": DEFAULT_START, "end": DEFAULT_END}
 REFERENCE_EXPERIMENTS = (
     Experiment("sp500_leading_indicators",
-               ("USSLIND", "WTISPLC", "PERMIT", "UMCSENT", "M2SL"), ("SPY",)),
-    Experiment("m2_crypto_metals", ("M2SL",), ("BTC-USD", "GLD", "SLV")),
-    Experiment("oil", ("WTISPLC",), ("XOM",)),
-    Experiment("unemployment_discretionary", ("UNRATE",), ("XLY",)),
-    Experiment("orders_industrials", ("UMDMNO",), ("CAT", "EMR", "FDX", "UPS")),
+               ("USSLIND", "WTISPLC", "PERMIT", "UMCSENT", "M2SL"), ("SPY",), **_W),
+    Experiment("m2_crypto_metals", ("M2SL",), ("BTC-USD", "GLD", "SLV"), **_W),
+    Experiment("oil", ("WTISPLC",), ("XOM",), **_W),
+    Experiment("unemployment_discretionary", ("UNRATE",), ("XLY",), **_W),
+    Experiment("orders_industrials", ("UMDMNO",), ("CAT", "EMR", "FDX", "UPS"), **_W),
     Experiment("yield_curve_banks", ("T10Y3M", "T10Y2Y", "T10Y10Y", "T5Y10Y", "T5Y3M"),
-               ("JPM", "BAC", "WFC", "GS")),
-    Experiment("cpi_real_estate", ("CPIAUCSL",), ("VNQ",)),
-    Experiment("jobless_claims_staffing_retail", ("ICSA",), ("RHI", "MAN", "TGT", "AMZN")),
-    Experiment("housing_permits_homebuilders", ("PERMIT1",), ("EXB",)),
+               ("JPM", "BAC", "WFC", "GS"), **_W),
+    Experiment("cpi_real_estate", ("CPIAUCSL",), ("VNQ",), **_W),
+    Experiment("jobless_claims_staffing_retail", ("ICSA",), ("RHI", "MAN", "TGT", "AMZN"), **_W),
+    Experiment("housing_permits_homebuilders", ("PERMIT1",), ("EXB",), **_W),
 )
 
-# Reference date window of the landed series.
-DEFAULT_START, DEFAULT_END = "2010-01-01", "2025-04-30"
-
 
 def run_experiment(prices: DataFrame, indicators: DataFrame, exp: Experiment,
                    model: str = "linear") -> tuple[DataFrame, DataFrame]:

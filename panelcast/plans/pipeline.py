@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import safe_name
-from panelcast.operators import align, features, forecast, split
+from panelcast.operators import align, clean, features, forecast, split
 from panelcast.session import cut_lineage
 from panelcast.sources import testdata
 
@@ -85,6 +85,11 @@ def align_frames(prices: DataFrame, indicators: DataFrame, exp: Experiment,
     """
     if exp.tickers:
         prices = prices.where(F.col("ticker").isin(list(exp.tickers)))
+    # P7 date window: prices inside [start, end]; indicators up to end (and
+    # from start for inner alignment - an as-of value may come from earlier)
+    prices = clean.range_slice(prices, "month", exp.start, exp.end)
+    indicators = clean.range_slice(indicators, "month",
+                                   None if exp.align == "asof" else exp.start, exp.end)
     ids = align.present_series(indicators, exp.indicators) if check_present \
         else list(exp.indicators)
     if exp.align == "asof":
@@ -108,7 +113,7 @@ def aligned_panel(spark: SparkSession, sf_dir: str, exp: Experiment,
     """Test-data prices aligned with the experiment's indicators."""
     prices = load_prices(spark, sf_dir, exp)
     if exp.align == "asof":
-        ind = testdata.quarterly(spark, sf_dir, exp.start, exp.end)
+        ind = testdata.quarterly(spark, sf_dir, None, exp.end)  # earlier values carry in
     else:
         ind = testdata.indicators(spark, sf_dir, exp.start, exp.end)
     return align_frames(prices, ind, exp, check_present)
@@ -118,7 +123,7 @@ def feature_table(spark: SparkSession, sf_dir: str, exp: Experiment,
                   check_present: bool = True) -> DataFrame:
     prices = load_prices(spark, sf_dir, exp)
     if exp.align == "asof":
-        ind = testdata.quarterly(spark, sf_dir, exp.start, exp.end)
+        ind = testdata.quarterly(spark, sf_dir, None, exp.end)  # earlier values carry in
     else:
         ind = testdata.indicators(spark, sf_dir, exp.start, exp.end)
     return features_from(prices, ind, exp, check_present)

@@ -122,3 +122,16 @@ def test_feature_table_drop_warmup(spark):
     ft = features.build_features(p, "close", lag_cols=["volume"], mas=(3, 12))
     assert ft.count() == 20 - 11
     assert {"close_ma3", "close_ma12", "close_volatility", "volume_lag6"} <= set(ft.columns)
+
+
+def test_experiment_window_keeps_earlier_asof_value(spark):
+    from panelcast.plans.pipeline import Experiment, align_frames
+    p = _prices(spark, [1, 2, 3, 4, 5], start=(2024, 2))
+    exp = Experiment("w", ("GDP",), align="asof", start="2024-04-01", end="2024-05-31")
+    panel, ids = align_frames(p, _gdp(spark), exp)
+    got = [(r.month, r.GDP) for r in panel.orderBy("month").collect()]
+    assert ids == ["GDP"]
+    assert got == [(D(2024, 4, 1), 28766.068), (D(2024, 5, 1), 28766.068)]
+    inner = Experiment("w", ("GDP",), start="2024-04-01", end="2024-08-31")
+    panel, _ = align_frames(p, _gdp(spark), inner)
+    assert [r.month for r in panel.orderBy("month").collect()] == [D(2024, 4, 1)]
