@@ -46,7 +46,10 @@ def main() -> None:
         catalog.QUERIES["feature_table"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
-        gc.collect()  # drop dead DataFrame handles (and their JVM objects) between queries
+        # drop dead DataFrame handles, then let the JVM collect so Spark's
+        # context cleaner frees their shuffle files and broadcast blocks
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         fn = catalog.QUERIES[name]
         samples = []
         for i in range(runs + 1):
