@@ -292,6 +292,15 @@ def ks_drift_test(spark, sf):
                           DRIFT_REF_END, window_days=DRIFT_DAYS)
 
 
+def ks_drift_flag(spark, sf):
+    """Drift verdict with the default monthly windows: the current window is
+    the last 12 months up to each series' latest date (it may overlap the
+    reference window); drift when p < 0.05."""
+    res = drift.ks_drift(testdata.daily(spark, sf), "series_id", "day", "value",
+                         DRIFT_REF_END, window_months=12)
+    return res.select("series_id", "n_ref", "n_cur", "ks_statistic", "drift_detected")
+
+
 def adf_lag0(spark, sf):
     return drift.adf_lag0(testdata.prices(spark, sf))
 
@@ -381,7 +390,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ols_forecast, backtest_signals, signal_counts, buy_sell_markers,
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
-    ks_drift_statistic, ks_drift_test, adf_lag0, adf_test, adf_autolag,
+    ks_drift_statistic, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
     score_saved_model, streaming_monthly_bars,
