@@ -84,3 +84,37 @@ def test_ticker_too_short_to_split_is_skipped(spark):
     sup = split.chrono_split(df)
     coef = forecast.fit_ols_single(sup, "close")
     assert [r.ticker for r in forecast.predict_single(sup, coef, "close").select("ticker").distinct().collect()] == ["A"]
+
+
+months_st = st.sets(st.integers(0, 40), min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(months_st, months_st, st.integers(0, 1000))
+def test_asof_alignment_matches_brute_force(spark, price_months, obs_months, seed):
+    from panelcast.operators import align
+    to_d = lambda m: D(2000 + m // 12, m % 12 + 1, 1)
+    obs = {m: float(seed + m) for m in obs_months}
+    prices = spark.createDataFrame([("T", to_d(m), 1.0, 1.0) for m in sorted(price_months)],
+                                   "ticker string, month date, close double, volume double")
+    ind = spark.createDataFrame([("X", to_d(m), v) for m, v in obs.items()],
+                                "series_id string, month date, value double")
+    got = {r.month: r.X for r in align.align_asof(prices, ind, ["X"]).collect()}
+    for m in price_months:
+        earlier = [o for o in obs if o <= m]
+        assert got[to_d(m)] == (obs[max(earlier)] if earlier else None)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(1, 99)), min_size=1, max_size=30))
+def test_fills_match_pandas(spark, vals):
+    import pandas as pd
+    from panelcast.operators import clean
+    recs = [("T", D(2000 + i // 12, i % 12 + 1, 1), None if v is None else float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(recs, "ticker string, month date, v double")
+    ff = [r.v for r in clean.forward_fill(df, ["ticker"], "month", ["v"]).orderBy("month").collect()]
+    bf = [r.v for r in clean.back_fill(df, ["ticker"], "month", ["v"]).orderBy("month").collect()]
+    s = pd.Series([None if v is None else float(v) for v in vals], dtype="float64")
+    want_f = [None if pd.isna(x) else x for x in s.ffill()]
+    want_b = [None if pd.isna(x) else x for x in s.bfill()]
+    assert ff == want_f and bf == want_b
