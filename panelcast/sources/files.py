@@ -72,16 +72,24 @@ def _parse_date(col: Column) -> Column:
 
 
 def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
-    """``Date,{T}_Close,{T}_Volume`` files -> (ticker, month, close, volume, obs_order)."""
+    """Price files -> (ticker, month, close, volume, obs_order).
+
+    Headers ``Date,{T}_Close,{T}_Volume`` (any column order) name the ticker;
+    plain ``Date,Close,Volume`` files take it from the file name
+    (``{T}_monthly.csv`` or ``{T}.csv``).
+    """
     rows = _split_header(_text_lines(spark, path)).where(F.trim("line") != "")
     hdr = F.col("header")
-    close_i = F.when(F.trim(hdr[1]).endswith("_Close"), 1).otherwise(2)
+    close_i = F.when(F.trim(hdr[1]).endswith("Close"), 1).otherwise(2)
     cells = F.col("cells")
     close_txt = F.when(close_i == 1, cells[1]).otherwise(cells[2])
     vol_txt = F.when(close_i == 1, cells[2]).otherwise(cells[1])
-    close_name = F.when(close_i == 1, hdr[1]).otherwise(hdr[2])
+    close_name = F.trim(F.when(close_i == 1, hdr[1]).otherwise(hdr[2]))
+    from_file = F.regexp_extract("file", r"([^/]+?)(_monthly)?\.csv$", 1)
+    ticker = F.when(close_name.endswith("_Close"), F.regexp_replace(close_name, "_Close$", "")) \
+              .otherwise(from_file)
     out = rows.select(
-        F.regexp_replace(F.trim(close_name), "_Close$", "").alias("ticker"),
+        ticker.alias("ticker"),
         month_start(_parse_date(cells[0])).alias("month"),
         round_half_even(to_double(F.trim(close_txt)), 4).alias("close"),
         to_double(F.trim(vol_txt)).alias("volume"),

@@ -132,3 +132,14 @@ def test_command_line_experiments_and_drift(spark, landed, tmp_path):
     main(["drift", "--indicators", str(fred), "--out", out, "--reference-end", "2017-12-31"])
     d = spark.read.parquet(f"{out}/drift").first()
     assert d.series_id == "WTISPLC" and d.n_cur == 12 and d.ks_statistic is not None
+
+
+def test_price_csv_ticker_from_file_name(spark, tmp_path):
+    d = tmp_path / "plain"
+    d.mkdir()
+    (d / "GLD_monthly.csv").write_text("Date,Close,Volume\n2020-01-31,150.12345,10\n2020-02-28,151.5,11\n")
+    (d / "SLV.csv").write_text("Date,Volume,Close\n2020-01-15,5,17.25\n")
+    p = files.read_price_csvs(spark, str(d))
+    assert rows(p, "ticker", "month", "close", "volume") == [
+        ("GLD", D(2020, 1, 1), 150.1234, 10.0), ("GLD", D(2020, 2, 1), 151.5, 11.0),
+        ("SLV", D(2020, 1, 1), 17.25, 5.0)]
