@@ -145,11 +145,15 @@ def read_universe(spark: SparkSession, path: str, column: str = "Symbol") -> Dat
     return df.select(F.trim(column).alias("ticker")).where(F.col("ticker") != "").distinct()
 
 
-def read_wide_combined(spark: SparkSession, path: str) -> DataFrame:
-    """Wide combined CSV (unnamed first column = month) -> long rows."""
-    df = spark.read.option("header", "true").csv(path)
+def read_wide_combined(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Wide combined table (first column = month, one column per
+    series; CSV with an unnamed first column, or parquet) -> long rows."""
+    if fmt == "parquet":
+        df = spark.read.parquet(path)
+    else:
+        df = spark.read.option("header", "true").csv(path)
     month_col = df.columns[0]
     values = df.columns[1:]
-    cast = df.select(_parse_date(F.col(f"`{month_col}`")).alias("month"),
+    cast = df.select(_parse_date(F.col(f"`{month_col}`").cast("string")).alias("month"),
                      *[to_double(F.col(f"`{c}`")).alias(c) for c in values])
-    return cast.unpivot(["month"], values, "series_id", "value")
+    return cast.unpivot(["month"], [F.col(f"`{c}`") for c in values], "series_id", "value")

@@ -143,3 +143,15 @@ def test_price_csv_ticker_from_file_name(spark, tmp_path):
     assert rows(p, "ticker", "month", "close", "volume") == [
         ("GLD", D(2020, 1, 1), 150.1234, 10.0), ("GLD", D(2020, 2, 1), 151.5, 11.0),
         ("SLV", D(2020, 1, 1), 17.25, 5.0)]
+
+
+def test_wide_combined_parquet(spark, tmp_path):
+    import pandas as pd
+    pdf = pd.DataFrame({"Date": pd.to_datetime(["2024-04-01", "2024-05-01"]), "GDP": [1.5, 1.5],
+                        "GEV_Close": [153.4775, 175.634]})
+    path = str(tmp_path / "GEV_combined.parquet")
+    pdf.to_parquet(path, coerce_timestamps="us", allow_truncated_timestamps=True)
+    long = files.read_wide_combined(spark, path, fmt="parquet")
+    assert rows(long, "month", "series_id", "value") == [
+        (D(2024, 4, 1), "GDP", 1.5), (D(2024, 4, 1), "GEV_Close", 153.4775),
+        (D(2024, 5, 1), "GDP", 1.5), (D(2024, 5, 1), "GEV_Close", 175.634)]
