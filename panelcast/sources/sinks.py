@@ -24,7 +24,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     """
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # overwrite replaces only the partitions this result writes
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w = w.option("header", "true")
     w.format(fmt).save(path)
@@ -63,8 +64,12 @@ def save_features(df: DataFrame, root: str, experiment: str) -> str:
 
 
 def save_backtest(df: DataFrame, root: str) -> str:
-    """K3: backtest rows, partitioned by run."""
-    return write_table(df, f"{root.rstrip('/')}/backtest", ["model", "horizon"], mode="append")
+    """K3: backtest rows, partitioned by run (experiment, model, horizon).
+
+    Re-running a run replaces its partitions; other runs stay untouched.
+    """
+    parts = [c for c in ("experiment", "model", "horizon") if c in df.columns]
+    return write_table(df, f"{root.rstrip('/')}/backtest", parts)
 
 
 def save_metrics(df: DataFrame, root: str, csv_export: bool = False) -> str:

@@ -58,3 +58,16 @@ def test_log_metrics_table(spark, tmp_path):
     path = sinks.log_metrics_table(m, str(tmp_path))
     got = rows(spark.read.parquet(path), "run_name", "kind", "key", "value")
     assert got == [("A_OLS", "metric", "r2", "0.5"), ("A_OLS", "metric", "rmse", "1.25")]
+
+
+def test_backtest_sink_rerun_replaces_only_its_partitions(spark, tmp_path):
+    def bt(model, v):
+        return spark.createDataFrame([("A", model, 1, D(2020, 1, 1), v, v, v, "Hold")],
+                                     "ticker string, model string, horizon int, date date, actual double, "
+                                     "predicted double, current_price double, signal string")
+    root = str(tmp_path)
+    sinks.save_backtest(bt("OLS", 1.0), root)
+    sinks.save_backtest(bt("GBT", 2.0), root)
+    sinks.save_backtest(bt("OLS", 3.0), root)      # re-run of OLS
+    got = rows(spark.read.parquet(f"{root}/backtest"), "model", "actual")
+    assert got == [("GBT", 2.0), ("OLS", 3.0)]
