@@ -259,6 +259,9 @@ def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "
                     cand = []
                     for p in range(int(ml) + 1):
                         _, ssr, _ = ols_centered(s, n, [1, *range(2, 2 + p)], k - 1)
+                        if ssr <= 0:  # perfect fit: the criterion is -inf
+                            cand.append((-np.inf, p))
+                            continue
                         llf = -n / 2.0 * (np.log(2 * np.pi) + np.log(ssr / n) + 1.0)
                         cand.append((-2.0 * llf + 2.0 * (p + 2), p))
                     a, p = min(cand)
