@@ -26,6 +26,7 @@ from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, St
 
 from panelcast.functions import stats
 from panelcast.functions.exact import exact_comoment
+from panelcast.functions.numeric import nan_to_null
 
 
 def _latest_join(df: DataFrame, key: str, date: str) -> DataFrame:
@@ -37,8 +38,9 @@ def _latest_join(df: DataFrame, key: str, date: str) -> DataFrame:
 
 def tag_samples(df: DataFrame, key: str, date: str, value: str, reference_end,
                 window_months: int | None = 12, window_days: int | None = None) -> DataFrame:
-    """(key, value, c_ref, c_cur) per observation; NULL values are dropped."""
-    d = _latest_join(df.where(F.col(value).isNotNull()), key, date)
+    """(key, value, c_ref, c_cur) per observation; NULL and NaN are dropped."""
+    clean_v = df.withColumn(value, nan_to_null(value))
+    d = _latest_join(clean_v.where(F.col(value).isNotNull()), key, date)
     if window_days is not None:
         start = F.date_sub(F.col("_latest"), window_days - 1)
     else:

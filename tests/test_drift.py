@@ -221,3 +221,11 @@ def test_kolmogorov_n_small_cases_and_limit():
     # large n approaches the limiting law
     x = 1.2
     assert stats.kolmogorov_n_sf(x / math.sqrt(4000), 4000) == pytest.approx(stats.kolmogorov_sf(x), abs=5e-3)
+
+
+def test_nan_values_are_dropped_like_missing(spark):
+    base = [(D(2024, 1, d), float(d % 4)) for d in range(1, 31)]
+    with_nan = base + [(D(2024, 1, 30), float("nan")), (D(2024, 1, 5), float("nan"))]
+    a = _run(spark, {"S": base}, "2024-01-20", days=10)["S"]
+    b = _run(spark, {"S": with_nan}, "2024-01-20", days=10)["S"]
+    assert (a.n_ref, a.n_cur, a.ks_statistic) == (b.n_ref, b.n_cur, b.ks_statistic)
