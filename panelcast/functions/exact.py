@@ -26,8 +26,12 @@ def _agg(expr: Column, over: WindowSpec | None) -> Column:
 
 
 def fixed(col, scale: int = 4, precision: int = 18) -> Column:
-    """Cast to DECIMAL(precision, scale); the value keeps its decimal digits."""
-    return _c(col).cast(DecimalType(precision, scale))
+    """Cast to DECIMAL(precision, scale); the value keeps its decimal digits.
+
+    NaN counts as missing (it has no decimal form), like a NULL.
+    """
+    c = _c(col)
+    return F.when(~F.isnan(c), c).cast(DecimalType(precision, scale))
 
 
 def exact_sum(col, scale: int = 4, over: WindowSpec | None = None) -> Column:
@@ -36,7 +40,7 @@ def exact_sum(col, scale: int = 4, over: WindowSpec | None = None) -> Column:
 
 def exact_mean(col, scale: int = 4, over: WindowSpec | None = None) -> Column:
     """sum(decimal) -> double, divided by the count of non-null values."""
-    n = _agg(F.count(_c(col)), over)
+    n = _agg(F.count(fixed(col, scale)), over)
     return F.try_divide(exact_sum(col, scale, over).cast("double"), n.cast("double"))
 
 
@@ -55,7 +59,7 @@ def exact_comoment(x, y, scale: int = 4, over: WindowSpec | None = None) -> Colu
 def exact_variance(col, ddof: int = 1, scale: int = 4,
                    over: WindowSpec | None = None) -> Column:
     """Variance with ``ddof`` (1 = sample, 0 = population) from exact sums."""
-    n = _agg(F.count(_c(col)), over)
+    n = _agg(F.count(fixed(col, scale)), over)
     num = exact_comoment(col, col, scale, over).cast("double")
     return F.try_divide(num, (n * (n - ddof)).cast("double"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.exact import exact_mean, exact_stddev
+from panelcast.functions.numeric import nan_to_null
 
 
 def panel_window(key: str | Sequence[str] = "ticker", order: str = "month"):
@@ -37,7 +38,7 @@ def lead_expr(col: str, horizon: int, w, name: str | None = None) -> Column:
 def moving_average_expr(col: str, window: int, w, exact_scale: int | None = 4) -> Column:
     """Mean of the last ``window`` rows, NULL until the window is full."""
     frame = w.rowsBetween(-(window - 1), Window.currentRow)
-    n = F.count(col).over(frame)
+    n = F.count(nan_to_null(col)).over(frame)  # a NaN leaves the window short
     mean = exact_mean(col, exact_scale, over=frame) if exact_scale is not None \
         else F.avg(col).over(frame)
     return F.when(n == window, mean).alias(f"{col}_ma{window}")
@@ -46,7 +47,7 @@ def moving_average_expr(col: str, window: int, w, exact_scale: int | None = 4) -
 def volatility_expr(col: str, window: int, w, exact_scale: int | None = 4) -> Column:
     """Sample std of the level over the last ``window`` rows (full only)."""
     frame = w.rowsBetween(-(window - 1), Window.currentRow)
-    n = F.count(col).over(frame)
+    n = F.count(nan_to_null(col)).over(frame)
     sd = exact_stddev(col, 1, exact_scale, over=frame) if exact_scale is not None \
         else F.stddev_samp(col).over(frame)
     return F.when(n == window, sd).alias(f"{col}_volatility")

@@ -135,3 +135,10 @@ def test_experiment_window_keeps_earlier_asof_value(spark):
     inner = Experiment("w", ("GDP",), start="2024-04-01", end="2024-08-31")
     panel, _ = align_frames(p, _gdp(spark), inner)
     assert [r.month for r in panel.orderBy("month").collect()] == [D(2024, 4, 1)]
+
+
+def test_exact_moments_treat_nan_as_missing(spark):
+    from panelcast.functions.exact import exact_mean, exact_variance
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
+    r = df.agg(exact_mean("v").alias("m"), exact_variance("v").alias("s2")).first()
+    assert r.m == 2.0 and r.s2 == 2.0
