@@ -35,6 +35,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     builder = (builder
+               # many distinct generated query classes in one long-lived driver:
+               # a larger JIT code cache keeps later queries compiled
+               .config("spark.driver.extraJavaOptions",
+                       os.environ.get("PANELCAST_DRIVER_JAVA_OPTIONS", "-XX:ReservedCodeCacheSize=1g"))
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "16g")))
