@@ -373,6 +373,25 @@ def streaming_monthly_bars(spark, sf):
     return spark.read.parquet(f"{root}/bars")
 
 
+def streaming_drift_updates(spark, sf):
+    """Events landed in two batches and streamed; drift re-checked per batch
+    for the touched series. The final statistics equal the batch ones."""
+    import uuid
+
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.streaming import drift_updates
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/d-{uuid.uuid4().hex[:8]}"
+    obs = testdata.daily(spark, sf).select("series_id", F.col("day").alias("date"), "value")
+    cut = F.lit(DRIFT_REF_END).cast("date")
+    for part, cond in (("a", F.col("date") <= cut), ("b", F.col("date") > cut)):
+        obs.where(cond).write.parquet(f"{root}/feed/{part}")
+        drift_updates.run_drift_updates(spark, f"{root}/feed/*", f"{root}/history", f"{root}/results",
+                                        reference_end=DRIFT_REF_END, window_days=DRIFT_DAYS,
+                                        checkpoint=f"{root}/ck")
+    res = spark.read.parquet(f"{root}/results")
+    return res.select("series_id", "n_ref", "n_cur", "ks_statistic")
+
+
 def score_saved_model(spark, sf):
     from panelcast.plans import monitoring
     return monitoring.score_saved_model(spark, sf)
@@ -393,5 +412,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ks_drift_statistic, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
-    score_saved_model, streaming_monthly_bars,
+    score_saved_model, streaming_monthly_bars, streaming_drift_updates,
 )}

@@ -480,3 +480,5 @@ FROM g"""
 
 SQL["streaming_monthly_bars"] = (f"WITH {prices_cte()}\nSELECT * FROM prices "
                                  "WHERE month < (SELECT max(month) FROM prices)")
+
+SQL["streaming_drift_updates"] = SQL["ks_drift_statistic"]

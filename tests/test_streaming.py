@@ -24,3 +24,26 @@ def test_stream_emits_final_months_equal_to_batch_bars(spark, tmp_path):
     want = batch.where(F.col("month") < F.lit(last))
     assert 0 < first < got.count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_drift_updates_follow_landed_batches(spark, tmp_path):
+    from panelcast.operators.drift import ks_drift
+    from panelcast.streaming import drift_updates as du
+    daily = testdata.daily(spark, SF).select("series_id", F.col("day").alias("date"), "value")
+    feed, hist, res = str(tmp_path / "feed"), str(tmp_path / "hist"), str(tmp_path / "res")
+    ck = str(tmp_path / "ck")
+    first = daily.where(F.col("date") <= dt.date(2024, 1, 20))
+    first.write.parquet(feed + "/a")
+    du.run_drift_updates(spark, feed + "/*", hist, res, reference_end="2024-01-15",
+                         window_days=5, checkpoint=ck)
+    daily.where(F.col("date") > dt.date(2024, 1, 20)).write.parquet(feed + "/b")
+    du.run_drift_updates(spark, feed + "/*", hist, res, reference_end="2024-01-15",
+                         window_days=5, checkpoint=ck)
+    got = {r.series_id: r for r in spark.read.parquet(res).collect()}
+    want = {r.series_id: r for r in ks_drift(daily, "series_id", "date", "value", "2024-01-15",
+                                             window_days=5).collect()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert (got[k].n_ref, got[k].n_cur, got[k].ks_statistic, got[k].drift_detected) == \
+               (w.n_ref, w.n_cur, w.ks_statistic, w.drift_detected)
+    assert spark.read.parquet(hist).count() == daily.count()
