@@ -287,6 +287,14 @@ def ks_drift_statistic(spark, sf):
     return d.select("series_id", "n_ref", "n_cur", "ks_statistic")
 
 
+def ks_drift_statistic_monthly(spark, sf):
+    """KS statistic with the default monthly current window (last 12 months
+    up to each series' latest date, overlapping the reference window)."""
+    d = drift.ks_statistic(testdata.daily(spark, sf), "series_id", "day", "value",
+                           DRIFT_REF_END, window_months=12)
+    return d.select("series_id", "n_ref", "n_cur", "ks_statistic")
+
+
 def ks_drift_test(spark, sf):
     return drift.ks_drift(testdata.daily(spark, sf), "series_id", "day", "value",
                           DRIFT_REF_END, window_days=DRIFT_DAYS)
@@ -409,7 +417,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ols_forecast, backtest_signals, signal_counts, buy_sell_markers,
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
-    ks_drift_statistic, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
+    ks_drift_statistic, ks_drift_statistic_monthly, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,

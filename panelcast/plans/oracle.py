@@ -443,13 +443,14 @@ def _experiment_sql() -> str:
 
 SQL["experiment_suite"] = _experiment_sql()
 
-SQL["ks_drift_statistic"] = f"""WITH d AS (
+def _ks_sql(current_start: str) -> str:
+    return f"""WITH d AS (
   SELECT event_type AS series_id, CAST(ts AS DATE) AS day, value FROM events WHERE value IS NOT NULL),
 lt AS (SELECT series_id, max(day) AS latest FROM d GROUP BY series_id),
 t AS (
   SELECT d.series_id, d.value AS v,
          CAST(d.day <= DATE '{DRIFT_REF_END}' AS BIGINT) AS c_ref,
-         CAST(d.day >= lt.latest - {DRIFT_DAYS - 1} AND d.day <= lt.latest AS BIGINT) AS c_cur
+         CAST(d.day >= {current_start} AND d.day <= lt.latest AS BIGINT) AS c_cur
   FROM d JOIN lt ON d.series_id = lt.series_id),
 c AS (
   SELECT series_id, v, sum(c_ref) AS c_ref, sum(c_cur) AS c_cur FROM t GROUP BY series_id, v
@@ -466,6 +467,10 @@ SELECT series_id, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur
          AS ks_statistic
 FROM cum GROUP BY series_id, n_ref, n_cur"""
 
+
+SQL["ks_drift_statistic"] = _ks_sql(f"lt.latest - {DRIFT_DAYS - 1}")
+SQL["ks_drift_statistic_monthly"] = _ks_sql("CAST(lt.latest - INTERVAL 11 MONTH AS DATE)")
+
 SQL["adf_lag0"] = f"""WITH {prices_cte()},
 pr AS (
   SELECT ticker, lag(close) OVER {W} AS x, close - lag(close) OVER {W} AS dy FROM prices),
