@@ -71,3 +71,16 @@ def test_backtest_sink_rerun_replaces_only_its_partitions(spark, tmp_path):
     sinks.save_backtest(bt("OLS", 3.0), root)      # re-run of OLS
     got = rows(spark.read.parquet(f"{root}/backtest"), "model", "actual")
     assert got == [("GBT", 2.0), ("OLS", 3.0)]
+
+
+def test_experiment_feature_list_layout():
+    from panelcast.plans.experiments import REFERENCE_EXPERIMENTS
+    from panelcast.plans.pipeline import Experiment
+    e = Experiment("x", ("USSLIND", "M2SL"))
+    assert e.feature_list() == ["close_ma3", "close_ma12", "volume_lag1", "close_volatility",
+                                "USSLIND", "USSLIND_lag1", "USSLIND_lag3", "USSLIND_lag6",
+                                "M2SL", "M2SL_lag1", "M2SL_lag3", "M2SL_lag6"]
+    g = Experiment("g", ("GDP",), lag_volume=False, volatility=False)
+    assert g.feature_list() == ["close_ma3", "close_ma12", "GDP", "GDP_lag1", "GDP_lag3", "GDP_lag6"]
+    assert all(x.start == "2010-01-01" and x.end == "2025-04-30" for x in REFERENCE_EXPERIMENTS)
+    assert len({x.name for x in REFERENCE_EXPERIMENTS}) == len(REFERENCE_EXPERIMENTS)
