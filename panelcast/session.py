@@ -34,14 +34,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local runs (tests, bench) own the driver JVM; on a cluster these
+        # come from the submit configuration and are left alone
+        builder = (builder
+                   # many distinct generated query classes in one long-lived
+                   # driver: a larger JIT code cache keeps later queries compiled
+                   .config("spark.driver.extraJavaOptions",
+                           os.environ.get("PANELCAST_DRIVER_JAVA_OPTIONS",
+                                          "-XX:ReservedCodeCacheSize=1g"))
+                   .config("spark.driver.memory",
+                           os.environ.get("PANELCAST_DRIVER_MEMORY", "16g")))
     builder = (builder
-               # many distinct generated query classes in one long-lived driver:
-               # a larger JIT code cache keeps later queries compiled
-               .config("spark.driver.extraJavaOptions",
-                       os.environ.get("PANELCAST_DRIVER_JAVA_OPTIONS", "-XX:ReservedCodeCacheSize=1g"))
                .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "16g")))
+               .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in ENGINE_CONF.items():
