@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts, token_ids
+from . import bpe, decontaminate, ngram_join, token_counts, token_ids
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document, five-word grams, 0.8 or more."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -31,8 +41,12 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_ngram_join": op3_ngram_join,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op9_token_ids": op9_token_ids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE,
+}
