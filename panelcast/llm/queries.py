@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_join, token_counts, token_ids
+from . import bpe, decontaminate, fingerprint, ngram_join, token_counts, token_ids, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and the decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -34,19 +39,27 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and their likeness."""
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, counts and checksums of every document's ids, from the files."""
     return token_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
+    "op8_fingerprint": op8_fingerprint,
     "op9_token_ids": op9_token_ids,
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
 }
