@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.R
         if batch.num_rows == 0 or col.nbytes <= SLICE_BYTES:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and size + n > SLICE_BYTES:
@@ -58,7 +59,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.R
 
 def non_null_text(col) -> pa.Array:
     """A string column without nulls (null: empty) and with a zero offset."""
-    col = pa.compute.fill_null(col, "")
+    col = pc.fill_null(col, "")
     return pa.concat_arrays([col]) if col.offset == 0 else pa.concat_arrays([col, col.slice(0, 0)])
 
 

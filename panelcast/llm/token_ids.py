@@ -26,6 +26,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,7 +161,7 @@ def with_shard(coded: DataFrame, bounds: list[int]) -> DataFrame:
         edges = np.array(bounds, np.int64)
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("doc_id"))
-            low = pa.compute.fill_null(keys, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            low = pc.fill_null(keys, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             yield with_columns(batch, {"shard": pa.array(np.searchsorted(edges, low).astype(np.int32))})
 
     return coded.mapInArrow(run, extended(coded, [T.StructField("shard", T.IntegerType())]))
