@@ -111,14 +111,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW,
-         block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+         block_windows: int = BLOCK_WINDOWS, prefix: str = "") -> DataFrame:
     """Add n_words, n_hit, items (sorted distinct ids) and spans (pairs of
-    little-endian 64-bit word places [first, end)) to every row."""
+    little-endian 64-bit word places [first, end)) to every row, their names
+    behind ``prefix``."""
     spark = docs.sparkSession
     grams = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
              .mapInArrow(lambda b: windows(b, size), "n int, hash long, gram binary, item_id long").distinct())
     parts = max(1, -(-grams.count() // block_windows))
-    schema = extended(docs, SCAN)
+    schema = extended(docs, [T.StructField(prefix + f.name, f.dataType) for f in SCAN])
     out = docs
     for part in range(parts):
         rows = grams.where(F.pmod("hash", F.lit(parts)) == part).collect() if parts > 1 else grams.collect()
@@ -129,39 +130,40 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
                 n_words, hits = block.value.hits(non_null_text(batch.column(batch.schema.get_field_index(text))))
                 spans, items = [[] for _ in n_words], [set() for _ in n_words]
                 if again:
-                    old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+                    old_spans, old_items = batch.column(f"{prefix}spans").to_pylist(), batch.column(f"{prefix}items").to_pylist()
                     spans = [np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for x in old_spans]
                     items = [set(x) for x in old_items]
                 for row, (found, named) in hits.items():
                     spans[row] = merged([*spans[row], *found])
                     items[row] |= named - {None}
                 yield with_columns(batch, {
-                    "n_words": pa.array(n_words), "n_hit": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                    "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                    "spans": pa.array([np.array(s, "<i8").tobytes() for s in spans], pa.binary())})
+                    f"{prefix}n_words": pa.array(n_words), f"{prefix}n_hit": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                    f"{prefix}items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    f"{prefix}spans": pa.array([np.array(s, "<i8").tobytes() for s in spans], pa.binary())})
 
         out = out.mapInArrow(run, schema)
     return out
 
 
-def contaminated(percent: int = PERCENT_HIT):
+def contaminated(percent: int = PERCENT_HIT, prefix: str = ""):
     """Whether the hit words are some and at least ``percent`` of all."""
-    return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+    hit = F.col(f"{prefix}n_hit")
+    return (hit > 0) & (100 * hit >= percent * F.col(f"{prefix}n_words"))
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return scan(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    return scan(docs, benchmark, prefix="_found_", **options).where(~contaminated(prefix="_found_")).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the hit words, and what stands between them, cut out."""
-    found = scan(docs, benchmark, text, **options)
+    found = scan(docs, benchmark, text, prefix="_found_", **options)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for k, raw in enumerate(batch.column("spans").to_pylist()):
+            for k, raw in enumerate(batch.column("_found_spans").to_pylist()):
                 if raw:
                     places = [m.span() for m in WORD.finditer(texts[k])]
                     for a, b in np.frombuffer(raw, "<i8").reshape(-1, 2)[::-1]:

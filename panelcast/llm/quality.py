@@ -36,7 +36,9 @@ PER_CLASS = 8_000
 POOL = 8_000
 ROUNDS = 3
 SURE = 0.95             # probability that makes a pseudo-label
+PSEUDO_SHARE = 0.3      # of the rows that each class should have, taken in a round
 PSEUDO_WEIGHT = 0.3
+MOST_ODDS = 8.0         # log odds of a view are cut off here before they are combined
 THRESHOLD = 0.5         # of the probability of good quality
 SOURCES, LANGS, SIZES = 32, 16, 20
 INPUT = ["text", "lang", "source", "n_chars"]
@@ -99,7 +101,7 @@ class View:
     beta: np.ndarray
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.beta[:-1] + self.beta[-1]
+        return np.clip((x - self.mean) / self.scale @ self.beta[:-1] + self.beta[-1], -MOST_ODDS, MOST_ODDS)
 
 
 @dataclass
@@ -122,6 +124,16 @@ def _fit(x, y, weight) -> View:
     return View(mean, scale, logistic.fit((x - mean) / scale, y, weight, l2=20.0))
 
 
+def surest(p: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pool that a view is sure of, the surest ``PSEUDO_SHARE`` of
+    the rows that each class should have, and their labels."""
+    order = np.argsort(p, kind="stable")
+    poor = order[: int(PSEUDO_SHARE * (1 - base) * len(p))]
+    good = order[len(p) - int(PSEUDO_SHARE * base * len(p)):]
+    poor, good = poor[p[poor] <= 1 - SURE], good[p[good] >= SURE]
+    return np.concatenate([poor, good]), np.concatenate([np.zeros(len(poor)), np.ones(len(good))])
+
+
 def co_train(text, page, y, weight, held, pool_text, pool_page, rounds: int = ROUNDS) -> Model:
     """Fit both views on rows not ``held``, exchange labels, combine on ``held``."""
     use = ~held
@@ -138,9 +150,7 @@ def co_train(text, page, y, weight, held, pool_text, pool_page, rounds: int = RO
         if k == rounds:
             break
         for name, view, pool in (("page", a, pool_text), ("text", b, pool_page)):
-            p = logistic.sigmoid(view.odds(pool))
-            at = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
-            given[name] = (at, (p[at] >= 0.5).astype(float))
+            given[name] = surest(logistic.sigmoid(view.odds(pool)), float(np.average(y[use], weights=weight[use])) if use.any() else 0.5)
         history.append((len(given["text"][0]), len(given["page"][0])))
     odds = np.stack([a.odds(text[held]), b.odds(page[held])], 1)
     return Model(a, b, logistic.fit(odds, y[held], weight[held]), history)
@@ -183,10 +193,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool:
                     np.array([r["held"] for r in rows], bool)[known], text[~known], page[~known])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """Add text_score, page_score and score, probabilities of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["text_score", "page_score", "score"]
+    names = [prefix + n for n in ("text_score", "page_score", "score")]
 
     def run(batches):
         for batch in text_slices(batches, "text"):
@@ -205,4 +215,4 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score below ``threshold``."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, labels), "_quality_").where(F.col("_quality_score") >= threshold).select(*docs.columns)

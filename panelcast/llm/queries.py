@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, ngram_join, quality, token_counts, token_ids, toxicity, warc
+from . import bpe, decontaminate, fingerprint, html_text, ngram_join, quality, token_counts, token_ids, toxicity, warc
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -59,6 +59,11 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_fingerprint": op8_fingerprint,
     "op9_token_ids": op9_token_ids,
+    "op10_html_text": op10_html_text,
 }
 
 SQL: dict[str, str] = {

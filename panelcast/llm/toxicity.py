@@ -195,4 +195,4 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score at least ``threshold``."""
-    return score(docs, train(docs, labels), to="toxic_score").where(F.col("toxic_score") < threshold).select(*docs.columns)
+    return score(docs, train(docs, labels), to="_toxic_score").where(F.col("_toxic_score") < threshold).select(*docs.columns)
