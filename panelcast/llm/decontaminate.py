@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import extended, non_null_text, text_slices, with_columns
+from .common import extended, non_null_text, stage, text_slices, with_columns
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
                 spans, items = [[] for _ in n_words], [set() for _ in n_words]
                 if again:
                     old_spans, old_items = batch.column(f"{prefix}spans").to_pylist(), batch.column(f"{prefix}items").to_pylist()
-                    spans = [np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for x in old_spans]
+                    spans = [list(map(tuple, np.frombuffer(x, "<i8").reshape(-1, 2).tolist())) for x in old_spans]
                     items = [set(x) for x in old_items]
                 for row, (found, named) in hits.items():
                     spans[row] = merged([*spans[row], *found])
@@ -142,6 +142,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int =
                     f"{prefix}spans": pa.array([np.array(s, "<i8").tobytes() for s in spans], pa.binary())})
 
         out = out.mapInArrow(run, schema)
+        if part + 1 < parts:
+            out = stage(out, "benchmark-block")  # a task holds one block at a time
     return out
 
 
