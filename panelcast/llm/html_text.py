@@ -9,8 +9,8 @@ id, only that is read.
 First pass: stop-word density, length and link density call a block good, bad,
 near good or short. Second pass: short and near-good blocks take the label of
 their nearest decided neighbours on both sides; if these differ, near-good
-blocks become good and short ones take the nearer's label, the one before on a
-tie. Blocks inside a marked article start as good unless links fill them, since
+blocks and headings of good text become good, and other short ones take the
+nearer's label, the one before on a tie. Blocks inside a marked article start as good unless links fill them, since
 the page itself has decided; headings there are part of the article.
 
 Null or empty html, and pages without text, give an empty text. Broken markup
@@ -238,7 +238,7 @@ def second_pass(found: list[Block]) -> None:
         sides = {first[j] for j in (a, b) if j >= 0}
         if len(sides) == 1:
             found[k].label = "good" if x == "near" and found[k].heading else sides.pop()
-        elif x == "near":
+        elif x == "near" or found[k].heading and first[b] == "good":
             found[k].label = "good"
         else:
             found[k].label = first[a] if k - a <= b - k else first[b]
