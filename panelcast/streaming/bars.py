@@ -1,11 +1,14 @@
-"""Incremental monthly bars from an append-only trade feed.
-
-The batch bar operator (A2), run as a Structured Streaming aggregation: new
-trade files are picked up as they land, partial state per (ticker, month) is
-kept in the state store, and a month's bar is emitted once the event-time
-watermark has passed it (append mode: each bar is written exactly once).
-Checkpoints live under the session's shared checkpoint folder, so a restart
-or a lost executor resumes from the last committed batch.
+"""Monthly bars kept up to date from an append-only trade feed.
+
+Each micro-batch of new trade files is reduced to partial bars, one row per
+(ticker, month): the last trade's order key and price, and the volume. The rows
+of a batch are a partition of their own, overwritten when the batch is replayed
+after a failure, so nothing counts twice. Reading merges the partials by the
+order key: trades may come late by any time, no month is held back, and the
+result is that of the batch operator (A2) over all trades seen.
+
+Partials are small: one row per ticker and month that a batch touches.
+Checkpoints live under the session's shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, LongType, StringType, StructField, StructType,
-                               TimestampType)
+from pyspark.sql.types import (DateType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructField,
+                               StructType, TimestampType)
 
-from panelcast.functions.numeric import order_key, round_half_even
+from panelcast.functions.numeric import month_start, order_key, round_half_even
 from panelcast.session import ensure_checkpoint_dir
 
 TICK_SCHEMA = StructType([
@@ -25,42 +28,51 @@ TICK_SCHEMA = StructType([
     StructField("seq", LongType()),
     StructField("price", DoubleType()), StructField("qty", DoubleType())])
 
+PARTIAL_SCHEMA = StructType([
+    StructField("ticker", StringType()), StructField("month", DateType()),
+    StructField("last_key", DecimalType(38, 0)), StructField("last_price", DoubleType()),
+    StructField("volume", DoubleType()), StructField("batch_id", IntegerType())])
+
+
+def partial_bars(ticks: DataFrame) -> DataFrame:
+    """(ticker, month, last_key, last_price, volume) of some of the trades."""
+    keyed = ticks.select("ticker", month_start("ts").alias("month"), order_key("ts", "seq").alias("k"), "price", "qty")
+    return keyed.groupBy("ticker", "month").agg(
+        F.max("k").alias("last_key"), F.max_by("price", "k").alias("last_price"), F.sum("qty").alias("volume"))
+
+
+def merge_bars(partials: DataFrame) -> DataFrame:
+    """Partial bars -> (ticker, month, close, volume)."""
+    return partials.groupBy("ticker", "month").agg(
+        round_half_even(F.max_by("last_price", "last_key"), 4).alias("close"), F.sum("volume").alias("volume"))
 
-def bars_stream(ticks: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Streaming (or batch) ticks -> monthly bars keyed by event-time month.
-
-    The watermark sits on the month start and state is final once the
-    watermark reaches it (event time <= watermark). With ``delay='1 day'``
-    the newest month stays open and a month closes when a trade of a later
-    month has been seen; a longer delay keeps more months open for late
-    trades (e.g. '32 days' ~ one extra month).
-    """
-    month_ts = F.date_trunc("month", F.col("ts")).alias("month_ts")
-    last = order_key("ts", "seq")
-    return (ticks.select("*", month_ts)
-                 .withWatermark("month_ts", delay)
-                 .groupBy("ticker", "month_ts")
-                 .agg(round_half_even(F.max_by("price", last), 4).alias("close"),
-                      F.sum("qty").alias("volume"))
-                 .select("ticker", F.to_date("month_ts").alias("month"), "close", "volume"))
-
-
-def run_bars(spark: SparkSession, source: str, sink: str, delay: str = "1 day",
-             checkpoint: str | None = None, schema: StructType = TICK_SCHEMA):
-    """Process every trade file available under ``source`` into ``sink``
-    (parquet, append) and stop; call again later to pick up new files."""
+
+def run_bars(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
+             schema: StructType = TICK_SCHEMA, max_files: int | None = None):
+    """Process every trade file available under ``source`` into partial bars
+    under ``sink`` and stop; call again later to pick up new files."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     ckpt = checkpoint or f"{root}/streams/bars-{uuid.uuid4().hex[:8]}"
-    ticks = spark.readStream.schema(schema).parquet(source)
-    q = (bars_stream(ticks, delay).writeStream.outputMode("append").format("parquet")
-         .option("path", sink).option("checkpointLocation", ckpt)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        (partial_bars(batch).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(sink))
+
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    q = (reader.parquet(source).writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
-def stage_ticks(ticks: DataFrame, path: str, n_files: int = 4) -> str:
+def read_bars(spark: SparkSession, sink: str) -> DataFrame:
+    """The bars of all trades processed so far."""
+    return merge_bars(spark.read.schema(PARTIAL_SCHEMA).parquet(sink))
+
+
+def stage_ticks(ticks: DataFrame, path: str) -> str:
     """Land a batch of trades as parquet files (the feed a stream reads)."""
-    ticks.select(*[f.name for f in TICK_SCHEMA.fields]).repartition(n_files) \
-         .write.mode("append").parquet(path)
+    ticks.select(*[f.name for f in TICK_SCHEMA.fields]).write.mode("append").parquet(path)
     return path
