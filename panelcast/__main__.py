@@ -13,17 +13,17 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import functions as F
-
 
 def _landed(spark, args):
     from panelcast.sources import files
     prices = files.keep_first(files.read_price_csvs(spark, args.prices), ["ticker", "month"])
     ind = files.read_indicator_csvs(spark, args.indicators)
     if getattr(args, "json", None):
-        js = files.read_observations_json(spark, args.json)
-        ind = ind.unionByName(js.withColumn("obs_order", F.lit(None).cast("long")))
+        ind = ind.unionByName(files.read_observations_json(spark, args.json))
     ind = files.keep_first(ind, ["series_id", "month"])
+    for kind in ("prices", "indicators"):
+        for r in files.rejected_rows(spark, getattr(args, kind)).collect():  # a row a file with such lines
+            print(f"{r['n_rejected']} rows without a date left out: {r['file']}", file=sys.stderr)
     if getattr(args, "start", None) or getattr(args, "end", None):
         from panelcast.operators.clean import range_slice
         prices = range_slice(prices, "month", args.start, args.end)
@@ -34,6 +34,7 @@ def _landed(spark, args):
 def run_experiments(spark, args) -> None:
     from panelcast.operators.align import missing_series
     from panelcast.plans.experiments import REFERENCE_EXPERIMENTS, run_experiments as run
+    from panelcast.session import cut_lineage
     from panelcast.sources import sinks
     prices, ind = _landed(spark, args)
     wanted = set(args.names.split(",")) if args.names else None
@@ -43,6 +44,7 @@ def run_experiments(spark, args) -> None:
     if missing:
         print(f"indicators without data, skipped: {missing}", file=sys.stderr)
     bt, m = run(prices, ind, exps, model=args.model)
+    m = cut_lineage(m)  # computed once, written twice
     sinks.save_backtest(bt, args.out)
     sinks.save_metrics(m, args.out)
     sinks.save_metrics(m, args.out + "/csv", csv_export=True)

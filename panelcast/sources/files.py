@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DecimalType, MapType, StringType, StructField, StructType
 
 from panelcast.functions.numeric import month_start, round_half_even, to_double
 
@@ -29,46 +29,53 @@ OBSERVATIONS_SCHEMA = StructType([StructField("observations", ArrayType(StructTy
     StructField("date", StringType()), StructField("value", StringType())])))])
 
 
-def _text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) for every line of every file under ``path``.
+_CELLS = 8  # of a price or indicator row; more are not read
 
-    ``line_no`` orders lines within a file (keep-first needs it).
+
+def _csv_rows(spark: SparkSession, path: str, n_cells: int = _CELLS) -> DataFrame:
+    """(file, obs_order, cells, header, month) of every data row of every file.
+
+    One CSV parse of the rows, quotes and all. A file's header is its first
+    row, found among the few rows whose first cell is no date; obs_order follows
+    the file (block start, then row), as keep-first needs it.
     """
-    df = spark.read.text(path).select(F.input_file_name().alias("file"),
-                                      F.col("value").alias("line"))
-    return df.withColumn("line_no", F.monotonically_increasing_id())
+    cells = [f"c{k}" for k in range(n_cells)]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.array(*[F.trim(F.col(c)) for c in cells]).alias("cells")))
+    rows = raw.select("file", "cells", _row_order(F.col("_block")).alias("obs_order"),
+                      month_start(_parse_date(F.col("cells")[0])).alias("month"))
+    heads = (rows.where(F.col("month").isNull()).groupBy("file")
+             .agg(F.min_by("cells", "obs_order").alias("header"), F.min("obs_order").alias("_h")))
+    return rows.join(heads, on="file", how="inner").where(F.col("obs_order") != F.col("_h")).drop("_h")
+
 
+def _row_order(block: Column) -> Column:
+    """Place of a row in its file, as one exact number."""
+    dec = DecimalType(38, 0)
+    return block.cast(dec) * F.lit("10000000000000000000").cast(dec) + F.monotonically_increasing_id().cast(dec)
 
-def _split_header(lines: DataFrame) -> DataFrame:
-    """Attach each file's header fields to its data rows."""
-    cells = lines.withColumn("cells", F.split("line", ","))
-    first = cells.groupBy("file").agg(F.min_by("cells", "line_no").alias("header"),
-                                      F.min("line_no").alias("_h"))
-    return (cells.join(first, on="file", how="inner")
-                 .where(F.col("line_no") != F.col("_h")).drop("_h"))
+
+def _parse_date(col: Column) -> Column:
+    return F.try_to_date(F.trim(col))
+
+
+def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_rejected): rows per file that the CSV readers leave out, as their
+    first cell is no date."""
+    return _csv_rows(spark, path).where(F.col("month").isNull()).groupBy("file").agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
 def read_indicator_csvs(spark: SparkSession, path: str) -> DataFrame:
     """``date|Date,<SERIES_ID>`` CSV files -> (series_id, month, value, obs_order).
 
     The series id is the second header cell; values are coerced leniently
-    (P2) and bucketed to month start (P3). Rows keep their file order
-    (``obs_order``) so that keep-first can be applied.
+    (P2) and bucketed to month start (P3). Rows without a date are left out
+    and counted by ``rejected_rows``.
     """
-    rows = _split_header(_text_lines(spark, path))
-    rows = rows.where(F.trim("line") != "")
-    out = rows.select(
-        F.trim(F.col("header")[1]).alias("series_id"),
-        month_start(_parse_date(F.col("cells")[0])).alias("month"),
-        to_double(F.trim(F.col("cells")[1])).alias("value"),
-        F.col("line_no").alias("obs_order"))
-    return out.where(F.col("month").isNotNull())
-
-
-def _parse_date(col: Column) -> Column:
-    # lenient: the optimizer may evaluate this before the header row is
-    # filtered out, and junk dates become NULL rows that are dropped
-    return F.try_to_date(F.trim(col))
+    rows = _csv_rows(spark, path).where(F.col("month").isNotNull())
+    return rows.select(F.col("header")[1].alias("series_id"), "month",
+                       to_double(F.col("cells")[1]).alias("value"), "obs_order")
 
 
 def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
@@ -76,25 +83,20 @@ def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
 
     Headers ``Date,{T}_Close,{T}_Volume`` (any column order) name the ticker;
     plain ``Date,Close,Volume`` files take it from the file name
-    (``{T}_monthly.csv`` or ``{T}.csv``).
+    (``{T}_monthly.csv`` or ``{T}.csv``). A missing cell is a missing value.
     """
-    rows = _split_header(_text_lines(spark, path)).where(F.trim("line") != "")
-    hdr = F.col("header")
-    close_i = F.when(F.trim(hdr[1]).endswith("Close"), 1).otherwise(2)
-    cells = F.col("cells")
-    close_txt = F.when(close_i == 1, cells[1]).otherwise(cells[2])
-    vol_txt = F.when(close_i == 1, cells[2]).otherwise(cells[1])
-    close_name = F.trim(F.when(close_i == 1, hdr[1]).otherwise(hdr[2]))
+    rows = _csv_rows(spark, path).where(F.col("month").isNotNull())
+
+    def cell(suffix: str, of: str) -> Column:
+        at = F.array_position(F.transform("header", lambda h: F.coalesce(h.endswith(suffix), F.lit(False))), True)
+        return F.get(of, (at - 1).cast("int"))
+
+    name = cell("Close", "header")
     from_file = F.regexp_extract("file", r"([^/]+?)(_monthly)?\.csv$", 1)
-    ticker = F.when(close_name.endswith("_Close"), F.regexp_replace(close_name, "_Close$", "")) \
-              .otherwise(from_file)
-    out = rows.select(
-        ticker.alias("ticker"),
-        month_start(_parse_date(cells[0])).alias("month"),
-        round_half_even(to_double(F.trim(close_txt)), 4).alias("close"),
-        to_double(F.trim(vol_txt)).alias("volume"),
-        F.col("line_no").alias("obs_order"))
-    return out.where(F.col("month").isNotNull())
+    ticker = F.when(name.endswith("_Close"), F.regexp_replace(name, "_Close$", "")).otherwise(from_file)
+    return rows.select(ticker.alias("ticker"), "month",
+                       round_half_even(to_double(cell("Close", "cells")), 4).alias("close"),
+                       to_double(cell("Volume", "cells")).alias("volume"), "obs_order")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str = "obs_order") -> DataFrame:
@@ -107,13 +109,19 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "obs_order") ->
 
 
 def read_observations_json(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
-    """S3: provider JSON -> (series_id, month, value); '.' and junk -> NULL."""
+    """S3: provider JSON -> (series_id, month, value, obs_order); '.' and junk -> NULL.
+
+    obs_order is the place in the document's list, behind all CSV rows.
+    """
     df = spark.read.schema(OBSERVATIONS_SCHEMA).option("multiLine", "true").json(path)
-    df = df.select(F.input_file_name().alias("file"), F.explode("observations").alias("o"))
+    df = df.select(F.input_file_name().alias("file"), F.posexplode("observations").alias("pos", "o"))
     sid = F.lit(series_id) if series_id else F.regexp_extract("file", r"([^/]+)\.json$", 1)
+    dec = DecimalType(38, 0)
     return df.select(sid.alias("series_id"),
                      month_start(_parse_date(F.col("o.date"))).alias("month"),
-                     to_double("o.value").alias("value"))
+                     to_double("o.value").alias("value"),
+                     (F.col("pos").cast(dec) + F.lit("1" + "0" * 37).cast(dec)).cast(dec).alias("obs_order")
+                     ).where(F.col("month").isNotNull())
 
 
 def flatten_observations(df: DataFrame, json_col: str) -> DataFrame:
@@ -146,14 +154,26 @@ def read_universe(spark: SparkSession, path: str, column: str = "Symbol") -> Dat
 
 
 def read_wide_combined(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Wide combined table (first column = month, one column per
-    series; CSV with an unnamed first column, or parquet) -> long rows."""
+    """Wide combined tables (first column = month, one column per
+    series; CSV with an unnamed first column, or parquet) -> long rows.
+
+    Each CSV file has its own header, by which its cells are named.
+    """
     if fmt == "parquet":
         df = spark.read.parquet(path)
-    else:
-        df = spark.read.option("header", "true").csv(path)
-    month_col = df.columns[0]
-    values = df.columns[1:]
-    cast = df.select(_parse_date(F.col(f"`{month_col}`").cast("string")).alias("month"),
-                     *[to_double(F.col(f"`{c}`")).alias(c) for c in values])
-    return cast.unpivot(["month"], [F.col(f"`{c}`") for c in values], "series_id", "value")
+        month_col, values = df.columns[0], df.columns[1:]
+        cast = df.select(_parse_date(F.col(f"`{month_col}`").cast("string")).alias("month"),
+                         *[to_double(F.col(f"`{c}`")).alias(c) for c in values])
+        return cast.unpivot(["month"], [F.col(f"`{c}`") for c in values], "series_id", "value")
+    # one number: the most cells that a line can have
+    n_cells = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = [f"c{k}" for k in range(n_cells)]
+    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(path)
+           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.array(*cells).alias("cells")))
+    rows = raw.select("file", "cells", _row_order(F.col("_block")).alias("_o"), _parse_date(F.col("cells")[0]).alias("month"))
+    heads = rows.where(F.col("month").isNull()).groupBy("file").agg(F.min_by("cells", "_o").alias("header"))
+    named = (rows.where(F.col("month").isNotNull()).join(heads, on="file")
+             .select("month", F.explode(F.slice(F.arrays_zip("header", "cells"), 2, n_cells)).alias("x")))
+    return named.where(F.col("x.header").isNotNull()).select(
+        "month", F.trim("x.header").alias("series_id"), to_double("x.cells").alias("value"))

@@ -4,6 +4,7 @@ small report exports. Empty results are refused, as the pipeline did."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,38 +16,33 @@ class EmptyResultError(ValueError):
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                fmt: str = "parquet", mode: str = "overwrite", refuse_empty: bool = True) -> str:
+                fmt: str = "parquet", mode: str = "overwrite", refuse_empty: bool = True,
+                one_file: bool = False) -> str:
     """K1/K2/K3: write a panel table, partitioned (e.g. by ticker).
 
-    Empty results are refused without evaluating the plan twice: the table
-    is written in one pass, then the written files are probed (one row at
-    most) and an empty output is removed again.
+    The result is first written beside ``path``, so the plan runs once and an
+    empty result is refused before anything at ``path`` is touched. With
+    ``partition_by``, overwrite replaces only the partitions it writes.
+    ``one_file`` gathers the finished (small) table in one file.
     """
-    w = df.write.mode(mode)
-    if partition_by:
-        # overwrite replaces only the partitions this result writes
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    if fmt == "csv":
-        w = w.option("header", "true")
-    w.format(fmt).save(path)
-    if refuse_empty:
-        spark = df.sparkSession
-        reader = spark.read.format(fmt)
-        if fmt == "csv":
-            reader = reader.option("header", "true")
-        if _is_empty_output(spark, reader, path):
-            _remove(spark, path)
+    spark = df.sparkSession
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(fresh)
+        found = spark.read.schema(df.schema).parquet(fresh)
+        if refuse_empty and found.isEmpty():
             raise EmptyResultError(f"refusing to write an empty table to {path}")
+        w = (found.repartition(1) if one_file else found).write.mode(mode)
+        if partition_by:
+            w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        if fmt == "csv":
+            w = w.option("header", "true")
+        w.format(fmt).save(path)
+    finally:
+        _remove(spark, fresh)
     return path
 
 
-def _is_empty_output(spark: SparkSession, reader, path: str) -> bool:
-    try:
-        return reader.load(path).limit(1).count() == 0
-    except Exception:  # no data files at all (e.g. an empty partitioned write)
-        return True
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -76,13 +72,13 @@ def save_metrics(df: DataFrame, root: str, csv_export: bool = False) -> str:
     """K4: metrics summary; the optional CSV export is one small file."""
     path = f"{root.rstrip('/')}/metrics_summary"
     if csv_export:
-        return write_table(df.coalesce(1), path, fmt="csv")
+        return write_table(df, path, fmt="csv", one_file=True)
     return write_table(df, path)
 
 
 def save_top(df: DataFrame, root: str, name: str = "top_10_forecasts_by_r2") -> str:
     """K5: a top-k table (already limited by its query)."""
-    return write_table(df.coalesce(1), f"{root.rstrip('/')}/{name}", fmt="csv")
+    return write_table(df, f"{root.rstrip('/')}/{name}", fmt="csv", one_file=True)
 
 
 def log_run(spark: SparkSession, root: str, run_name: str,

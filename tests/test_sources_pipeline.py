@@ -155,3 +155,47 @@ def test_wide_combined_parquet(spark, tmp_path):
     assert rows(long, "month", "series_id", "value") == [
         (D(2024, 4, 1), "GDP", 1.5), (D(2024, 4, 1), "GEV_Close", 153.4775),
         (D(2024, 5, 1), "GDP", 1.5), (D(2024, 5, 1), "GEV_Close", 175.634)]
+
+
+def test_csv_with_quotes_short_rows_and_bad_dates(spark, tmp_path):
+    d = tmp_path / "px"
+    d.mkdir()
+    (d / "AAA_monthly.csv").write_text('"Date","AAA_Close","AAA_Volume"\n"2020-01-01","1,5","10"\n2020-02-01,2.5\n'
+                                       'not a date,9,9\n2020-03-01,"3.5",30\n')
+    got = rows(files.read_price_csvs(spark, str(d)), "ticker", "month", "close", "volume")
+    assert got == [("AAA", D(2020, 1, 1), None, 10.0), ("AAA", D(2020, 2, 1), 2.5, None), ("AAA", D(2020, 3, 1), 3.5, 30.0)]
+    assert [r.n_rejected for r in files.rejected_rows(spark, str(d)).collect()] == [1]
+
+
+def test_wide_tables_keep_their_own_headers(spark, tmp_path):
+    d = tmp_path / "combined"
+    d.mkdir()
+    (d / "a.csv").write_text(",AAA_Close,GDP\n2024-04-01,10.0,1.5\n")
+    (d / "b.csv").write_text(",GDP,BBB_Close\n2024-04-01,1.5,99.0\n2024-05-01,1.5,\n")
+    got = files.read_wide_combined(spark, str(d)).collect()
+    assert {(r.month, r.series_id, r.value) for r in got} == {
+        (D(2024, 4, 1), "AAA_Close", 10.0), (D(2024, 4, 1), "GDP", 1.5), (D(2024, 4, 1), "BBB_Close", 99.0),
+        (D(2024, 5, 1), "GDP", 1.5), (D(2024, 5, 1), "BBB_Close", None)}
+
+
+def test_json_rows_survive_keep_first(spark, landed):
+    ind = files.read_indicator_csvs(spark, str(landed / "fred")).unionByName(
+        files.read_observations_json(spark, str(landed / "json")))
+    kept = {(r.series_id, r.month): r.value for r in files.keep_first(ind, ["series_id", "month"]).collect()}
+    assert kept[("M2SL", D(2015, 1, 1))] == 1.5 and kept[("M2SL", D(2015, 3, 1))] == 2.5
+    assert ("M2SL", D(2015, 2, 1)) not in kept and kept[("GDP", D(2015, 1, 1))] == 20000.0
+
+
+def test_an_empty_result_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "ticker string, v double")
+    sinks.write_table(df, path)
+    with pytest.raises(sinks.EmptyResultError):
+        sinks.write_table(df.limit(0), path)
+    assert rows(spark.read.parquet(path)) == [("A", 1.0), ("B", 2.0)]
+    parts = str(tmp_path / "p")
+    sinks.write_table(df, parts, ["ticker"])
+    with pytest.raises(sinks.EmptyResultError):
+        sinks.write_table(df.limit(0), parts, ["ticker"])
+    assert spark.read.parquet(parts).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["p", "t"]
