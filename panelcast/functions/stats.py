@@ -1,7 +1,8 @@
 """Small numeric helpers evaluated once per result row (not per input row).
 
 They run inside Arrow-batched pandas UDFs on already-aggregated rows (one
-row per series), so the Python cost does not grow with the data.
+row per series). The exact KS p-value takes n1 x n2 steps for a series and is
+meant for monthly calendars.
 """
 
 from __future__ import annotations
@@ -10,29 +11,14 @@ import math
 
 import numpy as np
 
-# Exact computation is used up to this sample size (larger samples use the
-# asymptotic Kolmogorov distribution), as in the common two-sample KS test.
-KS_EXACT_MAX_N = 10000
-
-
-def ks_2samp_pvalue(d: float, n1: int, n2: int, method: str = "auto") -> tuple[float, str]:
-    """Two-sided p-value P(D >= d) of the two-sample KS statistic.
-
-    ``exact``: lattice-path probability that a random interleaving of the two
-    samples reaches the band |i/n1 - j/n2| >= d, computed on anti-diagonals
-    with normalised path weights (no binomial overflow, no 1 - x cancellation).
-    ``asymp``: Kolmogorov limiting distribution at sqrt(n1 n2 / (n1 + n2)) d.
-    """
+def ks_exact_pvalue(d: float, n1: int, n2: int) -> float:
+    """Two-sided p-value P(D >= d) of the two-sample KS statistic: the
+    lattice-path probability that a random interleaving of the two samples
+    reaches the band |i/n1 - j/n2| >= d, on anti-diagonals with normalised
+    path weights (no binomial overflow, no 1 - x cancellation)."""
     if n1 <= 0 or n2 <= 0 or d is None or math.isnan(d):
-        return float("nan"), "none"
-    if method == "auto":
-        method = "exact" if max(n1, n2) <= KS_EXACT_MAX_N else "asymp"
-    if d <= 0:
-        return 1.0, method
-    if method == "exact":
-        return _ks_exact(d, n1, n2), method
-    en = n1 * n2 / (n1 + n2)
-    return kolmogorov_n_sf(d, int(round(en))), method
+        return float("nan")
+    return 1.0 if d <= 0 else _ks_exact(d, n1, n2)
 
 
 def _ks_exact(d: float, m: int, n: int) -> float:
@@ -62,80 +48,6 @@ def _ks_exact(d: float, m: int, n: int) -> float:
     return float(min(1.0, max(0.0, prev[-1])))
 
 
-def kolmogorov_n_sf(d: float, n: int, exact_max_n: int = 5000) -> float:
-    """P(D_n >= d) for the one-sample Kolmogorov statistic with n points.
-
-    Exact for n <= ``exact_max_n`` by the matrix method of Marsaglia, Tsang
-    and Wang (2003), with exponent tracking in the matrix power; beyond it
-    the limiting distribution at sqrt(n) d.
-    """
-    if n <= 0:
-        return float("nan")
-    if d <= 0:
-        return 1.0
-    if d >= 1:
-        return 0.0
-    if n > exact_max_n:
-        return kolmogorov_sf(math.sqrt(n) * d)
-    s2 = n * d * d
-    if s2 > 7.24 or (s2 > 3.76 and n > 99):
-        # far right tail: the same authors' closed-form approximation
-        return min(1.0, 2.0 * math.exp(-(2.000071 + 0.331 / math.sqrt(n) + 1.409 / n) * s2))
-    k = int(n * d) + 1
-    m = 2 * k - 1
-    h = k - n * d
-    i = np.arange(m)
-    H = (i[:, None] - i[None, :] + 1 >= 0).astype(float)
-    H[:, 0] -= h ** (i + 1)
-    H[m - 1, :] -= h ** (m - i)
-    if 2 * h - 1 > 0:
-        H[m - 1, 0] += (2 * h - 1) ** m
-    fact = np.array([math.lgamma(x + 1) for x in range(m + 1)])
-    diff = i[:, None] - i[None, :] + 1
-    mask = diff > 0
-    H[mask] = H[mask] * np.exp(-fact[diff[mask]])
-    # Q = H^n with a running power-of-two exponent to avoid overflow
-    result, res_exp = np.eye(m), 0
-    base, base_exp = H.copy(), 0
-    e = n
-    while e:
-        if e & 1:
-            result = result @ base
-            res_exp += base_exp
-            sc = np.abs(result).max()
-            if sc > 0:
-                p2 = int(math.floor(math.log2(sc)))
-                result /= 2.0 ** p2
-                res_exp += p2
-        e >>= 1
-        if e:
-            base = base @ base
-            base_exp *= 2
-            sc = np.abs(base).max()
-            if sc > 0:
-                p2 = int(math.floor(math.log2(sc)))
-                base /= 2.0 ** p2
-                base_exp += p2
-    s = result[k - 1, k - 1]
-    # multiply by n!/n^n, in logs
-    log_p = math.log(s) + res_exp * math.log(2) + math.lgamma(n + 1) - n * math.log(n) if s > 0 else -math.inf
-    cdf = math.exp(log_p) if log_p > -745 else 0.0
-    return min(1.0, max(0.0, 1.0 - cdf))
-
-
-def kolmogorov_sf(x: float) -> float:
-    """P(K > x) for the Kolmogorov distribution."""
-    if x <= 0:
-        return 1.0
-    if x < 1.0:
-        # theta-function form, fast for small x
-        t = math.exp(-math.pi ** 2 / (8 * x * x))
-        s = sum(t ** ((2 * k - 1) ** 2) for k in range(1, 50))
-        return max(0.0, 1.0 - math.sqrt(2 * math.pi) / x * s)
-    s = sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))
-    return min(1.0, max(0.0, 2.0 * s))
-
-
 def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2.0))
 

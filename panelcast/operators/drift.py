@@ -12,7 +12,9 @@ KS statistic, fully distributed:
    series, so a series with a third of all rows is spread over many tasks;
 4. D = max |F_ref - F_cur| per series.
 
-Only the per-series result row (D, n1, n2) reaches Python, to get p.
+The p-value is a short series on the JVM for ``method="asymp"``; only
+``method="exact"``, meant for monthly calendars, computes it in Python, from
+the per-series result row (D, n1, n2). The caller chooses; size doesn't.
 """
 
 from __future__ import annotations
@@ -21,8 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from panelcast.functions import stats
 from panelcast.functions.exact import exact_comoment
@@ -38,9 +39,12 @@ def _latest_join(df: DataFrame, key: str, date: str) -> DataFrame:
 
 def tag_samples(df: DataFrame, key: str, date: str, value: str, reference_end,
                 window_months: int | None = 12, window_days: int | None = None) -> DataFrame:
-    """(key, value, c_ref, c_cur) per observation; NULL and NaN are dropped."""
-    clean_v = df.withColumn(value, nan_to_null(value))
-    d = _latest_join(clean_v.where(F.col(value).isNotNull()), key, date)
+    """(key, value, c_ref, c_cur) per observation; NULL and NaN are dropped.
+
+    The current window ends at the series' latest date, also where the value
+    there is missing.
+    """
+    d = _latest_join(df, key, date).withColumn(value, nan_to_null(value)).where(F.col(value).isNotNull())
     if window_days is not None:
         start = F.date_sub(F.col("_latest"), window_days - 1)
     else:
@@ -105,35 +109,52 @@ def ks_statistic(df: DataFrame, key: str, date: str, value: str, reference_end,
                                 F.max(gap).alias("ks_statistic"))
 
 
-_P_TYPE = StructType([StructField("p_value", DoubleType()), StructField("method", StringType())])
+@F.pandas_udf(DoubleType())
+def _ks_exact_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([stats.ks_exact_pvalue(float(a), int(b), int(c)) if pd.notna(a) else None
+                      for a, b, c in zip(d, n1, n2)], dtype="float64")
+
+
+def kolmogorov_p(x: Column, terms: int = 20) -> Column:
+    """P(K > x) of the Kolmogorov distribution, JVM-side: the theta form below
+    1, the alternating series from 1 on (20 terms are exact to double)."""
+    ks = F.sequence(F.lit(1), F.lit(terms))
+    low = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.exp(
+        -((2 * k - 1) * (2 * k - 1)) * F.pi() * F.pi() / (8 * x * x)))
+    high = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+                       * F.exp(-2.0 * k * k * x * x))
+    p = F.when(x <= 0, F.lit(1.0)).when(x < 1, 1 - F.sqrt(2 * F.pi()) / x * low).otherwise(2 * high)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
 
 
-@F.pandas_udf(_P_TYPE)
-def _ks_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.DataFrame:
-    res = [stats.ks_2samp_pvalue(float(a), int(b), int(c)) if pd.notna(a) else (None, "none")
-           for a, b, c in zip(d, n1, n2)]
-    return pd.DataFrame({"p_value": [r[0] for r in res], "method": [r[1] for r in res]})
+def ks_p_value(d: Column, n1: Column, n2: Column, method: str) -> Column:
+    """Two-sided p-value of the two-sample statistic: ``asymp`` by the limiting
+    distribution at sqrt(n1 n2 / (n1 + n2)) d, ``exact`` by lattice paths."""
+    if method == "exact":
+        return _ks_exact_p(d, n1, n2)
+    if method != "asymp":
+        raise ValueError(f"method is 'exact' or 'asymp', not {method!r}")
+    return kolmogorov_p(F.sqrt(F.try_divide(n1.cast("double") * n2, n1 + n2)) * d)
 
 
 def ks_drift(df: DataFrame, key: str, date: str, value: str, reference_end="2024-12-31",
              window_months: int | None = 12, window_days: int | None = None,
-             threshold: float = 0.05, min_current: int = 6,
+             threshold: float = 0.05, min_current: int = 6, method: str = "exact",
              buckets: int | tuple[int, int] = (64, 64)) -> DataFrame:
     """(key, n_ref, n_cur, ks_statistic, p_value, method, drift_detected).
 
     Fewer than ``min_current`` current rows (or an empty reference sample)
     -> NULL statistic and p-value, drift_detected = false. Drift is p < threshold.
+    ``method`` is ``exact`` for monthly series and ``asymp`` for raw events,
+    whose sample sizes the lattice of the exact form (n1 x n2) doesn't suit.
     """
     d = ks_statistic(df, key, date, value, reference_end, window_months, window_days, buckets)
     valid = (F.col("n_cur") >= min_current) & (F.col("n_ref") > 0)
-    p = _ks_p(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"))
-    out = d.select(key, "n_ref", "n_cur",
-                   F.when(valid, F.col("ks_statistic")).alias("ks_statistic"),
-                   F.when(valid, p).alias("_p"))
-    return out.select(key, "n_ref", "n_cur", "ks_statistic",
-                      F.col("_p.p_value").alias("p_value"),
-                      F.coalesce(F.col("_p.method"), F.lit("none")).alias("method"),
-                      F.coalesce(F.col("_p.p_value") < threshold, F.lit(False)).alias("drift_detected"))
+    out = d.select(key, "n_ref", "n_cur", F.when(valid, F.col("ks_statistic")).alias("ks_statistic"))
+    out = out.withColumn("p_value", ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur"), method))
+    return out.select(key, "n_ref", "n_cur", "ks_statistic", "p_value",
+                      F.when(F.col("ks_statistic").isNull(), F.lit("none")).otherwise(F.lit(method)).alias("method"),
+                      F.coalesce(F.col("p_value") < threshold, F.lit(False)).alias("drift_detected"))
 
 
 # ---------------------------------------------------------------------------
@@ -195,9 +216,12 @@ def _adf_frame(df: DataFrame, value: str, key: str, order: str, max_lag: int | N
         ml = F.greatest(cap, F.lit(0)).cast("int")
     else:
         ml = F.lit(int(max_lag))
+    # the level is taken off: the constant absorbs it, and products of values
+    # far from zero would lose the digits that the statistic needs
+    level = F.avg(value).over(Window.partitionBy(key))
     framed = base.select(key, order, value, F.row_number().over(w).alias("t"),
                          n.alias("n_total"), ml.alias("max_lag"),
-                         F.lag(value, 1).over(w).alias("ylag"),
+                         (F.lag(value, 1).over(w) - level).alias("ylag"),
                          (F.col(value) - F.lag(value, 1).over(w)).alias("dy"))
     if max_lag is None:
         big = framed.agg(F.max("n_total")).first()[0] or 0  # one number

@@ -297,6 +297,9 @@ def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int
     stats = scaler_stats(data, feats, key, flag)
     z = apply_scaler(data, stats, feats, key, suffix="__z")
     z = fold_ids(z, n_folds, key, order, "fold")
+    # R2 doesn't depend on the level of y, but raw products far from zero lose digits
+    from pyspark.sql import Window
+    z = z.withColumn(y, F.col(y) - F.avg(y).over(Window.partitionBy(key)))
     cols = ["1D"] + [f"`{f}__z`" for f in feats] + [f"`{y}`"]
     m = len(cols)
     cross = ", ".join(f"sum({cols[i]} * {cols[j]})" for i in range(m) for j in range(i, m))

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from panelcast.functions import stats
 from panelcast.operators import drift
 
@@ -43,16 +45,51 @@ def brute_p(d, m, n):
 def test_exact_p_matches_enumeration(m, n):
     ds = sorted({abs(i / m - j / n) for i in range(m + 1) for j in range(n + 1)} - {0.0})
     for d in ds:
-        p, method = stats.ks_2samp_pvalue(d, m, n)
-        assert method == "exact"
+        p = stats.ks_exact_pvalue(d, m, n)
         assert p == pytest.approx(brute_p(d, m, n), abs=1e-12)
 
 
-def test_p_method_switch_and_asymptotic_range():
-    p, method = stats.ks_2samp_pvalue(0.02, 20000, 15000)
-    assert method == "asymp" and 0.0 < p < 1.0
-    assert stats.kolmogorov_sf(0.0) == 1.0
-    assert stats.kolmogorov_sf(1.3580986) == pytest.approx(0.05, abs=2e-4)
+def _p(spark, x):
+    return spark.range(1).select(drift.kolmogorov_p(F.lit(float(x))).alias("p")).first().p
+
+
+def test_asymptotic_p_is_the_kolmogorov_law(spark):
+    assert _p(spark, 0.0) == 1.0 and _p(spark, 0.05) == 1.0
+    # published critical values
+    for x, alpha in ((1.2238478702, 0.10), (1.3580986393, 0.05), (1.6276236115, 0.01), (0.8275735552, 0.5)):
+        assert _p(spark, x) == pytest.approx(alpha, abs=1e-9)
+    assert _p(spark, 0.9999999) == pytest.approx(_p(spark, 1.0000001), abs=1e-6)
+    assert 0.0 <= _p(spark, 12.0) < 1e-100
+
+
+def test_method_is_the_callers_choice(spark):
+    obs = {"S": [(D(2024, 1, 1 + k % 28), float(k % 17)) for k in range(400)]}
+    df = _daily(spark, obs)
+    got = {m: drift.ks_drift(df, "series_id", "day", "value", "2024-01-20", window_days=9, method=m).first()
+           for m in ("exact", "asymp")}
+    assert [got[m].method for m in got] == ["exact", "asymp"]
+    assert got["exact"].p_value == pytest.approx(got["asymp"].p_value, abs=0.05)
+    with pytest.raises(ValueError):
+        drift.ks_drift(df, "series_id", "day", "value", "2024-01-20", window_days=9, method="auto")
+
+
+def test_current_window_ends_at_the_latest_date_even_if_missing(spark):
+    rows = [(D(2023, m, 1), float(m)) for m in range(1, 13)] + [(D(2024, m, 1), None) for m in range(1, 7)]
+    r = drift.ks_statistic(_daily(spark, {"S": rows}), "series_id", "day", "value", "2023-06-30", window_months=12).first()
+    assert (r.n_ref, r.n_cur) == (6, 6)
+
+
+@pytest.mark.parametrize("level", [1e6, 1e8])
+def test_adf_is_the_same_at_any_level(spark, level):
+    rng = np.random.default_rng(3)
+    y = np.cumsum(rng.normal(size=60)) * 0.5
+    def run(shift):
+        df = spark.createDataFrame([("A", D(2015 + k // 12, k % 12 + 1, 1), float(v + shift)) for k, v in enumerate(y)],
+                                   "ticker string, month date, close double")
+        return drift.adf(df).first()
+    base, far = run(0.0), run(level)
+    assert far.used_lag == base.used_lag and far.stationary == base.stationary
+    assert far.adf_stat == pytest.approx(base.adf_stat, rel=1e-6)
 
 
 def _daily(spark, series):
@@ -106,7 +143,7 @@ def test_too_few_current_rows_gives_null(spark):
 def test_ks_d_properties(a, b):
     d1, d2 = ks_d(np.array(a), np.array(b)), ks_d(np.array(b), np.array(a))
     assert d1 == d2 and 0.0 <= d1 <= 1.0
-    p, _ = stats.ks_2samp_pvalue(d1, len(a), len(b))
+    p = stats.ks_exact_pvalue(d1, len(a), len(b))
     assert 0.0 <= p <= 1.0
 
 
@@ -209,20 +246,6 @@ def test_ks_statistic_bucketing_never_changes_d(spark, buckets):
         assert got[sid] == pytest.approx(ks_d(ref, cur), abs=1e-15)
 
 
-@pytest.mark.parametrize("n,d_crit,alpha", [(10, 0.40925, 0.05), (20, 0.29408, 0.05), (10, 0.48893, 0.01),
-                                            (5, 0.56328, 0.05), (40, 0.21012, 0.05)])
-def test_kolmogorov_n_matches_published_critical_values(n, d_crit, alpha):
-    assert stats.kolmogorov_n_sf(d_crit, n) == pytest.approx(alpha, abs=2e-4)
-
-
-def test_kolmogorov_n_small_cases_and_limit():
-    # n = 1: D = max(U, 1 - U), so P(D >= d) = 2 (1 - d) for d >= 1/2
-    assert stats.kolmogorov_n_sf(0.7, 1) == pytest.approx(0.6, abs=1e-12)
-    # large n approaches the limiting law
-    x = 1.2
-    assert stats.kolmogorov_n_sf(x / math.sqrt(4000), 4000) == pytest.approx(stats.kolmogorov_sf(x), abs=5e-3)
-
-
 def test_nan_values_are_dropped_like_missing(spark):
     base = [(D(2024, 1, d), float(d % 4)) for d in range(1, 31)]
     with_nan = base + [(D(2024, 1, 30), float("nan")), (D(2024, 1, 5), float("nan"))]
