@@ -34,19 +34,24 @@ def fixed(col, scale: int = 4, precision: int = 18) -> Column:
     return F.when(~F.isnan(c), c).cast(DecimalType(precision, scale))
 
 
-def exact_sum(col, scale: int = 4, over: WindowSpec | None = None) -> Column:
-    return _agg(F.sum(fixed(col, scale)), over)
+def exact_sum(col, scale: int = 10, over: WindowSpec | None = None) -> Column:
+    """Sum with ``scale`` decimals and 18 digits before them; a value beyond
+    raises an error, none is dropped."""
+    return _agg(F.sum(fixed(col, scale, 18 + scale)), over)
 
 
-def exact_mean(col, scale: int = 4, over: WindowSpec | None = None) -> Column:
+def exact_mean(col, scale: int = 10, over: WindowSpec | None = None) -> Column:
     """sum(decimal) -> double, divided by the count of non-null values."""
-    n = _agg(F.count(fixed(col, scale)), over)
+    n = _agg(F.count(F.nullif(_c(col).cast("double"), F.lit(float("nan")))), over)
     return F.try_divide(exact_sum(col, scale, over).cast("double"), n.cast("double"))
 
 
 def exact_comoment(x, y, scale: int = 4, over: WindowSpec | None = None) -> Column:
     """n * sum(x*y) - sum(x) * sum(y), exact (= n^2 * population covariance).
 
+    For values of ``scale`` decimals and 14 digits before them, such as prices
+    rounded to four; products of wider decimals would not stay exact.
+
     Rows where either side is NULL are skipped (pairwise complete).
     """
     both = _c(x).isNotNull() & _c(y).isNotNull()

@@ -89,6 +89,19 @@ def align_asof(prices: DataFrame, indicators: DataFrame, ids: Sequence[str],
     return prices.join(wide, on="month", how=how)
 
 
+def shared_periods(panel: DataFrame, key: str = "ticker", month: str = "month",
+                   value: str = "close") -> DataFrame:
+    """J1 in long form: rows of the periods in which every entity has a value.
+
+    Equal to chained inner joins of one column per entity, at any size of the
+    universe: two counts by partial aggregation and a join on the period.
+    """
+    universe = panel.select(F.countDistinct(key)).scalar()
+    full = (panel.where(F.col(value).isNotNull()).groupBy(month)
+            .agg(F.countDistinct(key).alias("_n")).where(F.col("_n") == universe).select(month))
+    return panel.join(full, on=month, how="left_semi")
+
+
 def wide_by_entity(panel: DataFrame, entities: Sequence[str], key: str = "ticker",
                    month: str = "month", value: str = "close",
                    inner: bool = True, rename: bool = True) -> DataFrame:

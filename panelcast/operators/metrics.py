@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +58,9 @@ def signal_counts(bt: DataFrame, keys: Sequence[str] = ("ticker", "model")) -> D
 
 
 def markers(bt: DataFrame, which: Sequence[str] = ("Buy", "Sell")) -> DataFrame:
-    """The Buy / Sell points (date, predicted) of each run."""
+    """The Buy / Sell points (date, actual and predicted price) of each run."""
     return bt.where(F.col("signal").isin(list(which))).select(
-        "ticker", "model", "horizon", "date", "predicted", "signal")
+        "ticker", "model", "horizon", "date", "actual", "predicted", "signal")
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: Sequence[str], descending: bool = True) -> DataFrame:
@@ -75,37 +76,69 @@ def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], by: str,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Pairwise-complete moments of a block of rows, stacked: counts, means of
+    the row's and the column's variable, and their centred products (xx, yy, xy)."""
+    ok = ~np.isnan(x)
+    m = ok.astype(float)
+    shift = np.divide(np.where(ok, x, 0).sum(0), m.sum(0), out=np.zeros(x.shape[1]), where=m.sum(0) > 0)
+    z = np.where(ok, x - shift, 0.0)
+    n = m.T @ m
+    some = np.maximum(n, 1)
+    mx, my = z.T @ m / some, m.T @ z / some
+    sq = z * z
+    return np.stack([n, mx + shift[:, None], my + shift[None, :], sq.T @ m - n * mx * mx,
+                     m.T @ sq - n * my * my, z.T @ z - n * mx * my])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two blocks together."""
+    n = a[0] + b[0]
+    share = a[0] * b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    w = b[0] / np.maximum(n, 1)
+    return np.stack([n, a[1] + dx * w, a[2] + dy * w, a[3] + b[3] + share * dx * dx,
+                     a[4] + b[4] + share * dy * dy, a[5] + b[5] + share * dx * dy])
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str], key: str | None = "ticker",
                        digits: int | None = 4) -> DataFrame:
     """Pearson r for every ordered column pair (pairwise complete), long.
 
-    One aggregation computes each unordered pair once (``corr`` is a partial
-    aggregate); the mirrored pair reuses the value inside the same explode.
-    The per-pair expressions are written as SQL text, parsed once on the JVM
-    side: building hundreds of them as Python Column objects costs far more
-    than running them. Rounding and NaN -> NULL apply once, after the explode.
+    Each task turns its rows into one matrix of centred moments per key and
+    batch; the matrices of a key are merged pair by pair. The plan is the same
+    for any number of columns. Constant columns have no r.
     """
-    def q(c: str) -> str:
-        return "`" + c.replace("`", "``") + "`"
-
-    def lit(c: str) -> str:
-        return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-    pairs = list(combinations_with_replacement(cols, 2))
-    groups = [key] if key else []
-    agg = df.groupBy(*groups).agg(*[F.expr(f"corr({q(a)}, {q(b)}) AS _r{i}")
-                                    for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(f"named_struct('col_a', {lit(a)}, 'col_b', {lit(b)}, 'r', _r{i})")
-        if a != b:
-            entries.append(f"named_struct('col_a', {lit(b)}, 'col_b', {lit(a)}, 'r', _r{i})")
-    out = agg.selectExpr(*[q(g) for g in groups], f"explode(array({', '.join(entries)})) AS _p")
-    out = out.select(*groups, "_p.col_a", "_p.col_b", "_p.r")
-    out = out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
-    if digits is not None:
-        out = out.withColumn("r", round_half_even("r", digits))
-    return out
+    cols = list(cols)
+    k = len(cols)
+    keyed = df.select((F.col(f"`{key}`") if key else F.lit("")).cast("string").alias("_k"),
+                      *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+
+    def partial(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("_k", dropna=False, sort=False):
+                x = part.iloc[:, 1:].to_numpy(dtype=float)
+                yield pd.DataFrame({"_k": [None if pd.isna(name) else name], "m": [_moments(x).tobytes()]})
+
+    def finish(group, rows):
+        total = None
+        for raw in rows["m"]:
+            one = np.frombuffer(raw).reshape(6, k, k)
+            total = one if total is None else _merged(total, one)
+        scale = np.sqrt(np.maximum(total[3], 0) * np.maximum(total[4], 0))
+        # a variance that is rounding only is none
+        tiny = (total[3] <= 1e-14 * total[0] * total[1] ** 2) | (total[4] <= 1e-14 * total[0] * total[2] ** 2)
+        r = np.divide(total[5], scale, out=np.full((k, k), np.nan), where=(scale > 0) & ~tiny & (total[0] > 1))
+        return pd.DataFrame({"_k": group[0], "a": np.repeat(np.arange(k), k), "b": np.tile(np.arange(k), k),
+                             "r": np.clip(r.ravel(), -1, 1)})
+
+    out = (keyed.mapInPandas(partial, "_k string, m binary").groupBy("_k")
+           .applyInPandas(finish, "_k string, a int, b int, r double"))
+    names = F.array(*[F.lit(c) for c in cols])
+    out = out.select(*([F.col("_k").cast(df.schema[key].dataType).alias(key)] if key else []),
+                     F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"),
+                     F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    return out if digits is None else out.withColumn("r", round_half_even("r", digits))
 
 
 def latest_per_run(results: DataFrame, keys: Sequence[str] = ("ticker", "model"),

@@ -103,15 +103,15 @@ def align_asof(spark, sf):
 
 
 def wide_pivot(spark, sf):
-    """J1 over the whole ticker universe: months in which every ticker traded."""
-    universe = testdata.ticker_universe(spark, sf)
-    return align.wide_by_entity(testdata.prices(spark, sf), universe, rename=False)
+    """J1 over the whole ticker universe, in long form: the rows of the months
+    in which every ticker traded (a column a ticker is left to report edges)."""
+    return align.shared_periods(testdata.prices(spark, sf)).select("month", "ticker", "close")
 
 
 def wide_unpivot(spark, sf):
-    universe = testdata.ticker_universe(spark, sf)
-    wide = align.wide_by_entity(testdata.prices(spark, sf), universe, inner=False, rename=False)
-    return align.wide_to_long(wide, ["month"], universe, "ticker", "close")
+    """The wide indicator table back in long rows."""
+    wide = align.pivot_series(testdata.indicators(spark, sf), list(TEST_SERIES))
+    return align.wide_to_long(wide, ["month"], [safe_name(s) for s in TEST_SERIES])
 
 
 def range_slice(spark, sf):
@@ -296,8 +296,9 @@ def ks_drift_statistic_monthly(spark, sf):
 
 
 def ks_drift_test(spark, sf):
-    return drift.ks_drift(testdata.daily(spark, sf), "series_id", "day", "value",
-                          DRIFT_REF_END, window_days=DRIFT_DAYS)
+    res = drift.ks_drift(testdata.daily(spark, sf), "series_id", "day", "value",
+                         DRIFT_REF_END, window_days=DRIFT_DAYS, method="asymp")
+    return res.withColumn("p_value", F.round("p_value", 10))
 
 
 def ks_drift_flag(spark, sf):
@@ -305,7 +306,7 @@ def ks_drift_flag(spark, sf):
     the last 12 months up to each series' latest date (it may overlap the
     reference window); drift when p < 0.05."""
     res = drift.ks_drift(testdata.daily(spark, sf), "series_id", "day", "value",
-                         DRIFT_REF_END, window_months=12)
+                         DRIFT_REF_END, window_months=12, method="asymp")
     return res.select("series_id", "n_ref", "n_cur", "ks_statistic", "drift_detected")
 
 
@@ -369,16 +370,19 @@ def universe_sweep(spark, sf):
 
 
 def streaming_monthly_bars(spark, sf):
-    """Trades landed as files, read by a Structured Streaming aggregation;
-    the months the watermark has closed (all but the newest)."""
+    """Trades landed as files in two batches, the second with late ones, and
+    read by a stream; every month, the newest too."""
     import uuid
 
     from panelcast.session import ensure_checkpoint_dir
     from panelcast.streaming import bars
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/q-{uuid.uuid4().hex[:8]}"
-    bars.stage_ticks(testdata.price_ticks(spark, sf), f"{root}/feed")
-    bars.run_bars(spark, f"{root}/feed", f"{root}/bars", checkpoint=f"{root}/ck")
-    return spark.read.parquet(f"{root}/bars")
+    ticks = testdata.price_ticks(spark, sf)
+    late = F.pmod(F.col("seq"), F.lit(16)) == 9  # some trades of every month come in the second batch
+    for part, rows in (("a", ticks.where(~late)), ("b", ticks.where(late))):
+        bars.stage_ticks(rows, f"{root}/feed/{part}")
+        bars.run_bars(spark, f"{root}/feed/*", f"{root}/bars", checkpoint=f"{root}/ck")
+    return bars.read_bars(spark, f"{root}/bars")
 
 
 def streaming_drift_updates(spark, sf):

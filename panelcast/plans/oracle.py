@@ -301,17 +301,14 @@ SQL["align_inner"] = f"WITH {panel_inner_cte(ALL)}\nSELECT * FROM panel"
 
 SQL["align_asof"] = f"WITH {panel_asof_cte(ALL)}\nSELECT * FROM panel"
 
-# dynamic PIVOT (columns = every traded ticker); its value pre-pass cannot
-# see sibling CTEs, so the price bars are an inline subquery
-_pwide = (f"pwide AS (PIVOT (WITH {prices_cte()} SELECT ticker, month, close FROM prices) "
-          "ON ticker USING first(close) GROUP BY month)")
+SQL["wide_pivot"] = f"""WITH {prices_cte()},
+full_months AS (
+  SELECT month FROM prices WHERE close IS NOT NULL GROUP BY month
+  HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM prices))
+SELECT p.month, p.ticker, p.close FROM prices p JOIN full_months f ON p.month = f.month"""
 
-SQL["wide_pivot"] = (f"WITH {_pwide}\n"
-                     "SELECT * FROM pwide WHERE COLUMNS(* EXCLUDE (month)) IS NOT NULL")
-
-SQL["wide_unpivot"] = (f"WITH {_pwide}\n"
-                       "FROM pwide UNPIVOT INCLUDE NULLS "
-                       "(close FOR ticker IN (COLUMNS(* EXCLUDE (month))))")
+SQL["wide_unpivot"] = f"WITH {ind_cte()},\n{wide_cte('ind', ALL, 'ind_wide')}\n" + "\nUNION ALL\n".join(
+    f"SELECT month, {_q(safe_name(s))} AS series_id, {safe_name(s)} AS value FROM ind_wide" for s in ALL)
 
 SQL["range_slice"] = f"WITH {prices_cte(*SLICE)}\nSELECT * FROM prices"
 
@@ -402,7 +399,7 @@ SQL["backtest_signals"] = f"WITH {ols_backtest()}\nSELECT * FROM bt"
 
 SQL["signal_counts"] = f"WITH {ols_backtest()}\nSELECT ticker, model, signal, count(*) AS n FROM bt GROUP BY ALL"
 
-SQL["buy_sell_markers"] = (f"WITH {ols_backtest()}\nSELECT ticker, model, horizon, date, predicted, signal "
+SQL["buy_sell_markers"] = (f"WITH {ols_backtest()}\nSELECT ticker, model, horizon, date, actual, predicted, signal "
                            "FROM bt WHERE signal IN ('Buy', 'Sell')")
 
 SQL["metrics_summary"] = f"WITH {ols_backtest()}\n{metrics_sql()}"
@@ -468,6 +465,27 @@ SELECT series_id, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur
 FROM cum GROUP BY series_id, n_ref, n_cur"""
 
 
+def _ks_verdict_sql(current_start: str, columns: str) -> str:
+    return f"""WITH k AS ({_ks_sql(current_start)}),
+v AS (
+  SELECT *, CASE WHEN n_cur >= 6 AND n_ref > 0 THEN ks_statistic END AS d,
+         sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) * ks_statistic AS x FROM k),
+p AS (
+  SELECT *, CASE WHEN d IS NULL THEN NULL WHEN x <= 0 THEN 1.0
+    WHEN x < 1 THEN 1 - sqrt(2 * pi()) / x * list_sum(list_transform(range(1, 21), lambda k:
+      exp(-((2 * k - 1) * (2 * k - 1)) * pi() * pi() / (8 * x * x))))
+    ELSE 2 * list_sum(list_transform(range(1, 21), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * x * x)))
+    END AS raw FROM v),
+res AS (
+  SELECT series_id, n_ref, n_cur, d AS ks_statistic, round(greatest(0.0, least(1.0, raw)), 10) AS p_value,
+         CASE WHEN d IS NULL THEN 'none' ELSE 'asymp' END AS method,
+         coalesce(greatest(0.0, least(1.0, raw)) < 0.05, false) AS drift_detected FROM p)
+SELECT {columns} FROM res"""
+
+
+SQL["ks_drift_test"] = _ks_verdict_sql(f"lt.latest - {DRIFT_DAYS - 1}", "*")
+SQL["ks_drift_flag"] = _ks_verdict_sql("CAST(lt.latest - INTERVAL 11 MONTH AS DATE)",
+                                       "series_id, n_ref, n_cur, ks_statistic, drift_detected")
 SQL["ks_drift_statistic"] = _ks_sql(f"lt.latest - {DRIFT_DAYS - 1}")
 SQL["ks_drift_statistic_monthly"] = _ks_sql("CAST(lt.latest - INTERVAL 11 MONTH AS DATE)")
 
@@ -483,7 +501,6 @@ SELECT ticker, n, sxy / sxx AS gamma,
                           / (sxx / CAST(n AS DOUBLE))) AS adf_stat
 FROM g"""
 
-SQL["streaming_monthly_bars"] = (f"WITH {prices_cte()}\nSELECT * FROM prices "
-                                 "WHERE month < (SELECT max(month) FROM prices)")
+SQL["streaming_monthly_bars"] = SQL["monthly_price_bars"]
 
 SQL["streaming_drift_updates"] = SQL["ks_drift_statistic"]

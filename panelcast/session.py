@@ -6,6 +6,7 @@ session is taken as given, and only the knobs a local test run lacks are set.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -65,11 +66,8 @@ def configure(spark: SparkSession) -> None:
             spark.conf.set(key, value)
         except Exception:  # static conf on a shared session: leave it
             pass
-    try:
-        ensure_checkpoint_dir(spark)
-        ship_package(spark)
-    except Exception:  # e.g. a client session without a local SparkContext
-        pass
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 _SHIPPED: set[str] = set()
@@ -97,8 +95,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
-    On a cluster the setting names a shared, fault-tolerant folder. A local
-    fallback is created only when nothing is configured (unit tests).
+    On a cluster the setting names a shared, fault-tolerant folder, and there is
+    an error without it. Only a local master gets a folder of its own (tests);
+    it is removed when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -106,7 +105,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

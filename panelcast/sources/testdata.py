@@ -31,20 +31,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_RELATIONS: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet relation of a driver table.
-
-    The relation (file listing + footer schema, not data) is resolved once
-    per application and path; every query plans against the same relation.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    k = (spark.sparkContext.applicationId, path)
-    if k not in _RELATIONS:
-        _RELATIONS[k] = spark.read.parquet(path)
-    return _RELATIONS[k]
+    """The parquet relation of a driver table, as it is now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _as_date(value) -> dt.date | None:
@@ -100,19 +89,6 @@ def price_ticks(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataF
                       F.col("l_quantity").alias("qty")))
 
 
-def ticker_universe(spark: SparkSession, sf_dir: str) -> list[str]:
-    """Every ticker with at least one trade (one name per ticker).
-
-    A semi-join on the trades' part keys (one column of lineitem); the
-    result is the universe list, collected because wide layouts need their
-    column names at planning time.
-    """
-    li = table(spark, sf_dir, "lineitem").select("l_partkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    traded = part.join(li, part.p_partkey == li.l_partkey, "left_semi").select("p_brand").distinct()
-    return sorted(r[0] for r in traded.collect())
-
-
 def monthly_bars(ticks: DataFrame, key: str = "ticker", ts: str = "ts",
                  price: str = "price", qty: str = "qty", seq: str = "seq") -> DataFrame:
     """A2: one bar per (key, month): last price by (ts, seq), summed volume.

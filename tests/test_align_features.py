@@ -142,3 +142,15 @@ def test_exact_moments_treat_nan_as_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
     r = df.agg(exact_mean("v").alias("m"), exact_variance("v").alias("s2")).first()
     assert r.m == 2.0 and r.s2 == 2.0
+
+
+def test_exact_mean_keeps_small_and_large_values(spark):
+    from panelcast.functions.exact import exact_mean
+    df = spark.createDataFrame([("s", 0.00004), ("s", 0.00003), ("l", 2e14), ("l", 4e14)], "g string, v double")
+    assert rows(df.groupBy("g").agg(exact_mean("v").alias("m"))) == [("l", 3e14), ("s", 0.000035)]
+
+
+def test_shared_periods_equal_the_wide_inner_join(spark):
+    p = spark.createDataFrame([("A", D(2020, 1, 1), 1.0), ("B", D(2020, 1, 1), 2.0), ("A", D(2020, 2, 1), 3.0),
+                               ("A", D(2020, 3, 1), 4.0), ("B", D(2020, 3, 1), None)], "ticker string, month date, close double")
+    assert rows(align.shared_periods(p), "ticker", "month", "close") == [("A", D(2020, 1, 1), 1.0), ("B", D(2020, 1, 1), 2.0)]

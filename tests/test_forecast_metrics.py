@@ -138,7 +138,7 @@ def test_signal_counts_markers_topk(spark):
                                "ticker string, model string, horizon int, date date, actual double, "
                                "predicted double, current_price double, signal string")
     assert rows(metrics.signal_counts(bt), "signal", "n") == [("Buy", 1), ("Hold", 1), ("Sell", 1)]
-    assert metrics.markers(bt).count() == 2
+    assert rows(metrics.markers(bt), "signal", "actual", "predicted") == [("Buy", 1.0, 2.0), ("Sell", 1.0, 0.5)]
     m = spark.createDataFrame([("A", 1, 0.5), ("B", 1, 0.9), ("C", 1, 0.9), ("D", 1, None)],
                               "ticker string, horizon int, r2 double")
     assert [r.ticker for r in metrics.top_k(m, 3, "r2", ["ticker", "horizon"]).collect()] == ["B", "C", "A"]
@@ -199,3 +199,24 @@ def test_linear_importance_ranks_standardised_coefficients(spark):
     top = metrics.top_k_per_group(imp, 2, ["ticker"], "importance", ["feature"])
     assert [r.feature for r in top.orderBy("rank").collect()] == ["f2", "f0"]
     assert sum(r.importance for r in imp.collect()) == pytest.approx(1.0)
+
+
+def test_correlation_of_many_columns_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, k = 90, 40
+    x = rng.normal(size=(n, k)) * 3 + 1e7
+    x[:, 1] = x[:, 0] * 2 + 1
+    x[:, 2] = 5.0
+    hole = rng.random((n, k)) < 0.1
+    recs = [("AB"[i % 2], *[None if hole[i, j] else float(x[i, j]) for j in range(k)]) for i in range(n)]
+    cols = [f"c{j}" for j in range(k)]
+    df = spark.createDataFrame(recs, "ticker string, " + ", ".join(f"{c} double" for c in cols)).repartition(5)
+    got = {(r.ticker, r.col_a, r.col_b): r.r for r in metrics.correlation_matrix(df, cols, digits=None).collect()}
+    assert len(got) == 2 * k * k
+    for t, first in (("A", 0), ("B", 1)):
+        for i in (0, 1, 2, 7):
+            for j in range(k):
+                ok = ~hole[first::2, i] & ~hole[first::2, j]
+                a, b = x[first::2, i][ok], x[first::2, j][ok]
+                want = None if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
+                assert got[(t, f"c{i}", f"c{j}")] == (None if want is None else pytest.approx(want, abs=1e-9))
