@@ -80,13 +80,17 @@ def align_asof(prices: DataFrame, indicators: DataFrame, ids: Sequence[str],
     """For each price month, the latest observation at or before it.
 
     Spark has no ASOF join; this is the equi-join form: expand each
-    observation over its validity months, pivot, join on month. The horizon
-    is the last price month, a scalar subquery (no cross join).
+    observation over its validity months, pivot, join on month. Series are
+    carried to the last month of any of them, a scalar subquery over the
+    indicators; later price months take the row of that month. So the trades
+    behind ``prices`` are read once.
     """
-    until = prices.select(F.max("month")).scalar()
     ind = indicators.where(F.col("series_id").isin(list(ids)))
-    wide = pivot_series(asof_expand(ind, until), ids)
-    return prices.join(wide, on="month", how=how)
+    until = ind.select(F.max("month")).scalar()
+    wide = pivot_series(asof_expand(ind, until), ids).withColumnRenamed("month", "_asof")
+    keyed = prices.withColumn("_until", until).withColumn("_asof", F.least("month", "_until")).drop("_until")
+    order = [*prices.columns, *[c for c in wide.columns if c != "_asof"]]
+    return keyed.join(wide, on="_asof", how=how).select(*order)
 
 
 def shared_periods(panel: DataFrame, key: str = "ticker", month: str = "month",

@@ -86,9 +86,18 @@ def month_grid(df: DataFrame, keys: Sequence[str], month: str = "month",
 
 def reindex_months(df: DataFrame, keys: Sequence[str], month: str = "month",
                    end: Column | None = None) -> DataFrame:
-    """Left join of the data onto its own monthly grid (gaps become NULL rows)."""
-    grid = month_grid(df, keys, month, end)
-    return grid.join(df, on=[*keys, month], how="left")
+    """The data on its own monthly grid (gaps become NULL rows).
+
+    Each row is followed by the months up to the key's next row, so the data is
+    read once and shuffled once.
+    """
+    w = Window.partitionBy(*keys).orderBy(month)
+    last = F.col(month) if end is None else F.greatest(F.col(month), end)
+    upto = F.greatest(F.col(month), F.coalesce(F.add_months(F.lead(month).over(w), -1), last))
+    values = [c for c in df.columns if c not in (*keys, month)]
+    spread = df.withColumn("_to", upto).select(*keys, F.col(month).alias("_own"), *values, F.explode(
+        F.sequence(F.col(month), F.col("_to"), F.expr("INTERVAL 1 MONTH"))).alias(month))
+    return spread.select(*keys, month, *[F.when(F.col(month) == F.col("_own"), F.col(f"`{c}`")).alias(c) for c in values])
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str,

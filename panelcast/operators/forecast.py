@@ -184,9 +184,12 @@ def bias_correct(scored: DataFrame, predicted: str = "predicted", actual: str =
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+    """Feature vectors of the rows that have every feature."""
     from pyspark.ml.feature import VectorAssembler
+
+    from panelcast.operators.clean import drop_missing
     return VectorAssembler(inputCols=list(features), outputCol=out,
-                           handleInvalid="skip").transform(df)
+                           handleInvalid="error").transform(drop_missing(df, features))
 
 
 def gbt_forecast(df: DataFrame, features: Sequence[str], y: str = "y",

@@ -39,25 +39,31 @@ def min_rows(df: DataFrame, minimum: int, key: str = "ticker") -> DataFrame:
     return df.withColumn("_n", n).where(F.col("_n") >= minimum).drop("_n")
 
 
-def scaler_stats(df: DataFrame, features: Sequence[str], key: str = "ticker",
+def scaler_table(df: DataFrame, features: Sequence[str], key: str = "ticker",
                  train_flag: str = "is_test") -> DataFrame:
-    """Train-only mean and population std per (key, feature), long form.
-
-    Zero (or undefined) std becomes 1, as a standard scaler does. One
-    aggregation pass with partial aggregation for all features at once.
-    """
+    """Train-only mean and population std, one row per key with
+    ``{feature}__mean`` and ``{feature}__std`` (a zero or undefined std is 1)."""
     train = F.col(train_flag) == F.lit(False)
     aggs = []
     for f in features:
         v = F.when(train, F.col(f))
         aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std")]
     wide = df.groupBy(key).agg(*aggs)
+    return wide.withColumns({f"{f}__std": F.when(F.col(f"{f}__std") != 0, F.col(f"{f}__std")).otherwise(F.lit(1.0))
+                             for f in features})
+
+
+def scaler_stats(df: DataFrame, features: Sequence[str], key: str = "ticker",
+                 train_flag: str = "is_test") -> DataFrame:
+    """Train-only mean and population std per (key, feature), long form.
+
+    Zero (or undefined) std becomes 1, as a standard scaler does. One
+    aggregation pass with partial aggregation for all features at once.
+    """
+    wide = scaler_table(df, features, key, train_flag)
     pairs = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__mean").alias("mean"),
                       F.col(f"{f}__std").alias("std")) for f in features]
-    long = wide.select(key, F.explode(F.array(*pairs)).alias("s")).select(key, "s.*")
-    return long.withColumn(
-        "std", F.when((F.col("std").isNull()) | (F.col("std") == 0), F.lit(1.0))
-                .otherwise(F.col("std")))
+    return wide.select(key, F.explode(F.array(*pairs)).alias("s")).select(key, "s.*")
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str],
@@ -79,11 +85,7 @@ def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str],
 def target_scaling(df: DataFrame, y: str = "y", key: str = "ticker",
                    train_flag: str = "is_test") -> DataFrame:
     """y_mean / y_std from train rows; y_scaled and its inverse y_back."""
-    train = F.col(train_flag) == F.lit(False)
-    stats = df.groupBy(key).agg(F.avg(F.when(train, F.col(y))).alias("y_mean"),
-                                F.stddev_pop(F.when(train, F.col(y))).alias("y_std"))
-    stats = stats.withColumn("y_std", F.when((F.col("y_std").isNull()) | (F.col("y_std") == 0),
-                                             F.lit(1.0)).otherwise(F.col("y_std")))
+    stats = scaler_table(df, [y], key, train_flag).withColumnsRenamed({f"{y}__mean": "y_mean", f"{y}__std": "y_std"})
     out = df.join(stats, on=key, how="left")
     out = out.withColumn("y_scaled", (F.col(y) - F.col("y_mean")) / F.col("y_std"))
     return out.withColumn("y_back", inverse_scale("y_scaled"))

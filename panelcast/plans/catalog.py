@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.exact import exact_mean, exact_stddev
 from panelcast.functions.numeric import order_key, round_half_even, safe_name, to_double
 from panelcast.operators import align, clean, drift, features, forecast, metrics, split
 from panelcast.plans import pipeline
@@ -192,24 +191,14 @@ def chrono_split(spark, sf):
 
 
 def train_scaler(spark, sf):
-    sup = _supervised(spark, sf)
-    train = F.col("is_test") == F.lit(False)
-    aggs = []
-    for c in ("close", "volume", "y"):
-        v = F.when(train, F.col(c))
-        aggs += [exact_mean(v).alias(f"{c}_mean"), exact_stddev(v, ddof=0).alias(f"{c}_std")]
-    out = sup.groupBy("ticker").agg(*aggs)
-    return out.withColumns({f"{c}_std": F.when(F.col(f"{c}_std") == 0, F.lit(1.0))
-                            .otherwise(F.col(f"{c}_std")) for c in ("close", "volume", "y")})
+    cols = ("close", "volume", "y")
+    stats = split.scaler_table(_supervised(spark, sf), cols)
+    return stats.select("ticker", *[round_half_even(f"{c}__{k}", 6).alias(f"{c}_{k}") for c in cols for k in ("mean", "std")])
 
 
 def target_scaling_roundtrip(spark, sf):
-    sup = _supervised(spark, sf)
-    stats = train_scaler(spark, sf).select("ticker", F.col("y_mean"), F.col("y_std"))
-    out = sup.join(stats, on="ticker").withColumn(
-        "y_scaled", (F.col("y") - F.col("y_mean")) / F.col("y_std"))
-    out = out.withColumn("y_back", split.inverse_scale("y_scaled"))
-    return out.select("ticker", "month", "y", "y_scaled",
+    out = split.target_scaling(_supervised(spark, sf))
+    return out.select("ticker", "month", "y", round_half_even("y_scaled", 6).alias("y_scaled"),
                       round_half_even("y_back", 4).alias("y_back"))
 
 
@@ -342,6 +331,12 @@ def rf_feature_importance(spark, sf):
     return metrics.top_k(imp, 10, "importance", ["feature"])
 
 
+def cv_folds(spark, sf):
+    """The contiguous fold of every training row."""
+    sup = _supervised(spark, sf).where(~F.col("is_test"))
+    return forecast.fold_ids(sup, 5).select("ticker", "month", "fold")
+
+
 def cv_r2(spark, sf):
     ft = pipeline.supervised(feature_table(spark, sf), 1).where(~F.col("is_test"))
     return forecast.cv_r2(ft, E1.feature_list(), label="close")
@@ -422,7 +417,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
     ks_drift_statistic, ks_drift_statistic_monthly, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
-    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_r2, cv_ols_r2, ticker_top_features,
+    multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_folds, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,
 )}

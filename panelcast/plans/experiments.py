@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import forecast, metrics
+from panelcast.operators import forecast, metrics, split
 from panelcast.plans import pipeline
 from panelcast.plans.pipeline import Experiment
 from panelcast.session import cut_lineage
@@ -51,6 +51,7 @@ def run_experiment(prices: DataFrame, indicators: DataFrame, exp: Experiment,
     present = [c for c in exp.feature_list() if c in feat.columns]
     bts = []
     for h in exp.horizons:  # a short config list
+        feat = split.min_rows(feat, h + 2)  # P16: a target, a train and a test row at least
         if model == "linear":
             bt = pipeline.ols_multi_backtest(feat, present, h, test_size=exp.test_size,
                                              neutral=exp.neutral)

@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators import forecast, metrics
+from panelcast.operators.clean import drop_missing, require_columns
 from panelcast.plans import pipeline
-from panelcast.session import ensure_checkpoint_dir
+from panelcast.session import cut_lineage, ensure_checkpoint_dir
+from panelcast.sources import sinks
 
 
 def train_pipeline(train: DataFrame, features: list[str], label: str = "y"):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"),
+    stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="error"),
               StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
               LinearRegression(featuresCol="features", labelCol=label, predictionCol="predicted",
                                regParam=0.0, solver="normal")]
-    return Pipeline(stages=stages).fit(train)
+    return Pipeline(stages=stages).fit(drop_missing(train, [*features, label]))
 
 
 def save_model(model, spark: SparkSession, name: str) -> str:
@@ -36,8 +38,24 @@ def save_model(model, spark: SparkSession, name: str) -> str:
 
 
 def score_with_saved(spark: SparkSession, path: str, data: DataFrame) -> DataFrame:
+    """Predictions of a saved model; rows that lack one of its features are left out."""
     from pyspark.ml import PipelineModel
-    return PipelineModel.load(path).transform(data).drop("raw", "features")
+    model = PipelineModel.load(path)
+    inputs = model.stages[0].getInputCols()
+    return model.transform(drop_missing(require_columns(data, inputs), inputs)).drop("raw", "features")
+
+
+def monitor(spark: SparkSession, model_path: str, data: DataFrame, name: str = "LinearRegression",
+            log_root: str | None = None) -> DataFrame:
+    """Score new data (features and the observed ``y``) with an existing model:
+    bias and directional accuracy per ticker, also appended to the run log (K6)."""
+    scored = score_with_saved(spark, model_path, data)
+    res = metrics.bias_directional(forecast.backtest(scored, name, 1, neutral="", test_flag=None))
+    if log_root:
+        res = cut_lineage(res)
+        runs = res.select(F.concat_ws("_", "ticker", "model").alias("run_name"), "bias", "directional_accuracy")
+        sinks.log_metrics_table(runs, log_root)
+    return res
 
 
 def score_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +66,4 @@ def score_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = exp.feature_list()
     model = train_pipeline(sup.where(~F.col("is_test")), feats)
     path = save_model(model, spark, "linear")
-    scored = score_with_saved(spark, path, sup.where(F.col("is_test")))
-    bt = forecast.backtest(scored, "LinearRegression", 1, neutral="", test_flag=None)
-    return metrics.bias_directional(bt)
+    return monitor(spark, path, sup.where(F.col("is_test")))

@@ -383,14 +383,16 @@ def _scaler_select(src: str = "sup") -> str:
     return f"SELECT ticker, {', '.join(parts)} FROM {src} GROUP BY ticker"
 
 
-SQL["train_scaler"] = f"WITH {e1_features()},\n{sup_cte(1)}\n{_scaler_select()}"
+SQL["train_scaler"] = (f"WITH {e1_features()},\n{sup_cte(1)},\nst AS ({_scaler_select()})\nSELECT ticker, "
+                       + ", ".join(f"{rnd(f'{c}_{k}', 6)} AS {c}_{k}" for c in ("close", "volume", "y") for k in ("mean", "std"))
+                       + " FROM st")
 
 SQL["target_scaling_roundtrip"] = f"""WITH {e1_features()},
 {sup_cte(1)},
 st AS ({_scaler_select()}),
 sc AS (SELECT s.ticker, s.month, s.y, (s.y - st.y_mean) / st.y_std AS y_scaled, st.y_mean, st.y_std
        FROM sup s JOIN st ON s.ticker = st.ticker)
-SELECT ticker, month, y, y_scaled, {rnd("y_scaled * y_std + y_mean")} AS y_back FROM sc"""
+SELECT ticker, month, y, {rnd("y_scaled", 6)} AS y_scaled, {rnd("y_scaled * y_std + y_mean")} AS y_back FROM sc"""
 
 SQL["ols_forecast"] = (f"WITH {e1_features()},\n{sup_cte(1)},\n{ols_cte()}\n"
                        "SELECT ticker, month, close, y, predicted FROM scored WHERE is_test")
@@ -504,3 +506,12 @@ FROM g"""
 SQL["streaming_monthly_bars"] = SQL["monthly_price_bars"]
 
 SQL["streaming_drift_updates"] = SQL["ks_drift_statistic"]
+
+# numpy's array_split sizes: the first n % 5 folds hold one row more
+SQL["cv_folds"] = f"""WITH {e1_features()},
+{sup_cte(1)},
+f AS (
+  SELECT ticker, month, row_number() OVER (PARTITION BY ticker ORDER BY month) - 1 AS i,
+         count(*) OVER (PARTITION BY ticker) AS n FROM sup WHERE NOT is_test)
+SELECT ticker, month, CAST(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+       ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM f"""

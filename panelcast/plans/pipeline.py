@@ -100,6 +100,8 @@ def align_frames(prices: DataFrame, indicators: DataFrame, exp: Experiment,
 def features_from(prices: DataFrame, indicators: DataFrame, exp: Experiment,
                   check_present: bool = True) -> DataFrame:
     """Feature table of one experiment from any (prices, indicators) frames."""
+    clean.require_columns(prices, ["ticker", "month", "close", "volume"])
+    clean.require_columns(indicators, ["series_id", "month", "value"])
     panel, ids = align_frames(prices, indicators, exp, check_present)
     ind_cols = [safe_name(s) for s in ids]
     lag_cols = (["volume"] if exp.lag_volume else []) + ind_cols
@@ -108,17 +110,6 @@ def features_from(prices: DataFrame, indicators: DataFrame, exp: Experiment,
                                    lag_target=exp.lag_target, warmup=exp.warmup)
 
 
-def aligned_panel(spark: SparkSession, sf_dir: str, exp: Experiment,
-                  check_present: bool = True) -> tuple[DataFrame, list[str]]:
-    """Test-data prices aligned with the experiment's indicators."""
-    prices = load_prices(spark, sf_dir, exp)
-    if exp.align == "asof":
-        ind = testdata.quarterly(spark, sf_dir, None, exp.end)  # earlier values carry in
-    else:
-        ind = testdata.indicators(spark, sf_dir, exp.start, exp.end)
-    return align_frames(prices, ind, exp, check_present)
-
-
 def feature_table(spark: SparkSession, sf_dir: str, exp: Experiment,
                   check_present: bool = True) -> DataFrame:
     prices = load_prices(spark, sf_dir, exp)

@@ -51,3 +51,10 @@ def test_no_cross_products_in_any_sql_checked_query(spark):
         plan = _plan(entry.queries()[name](spark, SF))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["forward_fill", "back_fill", "null_counts", "drop_missing", "align_asof",
+                                  "feature_table_backfilled", "feature_table", "correlation_matrix"])
+def test_trades_are_read_once(spark, name):
+    plan = _plan(catalog.QUERIES[name](spark, SF)).split("Initial Plan")[0]
+    assert sum("FileScan parquet" in ln and "l_shipdate" in ln for ln in plan.splitlines()) == 1
