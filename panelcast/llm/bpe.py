@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from .common import extended, non_null_text, text_slices, tokenizer_spec, with_c
 
 LEAF_BYTES = 2048        # an unsplit run up to this is merged at once
 JOIN_TOKENS = 8          # first window on each side of a join
-TABLE_WORDS = 600_000    # distinct pre-tokens kept by a Python worker
+TABLE_WORDS = 200_000    # distinct pre-tokens in each of a worker's two tables
 LONG_CHARS = 200_000     # texts above are cut into pieces
 PIECE_CHARS = 50_000
 _MARK = b"\xff"          # stands for the word end; never a byte of UTF-8
@@ -47,16 +48,33 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """Results of ``make`` by pre-token. When full, it becomes the older of two
+    tables, from which what is used again comes back; very long ones aren't kept."""
+
+    def __init__(self, make, size: int = TABLE_WORDS, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def __missing__(self, word: bytes):
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file with byte-level symbols."""
 
     def __init__(self, spec: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.spec = spec
         conf = json.loads(spec)
         model = conf["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -90,7 +108,17 @@ class Codec:
         self.ids = ids[used]
         self.merge = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", special_tokens={},
                                        mergeable_ranks={t: dense[r] for t, r in ranks.items()})._core_bpe
-        self.table: dict[bytes, bytes] = {}
+        self.table = Recent(self.tree_bytes)
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's object, made when a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_str(self.spec)
+        found.no_padding()
+        found.no_truncation()
+        return found
 
     def raw(self, token: str) -> bytes:
         """Bytes of a vocabulary string, its word end as the mark."""
@@ -126,18 +154,14 @@ class Codec:
                 return np.concatenate([left[:-a], window, right[b:]])
             n *= 2
 
+    def tree_bytes(self, word: bytes) -> bytes:
+        return self.tree(word).tobytes()
+
     def word(self, word: bytes) -> bytes:
-        """Little-endian ids of a pre-token, from the table where it is kept."""
-        found = self.table.get(word)
-        if found is None:
-            found = self.tree(word).tobytes()
-            if len(word) <= 64:
-                if len(self.table) >= TABLE_WORDS:
-                    self.table.clear()
-                self.table[word] = found
-        return found
+        """Little-endian ids of a pre-token."""
+        return self.table[word]
 
-    def odd(self, text: str, open_left: bool = False, open_right: bool = False) -> bytes:
+    def odd(self, text: str) -> bytes:
         """Ids of a text with rare characters or the text of special tokens."""
         out = []
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
@@ -169,10 +193,14 @@ class Codec:
         if not len(words):
             return pa.array([b""] * len(col), pa.binary())
         coded = words.dictionary_encode()
-        ids = pa.array(list(map(self.word, coded.dictionary.to_pylist())), pa.binary()).take(coded.indices)
+        ids = pa.array(list(map(self.table.__getitem__, coded.dictionary.to_pylist())), pa.binary()).take(coded.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[first]
         return pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends.copy()), ids.buffers()[2]])
 
+    @cached_property
+    def spaced(self) -> pa.Array:
+        return pa.array([s + " " for s in self.strings], pa.large_string())
+
     def decode(self, col: pa.Array) -> pa.Array:
         """Vocabulary strings of little-endian 32-bit ids, joined by spaces
         (what a tokenizer file without a decoder gives)."""
@@ -180,8 +208,6 @@ class Codec:
         if offsets[0] == offsets[-1]:
             return pa.array([""] * len(col), pa.string())
         ids = np.frombuffer(col.buffers()[2], np.uint32)[offsets[0]: offsets[-1]]
-        if not hasattr(self, "spaced"):
-            self.spaced = pa.array([s + " " for s in self.strings], pa.large_string())
         text = self.spaced.take(pa.array(ids))
         ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1)[offsets - offsets[0]]
         whole = pa.Array.from_buffers(pa.large_string(), len(col), [None, pa.py_buffer(ends.copy()), text.buffers()[2]])

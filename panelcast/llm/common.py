@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from panelcast.session import configure, ensure_checkpoint_dir
 
 #: Text handled at once inside a Python task; a longer single document is handled alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

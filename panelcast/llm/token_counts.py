@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .bpe import Codec, codec
+from .bpe import Codec, Recent, codec
 from .common import extended, non_null_text, text_slices, tokenizer_spec, with_columns
 
 CONTEXT_TOKENS = 1024
-_COUNTS: dict[int, dict[bytes, int]] = {}
+_COUNTS: dict[int, Recent] = {}
 
 
 def whole_tokens(spec: str) -> list[bytes]:
@@ -52,18 +52,7 @@ def whole_tokens(spec: str) -> list[bytes]:
             if e.ids == [i] and len(library.pre_tokenizer.pre_tokenize_str(text)) == 1]
 
 
-def _count(codec: Codec, table: dict[bytes, int], word: bytes) -> int:
-    n = table.get(word)
-    if n is None:
-        n = len(codec.tree(word))
-        if len(word) <= 64:
-            if len(table) >= 1_000_000:
-                table.clear()
-            table[word] = n
-    return n
-
-
-def _column(codec: Codec, whole: frozenset[bytes], table: dict[bytes, int], col: pa.Array) -> np.ndarray:
+def _column(codec: Codec, whole: frozenset[bytes], table: Recent, col: pa.Array) -> np.ndarray:
     """Token counts of a column without nulls."""
     plain = pretokens.plain_rows(col, list(codec.special))
     out = np.zeros(len(col), np.int64)
@@ -73,7 +62,7 @@ def _column(codec: Codec, whole: frozenset[bytes], table: dict[bytes, int], col:
     words, first = pretokens.split(texts, codec.kind)
     if len(words):
         coded = words.dictionary_encode()
-        sizes = np.array([1 if w in whole else _count(codec, table, w) for w in coded.dictionary.to_pylist()], np.int64)
+        sizes = np.array([1 if w in whole else table[w] for w in coded.dictionary.to_pylist()], np.int64)
         total = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])[first]
         out[plain] = np.diff(total)
     return out
@@ -87,7 +76,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "
 
     def run(batches):
         c, whole = codec(spec.value), proven.value
-        table = _COUNTS.setdefault(hash(spec.value), {})
+        table = _COUNTS.setdefault(hash(spec.value), Recent(lambda word: len(c.tree(word))))
         for batch in text_slices(batches, text):
             col = non_null_text(batch.column(batch.schema.get_field_index(text)))
             yield with_columns(batch, {n_tokens: pa.array(_column(c, whole, table, col))})

@@ -219,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
         if keys:
             yield flush()
 
-    rows = (sharded.select("shard", "doc_id", "ids").repartition(max(len(base), 1), "shard")
+    rows = (sharded.select("shard", "doc_id", "ids").repartition(max(2 * len(base), 1), "shard")
             .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
             .mapInArrow(encoded, "shard int, record binary")
             .withColumn("shard", F.format_string("%08d", "shard")))
