@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 NGRAM = 5
 SCALE = 8  # one shingle hash in so many is kept
-RANGES = 256
+COARSE = 256           # ranges of ids by quantiles, and
+RANGE_BYTES = 32 << 20  # text in one of their even parts
 
 
 def _let(value: Column, body) -> Column:
@@ -83,27 +84,44 @@ def add_sketch(df: DataFrame, text: str = "text", to: str = "sketch", n: int = N
     return df.withColumn(to, sketch(F.coalesce(F.col(f"`{text}`"), F.lit("")), n, scale))
 
 
-def with_next(df: DataFrame, ranges: int = RANGES) -> DataFrame:
+def id_ranges(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTES) -> tuple[Column, int]:
+    """Number of each row's range of doc_id, 0 for the highest, and how many
+    there are: about one for ``range_bytes`` of text.
+
+    Quantiles cut the ids into ``coarse`` ranges, and each of them is cut evenly.
+    """
+    cuts = F.lit([k / coarse for k in range(1, coarse)])
+    r = df.agg(F.percentile_approx("doc_id", cuts, 100 * coarse).alias("cuts"), F.min("doc_id").alias("low"),
+               F.max("doc_id").alias("high"), F.sum(F.octet_length("text").cast("double")).alias("size")).first()
+    if r["high"] is None:
+        return F.lit(0), 1
+    fine = max(1, -(-int(r["size"] or 0) // (coarse * range_bytes)))
+    falling = sorted(set(r["cuts"]) - {r["low"]}, reverse=True)
+    tops = F.array(*[F.lit(float(x)) for x in [r["high"] + 1, *falling]])
+    ends = F.array(*[F.lit(float(x)) for x in [*falling, r["low"]]])
+    at = F.size(F.filter(ends, lambda x: x > F.col("doc_id")))
+    top, end = F.get(tops, at), F.get(ends, at)
+    inner = F.floor((top - 1 - F.col("doc_id")) * fine / (top - end))
+    n = fine * (len(falling) + 1)
+    return F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(
+        at * fine + F.greatest(F.lit(0), F.least(inner, F.lit(fine - 1)))).cast("int"), n + 1
+
+
+def with_next(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, sketch, next) of every row; ``next`` is a struct (text,
     sketch) of the next row by falling doc_id.
 
     Rows are dealt to ranges of ids, and a window orders each range. The first
     row of a range is also shown, as a guest, to the range above it, whose last
-    row it follows; the list of those rows has one entry a range.
+    row it follows. That list has one id for ``range_bytes`` of text.
     """
     spark = df.sparkSession
     df = df.select("doc_id", "text")
-    cuts = F.lit([k / ranges for k in range(1, ranges)])
-    bounds = sorted(set(df.agg(F.percentile_approx("doc_id", cuts, 100 * ranges)).first()[0] or []))
-    # range 0 holds the highest ids, with which the order begins; null ids are the lowest
-    steps = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.size(F.filter(steps, lambda b: b > F.col("doc_id"))))
+    part, _ = id_ranges(df, coarse, range_bytes)
     placed = df.withColumn("part", part)
     tops = sorted((r["part"], r["top"]) for r in placed.groupBy("part").agg(F.max("doc_id").alias("top")).collect())
     follows = [(tops[k][0], tops[(k + 1) % len(tops)][1]) for k in range(len(tops))]
     heads = spark.createDataFrame(follows, "part int, head long")
-    # one row a range, so it can be shown to every task
     guests = (df.join(F.broadcast(heads), df["doc_id"].eqNullSafe(heads["head"]))
               .groupBy("part", "doc_id").agg(F.max("text").alias("text")).select("doc_id", "text", "part"))
     rows = add_sketch(placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))

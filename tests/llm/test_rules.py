@@ -107,6 +107,16 @@ def test_fingerprints_equal_brute_force(spark, no_docs):
     assert fingerprint.report(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("coarse, size", [(256, 1 << 25), (4, 20), (3, 1)])
+def test_next_rows_across_any_ranges(spark, coarse, size):
+    random.seed(coarse)
+    ids = random.sample(range(-10**6, 10**6), 60) + [10**15, None, 7 * 10**8]
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: r["next"]["text"] for r in fingerprint.with_next(docs, coarse, size).collect()}
+    order = sorted(ids, key=lambda i: (i is not None, i or 0), reverse=True)
+    assert got == {i: f"text of {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+
+
 def test_odd_rows_and_merged_sketches(spark, odd_docs):
     rows = fingerprint.report(odd_docs).collect()
     assert len(rows) == odd_docs.count()
