@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from panelcast.functions import stats
 from panelcast.functions.exact import exact_comoment
 from panelcast.functions.numeric import nan_to_null
+from panelcast.session import cut_lineage
 
 
 def _latest_join(df: DataFrame, key: str, date: str) -> DataFrame:
@@ -80,9 +81,10 @@ def ks_statistic(df: DataFrame, key: str, date: str, value: str, reference_end,
     """
     coarse, fine = (buckets, 1) if isinstance(buckets, int) else buckets
     tagged = tag_samples(df, key, date, value, reference_end, window_months, window_days)
-    counts = (tagged.groupBy(key, "v")
-                    .agg(F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"))
-                    .where((F.col("c_ref") > 0) | (F.col("c_cur") > 0)))
+    # read by both levels of cut points, the totals and the running sums
+    counts = cut_lineage(tagged.groupBy(key, "v")
+                         .agg(F.sum("c_ref").alias("c_ref"), F.sum("c_cur").alias("c_cur"))
+                         .where((F.col("c_ref") > 0) | (F.col("c_cur") > 0)))
     totals = counts.groupBy(key).agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
     b = _quantile_bucket(counts, [key], "v", coarse, "_b1")
     if fine > 1:

@@ -24,7 +24,11 @@ from panelcast.operators.split import apply_scaler, scaler_stats
 # ---------------------------------------------------------------------------
 
 
-def fit_ols_single(df: DataFrame, x: str, y: str = "y", key: str = "ticker",
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def fit_ols_single(df: DataFrame, x: str, y: str = "y", key: str | Sequence[str] = "ticker",
                    train_flag: str = "is_test", scale: int = 4) -> DataFrame:
     """G5 (one feature): per key slope/intercept on the train rows.
 
@@ -32,7 +36,7 @@ def fit_ols_single(df: DataFrame, x: str, y: str = "y", key: str = "ticker",
     least squares, as a scaled linear regression gives).
     """
     train = df.where(F.col(train_flag) == F.lit(False))
-    g = train.groupBy(key).agg(
+    g = train.groupBy(*_keys(key)).agg(
         exact_comoment(x, y, scale).cast("double").alias("_sxy"),
         exact_comoment(x, x, scale).cast("double").alias("_sxx"),
         exact_sum(x, scale).cast("double").alias("_sx"),
@@ -42,12 +46,12 @@ def fit_ols_single(df: DataFrame, x: str, y: str = "y", key: str = "ticker",
     g = g.withColumn("slope", slope)
     g = g.withColumn("intercept",
                      (F.col("_sy") - F.col("slope") * F.col("_sx")) / F.col("n_train").cast("double"))
-    return g.select(key, "slope", "intercept", "n_train")
+    return g.select(*_keys(key), "slope", "intercept", "n_train")
 
 
-def predict_single(df: DataFrame, coef: DataFrame, x: str, key: str = "ticker",
+def predict_single(df: DataFrame, coef: DataFrame, x: str, key: str | Sequence[str] = "ticker",
                    out: str = "predicted") -> DataFrame:
-    return (df.join(coef.select(key, "slope", "intercept"), on=key, how="inner")
+    return (df.join(coef.select(*_keys(key), "slope", "intercept"), on=_keys(key), how="inner")
               .withColumn(out, F.col("intercept") + F.col("slope") * F.col(x))
               .drop("slope", "intercept"))
 
@@ -146,15 +150,19 @@ def signal_expr(predicted, current, threshold: float = 5.0, neutral: str = "Hold
              .otherwise(F.lit(neutral)))
 
 
-def backtest(scored: DataFrame, model: str, horizon: int, key: str = "ticker",
+def backtest(scored: DataFrame, model: str, horizon: int | str, key: str = "ticker",
              date: str = "month", actual: str = "y", predicted: str = "predicted",
              current: str = "close", threshold: float = 5.0, neutral: str = "Hold",
-             test_flag: str | None = "is_test") -> DataFrame:
-    """(ticker, model, horizon, date, actual, predicted, current_price, signal)."""
+             test_flag: str | None = "is_test", runs: Sequence[str] = ()) -> DataFrame:
+    """(ticker, model, horizon, date, actual, predicted, current_price, signal).
+
+    ``horizon`` is a number, or the name of the column that holds it; ``runs``
+    are further columns that name the run and come first.
+    """
     rows = scored.where(F.col(test_flag)) if test_flag else scored
     return rows.select(
-        F.col(key).alias("ticker"), F.lit(model).alias("model"),
-        F.lit(int(horizon)).alias("horizon"), F.col(date).alias("date"),
+        *runs, F.col(key).alias("ticker"), F.lit(model).alias("model"),
+        (F.col(horizon) if isinstance(horizon, str) else F.lit(int(horizon))).alias("horizon"), F.col(date).alias("date"),
         F.col(actual).alias("actual"), F.col(predicted).alias("predicted"),
         F.col(current).alias("current_price"),
         signal_expr(predicted, current, threshold, neutral).alias("signal"))

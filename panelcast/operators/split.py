@@ -18,7 +18,18 @@ def add_target(df: DataFrame, target: str = "close", horizon: int = 1,
               .where(F.col(name).isNotNull()))
 
 
-def chrono_split(df: DataFrame, test_size: float = 0.2, key: str = "ticker",
+def add_targets(df: DataFrame, horizons: Sequence[int], target: str = "close",
+                key: str | Sequence[str] = "ticker", order: str = "month", name: str = "y") -> DataFrame:
+    """W2 + P9 for several horizons: one row for each row and ``horizon`` that
+    has a target; all leads share one window."""
+    w = panel_window(key, order)
+    wide = df.select("*", *[lead_expr(target, h, w, f"_y{h}") for h in horizons])
+    pairs = F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.col(f"_y{h}").alias(name)) for h in horizons])
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(pairs).alias("_p")).select(
+        *[F.col(f"`{c}`") for c in df.columns], "_p.*").where(F.col(name).isNotNull())
+
+
+def chrono_split(df: DataFrame, test_size: float = 0.2, key: str | Sequence[str] = "ticker",
                  order: str = "month", flag: str = "is_test") -> DataFrame:
     """Per key, the last ceil(test_size * n) rows (in time) are the test set.
 

@@ -254,18 +254,9 @@ def horizon_grid(spark, sf):
 
 
 def experiment_suite(spark, sf):
-    # bars and indicators are built once (one raw scan) and materialised; the
-    # experiments then filter that monthly table instead of re-scanning trades
-    from panelcast.session import cut_lineage
-    prices = cut_lineage(testdata.prices(spark, sf))
-    ind = cut_lineage(testdata.indicators(spark, sf))
-    out = None
-    for exp in TEST_EXPERIMENTS:  # config rows (a short constant list)
-        ft = pipeline.features_from(prices, ind, exp, check_present=False)
-        m = metrics.regression_metrics(pipeline.ols_single_backtest(ft, 1))
-        m = m.select(F.lit(exp.name).alias("experiment"), "*")
-        out = m if out is None else out.unionByName(m)
-    return out
+    feat = pipeline.experiment_features(testdata.prices(spark, sf), testdata.indicators(spark, sf), TEST_EXPERIMENTS)
+    bt = pipeline.horizon_backtests(feat, (1,), runs=("experiment", "ticker"))
+    return metrics.regression_metrics(bt, ("experiment", *metrics.RUN_KEYS))
 
 
 # --- drift, stationarity --------------------------------------------------------

@@ -150,10 +150,45 @@ def ols_multi_backtest(feat: DataFrame, feats: Sequence[str], horizon: int,
     return forecast.backtest(scored, model, horizon, neutral=neutral)
 
 
-def horizon_backtests(feat: DataFrame, horizons: Sequence[int], **kw) -> DataFrame:
-    """One backtest table over a list of horizons (union of leads)."""
-    out = None
-    for h in horizons:  # horizons: a short config list
-        bt = ols_single_backtest(feat, h, **kw)
-        out = bt if out is None else out.unionByName(bt)
-    return out
+def horizon_backtests(feat: DataFrame, horizons: Sequence[int], x: str = "close", model: str = "OLS",
+                      test_size: float = 0.2, neutral: str = "Hold",
+                      runs: Sequence[str] = ("ticker",)) -> DataFrame:
+    """One backtest table over a list of horizons (and of further run
+    columns): the horizon is a key like the ticker, so the plan is the same for
+    any number of them."""
+    keys = [*runs, "horizon"]
+    sup = split.chrono_split(split.add_targets(feat, horizons, "close", list(runs)), test_size, key=keys)
+    scored = forecast.predict_single(sup, forecast.fit_ols_single(sup, x, key=keys), x, key=keys)
+    return forecast.backtest(scored, model, "horizon", neutral=neutral, runs=[r for r in runs if r != "ticker"])
+
+
+def experiment_features(prices: DataFrame, indicators: DataFrame, experiments: Sequence[Experiment]) -> DataFrame:
+    """Feature rows of several experiments (inner-aligned, same lags and
+    windows) in one plan, keyed by (experiment, ticker).
+
+    The config rows are literals: each price row is kept for the experiments
+    of its ticker, indicators that an experiment doesn't use are a constant
+    for it, and one window pass partitioned by (experiment, ticker) builds all
+    features. The plan doesn't grow with the number of experiments.
+    """
+    first = experiments[0]
+    if any((e.lags, e.mas, e.align, e.warmup, e.lag_target, e.lag_volume, e.volatility)
+           != (first.lags, first.mas, "inner", "drop", first.lag_target, first.lag_volume, first.volatility)
+           or e.start or e.end or max(e.lags) >= max(e.mas) for e in experiments):
+        raise ValueError("these experiments don't share their options; run them one by one")
+    ids = sorted({s for e in experiments for s in e.indicators})
+    config = F.array(*[F.struct(
+        F.lit(e.name).alias("experiment"),
+        (F.array(*map(F.lit, e.tickers)) if e.tickers else F.lit(None).cast("array<string>")).alias("tickers"),
+        F.array(*map(F.lit, e.indicators)).alias("ids")) for e in experiments])
+    mine = F.filter(config, lambda c: c["tickers"].isNull() | F.array_contains(c["tickers"], F.col("ticker")))
+    rows = prices.select("*", F.explode(mine).alias("_c"))
+    wide = align.pivot_series(indicators, ids)
+    cols = [safe_name(s) for s in ids]
+    panel = rows.join(wide, on="month", how="left").select(
+        "month", "ticker", "close", "volume", F.col("_c.experiment").alias("experiment"),
+        *[F.when(F.array_contains("_c.ids", s), F.col(c)).otherwise(F.lit(0.0)).alias(c) for s, c in zip(ids, cols)])
+    return features.build_features(
+        clean.drop_missing(panel, cols), target="close", lag_cols=(["volume"] if first.lag_volume else []) + cols,
+        lags=first.lags, mas=first.mas, volatility=first.volatility, lag_target=first.lag_target, warmup="drop",
+        key=["experiment", "ticker"])
