@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import extended, non_null_text, text_slices, tokenizer_spec, with_columns
+from .common import extended, non_null_text, stage, text_slices, tokenizer_spec, with_columns
 
 LEAF_BYTES = 2048        # an unsplit run up to this is merged at once
 JOIN_TOKENS = 8          # first window on each side of a join
@@ -316,7 +316,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_
 
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
     short = df.where(size <= long_chars).mapInArrow(whole, schema)
-    long = df.where(size > long_chars).withColumn("piece_row", F.monotonically_increasing_id())
+    # written once, so the numbers of the rows hold for pieces and rows alike
+    long = stage(df.where(size > long_chars).withColumn("piece_row", F.monotonically_increasing_id()), "long-texts")
+    if long.isEmpty():
+        return short
     pieces = (long.select("piece_row", F.col(f"`{text}`"))
               .mapInArrow(lambda b: _pieces(b, text), "piece_row long, piece_no long, piece_text string, "
                           "open_left boolean, open_right boolean")

@@ -18,9 +18,14 @@ from panelcast.session import configure, ensure_checkpoint_dir
 SLICE_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by both sides.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
