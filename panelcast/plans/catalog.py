@@ -295,7 +295,7 @@ def adf_lag0(spark, sf):
 
 
 def adf_test(spark, sf):
-    return drift.adf_test(testdata.prices(spark, sf))
+    return drift.adf_test(testdata.prices(spark, sf)).withColumn("p_value", F.round("p_value", 8))
 
 
 def adf_autolag(spark, sf):

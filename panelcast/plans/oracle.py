@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from panelcast.functions import stats
 from panelcast.functions.numeric import safe_name
 from panelcast.plans.catalog import (DRIFT_DAYS, DRIFT_REF_END, REQUESTED, SLICE,
                                      TEST_EXPERIMENTS, TEST_SERIES)
@@ -515,3 +516,23 @@ f AS (
          count(*) OVER (PARTITION BY ticker) AS n FROM sup WHERE NOT is_test)
 SELECT ticker, month, CAST(CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
        ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold FROM f"""
+
+
+def _adf_test_sql() -> str:
+    def poly(coef):
+        return " + ".join(f"({c}) * t ** {k}" for k, c in enumerate(coef))
+
+    series = ("list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs(z)) "
+              "- ((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi())))))")
+    return f"""WITH l AS ({SQL['adf_lag0']}),
+z AS (
+  SELECT *, adf_stat AS t, CASE WHEN adf_stat <= {stats.ADF_C_TAU_STAR} THEN {poly(stats.ADF_C_SMALLP).replace('t **', 'adf_stat **')}
+    ELSE {poly(stats.ADF_C_LARGEP).replace('t **', 'adf_stat **')} END AS z FROM l),
+p AS (
+  SELECT *, CASE WHEN t > {stats.ADF_C_TAU_MAX} THEN 1.0 WHEN t < {stats.ADF_C_TAU_MIN} THEN 0.0
+    WHEN z = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + sign(z) * {series} * exp(-z * z / 2) / sqrt(2 * pi()))) END AS raw
+  FROM z)
+SELECT ticker, n, gamma, adf_stat, round(raw, 8) AS p_value, coalesce(raw < 0.05, false) AS stationary FROM p"""
+
+
+SQL["adf_test"] = _adf_test_sql()

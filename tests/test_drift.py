@@ -252,3 +252,11 @@ def test_nan_values_are_dropped_like_missing(spark):
     a = _run(spark, {"S": base}, "2024-01-20", days=10)["S"]
     b = _run(spark, {"S": with_nan}, "2024-01-20", days=10)["S"]
     assert (a.n_ref, a.n_cur, a.ks_statistic) == (b.n_ref, b.n_cur, b.ks_statistic)
+
+
+def test_adf_p_value_equals_the_python_form(spark):
+    xs = [-20.0, -11.3, -4.2, -2.9, -1.61, -1.6, 0.0, 1.5, 2.8]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    got = [r.p for r in df.select(drift.adf_p_value(F.col("x")).alias("p")).collect()]
+    assert got[-1] is None
+    assert got[:-1] == [pytest.approx(stats.adf_pvalue(x), abs=1e-12) for x in xs]
