@@ -229,3 +229,31 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     key = docs["doc_id"]
     null = docs.where(key.isNull())
     return docs.join(found, key == F.col("kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(null)
+
+
+#: All pairs by shared grams, for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g FROM d),
+k AS (SELECT doc_id, g, len(g) AS n_grams, md5(array_to_string(list_sort(g), '|')) AS set_key FROM s),
+c AS (
+    SELECT *, min(doc_id) OVER (PARTITION BY set_key, n_grams) AS rep,
+        count(*) OVER (PARTITION BY set_key, n_grams) AS n_copies FROM k),
+e AS (SELECT doc_id AS rep, n_grams, n_copies, unnest(g) AS gram FROM c WHERE doc_id = rep),
+l AS (
+    SELECT a.rep AS a, b.rep AS b, b.n_copies AS links
+    FROM e a JOIN e b ON a.gram = b.gram AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n_grams, b.n_grams, b.n_copies
+    HAVING 5 * count(*) >= 4 * (a.n_grams + b.n_grams - count(*))),
+r(node, root) AS (
+    SELECT rep, rep FROM c
+    UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+classes AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+linked AS (SELECT a, sum(links) AS n FROM l GROUP BY a)
+SELECT c.doc_id, m.class_id, CAST(coalesce(x.n, 0) + c.n_copies - 1 AS BIGINT) AS n_links,
+    CAST(c.n_copies AS BIGINT) AS n_copies, CAST(c.n_grams AS BIGINT) AS n_grams
+FROM c JOIN classes m ON m.node = c.rep LEFT JOIN linked x ON x.a = c.rep
+"""

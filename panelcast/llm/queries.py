@@ -79,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
 }
