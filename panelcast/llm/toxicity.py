@@ -38,6 +38,7 @@ PER_CLASS = 20_000
 SHORTEST, LONGEST = 4, 12       # characters of a lexicon entry
 LEAST_ROWS, LEAST_SHARE = 3, 0.005  # of the toxic rows, to hold an entry
 LEAST_WEIGHT = 2.0              # log odds of an entry
+EXPLAINED = 2                   # matched words that explain a toxic row
 CLOSED = 0.9                    # an entry gives way to a longer one in so much of its rows
 THRESHOLD = 0.3
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid question", "class clown")
@@ -77,10 +78,9 @@ class Model:
         return found
 
 
-def evidence(automaton, text: str) -> tuple[float, float]:
-    """Log of the summed weights of matched words, and of that per 100 words."""
-    text = fold(text)
-    at: dict[int, tuple[float, int]] = {}
+def starts(automaton, text: str) -> dict[int, tuple[str, float]]:
+    """The heaviest entry (and its weight) at each matched word of a folded text."""
+    at: dict[int, tuple[str, float]] = {}
     spared = []
     if len(automaton):
         for end, (size, weight) in automaton.iter(text):
@@ -89,9 +89,17 @@ def evidence(automaton, text: str) -> tuple[float, float]:
                 continue
             if weight is None:
                 spared.append((begin, end))
-            elif weight > at.get(begin, (0, 0))[0]:
-                at[begin] = (weight, end)
-    total = sum(w for b, (w, e) in at.items() if not any(x <= b and e <= y for x, y in spared))
+            elif begin not in at or weight > at[begin][1]:
+                at[begin] = (text[begin: end + 1], weight)
+    if not spared:
+        return at
+    return {b: x for b, x in at.items() if not any(p <= b and b + len(x[0]) - 1 <= q for p, q in spared)}
+
+
+def evidence(automaton, text: str) -> tuple[float, float]:
+    """Log of the summed weights of matched words, and of that per 100 words."""
+    text = fold(text)
+    total = sum(w for _, w in starts(automaton, text).values())
     return (math.log1p(total), math.log1p(100 * total / (20 + len(text.split())))) if total else (0.0, 0.0)
 
 
@@ -138,6 +146,28 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return out
 
 
+def needed(lexicon: dict[str, float], support: dict[str, int], rows: list[dict[str, int]], least: int) -> dict[str, float]:
+    """The entries that explain toxic rows which others leave unexplained.
+
+    A row is explained by ``EXPLAINED`` matched words. Entries are gone through
+    by falling support, and one stays if enough rows that hold it are still
+    open. Words that merely stand in a group of copies of toxic texts come
+    late, when their rows are explained, and go.
+    """
+    holders: dict[str, list[int]] = {}
+    for k, found in enumerate(rows):
+        for entry in found:
+            holders.setdefault(entry, []).append(k)
+    seen, out = [0] * len(rows), {}
+    for entry in sorted(lexicon, key=lambda e: (-support[e], e)):
+        own = holders.get(entry, [])
+        if sum(seen[k] < EXPLAINED for k in own) >= least:
+            out[entry] = lexicon[entry]
+            for k in own:
+                seen[k] += rows[k][entry]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Learn the lexicon and the curve from labelled rows outside the held-out fold."""
     spark = docs.sparkSession
@@ -155,6 +185,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     model = Model(choose(toxic, clean, n_toxic, n_clean), np.zeros(3))
     shared = spark.sparkContext.broadcast(model)
 
+    def matched(batches):
+        automaton = shared.value.automaton()
+        for batch in batches:
+            found = [Counter(e for e, _ in starts(automaton, fold(t or "")).values()) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"entries": pa.array([list(f) for f in found], pa.list_(pa.string())),
+                                              "counts": pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))})
+
+    # at most per_class rows of entries
+    held = rows.where("label = 1").select("text").mapInArrow(matched, "entries array<string>, counts array<long>").collect()
+    model.lexicon = needed(model.lexicon, toxic, [dict(zip(r["entries"], r["counts"], strict=True)) for r in held], least)
+    shared = spark.sparkContext.broadcast(model)
+
     def seen(batches):
         automaton = shared.value.automaton()
         for batch in batches:

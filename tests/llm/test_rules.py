@@ -150,6 +150,13 @@ def test_lexicon_keeps_the_telling_beginnings():
     assert set(found) == {"vile", "pathet"}
 
 
+def test_words_of_copied_toxic_texts_are_not_needed():
+    rows = [{"vile": 2, "grim": 1} for _ in range(20)] + [{"grim": 1, "nasty": 2}] * 5 + [{"vile": 3, "copied": 1, "words": 4}] * 9
+    found = toxicity.needed({"vile": 5.0, "grim": 4.0, "nasty": 4.0, "copied": 6.0, "words": 6.0},
+                            {"vile": 29, "grim": 25, "nasty": 5, "copied": 9, "words": 9}, rows, 3)
+    assert set(found) == {"vile", "grim", "nasty"}
+
+
 def auc(y, s):
     order = np.argsort(np.argsort(s)) + 1
     n = int(sum(y))
