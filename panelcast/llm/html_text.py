@@ -3,8 +3,8 @@
 A page is cut into blocks at block-level tags. Scripts, styles and the like,
 menus, headers, footers, sidebars, forms, and elements that a class, id or
 role names as such, as an advert, a notice or reader comments, are not read.
-If the page marks an article or main part by tag or role, else by a class or
-id, only that is read.
+If the page marks an article by tag or role, else a main part, else either by
+a class or id, only that is read.
 
 First pass: stop-word density, length and link density call a block good, bad,
 near good or short. Second pass: short and near-good blocks take the label of
@@ -61,11 +61,11 @@ ALIKE = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td
          "tr": ("tr",), "option": ("option",)}
 BOILERPLATE = frozenset("""ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs
 comment comments commentlist cookie cookies consent copyright disqus footer gdpr header masthead menu menus modal
-nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies
+leftnav nav navbar navigation rightnav sidenav sitenav subnav topnav newsletter notice notices pager pagination popup promo promoted promotion related replies
 respond rss share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe subscription tags
 toolbar topbar widget widgets""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-ARTICLE = frozenset(["article", "main"])
+ARTICLE = {"article": 3, "main": 2}
 #: Names of elements that hold the article where no element is one by its tag.
 NAMED_ARTICLE = frozenset("article content entry main post story".split())
 
@@ -81,7 +81,7 @@ class Block:
     text: str
     linked: int
     heading: bool
-    article: int  # 2: in an element that is an article by its tag, 1: by its name
+    article: int  # 3: in an article by its tag, 2: in a main part, 1: in one by its name
     label: str = ""
 
 
@@ -103,13 +103,13 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def article_level(tag: str, attributes: str) -> int:
-    """2 for an article by its tag or role, 1 for one by its class or id, else 0."""
+    """3 for an article by its tag or role, 2 for a main part, 1 for either by its
+    class or id, else 0."""
     if tag in ARTICLE:
-        return 2
+        return ARTICLE[tag]
     named = _NAMED.findall(attributes) if attributes and tag not in ("body", "html") else ()
-    if any(n.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for n, v in named):
-        return 2
-    return int(any(p.lower() in NAMED_ARTICLE for n, v in named if n.lower() in ("class", "id")
+    role = max((ARTICLE.get(v.strip("\"'").lower(), 0) for n, v in named if n.lower() == "role"), default=0)
+    return role or int(any(p.lower() in NAMED_ARTICLE for n, v in named if n.lower() in ("class", "id")
                    for p in _PART.split(v.strip("\"'"))))
 
 
@@ -119,7 +119,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = []  # tag, unwanted, level of article
     parts: list[tuple[str, bool]] = []
     skipping = links = 0
-    levels = [0, 0, 0]  # open elements of each level
+    levels = [0, 0, 0, 0]  # open elements of each level
     heading = False
 
     def close():
@@ -127,7 +127,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
-                out.append(Block(text, linked, heading, 2 if levels[2] else int(levels[1] > 0)))
+                out.append(Block(text, linked, heading, max(k for k in range(4) if levels[k] or not k)))
             parts.clear()
 
     def pop():
@@ -187,7 +187,7 @@ def blocks(page: str) -> list[Block]:
             while stack[-1][0] != "p":
                 pop()
             pop()
-        bad = unwanted(tag, found[3], levels[1] + levels[2] > 0)
+        bad = unwanted(tag, found[3], sum(levels[1:]) > 0)
         level = article_level(tag, found[3])
         if not found[3].endswith("/"):
             stack.append((tag, bad, level))

@@ -209,6 +209,14 @@ def test_main_text_of_marked_articles():
     assert html_text.main_text(page) == "A&B é One two Shört. x y"
 
 
+def test_the_closest_mark_of_an_article_counts():
+    page = """<main><p>Teaser</p><article class="post has-sidebar"><p>Own text</p><p>More</p></article>
+    <article class="comment"><p>Nice</p></article></main><div class="content">Else</div>"""
+    assert html_text.main_text(page) == "Own text More"
+    assert html_text.main_text(page.replace("article", "div")) == "Teaser Own text More"
+    assert html_text.main_text("<div id=topNav>a</div><div class='entry-content'><p>b</p><div class=adBox1>c</div></div>") == "b"
+
+
 def test_two_passes_without_an_article():
     good = "this is the text of the page and it has the words that are in it for us to read on and on " * 3
     page = (f"<body><p><a href=a>Home</a> <a href=b>News</a></p><h2>Head</h2><p>{good}</p><p>Short one.</p><p>{good}</p>"
