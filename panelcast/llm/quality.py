@@ -32,8 +32,8 @@ from .common import extended, non_null_text, text_slices, with_columns
 from .pretokens import buffers
 from .sampling import in_fold, labelled_sample
 
-PER_CLASS = 8_000
-POOL = 8_000
+PER_CLASS = 6_000
+POOL = 6_000
 ROUNDS = 3
 SURE = 0.95             # probability that makes a pseudo-label
 PSEUDO_SHARE = 0.3      # of the rows that each class should have, taken in a round
@@ -187,10 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool:
     widths = [v.shape[1] for v in views(empty)]
     text, page = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), "<f4").reshape(-1, w).astype(float)
                   for c, w in zip(("text_x", "page_x"), widths, strict=True))
-    y = np.array([r["label"] for r in rows], int)
+    y, weight, held = (np.array([r[c] for r in rows]) for c in ("label", "weight", "held"))
+    del rows
     known = y >= 0
-    return co_train(text[known], page[known], y[known].astype(float), np.array([r["weight"] for r in rows], float)[known],
-                    np.array([r["held"] for r in rows], bool)[known], text[~known], page[~known])
+    return co_train(text[known], page[known], y[known].astype(float), weight[known].astype(float), held[known].astype(bool),
+                    text[~known], page[~known])
 
 
 def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
