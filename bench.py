@@ -22,14 +22,12 @@ sys.path.insert(0, ROOT)
 from panelcast.plans import catalog  # noqa: E402
 from panelcast.session import get_session  # noqa: E402
 
-# correlation_matrix runs last: its 406-aggregate generated code fills the
-# JVM code cache and slows whatever is timed after it in the same JVM
 HEADLINE = (
     "monthly_price_bars", "monthly_indicator_mean", "first_per_month", "align_inner",
     "align_asof", "forward_fill", "feature_table", "feature_table_backfilled",
     "backtest_signals", "metrics_summary", "horizon_grid",
-    "experiment_suite", "ks_drift_test", "adf_test", "multi_linear_forecast",
-    "correlation_matrix",
+    "experiment_suite", "ks_drift_test", "ks_drift_flag", "adf_test", "multi_linear_forecast",
+    "correlation_matrix", "wide_pivot", "cv_ols_r2", "streaming_monthly_bars",
 )
 
 
@@ -45,6 +43,7 @@ def main() -> None:
     for _ in range(2):
         catalog.QUERIES["feature_table"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    spread: dict[str, list[float]] = {}
     for name in names:
         # drop dead DataFrame handles, then let the JVM collect so Spark's
         # context cleaner frees their shuffle files and broadcast blocks
@@ -58,9 +57,10 @@ def main() -> None:
             if i > 0:
                 samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 4)
+        spread[name] = [round(min(samples), 4), round(max(samples), 4)]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 4),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs}))
+                      "unit": "sec", "queries": times, "spread": spread, "sf": sf, "cpus": cpus, "runs": runs}))
 
 
 if __name__ == "__main__":
