@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.session import configure, ensure_checkpoint_dir
@@ -89,7 +88,3 @@ def tokenizer_spec(spark: SparkSession, path: str):
     json.loads(text)
     return spark.sparkContext.broadcast(text)
 
-
-def narrowed(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, by plain reference."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
