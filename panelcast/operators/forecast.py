@@ -73,7 +73,7 @@ def _moment_aggs(zs: Sequence[str], y: str) -> list[Column]:
             F.expr(f"array({', '.join(f'sum({c} * `{y}`)' for c in q)})").alias("szy")]
 
 
-def _solver(k: int, rcond: float):
+def _solver(k: int, rcond: float, top: int | None = None):
     iu = np.triu_indices(k)
 
     def solve(batches):
@@ -88,6 +88,11 @@ def _solver(k: int, rcond: float):
                 czz = m - np.outer(sz, sz) / n
                 czy = np.asarray(szy, dtype=float) - sz * sy / n
                 beta = np.linalg.pinv(czz, rcond=rcond, hermitian=True) @ czy
+                if top is not None and top < k:
+                    best = np.sort(np.argsort(-np.abs(beta), kind="stable")[:top])
+                    kept = np.linalg.pinv(czz[np.ix_(best, best)], rcond=rcond, hermitian=True) @ czy[best]
+                    beta = np.zeros(k)
+                    beta[best] = kept
                 intercepts.append(sy / n - float(beta @ sz) / n)
                 coefs.append(beta.tolist())
                 ranks.append(int(np.linalg.matrix_rank(czz, tol=rcond * max(1.0, np.abs(czz).max()))))
@@ -100,9 +105,14 @@ def _solver(k: int, rcond: float):
 
 
 def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "ticker",
-            train_flag: str = "is_test", rcond: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+            train_flag: str = "is_test", rcond: float = 1e-10,
+            top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """G5 (many features) with G3 scaling, per key.
 
+    With ``top``, each key keeps its own ``top`` features, those of the largest
+    standardised coefficients, and is fitted again on them from the same
+    moments; the others have coefficient 0.
+
     Returns (coefficients, scaler statistics). Features are standardised with
     train-only statistics first, so a rank-deficient design gets the same
     minimum-norm solution as least squares on the scaled matrix.
@@ -118,7 +128,7 @@ def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "ti
     schema = StructType([StructField(key, key_type), StructField("intercept", DoubleType()),
                          StructField("coef", ArrayType(DoubleType())),
                          StructField("rank", IntegerType())])
-    coef = moments.mapInPandas(_solver(len(zs), rcond), schema)
+    coef = moments.mapInPandas(_solver(len(zs), rcond, top), schema)
     return coef, stats
 
 

@@ -86,25 +86,25 @@ def run_experiments(prices: DataFrame, indicators: DataFrame,
 
 
 def universe_sweep(feat: DataFrame, candidates: Sequence[str], horizons: Sequence[int] = (1, 3),
-                   n_features: int = 10, n_models: int = 10, num_trees: int = 50,
-                   seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Rank features by random-forest importance (same-month price, train
-    rows), keep the top ``n_features``, fit per-ticker models for each horizon,
-    and report the best ``n_models`` runs by R2.
+                   n_features: int = 10, n_models: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Per ticker, keep its own ``n_features`` best candidates, fit on them
+    for each horizon, and report the best ``n_models`` runs by R2.
 
-    Returns (results with ``top_features`` array, top runs).
+    The ranking is that of each ticker's linear model (standardised
+    coefficients on train rows); nothing is collected. Returns (results with
+    the ticker's ``top_features`` array, top runs).
     """
-    feat = cut_lineage(feat)  # read by the forest and by every horizon's fit
-    sup = pipeline.supervised(feat, 1)
-    imp = forecast.rf_importance(sup, candidates, label="close", num_trees=num_trees, seed=seed)
-    top = metrics.top_k(imp, n_features, "importance", ["feature"])
-    # the ranked names are the model's own output: one row per feature
-    names = [r.feature for r in top.collect()]
+    feat = cut_lineage(feat)
+    names = F.array(*[F.lit(c) for c in candidates])
     res = None
-    for h in horizons:
-        bt = pipeline.ols_multi_backtest(feat, names, h, model="LinearRegression")
-        m = metrics.regression_metrics(bt, digits=None)
+    for h in horizons:  # a short config list
+        sup = cut_lineage(pipeline.supervised(feat, h))
+        coef, stats = forecast.fit_ols(sup, candidates, top=n_features)
+        coef = cut_lineage(coef)
+        bt = forecast.backtest(forecast.predict_ols(sup, coef, stats, candidates), "LinearRegression", h, neutral="")
+        chosen = F.filter(F.arrays_zip(names.alias("name"), F.col("coef").alias("b")), lambda x: x["b"] != 0)
+        best = F.transform(F.array_sort(F.transform(chosen, lambda x: F.struct((-F.abs(x["b"])).alias("w"), x["name"].alias("name")))),
+                           lambda x: x["name"])
+        m = metrics.regression_metrics(bt, digits=None).join(coef.select("ticker", best.alias("top_features")), "ticker")
         res = m if res is None else res.unionByName(m)
-    res = res.withColumn("top_features", F.array(*[F.lit(n) for n in names]))
-    best = metrics.top_k(res, n_models, "r2", ["ticker", "horizon"])
-    return res, best
+    return res, metrics.top_k(res, n_models, "r2", ["ticker", "horizon"])

@@ -220,3 +220,18 @@ def test_correlation_of_many_columns_equals_numpy(spark):
                 a, b = x[first::2, i][ok], x[first::2, j][ok]
                 want = None if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
                 assert got[(t, f"c{i}", f"c{j}")] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_universe_sweep_keeps_each_tickers_own_features(spark):
+    from panelcast.plans.experiments import universe_sweep
+    rng = np.random.default_rng(9)
+    recs = []
+    for t, driver in (("A", 0), ("B", 1)):
+        x = rng.normal(size=(60, 3))
+        close = 50 + np.concatenate([[0], 5 * x[:-1, driver]])
+        recs += [(t, D(2010 + k // 12, k % 12 + 1, 1), float(close[k]), *map(float, x[k])) for k in range(60)]
+    df = spark.createDataFrame(recs, "ticker string, month date, close double, f0 double, f1 double, f2 double")
+    res, best = universe_sweep(df, ["f0", "f1", "f2"], horizons=(1,), n_features=1)
+    got = {r.ticker: (r.top_features, round(r.r2, 6)) for r in res.collect()}
+    assert got == {"A": (["f0"], 1.0), "B": (["f1"], 1.0)}
+    assert best.count() == 2
