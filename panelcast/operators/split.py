@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.exact import exact_mean, exact_stddev
 from panelcast.operators.features import lead_expr, panel_window
 
 
@@ -51,14 +52,21 @@ def min_rows(df: DataFrame, minimum: int, key: str = "ticker") -> DataFrame:
 
 
 def scaler_table(df: DataFrame, features: Sequence[str], key: str = "ticker",
-                 train_flag: str = "is_test") -> DataFrame:
+                 train_flag: str = "is_test", exact_scale: int | None = None) -> DataFrame:
     """Train-only mean and population std, one row per key with
-    ``{feature}__mean`` and ``{feature}__std`` (a zero or undefined std is 1)."""
+    ``{feature}__mean`` and ``{feature}__std`` (a zero or undefined std is 1).
+
+    ``exact_scale`` names the decimals of fixed-point features, whose moments
+    are then the same on any partitioning.
+    """
     train = F.col(train_flag) == F.lit(False)
     aggs = []
     for f in features:
         v = F.when(train, F.col(f))
-        aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std")]
+        if exact_scale is None:
+            aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std")]
+        else:
+            aggs += [exact_mean(v).alias(f"{f}__mean"), exact_stddev(v, 0, exact_scale).alias(f"{f}__std")]
     wide = df.groupBy(key).agg(*aggs)
     return wide.withColumns({f"{f}__std": F.when(F.col(f"{f}__std") != 0, F.col(f"{f}__std")).otherwise(F.lit(1.0))
                              for f in features})
@@ -94,9 +102,9 @@ def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str],
 
 
 def target_scaling(df: DataFrame, y: str = "y", key: str = "ticker",
-                   train_flag: str = "is_test") -> DataFrame:
+                   train_flag: str = "is_test", exact_scale: int | None = None) -> DataFrame:
     """y_mean / y_std from train rows; y_scaled and its inverse y_back."""
-    stats = scaler_table(df, [y], key, train_flag).withColumnsRenamed({f"{y}__mean": "y_mean", f"{y}__std": "y_std"})
+    stats = scaler_table(df, [y], key, train_flag, exact_scale).withColumnsRenamed({f"{y}__mean": "y_mean", f"{y}__std": "y_std"})
     out = df.join(stats, on=key, how="left")
     out = out.withColumn("y_scaled", (F.col(y) - F.col("y_mean")) / F.col("y_std"))
     return out.withColumn("y_back", inverse_scale("y_scaled"))

@@ -192,13 +192,13 @@ def chrono_split(spark, sf):
 
 def train_scaler(spark, sf):
     cols = ("close", "volume", "y")
-    stats = split.scaler_table(_supervised(spark, sf), cols)
-    return stats.select("ticker", *[round_half_even(f"{c}__{k}", 6).alias(f"{c}_{k}") for c in cols for k in ("mean", "std")])
+    stats = split.scaler_table(_supervised(spark, sf), cols, exact_scale=4)
+    return stats.select("ticker", *[F.col(f"{c}__{k}").alias(f"{c}_{k}") for c in cols for k in ("mean", "std")])
 
 
 def target_scaling_roundtrip(spark, sf):
-    out = split.target_scaling(_supervised(spark, sf))
-    return out.select("ticker", "month", "y", round_half_even("y_scaled", 6).alias("y_scaled"),
+    out = split.target_scaling(_supervised(spark, sf), exact_scale=4)
+    return out.select("ticker", "month", "y", "y_scaled",
                       round_half_even("y_back", 4).alias("y_back"))
 
 
