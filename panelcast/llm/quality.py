@@ -7,8 +7,11 @@ unlabelled rows it is surest about for the other, which is fitted again with
 them. In the end the views' log odds are calibrated together on labelled rows
 that neither was fitted to, and all documents are scored.
 
-Fitting uses at most ``PER_CLASS`` labelled rows of a class and ``POOL``
-unlabelled rows, the first by a hash of the key; scoring covers every row.
+Fitting uses at most ``PER_CLASS`` labelled rows of a class, the first by a
+hash of the key, and every unlabelled row: the rows' features are written once,
+each round finds the cut points of the surest over all of them, and tasks add
+up their parts of the gradient and curvature of each Newton step. The driver
+holds the labelled sample and such sums. Scoring covers every row.
 
 Null or empty text has zero content and is scored by what is left; a null
 source, language or length counts as a value of its own. Repeated rows and
@@ -17,24 +20,29 @@ null keys are scored like others. Without labels every score is 1/2.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import logistic, words
-from .common import extended, non_null_text, text_slices, with_columns
+from .common import extended, non_null_text, stage, text_slices, with_columns
 from .pretokens import buffers
 from .sampling import in_fold, labelled_sample
 
-PER_CLASS = 6_000
-POOL = 6_000
+PER_CLASS = 8_000
 ROUNDS = 3
+STEPS, CLOSE = 25, 1e-4  # most Newton steps of a fit, and the last step's size
+BINS = 4096             # of log odds, for the cut points
+MOST_SUMS = 256         # tasks' sums that the driver adds up itself
 SURE = 0.95             # probability that makes a pseudo-label
 PSEUDO_SHARE = 0.3      # of the rows that each class should have, taken in a round
 PSEUDO_WEIGHT = 0.3
@@ -118,55 +126,161 @@ class Model:
         return np.stack([logistic.sigmoid(a), logistic.sigmoid(b), both], 1)
 
 
-def _fit(x, y, weight) -> View:
-    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    return View(mean, scale, logistic.fit((x - mean) / scale, y, weight, l2=20.0))
-
-
-def surest(p: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pool that a view is sure of, the surest ``PSEUDO_SHARE`` of
-    the rows that each class should have, and their labels."""
-    order = np.argsort(p, kind="stable")
-    poor = order[: int(PSEUDO_SHARE * (1 - base) * len(p))]
-    good = order[len(p) - int(PSEUDO_SHARE * base * len(p)):]
-    poor, good = poor[p[poor] <= 1 - SURE], good[p[good] >= SURE]
-    return np.concatenate([poor, good]), np.concatenate([np.zeros(len(poor)), np.ones(len(good))])
+def _bins(odds: np.ndarray) -> np.ndarray:
+    return np.minimum((odds + MOST_ODDS) * (BINS / (2 * MOST_ODDS)), BINS - 1).astype(np.int64)
+
+
+def surest(counts: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Share of each bin's rows to take as poor and as good: the surest
+    ``PSEUDO_SHARE`` of the rows that each class should have."""
+    def taken(n, most):
+        return np.clip((most - np.cumsum(n) + n) / np.maximum(n, 1), 0, 1)
+
+    most = PSEUDO_SHARE * counts.sum()
+    return taken(counts, most * (1 - base)), taken(counts[::-1], most * base)[::-1]
+
+
+def pseudo(odds: np.ndarray, taken: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Label and share (0: no label) of rows by their log odds. All rows of the
+    last bin that is taken in part count alike, by that part."""
+    limit, at = math.log(SURE / (1 - SURE)), _bins(odds)
+    good = odds > 0
+    return good.astype(float), np.where(good, taken[1][at], taken[0][at]) * (np.abs(odds) >= limit)
+
+
+def _terms(view: View, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of the weighted log likelihood, in a row."""
+    z = np.hstack([(x - view.mean) / view.scale, np.ones((len(x), 1))])
+    odds = z @ view.beta
+    p = logistic.sigmoid(odds)
+    curve = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+    return np.concatenate([[(weight * (np.logaddexp(0, odds) - y * odds)).sum()], z.T @ (weight * (y - p)), curve.ravel()])
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(len(col), -1).astype(float)
+
+
+def added(pool: DataFrame, values: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of ``values`` (text features, page features: numbers of a fixed
+    length) over the batches of all rows; None without rows."""
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = values(_matrix(batch.column(0)), _matrix(batch.column(1)))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "sums": [total.tobytes()]})
+
+    def again(batches):
+        part, total = 0, None
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = np.frombuffer(x) if total is None else total + np.frombuffer(x)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": [total.tobytes()]})
+
+    tasks = pool.rdd.getNumPartitions()
+    rows = pool.select("text_x", "page_x").mapInArrow(sums, "part int, sums binary")
+    if tasks > MOST_SUMS:
+        rows = rows.repartition(math.isqrt(tasks), "part").sortWithinPartitions("part").mapInArrow(again, rows.schema)
+    total = None
+    for r in sorted(rows.collect(), key=lambda r: r["part"]):
+        total = np.frombuffer(r["sums"]) if total is None else total + np.frombuffer(r["sums"])
+    return total
+
+
+def _scales(known: list[np.ndarray], pool: DataFrame) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Rows of the pool; mean and deviation of each view over it and the labelled rows."""
+    sums = added(pool, lambda a, b: np.concatenate([[len(a)], *(v for x in (a, b) for v in (x.sum(0), (x * x).sum(0)))]))
+    wide = [x.shape[1] for x in known]
+    n, at, out = 0 if sums is None else int(sums[0]), 1, []
+    for x, w in zip(known, wide, strict=True):
+        one, two = (np.zeros(w), np.zeros(w)) if sums is None else (sums[at: at + w], sums[at + w: at + 2 * w])
+        at += 2 * w
+        count = max(n + len(x), 1)
+        mean = (one + x.sum(0)) / count
+        scale = np.sqrt(np.maximum((two + (x * x).sum(0)) / count - mean ** 2, 0))
+        out.append((mean, np.where(scale > 1e-6, scale, 1.0)))
+    return n, out
+
+
+def _newton(scales: list, base: float, known: list[np.ndarray], y, weight, more: Callable, l2: float = 20.0) -> list[View]:
+    """Newton steps with a ridge of both views at once, from the base rate;
+    ``more`` gives the pool's terms at given coefficients. A step that doesn't
+    lower the loss is halved."""
+    wide = [x.shape[1] + 1 for x in known]
+    now = [View(m, s, np.append(np.zeros(len(m)), math.log(base / (1 - base)))) for m, s in scales]
+    best: list = [None] * len(now)  # least loss so far, its view, the step from there
+    for _ in range(STEPS):
+        extra, at = more(now), 0
+        for k, (v, x, w) in enumerate(zip(now, known, wide, strict=True)):
+            size = 1 + w + w * w
+            t = _terms(v, x, y, weight) + extra[at: at + size]
+            at += size
+            ridge = np.full(w, l2)
+            ridge[-1] = 1e-6
+            loss = t[0] + (ridge * v.beta ** 2).sum() / 2
+            if best[k] is None or loss <= best[k][0] + 1e-9 * abs(best[k][0]):
+                step = np.linalg.solve(t[1 + w:].reshape(w, w) + np.diag(ridge), t[1: 1 + w] - ridge * v.beta)
+                best[k] = (loss, v, step)
+            else:
+                best[k] = (*best[k][:2], best[k][2] / 2)
+        now = [View(v.mean, v.scale, v.beta + step) for _, v, step in best]
+        if max(np.abs(step).max() for _, _, step in best) < CLOSE:
+            break
+    else:
+        now = [v for _, v, _ in best]
+    # sums of other partitions differ in their last digits
+    return [View(v.mean, v.scale, np.round(v.beta, 9)) for v in now]
 
 
-def co_train(text, page, y, weight, held, pool_text, pool_page, rounds: int = ROUNDS) -> Model:
-    """Fit both views on rows not ``held``, exchange labels, combine on ``held``."""
+def co_train(text, page, y, weight, held, pool: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Fit both views on rows not ``held``, exchange labels of the rows of
+    ``pool`` (text_x, page_x), combine on ``held``."""
     use = ~held
+    known, y_use, w_use = [text[use], page[use]], y[use], weight[use]
+    mixed = len(set(y_use)) == 2
+    n, scales = _scales(known, pool) if mixed else (0, [(np.zeros(x.shape[1]), np.ones(x.shape[1])) for x in known])
+    a, b = (View(m, s, logistic.fit((x - m) / s, y_use, w_use, l2=20.0)) for (m, s), x in zip(scales, known, strict=True))
     history = []
-    given = {"text": (np.zeros(0, int), np.zeros(0)), "page": (np.zeros(0, int), np.zeros(0))}
-
-    def fitted(x, pool, extra):
-        at, labels = extra
-        return _fit(np.vstack([x[use], pool[at]]), np.concatenate([y[use], labels]),
-                    np.concatenate([weight[use], np.full(len(at), PSEUDO_WEIGHT)]))
-
-    for k in range(rounds + 1):
-        a, b = fitted(text, pool_text, given["text"]), fitted(page, pool_page, given["page"])
-        if k == rounds:
-            break
-        for name, view, pool in (("page", a, pool_text), ("text", b, pool_page)):
-            given[name] = surest(logistic.sigmoid(view.odds(pool)), float(np.average(y[use], weights=weight[use])) if use.any() else 0.5)
-        history.append((len(given["text"][0]), len(given["page"][0])))
+    for _ in range(rounds if n else 0):  # labels of one class, or none, have nothing to tell
+        old = (a, b)
+
+        def counted(x, z, old=old):
+            return np.concatenate([np.bincount(_bins(v.odds(f)), minlength=BINS) for v, f in zip(old, (x, z), strict=True)]).astype(float)
+
+        counts = added(pool, counted).reshape(2, BINS)
+        base = float(np.average(y_use, weights=w_use))
+        taken = [surest(c, base) for c in counts]
+        middle = (np.arange(BINS) + 0.5) * (2 * MOST_ODDS / BINS) - MOST_ODDS
+        of_text, of_page = (float((pseudo(middle, t)[1] * c).sum()) for t, c in zip(taken, counts, strict=True))
+        history.append((round(of_page), round(of_text)))  # labels given to the text view, to the page view
+
+        def more(fitted, old=old, taken=taken):
+            def terms(x, z):
+                out = []
+                for k, own in ((0, x), (1, z)):  # each view learns from the other
+                    label, share = pseudo(old[1 - k].odds((z, x)[k]), taken[1 - k])
+                    at = share > 0
+                    out.append(_terms(fitted[k], own[at], label[at], PSEUDO_WEIGHT * share[at]))
+                return np.concatenate(out)
+
+            return added(pool, terms)
+
+        a, b = _newton(scales, base, known, y_use, w_use, more)
     odds = np.stack([a.odds(text[held]), b.odds(page[held])], 1)
     return Model(a, b, logistic.fit(odds, y[held], weight[held]), history)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool: int = POOL) -> Model:
-    """Fit on a bounded sample: labelled rows outside fold 2, and a pool of others."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fit on a bounded sample of labelled rows outside fold 2 and on all other rows."""
     spark = docs.sparkSession
     sample = labelled_sample(labels.where(~in_fold()), "quality", per_class)
     chosen = spark.createDataFrame(sample, "doc_id long, label int, weight double")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source",
                        F.col("n_chars").cast("long").alias("n_chars"))
-    # the pool: ids with the least hashes, labelled ones left out
-    ids = (base.select("doc_id").where("doc_id is not null").distinct().join(F.broadcast(chosen), "doc_id", "left_anti")
-           .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(pool).collect())
-    extra = spark.createDataFrame([(r["doc_id"], -1, 1.0) for r in ids], chosen.schema)
 
     def run(batches):
         for batch in text_slices(batches, "text"):
@@ -177,21 +291,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pool:
                 "text_x": pa.array([r.astype("<f4").tobytes() for r in a], pa.binary()),
                 "page_x": pa.array([r.astype("<f4").tobytes() for r in b], pa.binary())})
 
-    # at most 2 * per_class + pool rows of a few hundred numbers
-    rows = (base.join(F.broadcast(chosen.unionByName(extra)), "doc_id")
-            .mapInArrow(run, "doc_id long, label int, weight double, text_x binary, page_x binary")
+    # a few hundred numbers of every row, written once and read in every pass
+    every = stage(base.join(F.broadcast(chosen), "doc_id", "left")
+                  .mapInArrow(run, "doc_id long, label int, weight double, text_x binary, page_x binary"), "quality")
+    rows = (every.where("label is not null")
             .withColumn("held", F.crc32(F.concat(F.lit("q"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0)
-            .orderBy("doc_id", "text_x", "page_x").collect())
+            .orderBy("doc_id", "text_x", "page_x").collect())  # at most 2 * per_class keys
     empty = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([None], pa.string()), pa.array([None], pa.string()),
                                         pa.array([None], pa.int64())], names=INPUT)
     widths = [v.shape[1] for v in views(empty)]
     text, page = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), "<f4").reshape(-1, w).astype(float)
                   for c, w in zip(("text_x", "page_x"), widths, strict=True))
-    y, weight, held = (np.array([r[c] for r in rows]) for c in ("label", "weight", "held"))
+    y, weight, held = (np.array([r[c] for r in rows], t) for c, t in (("label", float), ("weight", float), ("held", bool)))
     del rows
-    known = y >= 0
-    return co_train(text[known], page[known], y[known].astype(float), weight[known].astype(float), held[known].astype(bool),
-                    text[~known], page[~known])
+    return co_train(text, page, y, weight, held, every.where("label is null").select("text_x", "page_x"))
 
 
 def score(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelcast.llm import binary_files, fingerprint, html_text, quality, toxicity, warc
+from panelcast.llm import binary_files, fingerprint, html_text, logistic, quality, toxicity, warc
 
 from .conftest import SF, frame
 
@@ -198,6 +198,37 @@ def test_classifiers_take_odd_rows(spark, odd_docs, no_docs, op, drop):
     assert len(none) == odd_docs.count() and all(r["score"] <= 0.5 for r in none)
 
 
+def test_every_unlabelled_row_takes_part(spark):
+    docs, labels = planted(spark, 60)
+    more = frame(spark, [(1000 + k, ("WORD!! " if k % 4 == 1 else "word. ") * (k % 7 + 3), "en", f"s{k % 3}", 60) for k in range(9000)])
+    model = quality.train(docs.unionByName(more).repartition(5), labels)
+    assert len(model.rounds) == quality.ROUNDS
+    assert max(n for r in model.rounds for n in r) > 0.3 * 0.7 * 9000  # more than a pool of 6000 rows can give
+
+
+def test_pool_sums_equal_a_fit_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text, page = rng.normal(size=(700, 4)).astype("f4").astype(float), rng.normal(size=(700, 3)).astype("f4").astype(float)
+    truth = (text[:, 0] * 3 + page[:, 0] * 3 + rng.normal(size=700) > 0).astype(float)
+    known = np.arange(100)
+    rows = [(text[k].astype("<f4").tobytes(), page[k].astype("<f4").tobytes()) for k in range(100, 700)]
+    pool = spark.createDataFrame(rows, "text_x binary, page_x binary")
+    held = known % 4 == 0
+    args = (text[known], page[known], truth[known], np.full(100, 50.0), held)
+    one = quality.co_train(*args, pool.repartition(1), rounds=1)
+    monkeypatch.setattr(quality, "MOST_SUMS", 2)
+    two = quality.co_train(*args, pool.repartition(7), rounds=1)
+    assert np.allclose(one.text.beta, two.text.beta, atol=1e-6) and one.rounds == two.rounds
+    first = quality.co_train(*args, pool, rounds=0)
+    base = truth[known][~held].mean()
+    odds = first.page.odds(page[100:])
+    label, share = quality.pseudo(odds, quality.surest(np.bincount(quality._bins(odds), minlength=quality.BINS), base))
+    assert 0 < share.sum() <= 0.3 * 600 + 1e-9
+    x = (np.vstack([text[known][~held], text[100:]]) - one.text.mean) / one.text.scale
+    want = logistic.fit(x, np.concatenate([truth[known][~held], label]), np.concatenate([np.full((~held).sum(), 50.0), 0.3 * share]), l2=20.0)
+    assert np.allclose(one.text.beta, want, atol=1e-5)
+
+
 # HTML
 
 
