@@ -4,14 +4,18 @@ A page is cut into blocks at block-level tags. Scripts, styles and the like,
 menus, headers, footers, sidebars, forms, and elements that a class, id or
 role names as such, as an advert, a notice or reader comments, are not read.
 If the page marks an article by tag or role, else a main part, else either by
-a class or id, only that is read.
+a class or id, only that is read, unless it has less than half of the good text
+of the next wider of these, or a named part of that of the page.
 
 First pass: stop-word density, length and link density call a block good, bad,
 near good or short. Second pass: short and near-good blocks take the label of
 their nearest decided neighbours on both sides; if these differ, near-good
 blocks and headings of good text become good, and other short ones take the
-nearer's label, the one before on a tie. Blocks inside a marked article start as good unless links fill them, since
-the page itself has decided; headings there are part of the article.
+nearer's label, the one before on a tie. Blocks inside an article or main part
+by tag or role start as good, since the page itself has decided; link-filled
+ones there are good next to good text, or between it if no paragraph, item or
+cell holds them. Inside a part by name only, the rules hold with half the
+stop-word density, and all of it is kept if they find no good text in it.
 
 Null or empty html, and pages without text, give an empty text. Broken markup
 is read as far as it goes. Each row has its own result, repeated or null keys
@@ -67,6 +71,7 @@ toolbar topbar widget widgets""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE = {"article": 3, "main": 2}
 #: Names of elements that hold the article where no element is one by its tag.
+HOLDERS = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 NAMED_ARTICLE = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
@@ -82,6 +87,7 @@ class Block:
     linked: int
     heading: bool
     article: int  # 3: in an article by its tag, 2: in a main part, 1: in one by its name
+    held: bool = False  # in a paragraph, item or cell
     label: str = ""
 
 
@@ -127,7 +133,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
-                out.append(Block(text, linked, heading, max(k for k in range(4) if levels[k] or not k)))
+                out.append(Block(text, linked, heading, max(k for k in range(4) if levels[k] or not k),
+                                 any(t in HOLDERS for t, _, _ in stack)))
             parts.clear()
 
     def pop():
@@ -201,19 +208,20 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> str:
-    """good, bad, near or short."""
+    """good, bad, near, short, or link: filled by links inside an article."""
     density = block.linked / len(block.text)
     if density > MOST_LINKS:
-        return "bad"
-    if block.article:
+        return "link" if block.article > 1 else "bad"
+    if block.article > 1:
         return "good"
     if len(block.text) < SHORT:
-        return "bad" if block.linked else "short"
+        return "bad" if block.linked and not block.article else "short"
     found = block.text.lower().split()
     stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in found) / len(found)
-    if stop >= STOP_HIGH:
+    part = 0.5 if block.article else 1.0  # a name is evidence, no verdict
+    if stop >= STOP_HIGH * part:
         return "good" if len(block.text) > LONG else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    return "near" if stop >= STOP_LOW * part else "bad"
 
 
 def second_pass(found: list[Block]) -> None:
@@ -231,6 +239,11 @@ def second_pass(found: list[Block]) -> None:
     for k, x in enumerate(first):
         if x in ("good", "bad"):
             continue
+        if x == "link":
+            sides = [first[j] if j >= 0 else "" for j in (before[k], after[k])]
+            enough = 1 if found[k].held and "bad" not in sides else 2
+            found[k].label = "good" if sides.count("good") >= enough else "bad"
+            continue
         if not decided:
             found[k].label = "good"
             continue
@@ -249,12 +262,31 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    level = max((b.article for b in found), default=0)
-    found = [b for b in found if b.article == level]
+    for level in sorted({b.article for b in found}, reverse=True):
+        # the next wider part only where this one lacks most of its good text
+        inside = [b for b in found if b.article >= level]
+        good = labelled(inside)
+        wider = max((b.article for b in found if b.article < level), default=None)
+        if wider is None or wider == 0 and level > 1:
+            break
+        around = labelled([b for b in found if b.article >= wider])
+        if 2 * sum(len(b.text) for b in good) >= sum(len(b.text) for b in around):
+            break
+    else:
+        good = []
+    return " ".join(b.text for b in good)
+
+
+def labelled(found: list[Block]) -> list[Block]:
+    """The good blocks of a part by both passes."""
     for b in found:
         b.label = first_pass(b)
+    named = [b for b in found if b.article == 1]
+    if named and len(named) == len(found) and not any(b.label in ("good", "near") for b in named):
+        for b in named:
+            b.label = "good" if b.linked <= MOST_LINKS * len(b.text) else "bad"
     second_pass(found)
-    return " ".join(b.text for b in found if b.label == "good")
+    return [b for b in found if b.label == "good"]
 
 
 def extract(df: DataFrame, page: str = "html", to: str = "text") -> DataFrame:

@@ -258,6 +258,20 @@ def test_two_passes_without_an_article():
     assert "Buy Cheap" not in text and "Home" not in text and "Tail words" not in text
 
 
+def test_the_part_with_most_of_the_text_counts():
+    body = "this is the text of the page and it has the words that are in it for us to read on and on " * 3
+    for tag in ("main", "div class=content"):
+        text = html_text.main_text(f"<{tag}><p>{body}</p><article><p>A card</p></article><p>{body}</p></{tag.split()[0]}>")
+        assert text.count("this is the text") == 6
+    assert html_text.main_text(f"<p>{body}</p><div class=post><p>Teaser</p></div><p>{body}</p>").count("this is the text") == 6
+
+
+def test_links_of_an_article_stay_next_to_its_text():
+    page = "<article><p>Read these:</p><ul><li><a href=a>First book</a><li><a href=b>Second book</a></ul></article>"
+    assert html_text.main_text(page) == "Read these: First book Second book"
+    assert html_text.main_text("<article><p>One</p><p><a href=a>linked words</a></p><p>Two</p></article>") == "One linked words Two"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p></div>", "<a><p></a>", "&#xZZ; &bogus;", "<p>" * 3000])
 def test_broken_pages_have_a_text(page):
     assert isinstance(html_text.main_text(page), str)
