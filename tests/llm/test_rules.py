@@ -258,6 +258,15 @@ def test_two_passes_without_an_article():
     assert "Buy Cheap" not in text and "Home" not in text and "Tail words" not in text
 
 
+def test_rules_decide_inside_parts_marked_by_name():
+    good = "this is the text of the page and it has the words that are in it for us to read on and on " * 3
+    advert = "Buy Cheap Stuff Online Great Prices Big Choice Fast Shipping Worldwide Safe Payment Top Brands"
+    text = html_text.main_text(f"<div id=content><p>{good}</p><p>Short one.</p><p>{good}</p><p>{advert}</p><p>{advert}</p></div>")
+    assert text.count("this is the text") == 6 and "Short one." in text and "Buy" not in text
+    foreign = "лорем ипсум долор сит амет " * 9
+    assert html_text.main_text(f"<div class=content><p>{foreign}</p><p>{foreign}</p></div>").count("лорем") == 18
+
+
 def test_the_part_with_most_of_the_text_counts():
     body = "this is the text of the page and it has the words that are in it for us to read on and on " * 3
     for tag in ("main", "div class=content"):
