@@ -3,15 +3,16 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so
 its size follows the text and sketches of very unequal texts stay comparable:
 the union of two sketches is the sketch of the union, and the share of one's
-hashes in the other estimates containment without bias. Only DataFrame and SQL
-functions are used.
+hashes in the other estimates containment without bias. The fraction is 1 here,
+so likeness is exact for texts of any length. Only DataFrame and SQL functions
+are used.
 
 Words are runs of letters and digits of the lower-cased text; a text of fewer
 than ``n`` words but some has one shingle, all its words. A fingerprint is the
 sorted distinct kept hashes in hexadecimal, joined by commas, behind the MD5 of
-the text, so equal texts have equal fingerprints and short texts, whose
-sketch may be empty, still differ from others. The likeness is 1 for equal
-texts, else the estimated Jaccard similarity (0 where both sketches are empty).
+the text, so equal texts have equal fingerprints and texts without a word still
+differ from others. The likeness is 1 for equal texts, else the Jaccard
+similarity of the sketches (0 where both are empty).
 
 The next document is that of the next lower id, and after the last comes the
 first; rows of the same id are ordered by text, a null id is the lowest, a
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NGRAM = 5
-SCALE = 8  # one shingle hash in so many is kept
+SCALE = 1  # one shingle hash in so many is kept: a larger one leaves most short texts without any
 COARSE = 256           # ranges of ids by quantiles, and
 RANGE_BYTES = 32 << 20  # text in one of their even parts
 
@@ -50,8 +51,9 @@ def shingle_hashes(text: Column, n: int = NGRAM) -> Column:
 def sketch(text: Column, n: int = NGRAM, scale: int = SCALE) -> Column:
     """Sorted distinct shingle hashes below 1/scale of the hash range."""
     least = -(1 << 63)
-    limit = least + (1 << 64) // scale
-    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, n), lambda h: h < F.lit(limit))))
+    last = least + (1 << 64) // scale - 1
+    found = shingle_hashes(text, n)
+    return F.sort_array(F.array_distinct(found if scale == 1 else F.filter(found, lambda h: h <= F.lit(last))))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -108,8 +110,8 @@ def id_ranges(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTE
 
 
 def with_next(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(doc_id, text, sketch, next) of every row; ``next`` is a struct (text,
-    sketch) of the next row by falling doc_id.
+    """(doc_id, text, next) of every row; ``next`` is a struct (text) of the next
+    row by falling doc_id. Sketches are left to the reader of the shuffled texts.
 
     Rows are dealt to ranges of ids, and a window orders each range. The first
     row of a range is also shown, as a guest, to the range above it, whose last
@@ -124,9 +126,9 @@ def with_next(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTE
     heads = spark.createDataFrame(follows, "part int, head long")
     guests = (df.join(F.broadcast(heads), df["doc_id"].eqNullSafe(heads["head"]))
               .groupBy("part", "doc_id").agg(F.max("text").alias("text")).select("doc_id", "text", "part"))
-    rows = add_sketch(placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))
+    rows = placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
     order = W.partitionBy("part").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return (rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
+    return (rows.withColumn("next", F.lead(F.struct("text")).over(order))
             .where("guest = 0").drop("guest", "part"))
 
 
@@ -138,10 +140,10 @@ def report(docs: DataFrame) -> DataFrame:
     both = (with_next(base).withColumn("n_chars", F.length("text").cast("long"))
             .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"),
                                            F.substring(F.col("next.text"), F.lit(1), cut))))
-    both = add_sketch(both, "edited", "edited_sketch")
+    both = add_sketch(add_sketch(both), "edited", "edited_sketch").withColumn("next_sketch", sketch(F.col("next.text")))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
         render(F.md5("text"), F.col("sketch")).alias("fingerprint"),
         render(F.md5("edited"), F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("text"), F.col("sketch"), F.col("edited"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("text"), F.col("sketch"), F.col("next.text"), F.col("next.sketch")).alias("near_next"))
+        likeness(F.col("text"), F.col("sketch"), F.col("next.text"), F.col("next_sketch")).alias("near_next"))

@@ -131,6 +131,17 @@ def test_odd_rows_and_merged_sketches(spark, odd_docs):
     assert r["c"] == 1.0 and r["m"]
 
 
+def test_short_texts_have_the_likeness_of_their_words(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(5 + k % 9)) for k in range(40)]
+    rows = {r["doc_id"]: r for r in fingerprint.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    grams = lambda t: {tuple(w[k: k + 5]) for w in [t.split()] for k in range(max(len(w) - 4, 1))}
+    for k, t in enumerate(texts):
+        cut = len(t) // 3
+        a, b = grams(t), grams(t[: len(t) - cut] + texts[k - 1][:cut])
+        assert rows[k]["near_edited"] == pytest.approx(len(a & b) / len(a | b))
+        assert len(rows[k]["fingerprint"].split(":")[1].split(",")) == len(a)
+
+
 # toxicity
 
 
