@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html_text, ngram_join, quality, token_counts, token_ids, toxicity, warc
+from . import (bpe, centroids, decontaminate, fingerprint, html_text, ngram_join, prefix_trie, quality, quality_rules,
+               token_counts, token_ids, toxicity, warc)
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -64,6 +65,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.report(table(spark, sf_dir, "pages"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts and likelihood verdict of every document."""
+    return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding."""
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
@@ -75,10 +91,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_token_ids": op9_token_ids,
     "op10_html_text": op10_html_text,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
 
 SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op3_ngram_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }

@@ -8,7 +8,7 @@ from panelcast.llm import queries
 
 from .conftest import SF
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -31,5 +31,5 @@ def test_query_runs_and_equals_its_sql(spark, name):
 
 
 def test_every_operator_is_registered_once():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES) and "pipeline" in entry.queries()
