@@ -8,7 +8,10 @@ A sequence in which every two neighbours are what encoding their joined text
 gives is the encoding of the whole, so the agreement proves the join.
 
 Texts longer than ``long_chars`` are cut into pieces that are rows of their
-own, encoded in parallel by many tasks, and joined in the same way.
+own and encoded in parallel by many tasks. Cuts are made before white space that
+follows something else, where no pre-token goes on. A stretch without such a
+place is cut into pre-tokens first, by the tokenizer's own rules; a long one of
+these becomes several rows, whose ids are joined as in the tree.
 
 Null or empty text has no ids. Rows are kept as they come: repeated rows and
 null keys give one result each. Same-named columns of the input are replaced.
@@ -18,6 +21,8 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -161,19 +166,24 @@ class Codec:
         """Little-endian ids of a pre-token."""
         return self.table[word]
 
-    def odd(self, text: str) -> bytes:
-        """Ids of a text with rare characters or the text of special tokens."""
-        out = []
+    def words_of(self, text: str) -> Iterator[bytes | int]:
+        """Pre-tokens of any text, by the library's rules; ids of special tokens."""
         parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
         for part in parts:
             if part in self.special:
-                out.append(np.uint32(self.special[part]).tobytes())
+                yield self.special[part]
             elif part:
                 if self.library.normalizer is not None:
                     part = self.library.normalizer.normalize_str(part)
-                out += [self.word(bytes(self.alphabet[c] for c in piece))
-                        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
-        return b"".join(out)
+                for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(part):
+                    yield bytes(self.alphabet[c] for c in piece)
+
+    def words_ids(self, words: Iterable[bytes | int]) -> bytes:
+        return b"".join(np.uint32(w).tobytes() if isinstance(w, int) else self.word(w) for w in words)
+
+    def odd(self, text: str) -> bytes:
+        """Ids of a text with rare characters or the text of special tokens."""
+        return self.words_ids(self.words_of(text))
 
     def encode(self, col: pa.Array) -> pa.Array:
         """Little-endian 32-bit ids of every text of a column without nulls."""
@@ -222,74 +232,84 @@ def codec(spec: str) -> Codec:
     return _CODECS[key]
 
 
-def cut_points(text: str, size: int) -> list[tuple[int, bool]]:
-    """Where to cut a text: after about ``size`` characters, at white space, or
-    inside a long run of ASCII letters (True: the run goes on). Without such a
-    place near, the piece grows until one comes."""
-    cuts: list[tuple[int, bool]] = []
-    place = re.compile(r"\s|(?<=[A-Za-z]{32})(?=[A-Za-z])")
-    at = size
-    while at < len(text):
-        found = place.search(text, at)
-        if not found or found.start() >= len(text):
-            break
-        inside = found.end() == found.start()
-        cuts.append((found.start(), inside))
-        at = found.start() + size
-    return cuts
-
-
-def _pieces(batches, column):
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = batch.column(at).to_pylist()
-        for row, text in enumerate(texts):
-            cuts = cut_points(text, PIECE_CHARS)
-            begin = [0, *[c for c, _ in cuts]]
-            end = [*[c for c, _ in cuts], len(text)]
-            glue = [False, *[g for _, g in cuts], False]
-            for k, (a, b) in enumerate(zip(begin, end, strict=True)):
-                yield pa.RecordBatch.from_pydict({
-                    "piece_row": [batch.column(batch.schema.get_field_index("piece_row"))[row].as_py()],
-                    "piece_no": [k], "piece_text": [text[a:b]], "open_left": [glue[k]], "open_right": [glue[k + 1]]})
-
-
-def open_edges(text: str, open_left: bool, open_right: bool) -> tuple[str, str, str]:
-    """The run of letters that goes on to the left, the middle, and to the right."""
-    left = re.match(r"[A-Za-z]*", text).end() if open_left else 0
-    if open_left and left == len(text):
-        return text, "", ""
-    right = re.search(r"[A-Za-z]*\Z", text).start() if open_right else len(text)
-    return text[:left], text[left:right], text[right:]
-
-
-def join_pieces(codec: Codec, pieces: list[tuple[str, bool, bool, bytes]]) -> bytes:
-    """Ids of a text from its pieces in order: (text, open_left, open_right,
-    ids of the part between the open runs)."""
-    out, runs = [], []
-
-    def close():
-        if runs:
-            out.append(_tree_of(codec, runs).tobytes())
-            runs.clear()
-
-    for text, open_left, open_right, middle in pieces:
-        head, body, tail = open_edges(text, open_left, open_right)
-        if open_left:
-            runs.append(head.lower().encode())
-            if open_right and not body and not tail and head == text:
+_CUT = re.compile(r"(?<=\S)[ \t\n\r]")
+
+
+def cut_points(text: str, size: int) -> list[tuple[int, int, bool]]:
+    """Pieces (begin, end, whole) of a text: runs of about ``size`` characters
+    that end before white space, and (not whole) longer stretches without any."""
+    out, begin = [], 0
+    while begin < len(text):
+        found = _CUT.search(text, begin + size)
+        end = found.start() if found else len(text)
+        if end - begin > 2 * size:
+            # the place where the long stretch begins
+            last = max((m.start() for m in _CUT.finditer(text, begin + 1, begin + size + 1)), default=begin)
+            if last > begin:
+                out.append((begin, last, True))
+            out.append((last, end, False))
+        else:
+            out.append((begin, end, True))
+        begin = end
+    return out
+
+
+#: A row of a long text: a whole piece, or coded words (pre-tokens, or None and
+#: a special id), or a part of one long word that goes on in the next row.
+_PIECE = "{row} long, piece_no long, piece_text string, piece_words array<binary>, piece_part binary, piece_open boolean"
+
+
+def text_pieces(codec: Codec, text: str, size: int) -> Iterator[dict]:
+    """The rows of a long text in order."""
+    for begin, end, whole in cut_points(text, size):
+        if whole:
+            yield {"piece_text": text[begin:end]}
+            continue
+        words: list[bytes] = []
+        held = 0
+        for word in codec.words_of(text[begin:end]):
+            if not isinstance(word, int) and len(word) > size:
+                if words:
+                    yield {"piece_words": words}
+                for k in range(0, len(word), size):
+                    yield {"piece_part": word[k: k + size], "piece_open": k + size < len(word)}
+                words, held = [], 0
                 continue
-            close()
-        out.append(middle)
-        if open_right:
-            runs.append(tail.lower().encode())
-    close()
+            # the id of a special token is marked by a byte that no pre-token begins with
+            words.append(_MARK + np.uint32(word).tobytes() if isinstance(word, int) else word)
+            held += len(words[-1])
+            if held > size:
+                yield {"piece_words": words}
+                words, held = [], 0
+        if words:
+            yield {"piece_words": words}
+
+
+def piece_ids(codec: Codec, piece: dict) -> bytes:
+    """Ids of one row of a long text."""
+    if piece["piece_text"] is not None:
+        return codec.encode(pa.array([piece["piece_text"]], pa.string()))[0].as_py()
+    if piece["piece_words"] is not None:
+        return codec.words_ids(int.from_bytes(w[1:], "little") if w[:1] == _MARK else w for w in piece["piece_words"])
+    return codec.tree(piece["piece_part"], not piece["piece_open"]).tobytes()
+
+
+def join_pieces(codec: Codec, pieces: list[tuple[bytes | None, bool | None, bytes]]) -> bytes:
+    """Ids of a text from its rows in order: (part, whether it goes on, ids)."""
+    out, parts = [], []
+    for part, goes_on, ids in pieces:
+        if part is None:
+            out.append(ids)
+            continue
+        parts.append((part, np.frombuffer(ids, np.uint32)))
+        if not goes_on:
+            out.append(_joined(codec, parts).tobytes())
+            parts = []
     return b"".join(out)
 
 
-def _tree_of(codec: Codec, parts: list[bytes]) -> np.ndarray:
-    """Join the encoded parts of one run, pair by pair, up a tree."""
-    level = [(p, codec.tree(p, k == len(parts) - 1)) for k, p in enumerate(parts)]
+def _joined(codec: Codec, level: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
+    """Join the encoded parts of one word, pair by pair, up a tree."""
     while len(level) > 1:
         above = []
         for k in range(0, len(level) - 1, 2):
@@ -317,32 +337,41 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
     short = df.where(size <= long_chars).mapInArrow(whole, schema)
     # written once, so the numbers of the rows hold for pieces and rows alike
-    long = stage(df.where(size > long_chars).withColumn("piece_row", F.monotonically_increasing_id()), "long-texts")
+    row = f"row_{uuid.uuid4().hex}"
+    long = stage(df.where(size > long_chars).withColumn(row, F.monotonically_increasing_id()), "long-texts")
     if long.isEmpty():
         return short
-    pieces = (long.select("piece_row", F.col(f"`{text}`"))
-              .mapInArrow(lambda b: _pieces(b, text), "piece_row long, piece_no long, piece_text string, "
-                          "open_left boolean, open_right boolean")
-              .repartition("piece_row", "piece_no"))
+    most = min(PIECE_CHARS, max(long_chars // 4, 1))
+    kind = T.StructType.fromDDL(_PIECE.format(row=row))
+    arrow = pa.schema([(row, pa.int64()), ("piece_no", pa.int64()), ("piece_text", pa.string()), ("piece_words", pa.list_(pa.binary())),
+                       ("piece_part", pa.binary()), ("piece_open", pa.bool_())])
+
+    def cut(batches):
+        c = codec(spec.value)
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for k, piece in enumerate(text_pieces(c, body.as_py(), most)):
+                    yield pa.RecordBatch.from_pylist([{row: number, "piece_no": k, **piece}], schema=arrow)
 
-    def leaves(batches):
+    def code(batches):
         c = codec(spec.value)
         for batch in batches:
-            rows = batch.to_pydict()
-            mids = [open_edges(*x)[1] for x in zip(rows["piece_text"], rows["open_left"], rows["open_right"], strict=True)]
-            yield with_columns(batch, {"piece_ids": c.encode(pa.array(mids, pa.string()))})
+            coded = [piece_ids(c, p) for p in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in (row, "piece_no", "piece_part", "piece_open")),
+                                              pa.array(coded, pa.binary())], names=[row, "piece_no", "piece_part", "piece_open", "piece_ids"])
 
-    coded = pieces.mapInArrow(leaves, extended(pieces, [T.StructField("piece_ids", T.BinaryType())]))
+    pieces = long.select(row, F.col(f"`{text}`")).mapInArrow(cut, kind).repartition(row, "piece_no")
+    coded = pieces.mapInArrow(code, f"{row} long, piece_no long, piece_part binary, piece_open boolean, piece_ids binary")
 
     def joined(key, rows):
         rows = rows.sort_values("piece_no")
-        parts = list(zip(rows.piece_text, rows.open_left, rows.open_right, rows.piece_ids, strict=True))
-        return pd.DataFrame({"piece_row": [key[0]], ids: [join_pieces(codec(spec.value), parts)]})
+        return pd.DataFrame({row: [key[0]], ids: [join_pieces(codec(spec.value), list(zip(
+            rows.piece_part, rows.piece_open, rows.piece_ids, strict=True)))]})
 
-    whole_ids = coded.groupBy("piece_row").applyInPandas(joined, T.StructType([
-        T.StructField("piece_row", T.LongType()), T.StructField(ids, T.BinaryType())]))
+    whole_ids = coded.groupBy(row).applyInPandas(joined, T.StructType([
+        T.StructField(row, T.LongType()), T.StructField(ids, T.BinaryType())]))
     clash = [c for c in df.columns if c.lower() == ids.lower()]
-    return short.unionByName(long.drop(*clash).join(whole_ids, "piece_row").drop("piece_row"))
+    return short.unionByName(long.drop(*clash).join(whole_ids, row).drop(row))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -60,29 +60,38 @@ def test_tree_concatenation_equals_merging_at_once(text, leaf, closed):
 test_tree_concatenation_equals_merging_at_once.codec = bpe.Codec(open(WORD, encoding="utf-8").read())
 
 
-def test_cut_points_lie_at_white_space_or_inside_runs_of_letters():
-    text = "ab " * 50 + "x" * 500 + "日" * 300
-    for at, inside in bpe.cut_points(text, 40):
-        assert text[at].isspace() or inside and text[at - 32: at].isalpha()
+def test_pieces_cover_a_text_and_end_before_white_space():
+    for text in ("ab " * 50 + "x" * 500 + "日" * 300, " " * 90 + "a", "a  \n b " * 40, "x" * 300, "ab\x1c \x1c " * 50):
+        found = bpe.cut_points(text, 40)
+        assert "".join(text[a:b] for a, b, _ in found) == text
+        for a, b, whole in found[1:]:
+            assert text[a] in " \t\n\r" and not text[a - 1].isspace()
+            assert b - a <= 80 or not whole
+    assert bpe.cut_points("", 40) == []
+
+
+def _hard_texts(n):
+    """Long texts whose pre-tokens are hard to cut; n letters in the long runs."""
+    r = random.Random(5)
+    letters = lambda k, own="abcdefghijklmnopqrstuvwxyz": "".join(r.choices(own, k=k))
+    return ["é" + letters(n), "it's" + letters(n), "word " * (n // 27) + "é" + letters(n), "ж" + letters(n) + "ж",
+            (letters(80) + "é") * (n // 80), letters(n // 5) + "it's" + letters(n // 5), "日本語" * (n // 3), letters(n, "日本語,。1 "),
+            letters(n, "aé'stж1 \x1c\x85\u00a0!"), "'s" * (n // 2), "a" * n + "<|endoftext|>" + "'ll" * 200 + "e\u0301" * (n // 4),
+            " \n" * (n // 2) + "x" * n, "the" * n + " and Then it's <|endoftext|> " + "lo" * n + "!" * n + " 日本 " + "word " * 90]
 
 
-def test_pieces_of_long_texts_are_joined_exactly(spark, monkeypatch):
-    library = Tokenizer.from_file(WORD)
-    monkeypatch.setattr(bpe, "PIECE_CHARS", 200)
-    texts = ["the" * 700 + " and Then it's <|endoftext|> " + "lo" * 900 + "!" * 300 + " 日本 " + "word " * 90, "short one", None, "z" * 999]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    # pieces are cut in the driver's process here, so the smaller size holds
-    rows = [(t, *zip(*[(0, False), *bpe.cut_points(t, 200)], strict=True)) for t in texts if t and len(t) > 300]
-    codec = bpe.Codec(open(WORD, encoding="utf-8").read())
-    for t, at, glue in rows:
-        ends, right = [*at[1:], len(t)], [*glue[1:], False]
-        parts = []
-        for a, b, left, r in zip(at, ends, glue, right, strict=True):
-            mid = bpe.open_edges(t[a:b], left, r)[1]
-            parts.append((t[a:b], left, r, codec.encode(pa.array([mid]))[0].as_py()))
-        assert np.frombuffer(bpe.join_pieces(codec, parts), np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
-    got = {r["doc_id"]: np.frombuffer(r["ids"], np.uint32).tolist() for r in bpe.encode(df, WORD, long_chars=400).collect()}
-    assert got == {k: library.encode(t or "", add_special_tokens=False).ids for k, t in enumerate(texts)}
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("long_chars, n", [(400, 2400), (200_000, 240_000)])
+def test_long_texts_have_the_library_ids(spark, codecs, path, long_chars, n):
+    library = codecs[path][1]
+    texts = [*_hard_texts(n), "short one", None, "", "z" * 399]
+    if n > 100_000:
+        texts = [t for t in texts if t is None or len(t) < 600_000]
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, piece_row long").repartition(4)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode(df, path, long_chars=long_chars).collect()}
+    wrong = [k for k, t in enumerate(texts)
+             if got[k] != np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()]
+    assert wrong == []
 
 
 def test_digests_of_odd_rows(spark, odd_docs, no_docs):
