@@ -201,7 +201,8 @@ def measure(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "
     marks = _labels(labels)
     trusted = marks.where(_fold("_key").isin(*TARGET_FOLDS) & (F.col("_quality") == 1))
     raw = count_grams(own)
-    target = count_grams(own.join(trusted, F.col("doc_id") == F.col("_key"), "left_semi"))
+    # labels grow with the documents, so they are never broadcast; only the folds of the target are moved
+    target = count_grams(own.join(trusted.hint("merge"), F.col("doc_id") == F.col("_key"), "left_semi"))
     ratios = log_ratios(target, raw)
     table = docs.sparkSession.sparkContext.broadcast(ratios)
     fields = [T.StructField(c, T.LongType()) for c in (*COUNTS, "ratio_sum", "n_grams")]
