@@ -38,7 +38,7 @@ from .common import extended, non_null_text, stage, text_slices, tokenizer_spec,
 
 LEAF_BYTES = 2048        # an unsplit run up to this is merged at once
 JOIN_TOKENS = 8          # first window on each side of a join
-TABLE_WORDS = 200_000    # distinct pre-tokens in each of a worker's two tables
+TABLE_WORDS = 60_000     # distinct pre-tokens in each of a worker's two tables
 LONG_CHARS = 200_000     # texts above are cut into pieces
 PIECE_CHARS = 50_000
 _MARK = b"\xff"          # stands for the word end; never a byte of UTF-8
@@ -319,23 +319,33 @@ def _joined(codec: Codec, level: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
     return level[0][1]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_chars: int = LONG_CHARS) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_chars: int = LONG_CHARS,
+           keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) of every whole text.
 
     Short texts are encoded where they are read. Long ones are cut into pieces
-    that any task may encode; only the pieces are shuffled.
+    that any task may encode; only the pieces are shuffled. ``keep`` names the
+    columns to give back (all of them by default); with ``decoded``, the text
+    that the ids decode to is added in the same pass.
     """
     spec = tokenizer_spec(df.sparkSession, path)
-    schema = extended(df, [T.StructField(ids, T.BinaryType())])
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != ids.lower()]
+    base = df.select(*[F.col(f"`{c}`") for c in keep])
+    schema = extended(base, [T.StructField(ids, T.BinaryType())])
 
     def whole(batches):
         c = codec(spec.value)
         for batch in text_slices(batches, text):
             col = non_null_text(batch.column(batch.schema.get_field_index(text)))
-            yield with_columns(batch, {ids: c.encode(col)})
+            found = {ids: c.encode(col)}
+            if decoded:
+                found[decoded] = c.decode(found[ids])
+            yield with_columns(batch.select(keep), found)
 
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
-    short = df.where(size <= long_chars).mapInArrow(whole, schema)
+    needed = [*keep, *([] if text in keep else [text])]
+    both = extended(base, [*schema.fields[-1:], T.StructField(decoded, T.StringType())]) if decoded else schema
+    short = df.where(size <= long_chars).select(*[F.col(f"`{c}`") for c in needed]).mapInArrow(whole, both)
     # written once, so the numbers of the rows hold for pieces and rows alike
     row = f"row_{uuid.uuid4().hex}"
     long = stage(df.where(size > long_chars).withColumn(row, F.monotonically_increasing_id()), "long-texts")
@@ -370,8 +380,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_
 
     whole_ids = coded.groupBy(row).applyInPandas(joined, T.StructType([
         T.StructField(row, T.LongType()), T.StructField(ids, T.BinaryType())]))
-    clash = [c for c in df.columns if c.lower() == ids.lower()]
-    return short.unionByName(long.drop(*clash).join(whole_ids, row).drop(row))
+    coded = long.select(row, *[F.col(f"`{c}`") for c in keep]).join(whole_ids, row).drop(row)
+    return short.unionByName(decode(coded, path, ids, decoded) if decoded else coded)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -389,7 +399,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
-    coded = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(coded, path).select(
+    return encode(docs.select("doc_id", "text"), path, keep=["doc_id"], decoded="decoded").select(
         "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from panelcast.session import configure, ensure_checkpoint_dir
 
 #: Text handled at once inside a Python task; a longer single document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held by both sides.

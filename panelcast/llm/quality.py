@@ -56,8 +56,10 @@ def text_view(col: pa.Array) -> np.ndarray:
     """Content features of a column without nulls."""
     data, offsets = buffers(col)
     n, size = len(col), np.maximum(np.diff(offsets), 1)[:, None]
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    shares = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)[:, :256] / size
+    place = np.repeat(np.arange(0, n * 256, 256), np.diff(offsets))
+    place += data
+    shares = np.bincount(place, minlength=n * 256).reshape(n, 256) / size
+    del place
     found, first = words.split(col)
     h = words.hashes(found)
     count = np.maximum(np.diff(first), 1)
