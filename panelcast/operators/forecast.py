@@ -104,7 +104,7 @@ def _solver(k: int, rcond: float, top: int | None = None):
     return solve
 
 
-def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "ticker",
+def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str | Sequence[str] = "ticker",
             train_flag: str = "is_test", rcond: float = 1e-10,
             top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """G5 (many features) with G3 scaling, per key.
@@ -120,12 +120,12 @@ def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "ti
     stats = scaler_stats(df, features, key, train_flag)
     zs = [f"__z_{i}" for i in range(len(features))]
     scaled = apply_scaler(df, stats, features, key, suffix="__z")
-    scaled = scaled.select(key, y, train_flag,
+    keys = _keys(key)
+    scaled = scaled.select(*keys, y, train_flag,
                            *[F.col(f + "__z").alias(z) for f, z in zip(features, zs)])
     train = scaled.where(F.col(train_flag) == F.lit(False))
-    moments = train.groupBy(key).agg(*_moment_aggs(zs, y))
-    key_type = df.schema[key].dataType
-    schema = StructType([StructField(key, key_type), StructField("intercept", DoubleType()),
+    moments = train.groupBy(*keys).agg(*_moment_aggs(zs, y))
+    schema = StructType([*[df.schema[k] for k in keys], StructField("intercept", DoubleType()),
                          StructField("coef", ArrayType(DoubleType())),
                          StructField("rank", IntegerType())])
     coef = moments.mapInPandas(_solver(len(zs), rcond, top), schema)
@@ -133,13 +133,14 @@ def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str = "ti
 
 
 def predict_ols(df: DataFrame, coef: DataFrame, stats: DataFrame, features: Sequence[str],
-                key: str = "ticker", out: str = "predicted") -> DataFrame:
+                key: str | Sequence[str] = "ticker", out: str = "predicted") -> DataFrame:
     """intercept + coef . z, evaluated JVM-side with higher-order functions."""
     scaled = apply_scaler(df, stats, features, key, suffix="__z")
     z = F.array(*[F.col(f + "__z") for f in features])
     dot = F.aggregate(F.zip_with(z, F.col("coef"), lambda a, b: a * b), F.lit(0.0),
                       lambda acc, v: acc + v)
-    res = (scaled.join(coef.select(key, "intercept", "coef"), on=key, how="inner")
+    keys = _keys(key)
+    res = (scaled.join(coef.select(*keys, "intercept", "coef"), on=keys, how="inner")
                  .withColumn(out, F.col("intercept") + dot))
     return res.drop("intercept", "coef", *[f + "__z" for f in features])
 

@@ -51,7 +51,7 @@ def min_rows(df: DataFrame, minimum: int, key: str = "ticker") -> DataFrame:
     return df.withColumn("_n", n).where(F.col("_n") >= minimum).drop("_n")
 
 
-def scaler_table(df: DataFrame, features: Sequence[str], key: str = "ticker",
+def scaler_table(df: DataFrame, features: Sequence[str], key: str | Sequence[str] = "ticker",
                  train_flag: str = "is_test", exact_scale: int | None = None) -> DataFrame:
     """Train-only mean and population std, one row per key with
     ``{feature}__mean`` and ``{feature}__std`` (a zero or undefined std is 1).
@@ -67,12 +67,12 @@ def scaler_table(df: DataFrame, features: Sequence[str], key: str = "ticker",
             aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std")]
         else:
             aggs += [exact_mean(v).alias(f"{f}__mean"), exact_stddev(v, 0, exact_scale).alias(f"{f}__std")]
-    wide = df.groupBy(key).agg(*aggs)
+    wide = df.groupBy(*([key] if isinstance(key, str) else key)).agg(*aggs)
     return wide.withColumns({f"{f}__std": F.when(F.col(f"{f}__std") != 0, F.col(f"{f}__std")).otherwise(F.lit(1.0))
                              for f in features})
 
 
-def scaler_stats(df: DataFrame, features: Sequence[str], key: str = "ticker",
+def scaler_stats(df: DataFrame, features: Sequence[str], key: str | Sequence[str] = "ticker",
                  train_flag: str = "is_test") -> DataFrame:
     """Train-only mean and population std per (key, feature), long form.
 
@@ -82,26 +82,28 @@ def scaler_stats(df: DataFrame, features: Sequence[str], key: str = "ticker",
     wide = scaler_table(df, features, key, train_flag)
     pairs = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__mean").alias("mean"),
                       F.col(f"{f}__std").alias("std")) for f in features]
-    return wide.select(key, F.explode(F.array(*pairs)).alias("s")).select(key, "s.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    return wide.select(*keys, F.explode(F.array(*pairs)).alias("s")).select(*keys, "s.*")
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str],
-                 key: str = "ticker", suffix: str = "") -> DataFrame:
+                 key: str | Sequence[str] = "ticker", suffix: str = "") -> DataFrame:
     """Standardise features with per-key train statistics.
 
     ``stats`` holds one row per (key, feature); it is pivoted to one row per
     key, so the join side is bounded by the number of keys.
     """
-    wide = (stats.groupBy(key).pivot("feature", list(features))
+    keys = [key] if isinstance(key, str) else list(key)
+    wide = (stats.groupBy(*keys).pivot("feature", list(features))
                  .agg(F.first(F.struct("mean", "std"))))
-    joined = df.join(wide.select(key, *[F.col(f"`{f}`").alias(f"__s_{f}") for f in features]),
-                     on=key, how="left")
+    joined = df.join(wide.select(*keys, *[F.col(f"`{f}`").alias(f"__s_{f}") for f in features]),
+                     on=keys, how="left")
     scaled = {f + suffix: (F.col(f) - F.col(f"__s_{f}.mean")) / F.col(f"__s_{f}.std")
               for f in features}
     return joined.withColumns(scaled).drop(*[f"__s_{f}" for f in features])
 
 
-def target_scaling(df: DataFrame, y: str = "y", key: str = "ticker",
+def target_scaling(df: DataFrame, y: str = "y", key: str | Sequence[str] = "ticker",
                    train_flag: str = "is_test", exact_scale: int | None = None) -> DataFrame:
     """y_mean / y_std from train rows; y_scaled and its inverse y_back."""
     stats = scaler_table(df, [y], key, train_flag, exact_scale).withColumnsRenamed({f"{y}__mean": "y_mean", f"{y}__std": "y_std"})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.numeric import order_key, round_half_even, safe_name, to_double
-from panelcast.operators import align, clean, drift, features, forecast, metrics, split
+from panelcast.operators import align, clean, drift, features, forecast, metrics, split, trees
 from panelcast.plans import pipeline
 from panelcast.plans.pipeline import TEST_EXPERIMENTS, TEST_SERIES, Experiment
 from panelcast.sources import files, testdata
@@ -482,6 +482,74 @@ def linear_residuals(spark, sf):
                       round_half_even("worst", 6).alias("worst_correlation"))
 
 
+# --- trees, models as a run axis ------------------------------------------------
+
+def _named(feature: str = "feature"):
+    return F.element_at(F.array(*[F.lit(f) for f in E1.feature_list()]), F.col(feature) + 1)
+
+
+def tree_root_split(spark, sf):
+    """Each ticker's best first cut over all features, train rows."""
+    nodes, _ = trees.fit_forest(_supervised(spark, sf), E1.feature_list(), num_trees=1, max_depth=1, bootstrap=False)
+    return nodes.select("ticker", _named().alias("feature"), F.col("bin").cast("long").alias("bin"), "n", "gain", "value",
+                        "left_value", "right_value")
+
+
+def boosted_first_round(spark, sf):
+    """Predictions after one round of depth-1 trees, all rows."""
+    scored, _ = trees.fit_boosted(_supervised(spark, sf), E1.feature_list(), rounds=1, max_depth=1)
+    return scored.select("ticker", "month", "y", "predicted")
+
+
+def ticker_forest_importance(spark, sf):
+    """The ten most important features of each ticker's forest, train rows."""
+    sup = _supervised(spark, sf)
+    feats = clean.columns_except(sup, "close", ("ticker", "month", "y", "rn", "n", "is_test"))
+    nodes, _ = trees.fit_forest(sup, feats, "close")
+    return metrics.top_k_per_group(trees.importances(nodes, feats), 10, ["ticker"], "importance", ["feature"])
+
+
+def ticker_forest_cv(spark, sf):
+    """Five-fold R2 of each ticker's forest on its train rows."""
+    return trees.cross_validate(_supervised(spark, sf).where(~F.col("is_test")), E1.feature_list(), "close", num_trees=20)
+
+
+def ticker_gbt_forecast(spark, sf):
+    """Backtest of each ticker's boosted trees."""
+    scored, _ = trees.fit_boosted(_supervised(spark, sf), E1.feature_list(), rounds=20, max_depth=3)
+    return forecast.backtest(scored, "GBT", 1, neutral="")
+
+
+def _experiment_panel(spark, sf):
+    feat = pipeline.experiment_features(testdata.prices(spark, sf), testdata.indicators(spark, sf), TEST_EXPERIMENTS)
+    return feat, list(dict.fromkeys(f for e in TEST_EXPERIMENTS for f in e.feature_list()))
+
+
+def experiment_models(spark, sf):
+    """Metrics of every experiment, ticker, model and horizon."""
+    feat, feats = _experiment_panel(spark, sf)
+    bt = pipeline.model_backtests(feat, feats, (1, 3), runs=("experiment", "ticker"), rounds=10, max_depth=3)
+    return metrics.regression_metrics(bt, ("experiment", *metrics.RUN_KEYS))
+
+
+def experiment_linear_residuals(spark, sf):
+    """G5 over all experiments and horizons: train residuals of the full feature
+    lists have mean 0 and no correlation with a feature."""
+    from panelcast.session import cut_lineage
+    feat, feats = _experiment_panel(spark, sf)
+    keys = ["experiment", "ticker", "horizon"]
+    sup = cut_lineage(split.chrono_split(split.add_targets(feat, (1, 3), "close", keys[:2]), 0.2, key=keys))
+    coef, stats = forecast.fit_ols(sup, feats, key=keys)
+    train = forecast.predict_ols(sup, coef, stats, feats, key=keys).where(~F.col("is_test"))
+    resid = F.col("y") - F.col("predicted")
+    products = [F.abs(F.covar_pop(resid, F.col(f"`{f}`"))) / F.nullif(F.stddev_pop(f"`{f}`") * F.stddev_pop("y"), F.lit(0.0))
+                for f in feats]
+    out = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), (F.abs(F.avg(resid)) / F.stddev_pop("y")).alias("mean"),
+                                   F.coalesce(F.greatest(*products), F.lit(0.0)).alias("worst"))
+    return out.select("experiment", "ticker", F.col("horizon").cast("int").alias("horizon"), "n_train",
+                      round_half_even("mean", 6).alias("mean_residual"), round_half_even("worst", 6).alias("worst_correlation"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_price_bars, monthly_indicator_mean, observations_json_flatten, numeric_coercion,
     first_per_month, duplicate_month_check, missing_series_report,
@@ -500,4 +568,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,
     provider_json_flatten, traded_universe, wide_prices, feature_inputs, preview_bars, long_histories,
     latest_runs, sorted_metrics, feature_names, ticker_ranges, linear_residuals,
+    tree_root_split, boosted_first_round, ticker_forest_importance, ticker_forest_cv, ticker_gbt_forecast,
+    experiment_models, experiment_linear_residuals,
 )}

@@ -558,3 +558,78 @@ SELECT ticker, min(close) AS low, max(close) AS high, count(close) AS n FROM pri
 SQL["linear_residuals"] = f"""WITH {e1_features()},
 {sup_cte(1)}
 SELECT ticker, count(*) AS n_train, CAST(0 AS DOUBLE) AS mean_residual, CAST(0 AS DOUBLE) AS worst_correlation FROM sup WHERE NOT is_test GROUP BY ticker"""
+
+
+# --- trees ------------------------------------------------------------------------
+
+def root_cut_cte(target: str, src: str, l2: float, scale: float, n_bins: int = 16) -> str:
+    """``binned`` rows and the ``best`` first cut of every ticker, from ``src``."""
+    feats = TEST_EXPERIMENTS[0].feature_list()
+    cuts = ", ".join(f"{k / n_bins}" for k in range(1, n_bins))
+    part = lambda s, n: f"((CAST({s} AS DOUBLE) / {scale}) * (CAST({s} AS DOUBLE) / {scale}) / (CAST({n} AS DOUBLE) + {l2}))"
+    return f"""long_rows AS (
+  SELECT *, unnest(range({len(feats)})) AS feature, unnest([{', '.join(f'CAST({f} AS DOUBLE)' for f in feats)}]) AS x FROM {src}),
+edges AS (
+  SELECT ticker, feature, quantile_disc(x, [{cuts}]) FILTER (WHERE NOT is_test) AS e FROM long_rows GROUP BY ALL),
+binned AS (
+  SELECT l.*, len(list_filter(e, lambda q: q < x)) AS bin, CAST({target} AS BIGINT) AS t
+  FROM long_rows l JOIN edges USING (ticker, feature)),
+cells AS (
+  SELECT ticker, feature, bin, count(*) AS cn, CAST(sum(t) AS BIGINT) AS cs FROM binned WHERE NOT is_test GROUP BY ALL),
+sums AS (
+  SELECT ticker, feature, bin, CAST(sum(cn) OVER u AS BIGINT) AS nl, CAST(sum(cs) OVER u AS BIGINT) AS sl,
+    CAST(sum(cn) OVER a AS BIGINT) AS n, CAST(sum(cs) OVER a AS BIGINT) AS s
+  FROM cells WINDOW a AS (PARTITION BY ticker, feature), u AS (PARTITION BY ticker, feature ORDER BY bin)),
+gains AS (
+  SELECT *, CASE WHEN nl >= 1 AND n - nl >= 1 THEN {part('sl', 'nl')} + {part('(s - sl)', '(n - nl)')} - {part('s', 'n')} END AS gain FROM sums),
+best AS (
+  SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY gain DESC NULLS LAST, feature, bin) = 1)"""
+
+
+def leaf_sql(s: str, n: str, l2: float, scale: float) -> str:
+    return f"CAST({s} AS DOUBLE) / {scale} / (CAST({n} AS DOUBLE) + {l2})"
+
+
+def _tree_root_split_sql() -> str:
+    feats = ", ".join(_q(f) for f in TEST_EXPERIMENTS[0].feature_list())
+    value = lambda s, n: leaf_sql(s, n, 0.0, 10000.0)
+    return f"""WITH {e1_features()},
+{sup_cte(1)},
+{root_cut_cte('round(y * 10000)', 'sup', 0.0, 10000.0)}
+SELECT ticker, CASE WHEN gain > 0 THEN [{feats}][feature + 1] END AS feature, CASE WHEN gain > 0 THEN bin END AS bin, n,
+  CASE WHEN gain > 0 THEN gain ELSE 0.0 END AS gain, {value('s', 'n')} AS value,
+  CASE WHEN gain > 0 THEN {value('sl', 'nl')} END AS left_value, CASE WHEN gain > 0 THEN {value('(s - sl)', '(n - nl)')} END AS right_value
+FROM best"""
+
+
+SQL["tree_root_split"] = _tree_root_split_sql()
+
+
+def _boosted_first_round_sql() -> str:
+    unit = float(1 << 24)
+    value = lambda s, n: leaf_sql(s, n, 1.0, unit)
+    return f"""WITH {e1_features()},
+{sup_cte(1)},
+st AS ({_scaler_select()}),
+scaled AS (SELECT s.*, (s.y - st.y_mean) / st.y_std AS y_scaled, st.y_mean, st.y_std FROM sup s JOIN st ON s.ticker = st.ticker),
+{root_cut_cte(f'round(y_scaled * {unit})', 'scaled', 1.0, unit)}
+SELECT b.ticker, b.month, b.y, (0.0 + CAST(0.1 AS DOUBLE) * CASE WHEN c.gain > 0 THEN
+    CASE WHEN b.bin > c.bin THEN {value('(c.s - c.sl)', '(c.n - c.nl)')} ELSE {value('c.sl', 'c.nl')} END
+    ELSE {value('c.s', 'c.n')} END) * b.y_std + b.y_mean AS predicted
+FROM binned b JOIN best c ON c.ticker = b.ticker AND c.feature = b.feature"""
+
+
+SQL["boosted_first_round"] = _boosted_first_round_sql()
+
+
+def _experiment_residuals_sql() -> str:
+    parts = []
+    for exp in TEST_EXPERIMENTS:
+        for h in (1, 3):
+            parts.append(f"SELECT {_q(exp.name)} AS experiment, * FROM (WITH {e1_features(list(exp.indicators), exp.tickers)},\n{sup_cte(h)}\n"
+                         f"SELECT ticker, CAST({h} AS INTEGER) AS horizon, count(*) AS n_train, CAST(0 AS DOUBLE) AS mean_residual, "
+                         "CAST(0 AS DOUBLE) AS worst_correlation FROM sup WHERE NOT is_test GROUP BY ticker)")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["experiment_linear_residuals"] = _experiment_residuals_sql()

@@ -162,6 +162,42 @@ def horizon_backtests(feat: DataFrame, horizons: Sequence[int], x: str = "close"
     return forecast.backtest(scored, model, "horizon", neutral=neutral, runs=[r for r in runs if r != "ticker"])
 
 
+MODELS = ("ols1", "linear", "gbt")
+
+
+def model_backtests(feat: DataFrame, feats: Sequence[str], horizons: Sequence[int], models: Sequence[str] = MODELS,
+                    runs: Sequence[str] = ("ticker",), test_size: float = 0.2, neutral: str = "",
+                    rounds: int = 100, max_depth: int = 6) -> DataFrame:
+    """Model x horizon x run grid as one backtest table.
+
+    ``ols1`` regresses on the current close, ``linear`` on all of ``feats`` with
+    G3 scaling, ``gbt`` boosts trees on them with G4 scaling. The run columns
+    and the horizon are keys of each model's fit, so a plan is the same for any
+    number of tickers, experiments and horizons. A feature that is constant for
+    a run takes no part in it.
+    """
+    from panelcast.operators import trees
+
+    unknown = set(models) - set(MODELS)
+    if unknown:
+        raise ValueError(f"unknown models: {sorted(unknown)}")
+    keys = [*runs, "horizon"]
+    sup = cut_lineage(split.chrono_split(split.add_targets(feat, horizons, "close", list(runs)), test_size, key=keys))
+    parts = []
+    if "ols1" in models:
+        parts.append(("OLS", forecast.predict_single(sup, forecast.fit_ols_single(sup, "close", key=keys), "close", key=keys)))
+    if "linear" in models:
+        coef, stats = forecast.fit_ols(sup, feats, key=keys)
+        parts.append(("LinearRegression", forecast.predict_ols(sup, coef, stats, feats, key=keys)))
+    if "gbt" in models:
+        parts.append(("GBT", trees.fit_boosted(sup, feats, key=keys, rounds=rounds, max_depth=max_depth)[0]))
+    out = None
+    for name, scored in parts:  # a short config list
+        bt = forecast.backtest(scored, name, "horizon", neutral=neutral, runs=[r for r in runs if r != "ticker"])
+        out = bt if out is None else out.unionByName(bt)
+    return out
+
+
 def experiment_features(prices: DataFrame, indicators: DataFrame, experiments: Sequence[Experiment]) -> DataFrame:
     """Feature rows of several experiments (inner-aligned, same lags and
     windows) in one plan, keyed by (experiment, ticker).
