@@ -21,9 +21,11 @@ def _landed(spark, args):
     if getattr(args, "json", None):
         ind = ind.unionByName(files.read_observations_json(spark, args.json))
     ind = files.keep_first(ind, ["series_id", "month"])
-    for kind in ("prices", "indicators"):
-        for r in files.rejected_rows(spark, getattr(args, kind)).collect():  # a row a file with such lines
-            print(f"{r['n_rejected']} rows without a date left out: {r['file']}", file=sys.stderr)
+    rejects = files.rejected_rows(spark, args.prices, "prices").unionByName(files.rejected_rows(spark, args.indicators))
+    if getattr(args, "json", None):
+        rejects = rejects.unionByName(files.rejected_observations(spark, args.json))
+    for r in rejects.orderBy("file", "reason").collect():  # a row a file with such lines
+        print(f"{r['n_rejected']} rows left out ({r['reason']}): {r['file']}", file=sys.stderr)
     if getattr(args, "start", None) or getattr(args, "end", None):
         from panelcast.operators.clean import range_slice
         prices = range_slice(prices, "month", args.start, args.end)

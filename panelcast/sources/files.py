@@ -29,25 +29,33 @@ OBSERVATIONS_SCHEMA = StructType([StructField("observations", ArrayType(StructTy
     StructField("date", StringType()), StructField("value", StringType())])))])
 
 
-_CELLS = 8  # of a price or indicator row; more are not read
+_NO_DATE, _NO_HEADER, _NO_VALUE = "no date", "no header", "no value column"
 
 
-def _csv_rows(spark: SparkSession, path: str, n_cells: int = _CELLS) -> DataFrame:
+def _cells(line: Column) -> Column:
+    """Cells of a CSV line, as many as it has; quotes are taken off."""
+    outside = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.when(line.contains('"'), F.split(line, outside)).otherwise(F.split(line, ","))
+    return F.transform(cells, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '(?s)^"(.*)"$', "$1"), '""', '"')))
+
+
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(file, obs_order, cells, header, month) of every data row of every file.
 
-    One CSV parse of the rows, quotes and all. A file's header is its first
-    row, found among the few rows whose first cell is no date; obs_order follows
-    the file (block start, then row), as keep-first needs it.
+    Rows may have any number of cells. A file's header is its first row that
+    isn't blank, unless that begins with a date: then the file has none, and its
+    rows come with a null header. obs_order follows the file (block start, then
+    row), as keep-first needs it.
     """
-    cells = [f"c{k}" for k in range(n_cells)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    raw = (spark.read.text(path).where(F.trim("value") != "")
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                   F.array(*[F.trim(F.col(c)) for c in cells]).alias("cells")))
+                   _cells(F.regexp_replace("value", "^\ufeff|\r$", "")).alias("cells")))
     rows = raw.select("file", "cells", _row_order(F.col("_block")).alias("obs_order"),
                       month_start(_parse_date(F.col("cells")[0])).alias("month"))
-    heads = (rows.where(F.col("month").isNull()).groupBy("file")
-             .agg(F.min_by("cells", "obs_order").alias("header"), F.min("obs_order").alias("_h")))
-    return rows.join(heads, on="file", how="inner").where(F.col("obs_order") != F.col("_h")).drop("_h")
+    heads = (rows.groupBy("file").agg(F.min_by(F.struct("cells", "month"), "obs_order").alias("_top"), F.min("obs_order").alias("_h")))
+    named = F.when(F.col("_top.month").isNull(), F.col("_top.cells"))
+    return (rows.join(heads, on="file").where(F.col("_top.month").isNotNull() | (F.col("obs_order") != F.col("_h")))
+            .withColumn("header", named).drop("_top", "_h"))
 
 
 def _row_order(block: Column) -> Column:
@@ -60,37 +68,48 @@ def _parse_date(col: Column) -> Column:
     return F.try_to_date(F.trim(col))
 
 
-def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n_rejected): rows per file that the CSV readers leave out, as their
-    first cell is no date."""
-    return _csv_rows(spark, path).where(F.col("month").isNull()).groupBy("file").agg(F.count(F.lit(1)).alias("n_rejected"))
+def _at(suffix: str) -> Column:
+    """Place of the header cell that ends with ``suffix`` (null: none)."""
+    place = F.array_position(F.transform("header", lambda h: F.coalesce(h.endswith(suffix), F.lit(False))), True)
+    return F.nullif(place, F.lit(0))
+
+
+def _reason(kind: str) -> Column:
+    """Why a row of a price or indicator file can't be read (null: it can)."""
+    value = _at("Close").isNull() if kind == "prices" else F.size("header") < 2
+    return (F.when(F.col("month").isNull(), _NO_DATE).when(F.col("header").isNull(), _NO_HEADER).when(value, _NO_VALUE))
+
+
+def rejected_rows(spark: SparkSession, path: str, kind: str = "indicators") -> DataFrame:
+    """(file, reason, n_rejected): rows that the CSV readers leave out: their first
+    cell is no date, or their file has no header or no value column. ``kind``
+    is 'prices' or 'indicators'."""
+    rows = _csv_rows(spark, path).withColumn("reason", _reason(kind)).where("reason is not null")
+    return rows.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
 def read_indicator_csvs(spark: SparkSession, path: str) -> DataFrame:
     """``date|Date,<SERIES_ID>`` CSV files -> (series_id, month, value, obs_order).
 
     The series id is the second header cell; values are coerced leniently
-    (P2) and bucketed to month start (P3). Rows without a date are left out
-    and counted by ``rejected_rows``.
+    (P2) and bucketed to month start (P3). Rows that can't be read are counted
+    by ``rejected_rows``.
     """
-    rows = _csv_rows(spark, path).where(F.col("month").isNotNull())
+    rows = _csv_rows(spark, path).where(_reason("indicators").isNull())
     return rows.select(F.col("header")[1].alias("series_id"), "month",
-                       to_double(F.col("cells")[1]).alias("value"), "obs_order")
+                       to_double(F.get("cells", F.lit(1))).alias("value"), "obs_order")
 
 
 def read_price_csvs(spark: SparkSession, path: str) -> DataFrame:
     """Price files -> (ticker, month, close, volume, obs_order).
 
-    Headers ``Date,{T}_Close,{T}_Volume`` (any column order) name the ticker;
-    plain ``Date,Close,Volume`` files take it from the file name
+    Headers ``Date,{T}_Close,{T}_Volume`` (any columns, in any order) name the
+    ticker; plain ``Date,Close,Volume`` files take it from the file name
     (``{T}_monthly.csv`` or ``{T}.csv``). A missing cell is a missing value.
+    Rows that can't be read are counted by ``rejected_rows(..., 'prices')``.
     """
-    rows = _csv_rows(spark, path).where(F.col("month").isNotNull())
-
-    def cell(suffix: str, of: str) -> Column:
-        at = F.array_position(F.transform("header", lambda h: F.coalesce(h.endswith(suffix), F.lit(False))), True)
-        return F.get(of, (at - 1).cast("int"))
-
+    rows = _csv_rows(spark, path).where(_reason("prices").isNull())
+    cell = lambda suffix, of: F.get(of, (_at(suffix) - 1).cast("int"))
     name = cell("Close", "header")
     from_file = F.regexp_extract("file", r"([^/]+?)(_monthly)?\.csv$", 1)
     ticker = F.when(name.endswith("_Close"), F.regexp_replace(name, "_Close$", "")).otherwise(from_file)
@@ -108,20 +127,31 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str = "obs_order") ->
               .groupBy(*keys).agg(*[F.min_by(v, F.col(order)).alias(v) for v in values]))
 
 
+def _json_rows(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.schema(OBSERVATIONS_SCHEMA).option("multiLine", "true").json(path)
+    rows = df.select(F.input_file_name().alias("file"), F.posexplode_outer("observations").alias("pos", "o"))
+    return rows.withColumn("month", month_start(_parse_date(F.col("o.date"))))
+
+
+def rejected_observations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason, n_rejected): observations of provider JSON without a date,
+    and documents without observations."""
+    reason = F.when(F.col("pos").isNull(), "no observations").otherwise(_NO_DATE)
+    return (_json_rows(spark, path).where("month is null").groupBy("file", reason.alias("reason"))
+            .agg(F.count(F.lit(1)).alias("n_rejected")))
+
+
 def read_observations_json(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:
     """S3: provider JSON -> (series_id, month, value, obs_order); '.' and junk -> NULL.
 
     obs_order is the place in the document's list, behind all CSV rows.
+    Observations without a date are counted by ``rejected_observations``.
     """
-    df = spark.read.schema(OBSERVATIONS_SCHEMA).option("multiLine", "true").json(path)
-    df = df.select(F.input_file_name().alias("file"), F.posexplode("observations").alias("pos", "o"))
+    df = _json_rows(spark, path).where("month is not null")
     sid = F.lit(series_id) if series_id else F.regexp_extract("file", r"([^/]+)\.json$", 1)
     dec = DecimalType(38, 0)
-    return df.select(sid.alias("series_id"),
-                     month_start(_parse_date(F.col("o.date"))).alias("month"),
-                     to_double("o.value").alias("value"),
-                     (F.col("pos").cast(dec) + F.lit("1" + "0" * 37).cast(dec)).cast(dec).alias("obs_order")
-                     ).where(F.col("month").isNotNull())
+    return df.select(sid.alias("series_id"), "month", to_double("o.value").alias("value"),
+                     (F.col("pos").cast(dec) + F.lit("1" + "0" * 37).cast(dec)).cast(dec).alias("obs_order"))
 
 
 def flatten_observations(df: DataFrame, json_col: str) -> DataFrame:
@@ -165,15 +195,7 @@ def read_wide_combined(spark: SparkSession, path: str, fmt: str = "csv") -> Data
         cast = df.select(_parse_date(F.col(f"`{month_col}`").cast("string")).alias("month"),
                          *[to_double(F.col(f"`{c}`")).alias(c) for c in values])
         return cast.unpivot(["month"], [F.col(f"`{c}`") for c in values], "series_id", "value")
-    # one number: the most cells that a line can have
-    n_cells = spark.read.text(path).agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-    cells = [f"c{k}" for k in range(n_cells)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                   F.array(*cells).alias("cells")))
-    rows = raw.select("file", "cells", _row_order(F.col("_block")).alias("_o"), _parse_date(F.col("cells")[0]).alias("month"))
-    heads = rows.where(F.col("month").isNull()).groupBy("file").agg(F.min_by("cells", "_o").alias("header"))
-    named = (rows.where(F.col("month").isNotNull()).join(heads, on="file")
-             .select("month", F.explode(F.slice(F.arrays_zip("header", "cells"), 2, n_cells)).alias("x")))
-    return named.where(F.col("x.header").isNotNull()).select(
-        "month", F.trim("x.header").alias("series_id"), to_double("x.cells").alias("value"))
+    named = (_csv_rows(spark, path).where("month is not null and header is not null")
+             .select("month", F.posexplode(F.arrays_zip("header", "cells")).alias("place", "x")))
+    return named.where("place > 0 and x.header is not null").select(
+        "month", F.col("x.header").alias("series_id"), to_double("x.cells").alias("value"))

@@ -15,40 +15,102 @@ class EmptyResultError(ValueError):
     pass
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                fmt: str = "parquet", mode: str = "overwrite", refuse_empty: bool = True,
-                one_file: bool = False) -> str:
+class _Folder:
+    """Hadoop's file system calls on paths beside one table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.path(path))
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self.path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self.path(new).getParent())
+        if not self.fs.rename(self.path(old), self.path(new)):
+            raise OSError(f"{old} can't be renamed to {new}")
+
+    def names(self, path: str, folders: bool = True) -> list[str]:
+        found = self.fs.listStatus(self.path(path)) if self.exists(path) else []
+        return sorted(f.getPath().getName() for f in found if f.isDirectory() == folders)
+
+    def leaves(self, path: str, depth: int, under: str = "") -> list[str]:
+        """Partition folders ``depth`` levels below ``path``."""
+        if not depth:
+            return [under]
+        own = [n for n in self.names(f"{path}/{under}".rstrip("/")) if "=" in n]
+        return [x for n in own for x in self.leaves(path, depth - 1, f"{under}/{n}".lstrip("/"))]
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back a table whose writer died between its two renames."""
+    path = path.rstrip("/")
+    folder = _Folder(spark, path)
+    if folder.exists(path):
+        return
+    parent, _, name = path.rpartition("/")
+    aside = [n for n in folder.names(parent) if n.startswith(f"{name}.old-")]
+    if aside:
+        folder.rename(f"{parent}/{aside[-1]}", path)
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table of ``write_table``: its last whole version."""
+    recover(spark, path)
+    return spark.read.option("header", "true").format(fmt).load(path)
+
+
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet",
+                refuse_empty: bool = True, one_file: bool = False, replace: str = "table") -> str:
     """K1/K2/K3: write a panel table, partitioned (e.g. by ticker).
 
-    The result is first written beside ``path``, so the plan runs once and an
-    empty result is refused before anything at ``path`` is touched. With
-    ``partition_by``, overwrite replaces only the partitions it writes.
-    ``one_file`` gathers the finished (small) table in one file.
+    The data is written once, beside ``path``, and then takes its place by
+    renames: the old version is moved aside, the new one in, and the old one is
+    removed. If anything fails, the old version goes back, and an empty result
+    is refused before ``path`` is touched. With ``replace='partitions'`` only
+    the partitions in the result are replaced, each in this way, all or none;
+    else partitions that left the result are gone. ``one_file`` gathers a small
+    table in one file. Renames of a folder must be atomic, as on HDFS and local
+    disks; ``read_table`` also mends what a killed writer left.
     """
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    if replace not in ("table", "partitions"):
+        raise ValueError("replace must be 'table' or 'partitions'")
+    spark, path = df.sparkSession, path.rstrip("/")
+    folder, mark = _Folder(spark, path), uuid.uuid4().hex
+    fresh, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    recover(spark, path)
+    moved: list[tuple[str, str]] = []
+
+    def move(a: str, b: str) -> None:
+        folder.rename(a, b)
+        moved.append((a, b))
+
     try:
-        df.write.parquet(fresh)
-        found = spark.read.schema(df.schema).parquet(fresh)
-        if refuse_empty and found.isEmpty():
+        w = (df.repartition(1) if one_file else df).write.option("header", "true")
+        (w.partitionBy(*partition_by) if partition_by else w).format(fmt).save(fresh)
+        written = spark.read.option("header", "true").schema(df.schema).format(fmt).load(fresh)
+        if refuse_empty and written.isEmpty():
             raise EmptyResultError(f"refusing to write an empty table to {path}")
-        w = (found.repartition(1) if one_file else found).write.mode(mode)
-        if partition_by:
-            w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-        if fmt == "csv":
-            w = w.option("header", "true")
-        w.format(fmt).save(path)
+        parts = folder.leaves(fresh, len(partition_by)) if replace == "partitions" and folder.exists(path) else [""]
+        for part in parts:
+            here = f"{path}/{part}".rstrip("/")
+            if folder.exists(here):
+                move(here, f"{old}/{part}".rstrip("/"))
+            move(f"{fresh}/{part}".rstrip("/"), here)
+    except BaseException:
+        for a, b in reversed(moved):
+            folder.rename(b, a)
+        raise
     finally:
-        _remove(spark, fresh)
+        folder.remove(fresh)
+        if folder.exists(path):
+            folder.remove(old)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def save_combined(df: DataFrame, root: str, experiment: str) -> str:
     """K1: aligned table of an experiment."""
     return write_table(df, f"{root.rstrip('/')}/combined/{experiment}", ["ticker"])
@@ -65,7 +127,7 @@ def save_backtest(df: DataFrame, root: str) -> str:
     Re-running a run replaces its partitions; other runs stay untouched.
     """
     parts = [c for c in ("experiment", "model", "horizon") if c in df.columns]
-    return write_table(df, f"{root.rstrip('/')}/backtest", parts)
+    return write_table(df, f"{root.rstrip('/')}/backtest", parts, replace="partitions")
 
 
 def save_metrics(df: DataFrame, root: str, csv_export: bool = False) -> str:

@@ -199,3 +199,58 @@ def test_an_empty_result_leaves_the_old_table(spark, tmp_path):
         sinks.write_table(df.limit(0), parts, ["ticker"])
     assert spark.read.parquet(parts).count() == 2
     assert sorted(p.name for p in tmp_path.iterdir()) == ["p", "t"]
+
+
+def test_no_landed_row_vanishes(spark, tmp_path):
+    d = tmp_path / "px"
+    d.mkdir()
+    (d / "AAA_monthly.csv").write_text("2020-01-01,1.5,10\n2020-02-01,2.5,11\n")          # no header row
+    more = ",".join(f"o{k}" for k in range(1, 12))
+    (d / "BBB_monthly.csv").write_text(f"\ufeffDate,{more},BBB_Close,BBB_Volume\r\n2020-01-01,{','.join('7' * 11)},3.5,9\r\n")
+    (d / "CCC.csv").write_text('\n"Date","Open, first","Close","Volume"\n2020-01-01,"1,000",4.5,8\nlater,1,2,3\n')
+    (d / "DDD.csv").write_text("Date,Open\n2020-01-01,4.5\n")                             # no close
+    got = rows(files.read_price_csvs(spark, str(d)), "ticker", "month", "close", "volume")
+    assert got == [("BBB", D(2020, 1, 1), 3.5, 9.0), ("CCC", D(2020, 1, 1), 4.5, 8.0)]
+    rejects = {(r.file.rsplit("/", 1)[1], r.reason): r.n_rejected for r in files.rejected_rows(spark, str(d), "prices").collect()}
+    assert rejects == {("AAA_monthly.csv", "no header"): 2, ("CCC.csv", "no date"): 1, ("DDD.csv", "no value column"): 1}
+    j = tmp_path / "json"
+    j.mkdir()
+    (j / "X.json").write_text('{"observations": [{"date": "2020-01-01", "value": "1"}, {"value": "2"}, {"date": "?", "value": "3"}]}')
+    (j / "Y.json").write_text('{"other": 1}')
+    assert files.read_observations_json(spark, str(j)).count() == 1
+    rejects = {(r.file.rsplit("/", 1)[1], r.reason): r.n_rejected for r in files.rejected_observations(spark, str(j)).collect()}
+    assert rejects == {("X.json", "no date"): 2, ("Y.json", "no observations"): 1}
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    table, parts = str(tmp_path / "t"), str(tmp_path / "p")
+    old = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "ticker string, horizon int, v double")
+    new = spark.createDataFrame([("B", 1, 5.0), ("C", 2, 6.0)], "ticker string, horizon int, v double")
+    sinks.write_table(old, table)
+    sinks.write_table(old, parts, ["ticker", "horizon"])
+    rename = sinks._Folder.rename
+    for fail_at in (1, 2, 3, 4):
+        calls = []
+
+        def broken(self, a, b, calls=calls, fail_at=fail_at):
+            calls.append(a)
+            if len(calls) == fail_at:
+                raise OSError("injected")
+            rename(self, a, b)
+
+        monkeypatch.setattr(sinks._Folder, "rename", broken)
+        for path, by, n in ((table, [], 2), (parts, ["ticker", "horizon"], 3)):
+            calls.clear()
+            if fail_at <= n:
+                with pytest.raises(OSError, match="injected"):
+                    sinks.write_table(new, path, by, replace="partitions" if by else "table")
+                assert rows(sinks.read_table(spark, path), "ticker", "v") == [("A", 1.0), ("B", 2.0)]
+        monkeypatch.setattr(sinks._Folder, "rename", rename)
+    sinks.write_table(new, parts, ["ticker", "horizon"], replace="partitions")
+    assert rows(sinks.read_table(spark, parts), "ticker", "v") == [("A", 1.0), ("B", 5.0), ("C", 6.0)]
+    sinks.write_table(new, parts, ["ticker", "horizon"])
+    assert rows(sinks.read_table(spark, parts), "ticker", "v") == [("B", 5.0), ("C", 6.0)]
+    # a writer killed between its renames
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    assert rows(sinks.read_table(spark, table), "ticker", "v") == [("A", 1.0), ("B", 2.0)]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["p", "t"]
