@@ -17,8 +17,14 @@ ones there are good next to good text, or between it if no paragraph, item or
 cell holds them. Inside a part by name only, the rules hold with half the
 stop-word density, and all of it is kept if they find no good text in it.
 
+Where no block of a part has a stop word (a language that the list doesn't
+know), length and link density decide alone. Class and id names are evidence
+only: if nothing is left of a page without the elements that they name, the
+page is read again with them.
+
 Null or empty html, and pages without text, give an empty text. Broken markup
-is read as far as it goes. Each row has its own result, repeated or null keys
+is read as far as it goes, in time that follows the page's size: a tag that
+doesn't end is text, a quote that isn't closed ends with its tag. Each row has its own result, repeated or null keys
 too; same-named columns of the input are replaced.
 """
 
@@ -26,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -74,8 +81,8 @@ ARTICLE = {"article": 3, "main": 2}
 HOLDERS = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 NAMED_ARTICLE = frozenset("article content entry main post story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _ABOUT = re.compile(r"\b(?:has|with|no|without|is|show|hide)[-_]?[a-zA-Z]*sidebar\w*|\b(?:has|with|no|without)[-_]\w+", re.I)
@@ -91,7 +98,50 @@ class Block:
     label: str = ""
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+class Tags:
+    """Tags, comments and declarations of a page, one after the other."""
+
+    def __init__(self, page: str):
+        self.page = page
+        # behind these places no tag ends and no quote closes
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(begin, end, tag in lower case or "", whether it ends one, attributes)."""
+        page = self.page
+        while True:
+            begin = page.find("<", at)
+            if begin < 0 or begin > self.last[">"] and not page.startswith("<!--", begin):
+                return None
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, "", False, ""
+            if page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                if end >= 0:
+                    return begin, end + 3, "", False, ""
+            if page.startswith(("<!", "<?"), begin):
+                return begin, page.find(">", begin) + 1, "", False, ""
+            name = _NAME.match(page, begin)
+            if name:
+                end = self.tag_end(name.end())
+                return begin, end + 1, name[1].lower(), page[begin + 1] == "/", page[name.end(): end]
+            at = begin + 1
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, not one in a closed quote."""
+        while True:
+            found = _STOP.search(self.page, at)
+            if not found:
+                return len(self.page)
+            if found[0] == ">":
+                return found.start()
+            # a quote that isn't closed is a character like others
+            closed = found.start() < self.last[found[0]]
+            at = self.page.find(found[0], found.end()) + 1 if closed else found.end()
+
+
+def unwanted(tag: str, attributes: str, in_article: bool, by_name: bool = True) -> bool:
     """Whether an element is no part of the article."""
     if tag in SKIP or tag == "header" and not in_article:
         return True
@@ -103,7 +153,7 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and any(p.lower() in BOILERPLATE for p in _PART.split(_ABOUT.sub(" ", value))):
+        if by_name and name in ("class", "id") and any(p.lower() in BOILERPLATE for p in _PART.split(_ABOUT.sub(" ", value))):
             return True
     return False
 
@@ -119,14 +169,17 @@ def article_level(tag: str, attributes: str) -> int:
                    for p in _PART.split(v.strip("\"'"))))
 
 
-def blocks(page: str) -> list[Block]:
-    """The readable blocks of a page, in order."""
+def blocks(page: str, by_name: bool = True) -> list[Block]:
+    """The readable blocks of a page, in order; ``by_name``: without elements
+    that a class or id names as no part of an article."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, unwanted, level of article
     parts: list[tuple[str, bool]] = []
     skipping = links = 0
     levels = [0, 0, 0, 0]  # open elements of each level
     heading = False
+    opened: Counter[str] = Counter()  # open elements by tag
+    tags = Tags(page)
 
     def close():
         if parts:
@@ -134,7 +187,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
                 out.append(Block(text, linked, heading, max(k for k in range(4) if levels[k] or not k),
-                                 any(t in HOLDERS for t, _, _ in stack)))
+                                 any(opened[t] for t in HOLDERS)))
             parts.clear()
 
     def pop():
@@ -142,25 +195,25 @@ def blocks(page: str) -> list[Block]:
         tag, bad, level = stack.pop()
         skipping -= bad
         levels[level] -= 1
+        opened[tag] -= 1
         links -= tag == "a"
 
     at = 0
     while True:
-        found = _TOKEN.search(page, at)
-        end = found.start() if found else len(page)
-        if end > at and not skipping:
-            parts.append((page[at:end], links > 0))
+        found = tags.next(at)
+        begin, end, tag, ends, attributes = found or (len(page), len(page), "", False, "")
+        if begin > at and not skipping:
+            parts.append((page[at:begin], links > 0))
         if not found:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        at = end
         if not tag:
             continue
         block = tag in BLOCK
         if block:
             close()
-        if found[1]:
-            if any(t == tag for t, _, _ in stack):
+        if ends:
+            if opened[tag]:
                 # an inline end tag doesn't reach beyond its block
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -175,7 +228,7 @@ def blocks(page: str) -> list[Block]:
                 heading = False
             continue
         if tag in RAW:
-            if found[3].rstrip().endswith("/") and tag in ("svg", "math"):
+            if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
                 continue
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
@@ -194,10 +247,11 @@ def blocks(page: str) -> list[Block]:
             while stack[-1][0] != "p":
                 pop()
             pop()
-        bad = unwanted(tag, found[3], sum(levels[1:]) > 0)
-        level = article_level(tag, found[3])
-        if not found[3].endswith("/"):
+        bad = unwanted(tag, attributes, sum(levels[1:]) > 0, by_name)
+        level = article_level(tag, attributes)
+        if not attributes.endswith("/"):
             stack.append((tag, bad, level))
+            opened[tag] += 1
             skipping += bad
             levels[level] += 1
             links += tag == "a"
@@ -207,17 +261,28 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, near, short, or link: filled by links inside an article."""
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
+    found = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in found), len(found)
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """good, bad, near, short, or link: filled by links inside an article;
+    ``known``: whether stop words tell anything in this part."""
     density = block.linked / len(block.text)
     if density > MOST_LINKS:
         return "link" if block.article > 1 else "bad"
     if block.article > 1:
         return "good"
-    if len(block.text) < SHORT:
+    # scripts that no stop word is known of may say as much in fewer characters, of more bytes
+    size = len(block.text) if known else len(block.text.encode())
+    if size < SHORT:
         return "bad" if block.linked and not block.article else "short"
-    found = block.text.lower().split()
-    stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in found) / len(found)
+    if not known:
+        return "good" if size > LONG else "near"
+    count, words = stop_words(block.text)
+    stop = count / words
     part = 0.5 if block.article else 1.0  # a name is evidence, no verdict
     if stop >= STOP_HIGH * part:
         return "good" if len(block.text) > LONG else "near"
@@ -261,7 +326,11 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by one space."""
     if not page:
         return ""
-    found = blocks(page)
+    return chosen(blocks(page)) or chosen(blocks(page, by_name=False))
+
+
+def chosen(found: list[Block]) -> str:
+    """The text of the part of a page that is read."""
     for level in sorted({b.article for b in found}, reverse=True):
         # the next wider part only where this one lacks most of its good text
         inside = [b for b in found if b.article >= level]
@@ -279,8 +348,9 @@ def main_text(page: str | None) -> str:
 
 def labelled(found: list[Block]) -> list[Block]:
     """The good blocks of a part by both passes."""
+    known = any(stop_words(b.text)[0] for b in found)
     for b in found:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
     named = [b for b in found if b.article == 1]
     if named and len(named) == len(found) and not any(b.label in ("good", "near") for b in named):
         for b in named:

@@ -340,3 +340,37 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
 
+
+
+def test_broken_pages_take_time_in_proportion_to_their_size():
+    import time
+    for page in ("<p " * 330_000, "<a href='" * 110_000, "<p \"" * 200_000 + ">", '<p ">" ' * 120_000 + '"', "<div>x" * 150_000,
+                 "<div>" * 90_000 + "</b>" * 180_000, "<!--" * 200_000, "<![CDATA[" * 100_000, "<a \"'>" * 150_000):
+        begin = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - begin < 6
+    assert html_text.main_text("<p >a < b <c") == "a < b <c"
+    assert html_text.main_text("<article><p title='it's\">One</p><p>Two</p></article>") == "One Two"
+
+
+def test_names_are_no_verdict_where_nothing_else_is_left():
+    body = "This is the text of the page, and it is all that there is for you to read on it today. " * 3
+    assert html_text.main_text(f"<div class='widget-text'><p>{body}</p></div>") == body.strip()
+    assert html_text.main_text(f"<div class='widget-text'><p>{body}</p></div><article><p>Own</p></article>") == "Own"
+    assert html_text.main_text(f"<nav><p>{body}</p></nav>") == ""
+
+
+def test_a_language_without_known_words_is_read_by_length_and_links():
+    text = "这是一个没有文章标记的中文网页，它的正文由几个段落组成，应当被完整地提取出来而不是丢失。"
+    page = f"<body><div><a href=x>首页</a> <a href=y>新闻</a></div><div><p>{text * 3}</p><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"{text * 3} {text}"
+
+
+def test_disguises_short_words_and_the_end_of_an_exception():
+    own = toxicity.Model({"loser": 3.0, "idiot": 3.0, "ass|": 4.0, "trash": 2.5, "clown": 2.5}, None).automaton()
+    found = lambda t: sorted(e for e, _ in toxicity.starts(own, t).values())
+    assert found("You 1oser, 1diot and l0ser") == ["idiot", "loser", "loser"]
+    assert found("an ass, no assay and no pass") == ["ass|"]
+    assert found("a trash can, a clown fish") == []
+    assert found("it is trash cannot you see, clown fishy") == ["clown", "trash"]
+    assert toxicity.beginnings("Bad w0rds ab 1a") >= {"bad|", "word", "words", "ab|", "ia|", "la|"}
