@@ -20,6 +20,7 @@ own result. Same-named columns of the input are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -155,17 +156,19 @@ def contaminated(percent: int = PERCENT_HIT, prefix: str = ""):
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return scan(docs, benchmark, prefix="_found_", **options).where(~contaminated(prefix="_found_")).select(*docs.columns)
+    own = f"found_{uuid.uuid4().hex}_"
+    return scan(docs, benchmark, prefix=own, **options).where(~contaminated(prefix=own)).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with the hit words, and what stands between them, cut out."""
-    found = scan(docs, benchmark, text, prefix="_found_", **options)
+    own = f"found_{uuid.uuid4().hex}_"
+    found = scan(docs, benchmark, text, prefix=own, **options)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for k, raw in enumerate(batch.column("_found_spans").to_pylist()):
+            for k, raw in enumerate(batch.column(f"{own}spans").to_pylist()):
                 if raw:
                     places = [m.span() for m in WORD.finditer(texts[k])]
                     for a, b in np.frombuffer(raw, "<i8").reshape(-1, 2)[::-1]:

@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(cur)
     while seen[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the join's sides are shuffled apart and the edges of one centre can be split
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(down, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -20,6 +20,7 @@ columns are never read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.session import cut_lineage
+
 from . import ngram_sets
 from .common import non_null_text, stage, text_slices
 from .graph import components
@@ -224,11 +227,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, that of the least key; rows with a
-    null key stay."""
-    found = join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    key = docs["doc_id"]
-    null = docs.where(key.isNull())
-    return docs.join(found, key == F.col("kept"), "left_semi").dropDuplicates(["doc_id"]).unionByName(null)
+    null key stay. Of rows that share that key the one whose text, then whose
+    other columns as text, sort first stays."""
+    kept = f"kept_{uuid.uuid4().hex}"
+    found = join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias(kept)).distinct()
+    null = docs.where(docs["doc_id"].isNull())
+    rows = docs.join(found, docs["doc_id"] == F.col(kept), "left_semi")
+    # a key with one row, as nearly all have, is no more than counted
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(kept)).where(F.col(kept) > 1).select(F.col("doc_id").alias(kept))
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return rows.unionByName(null)
+    single = rows.join(again, rows["doc_id"] == F.col(kept), "left_anti")
+    several = rows.join(again, rows["doc_id"] == F.col(kept), "left_semi")
+    order = F.struct(F.col("text"), F.to_json(F.struct(*docs.columns)).alias("rest"))
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias(kept)).select(f"{kept}.*")
+    return single.unionByName(first).unionByName(null)
 
 
 #: All pairs by shared grams, for small tables.

@@ -21,6 +21,7 @@ null keys are scored like others. Without labels every score is 1/2.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -331,4 +332,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score below ``threshold``."""
-    return score(docs, train(docs, labels), "_quality_").where(F.col("_quality_score") >= threshold).select(*docs.columns)
+    own = f"quality_{uuid.uuid4().hex}_"
+    return score(docs, train(docs, labels), own).where(F.col(f"{own}score") >= threshold).select(*docs.columns)

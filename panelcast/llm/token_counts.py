@@ -57,7 +57,8 @@ def _column(codec: Codec, whole: frozenset[bytes], table: Recent, col: pa.Array)
     plain = pretokens.plain_rows(col, list(codec.special))
     out = np.zeros(len(col), np.int64)
     for i in np.flatnonzero(~plain):
-        out[i] = len(codec.odd(col[int(i)].as_py())) // 4
+        # cut by the library's rules; a special token is one token like a proven string
+        out[i] = sum(1 if isinstance(w, int) or w in whole else table[w] for w in codec.words_of(col[int(i)].as_py()))
     texts = col if plain.all() else non_null_text(col.filter(pa.array(plain)))
     words, first = pretokens.split(texts, codec.kind)
     if len(words):

@@ -2,8 +2,9 @@
 
 Text is lower-cased and folded: letters of other scripts that look like Latin
 ones, and digits and signs that stand for letters, become those letters.
-Lexicon entries are beginnings of words; a match counts at a word's start,
-unless it lies in an exception phrase. The weights of the matched words are
+A 1 is read as i and as l. Lexicon entries are beginnings of words, or whole
+words of two or three letters; a match counts at a word's start, unless it lies
+in an exception phrase that ends with a word. The weights of the matched words are
 summed, also per length, and a logistic curve turns both into a probability.
 
 The lexicon is learned from labelled rows, at most ``PER_CLASS`` of a class
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,6 +38,7 @@ from .sampling import in_fold, labelled_sample
 
 PER_CLASS = 20_000
 SHORTEST, LONGEST = 4, 12       # characters of a lexicon entry
+WHOLE = "|"                     # ends an entry that is a whole short word; no letter
 LEAST_ROWS, LEAST_SHARE = 3, 0.005  # of the toxic rows, to hold an entry
 LEAST_WEIGHT = 2.0              # log odds of an entry
 EXPLAINED = 2                   # matched words that explain a toxic row
@@ -59,6 +62,11 @@ def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, and with every 1 as l where it has one; places agree."""
+    return [fold(text)] + ([fold(text.replace("1", "l"))] if "1" in text else [])
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
@@ -69,43 +77,47 @@ class Model:
         import ahocorasick
 
         found = ahocorasick.Automaton()
+        # (entry, characters, weight, whether it must end with its word)
         for entry, weight in self.lexicon.items():
-            found.add_word(entry, (len(entry), weight))
-        for phrase in self.exceptions:
-            found.add_word(fold(phrase), (len(fold(phrase)), None))
+            word = entry.removesuffix(WHOLE)
+            found.add_word(word, (entry, len(word), weight, word != entry))
+        for phrase in map(fold, self.exceptions):
+            found.add_word(phrase, (phrase, len(phrase), None, True))
         if len(found):
             found.make_automaton()
         return found
 
 
 def starts(automaton, text: str) -> dict[int, tuple[str, float]]:
-    """The heaviest entry (and its weight) at each matched word of a folded text."""
+    """The heaviest entry (and its weight) at each matched word of a text."""
     at: dict[int, tuple[str, float]] = {}
     spared = []
-    if len(automaton):
-        for end, (size, weight) in automaton.iter(text):
+    for own in readings(text) if len(automaton) else ():
+        for end, (entry, size, weight, whole) in automaton.iter(own):
             begin = end + 1 - size
-            if begin and text[begin - 1].isalnum():
+            if begin and own[begin - 1].isalnum() or whole and end + 1 < len(own) and own[end + 1].isalnum():
                 continue
             if weight is None:
                 spared.append((begin, end))
             elif begin not in at or weight > at[begin][1]:
-                at[begin] = (text[begin: end + 1], weight)
+                at[begin] = (entry, weight)
     if not spared:
         return at
-    return {b: x for b, x in at.items() if not any(p <= b and b + len(x[0]) - 1 <= q for p, q in spared)}
+    inside = lambda b, e: any(p <= b and b + len(e.removesuffix(WHOLE)) - 1 <= q for p, q in spared)
+    return {b: x for b, x in at.items() if not inside(b, x[0])}
 
 
 def evidence(automaton, text: str) -> tuple[float, float]:
     """Log of the summed weights of matched words, and of that per 100 words."""
-    text = fold(text)
     total = sum(w for _, w in starts(automaton, text).values())
     return (math.log1p(total), math.log1p(100 * total / (20 + len(text.split())))) if total else (0.0, 0.0)
 
 
 def beginnings(text: str) -> set[str]:
-    """Beginnings of the words of a folded text, and short whole words."""
-    return {w[:k] for w in set(_WORD.findall(fold(text))) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    """Beginnings of the words of a text, and its short whole words."""
+    words = {w for own in readings(text) for w in _WORD.findall(own)}
+    return ({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+            | {w + WHOLE for w in words if 2 <= len(w) < SHORTEST})
 
 
 def _counted(rows: DataFrame, entries=None) -> DataFrame:
@@ -188,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     def matched(batches):
         automaton = shared.value.automaton()
         for batch in batches:
-            found = [Counter(e for e, _ in starts(automaton, fold(t or "")).values()) for t in batch.column(0).to_pylist()]
+            found = [Counter(e for e, _ in starts(automaton, t or "").values()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"entries": pa.array([list(f) for f in found], pa.list_(pa.string())),
                                               "counts": pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))})
 
@@ -237,4 +249,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score at least ``threshold``."""
-    return score(docs, train(docs, labels), to="_toxic_score").where(F.col("_toxic_score") < threshold).select(*docs.columns)
+    own = f"score_{uuid.uuid4().hex}"
+    return score(docs, train(docs, labels), to=own).where(F.col(own) < threshold).drop(own)

@@ -139,3 +139,13 @@ def test_contaminated_documents_go_and_spans_are_cut(spark, odd_docs, no_docs):
     assert decontaminate.report(no_docs, b).count() == 0
     empty = decontaminate.report(docs, bench(spark, [])).collect()
     assert {r["n_hit"] for r in empty} == {0}
+
+
+def test_one_of_each_with_clashing_columns_and_ties(spark):
+    from panelcast.llm import ngram_join
+    body = "one two three four five six seven eight nine ten"
+    rows = [(1, body, "b", 7), (1, body, "a", 8), (2, body, "c", 9), (None, body, "d", 1), (3, "another text of its own here", "e", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, u long").repartition(3)
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
