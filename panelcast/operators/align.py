@@ -93,6 +93,59 @@ def align_asof(prices: DataFrame, indicators: DataFrame, ids: Sequence[str],
     return keyed.join(wide, on="_asof", how=how).select(*order)
 
 
+SEGMENTS = 256  # parts of a series, in time
+
+
+def carry_last(df: DataFrame, by: str, ts: str, order: Sequence[str], value: str, out: str,
+               segments: int = SEGMENTS) -> DataFrame:
+    """D3 for rows at any times: ``out`` is the last ``value`` that isn't null at
+    or before each row, by (``ts``, ``order``), within ``by``.
+
+    A series is cut in time into segments of about equal rows (equal times stay
+    together). Values are carried inside each segment; each segment's last value
+    is carried over the segments' own short list, and fills what had none
+    before it. So no task holds more of a series than a segment.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = F.array(*[F.lit(k / segments) for k in range(1, segments)])
+    edges = df.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(micros, cuts, 100 * segments).alias("_edges"))
+    rows = df.join(edges, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    rows = rows.withColumn("_segment", F.coalesce(F.size(F.filter("_edges", lambda e: e < micros)), F.lit(0))).drop("_edges")
+    inside = Window.partitionBy(by, "_segment").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(ts, *order)
+    ends = (rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col("_segment").alias("_of"))
+            .agg(F.max_by(value, place).alias("_end")))
+    # a segment's carry comes from the nearest earlier one that has a value: at most ``segments`` rows a series
+    nxt = F.lead("_of", 1, segments).over(Window.partitionBy("_by").orderBy("_of"))
+    spans = ends.select("_by", "_end", (F.col("_of") + 1).alias("_first"), nxt.alias("_upto")).select(
+        "_by", "_end", F.explode(F.sequence("_first", F.greatest("_first", "_upto"))).alias("_to"))
+    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    return (local.join(spans, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_segment") == F.col("_to")), "left")
+            .withColumn(out, F.coalesce("_local", "_end")).drop("_local", "_end", "_segment", "_by", "_to"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, ts: str, values: Sequence[str], by: str | None = None,
+              tie: Sequence[str] = (), segments: int = SEGMENTS) -> DataFrame:
+    """J3 for any timestamps: every row of ``left`` with ``values`` of the last
+    row of ``right`` at or before it (null: there is none), within ``by``.
+
+    Both have the columns ``ts`` and ``by`` (without ``by``, one series). Among
+    right rows of equal time the greatest ``tie`` counts. Right rows without a
+    time or key are left out; left ones without match nothing. Left and right
+    rows are merged in time and the values carried (``carry_last``), so a series
+    that holds all rows is spread over many tasks.
+    """
+    keys = [F.col(by).alias("_key")] if by else [F.lit(0).alias("_key")]
+    ties = [f"_t{k}" for k in range(len(tie))]
+    old = left.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    new = right.where(F.col(ts).isNotNull() & (F.col(by).isNotNull() if by else F.lit(True))).select(
+        *keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"),
+        *[F.col(c).alias(t) for c, t in zip(tie, ties, strict=True)])
+    both = old.unionByName(new, allowMissingColumns=True)
+    done = carry_last(both, "_key", "_ts", ["_side", *ties], "_value", "_last", segments)
+    return done.where(F.col("_side") == 1).select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in values])
+
+
 def shared_periods(panel: DataFrame, key: str = "ticker", month: str = "month",
                    value: str = "close") -> DataFrame:
     """J1 in long form: rows of the periods in which every entity has a value.

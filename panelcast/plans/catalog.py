@@ -386,8 +386,8 @@ def streaming_drift_updates(spark, sf):
         drift_updates.run_drift_updates(spark, f"{root}/feed/*", f"{root}/history", f"{root}/results",
                                         reference_end=DRIFT_REF_END, window_days=DRIFT_DAYS,
                                         checkpoint=f"{root}/ck")
-    res = spark.read.parquet(f"{root}/results")
-    return res.select("series_id", "n_ref", "n_cur", "ks_statistic")
+    res = spark.read.parquet(f"{root}/results").drop("batch_id")
+    return res.withColumn("p_value", F.round("p_value", 10))
 
 
 def score_saved_model(spark, sf):
@@ -397,7 +397,7 @@ def score_saved_model(spark, sf):
 
 # --- smaller operators on the same tables ------------------------------------------
 
-WIDE_TICKERS = ("Brand#1", "Brand#11", "Brand#21")
+WIDE_TICKERS = tuple(f"Brand#{k}" for k in range(1, 26))
 
 
 def provider_json_flatten(spark, sf):
@@ -415,7 +415,7 @@ def traded_universe(spark, sf):
 
 
 def wide_prices(spark, sf):
-    """Close and volume columns of a list of tickers, in months all share."""
+    """Close and volume columns of every ticker, in months all share."""
     wide = align.wide_prices(testdata.prices(spark, sf), list(WIDE_TICKERS)).dropna(how="any")
     return wide.select("month", *[F.col(f"`{t}_{c}`").alias(f"{safe_name(t)}_{c}")
                                   for t in WIDE_TICKERS for c in ("Close", "Volume")])
@@ -532,6 +532,34 @@ def experiment_models(spark, sf):
     return metrics.regression_metrics(bt, ("experiment", *metrics.RUN_KEYS))
 
 
+def asof_trades(spark, sf):
+    """J3 on raw timestamps: every trade with the price of the last order at or
+    before it, all orders being one series."""
+    orders = testdata.table(spark, sf, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("last_order"),
+                                                        F.col("o_totalprice").alias("last_price"))
+    return align.asof_join(testdata.price_ticks(spark, sf), orders, "ts", ["last_order", "last_price"], tie=["last_order"])
+
+
+def score_model_versions(spark, sf):
+    """Each ticker's stored one-feature models of two versions, fitted on the
+    first 60 % and 80 % of its rows, scored on the rows since."""
+    import uuid
+
+    from panelcast.plans import monitoring
+    from panelcast.session import ensure_checkpoint_dir
+    from panelcast.sources import sinks
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-versions-{uuid.uuid4().hex}"
+    feat = feature_table(spark, sf)
+    for version, test_size in ((1, 0.4), (2, 0.2)):
+        sup = pipeline.supervised(feat, 1, test_size)
+        starts = sup.where("is_test").groupBy("ticker").agg(F.min("month").alias("valid_from"))
+        coef = forecast.fit_ols_single(sup, "close")
+        monitoring.save_versions(monitoring.single_version(coef, "close", starts, "OLS", version), path)
+    sup = pipeline.supervised(feat, 1)
+    scored = monitoring.score_versions(sup, sinks.read_table(spark, path), ["close"])
+    return scored.select("ticker", "month", "model", F.col("version").cast("int").alias("version"), "y", "predicted")
+
+
 def experiment_linear_residuals(spark, sf):
     """G5 over all experiments and horizons: train residuals of the full feature
     lists have mean 0 and no correlation with a feature."""
@@ -569,5 +597,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     provider_json_flatten, traded_universe, wide_prices, feature_inputs, preview_bars, long_histories,
     latest_runs, sorted_metrics, feature_names, ticker_ranges, linear_residuals,
     tree_root_split, boosted_first_round, ticker_forest_importance, ticker_forest_cv, ticker_gbt_forecast,
-    experiment_models, experiment_linear_residuals,
+    experiment_models, experiment_linear_residuals, asof_trades, score_model_versions,
 )}

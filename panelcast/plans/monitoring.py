@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators import forecast, metrics
@@ -67,3 +67,52 @@ def score_saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_pipeline(sup.where(~F.col("is_test")), feats)
     path = save_model(model, spark, "linear")
     return monitor(spark, path, sup.where(F.col("is_test")))
+
+
+# --- versioned models of each ticker -----------------------------------------------
+
+def linear_version(coef: DataFrame, stats: DataFrame, features: list[str], starts: DataFrame, model: str, version: int) -> DataFrame:
+    """A row per ticker of one version of the linear models of ``fit_ols``
+    (coefficients and training scaler), in force from ``starts`` (ticker, valid_from)."""
+    place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
+    scaler = stats.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "mean", "std"))).alias("_s"))
+    return (coef.join(scaler, "ticker").join(starts, "ticker")
+            .select("ticker", F.lit(model).alias("model"), F.lit(version).alias("version"), "valid_from",
+                    F.array(*[F.lit(f) for f in features]).alias("features"), F.transform("_s", lambda s: s["mean"]).alias("mean"),
+                    F.transform("_s", lambda s: s["std"]).alias("std"), "coef", "intercept"))
+
+
+def single_version(coef: DataFrame, feature: str, starts: DataFrame, model: str, version: int) -> DataFrame:
+    """The same for the one-feature models of ``fit_ols_single``, which have no scaler."""
+    return (coef.join(starts, "ticker")
+            .select("ticker", F.lit(model).alias("model"), F.lit(version).alias("version"), "valid_from",
+                    F.array(F.lit(feature)).alias("features"), F.array(F.lit(0.0)).alias("mean"), F.array(F.lit(1.0)).alias("std"),
+                    F.array("slope").alias("coef"), "intercept"))
+
+
+def save_versions(versions: DataFrame, path: str) -> str:
+    """Write versions; those of other models or numbers stay."""
+    return sinks.write_table(versions, path, ["model", "version"], replace="partitions")
+
+
+def _linear(features: list[str]) -> Column:
+    """Prediction from a version's columns and the row's features, by name."""
+    have = F.map_from_arrays(F.array(*[F.lit(f) for f in features]), F.array(*[F.col(f"`{f}`").cast("double") for f in features]))
+    values = F.transform("features", lambda f: F.try_element_at(have, f))
+    scaled = F.zip_with(F.zip_with(values, "mean", lambda x, m: x - m), "std", lambda x, s: x / s)
+    return F.col("intercept") + F.aggregate(F.zip_with(scaled, "coef", lambda z, b: z * b), F.lit(0.0), lambda a, v: a + v)
+
+
+def score_versions(data: DataFrame, versions: DataFrame, features: list[str], date: str = "month") -> DataFrame:
+    """``data`` with model, version and predicted: for each model the version
+    of the row's ticker that was in force on its date (of equal dates the highest).
+
+    Rows before a ticker's first version, and those that miss one of its
+    features (P9), are left out. ``data`` may be a stream.
+    """
+    nxt = F.lead("valid_from").over(Window.partitionBy("ticker", "model").orderBy("valid_from", "version"))
+    spans = versions.withColumn("_until", nxt).where("_until is null or valid_from < _until").withColumnRenamed("ticker", "_ticker")
+    on = (F.col("ticker") == F.col("_ticker")) & (F.col(date) >= F.col("valid_from")) & (
+        F.col("_until").isNull() | (F.col(date) < F.col("_until")))
+    scored = data.join(spans, on).withColumn("predicted", _linear(features)).where(F.col("predicted").isNotNull())
+    return scored.drop("_ticker", "_until", "valid_from", "features", "mean", "std", "coef", "intercept")

@@ -504,7 +504,7 @@ FROM g"""
 
 SQL["streaming_monthly_bars"] = SQL["monthly_price_bars"]
 
-SQL["streaming_drift_updates"] = SQL["ks_drift_statistic"]
+SQL["streaming_drift_updates"] = SQL["ks_drift_test"]
 
 # numpy's array_split sizes: the first n % 5 folds hold one row more
 SQL["cv_folds"] = f"""WITH {e1_features()},
@@ -633,3 +633,27 @@ def _experiment_residuals_sql() -> str:
 
 
 SQL["experiment_linear_residuals"] = _experiment_residuals_sql()
+
+SQL["asof_trades"] = """WITH t AS (
+  SELECT p_brand AS ticker, l_shipdate AS ts, l_orderkey * 8 + l_linenumber AS seq, l_extendedprice AS price, l_quantity AS qty
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+o AS (
+  SELECT o_orderdate AS ots, max(o_orderkey) AS last_order, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY ots)
+SELECT t.*, o.last_order, o.last_price FROM t ASOF LEFT JOIN o ON t.ts >= o.ots"""
+
+
+def _versions_sql() -> str:
+    parts = []
+    for k, size in ((1, 0.4), (2, 0.2)):
+        parts.append(sup_cte(1, name=f"s{k}").replace("CAST(0.2 AS DOUBLE)", f"CAST({size} AS DOUBLE)") + ",\n" + ols_cte(f"s{k}", name=f"m{k}"))
+    return f"""WITH {e1_features()},
+{", ".join(parts)},
+starts AS (SELECT ticker, min(month) AS f2 FROM s2 WHERE is_test GROUP BY ticker),
+firsts AS (SELECT ticker, min(month) AS f1 FROM s1 WHERE is_test GROUP BY ticker)
+SELECT ticker, month, 'OLS' AS model, CAST(1 AS INTEGER) AS version, y, predicted FROM m1 JOIN firsts USING (ticker) JOIN starts USING (ticker)
+WHERE month >= f1 AND month < f2
+UNION ALL
+SELECT ticker, month, 'OLS', 2, y, predicted FROM m2 JOIN starts USING (ticker) WHERE month >= f2"""
+
+
+SQL["score_model_versions"] = _versions_sql()
