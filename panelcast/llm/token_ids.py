@@ -38,7 +38,8 @@ MAGIC = b"RKV1"
 HEAD = struct.Struct("<4sIIIq")
 DOC = np.dtype([("known", "u1"), ("key", "<i8"), ("n", "<u4")])
 BLOCK_IDS = 1 << 18
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
+COARSE = 1000           # ranges of the first level of cuts
 
 #: Sizes of the four ids of each control byte.
 SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -142,14 +143,33 @@ def frequency_ranks(coded: DataFrame, kind: str) -> DataFrame:
 
 
 def shard_bounds(coded: DataFrame, shard_ids: int) -> list[int]:
-    """Keys that end the shards but the last; their number follows the ids."""
+    """Keys that end the shards but the last, each of about ``shard_ids`` ids.
+
+    Keys are cut by two levels of row quantiles into pieces of about a quarter
+    of a shard; the ids of every piece are added up, and pieces in a row are
+    joined until the next would go beyond ``shard_ids``. So long documents make
+    no larger shards, and their number may be any. One key is never cut.
+    """
     total = coded.agg(F.sum("n_ids")).first()[0] or 0
-    n = max(1, -(-total // shard_ids))
-    if n == 1:
+    n = -(-total // shard_ids)
+    if n <= 1:
         return []
-    cuts = [k / n for k in range(1, n)]
-    found = coded.agg(F.percentile_approx("doc_id", F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0])), 10_000)).first()[0]
-    return sorted(set(found or []))
+    coarse = min(n, COARSE)
+    fine = -(-4 * n // coarse)
+    cut = lambda k: F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else F.array(F.lit(0.5))
+    tops = sorted(set(coded.agg(F.percentile_approx("doc_id", cut(coarse), 100 * coarse)).first()[0] or []))
+    inner = (with_shard(coded.select("doc_id"), tops).groupBy("shard")
+             .agg(F.percentile_approx("doc_id", cut(fine), 100 * fine).alias("cuts")).collect())
+    pieces = sorted({*tops, *(x for r in inner for x in r["cuts"] or [])})
+    sums = {r["shard"]: r["n"] for r in with_shard(coded.select("doc_id", "n_ids"), pieces).groupBy("shard")
+            .agg(F.sum("n_ids").alias("n")).collect()}
+    bounds, held = [], 0
+    for k, end in enumerate(pieces):
+        held += sums.get(k, 0)
+        if held + sums.get(k + 1, 0) > shard_ids:
+            bounds.append(end)
+            held = 0
+    return bounds
 
 
 def with_shard(coded: DataFrame, bounds: list[int]) -> DataFrame:

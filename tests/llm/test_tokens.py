@@ -159,6 +159,16 @@ def test_files_of_ids_read_back(spark, odd_docs, no_docs, tmp_path):
     assert token_ids.round_trip(no_docs, WORD).count() == 0
 
 
+def test_shards_follow_the_ids_not_the_rows(spark):
+    sizes = [5000 if 300 <= k < 340 else 1 for k in range(1000)]
+    df = spark.createDataFrame([(k, n, b"") for k, n in enumerate(sizes)] + [(None, 3, b"")], "doc_id long, n_ids long, ids binary").repartition(4)
+    bounds = token_ids.shard_bounds(df, 20_000)
+    edges = [-1, *bounds, 1000]
+    held = [sum(sizes[a + 1: b + 1]) for a, b in zip(edges, edges[1:], strict=False)]
+    assert bounds == sorted(set(bounds)) and sum(held) == sum(sizes) and max(held) <= 25_000 and len(held) <= 16
+    assert token_ids.shard_bounds(df.limit(0), 10) == [] and token_ids.shard_bounds(df, 10**9) == []
+
+
 def test_plain_rows_leave_rare_text_to_the_library():
     col = pa.array(["abc", "é", "İ", "日", "x<|endoftext|>", ""])
     assert pretokens.plain_rows(col, ["<|endoftext|>"]).tolist() == [True, True, False, False, False, True]
