@@ -38,7 +38,7 @@ from .common import extended, non_null_text, stage, text_slices, tokenizer_spec,
 
 LEAF_BYTES = 2048        # an unsplit run up to this is merged at once
 JOIN_TOKENS = 8          # first window on each side of a join
-TABLE_WORDS = 60_000     # distinct pre-tokens in each of a worker's two tables
+TABLE_WORDS = 100_000    # distinct pre-tokens in each of a worker's two tables
 LONG_CHARS = 200_000     # texts above are cut into pieces
 PIECE_CHARS = 50_000
 _MARK = b"\xff"          # stands for the word end; never a byte of UTF-8

@@ -39,7 +39,7 @@ HEAD = struct.Struct("<4sIIIq")
 DOC = np.dtype([("known", "u1"), ("key", "<i8"), ("n", "<u4")])
 BLOCK_IDS = 1 << 18
 SHARD_IDS = 1 << 21
-COARSE = 1000           # ranges of the first level of cuts
+CUTS = 16                # parts of a range with too many ids
 
 #: Sizes of the four ids of each control byte.
 SIZES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -145,26 +145,25 @@ def frequency_ranks(coded: DataFrame, kind: str) -> DataFrame:
 def shard_bounds(coded: DataFrame, shard_ids: int) -> list[int]:
     """Keys that end the shards but the last, each of about ``shard_ids`` ids.
 
-    Keys are cut by two levels of row quantiles into pieces of about a quarter
-    of a shard; the ids of every piece are added up, and pieces in a row are
-    joined until the next would go beyond ``shard_ids``. So long documents make
-    no larger shards, and their number may be any. One key is never cut.
+    Ranges of keys that hold more than half a shard's ids are cut at quantiles
+    of their rows, again until none is left or it is a single key; ranges in a
+    row are then joined until the next would go beyond ``shard_ids``. So long
+    documents make no larger shards, and their number may be any. The passes
+    read two numbers of a row and grow with the logarithm of the shards.
     """
-    total = coded.agg(F.sum("n_ids")).first()[0] or 0
-    n = -(-total // shard_ids)
-    if n <= 1:
-        return []
-    coarse = min(n, COARSE)
-    fine = -(-4 * n // coarse)
-    cut = lambda k: F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else F.array(F.lit(0.5))
-    tops = sorted(set(coded.agg(F.percentile_approx("doc_id", cut(coarse), 100 * coarse)).first()[0] or []))
-    inner = (with_shard(coded.select("doc_id"), tops).groupBy("shard")
-             .agg(F.percentile_approx("doc_id", cut(fine), 100 * fine).alias("cuts")).collect())
-    pieces = sorted({*tops, *(x for r in inner for x in r["cuts"] or [])})
-    sums = {r["shard"]: r["n"] for r in with_shard(coded.select("doc_id", "n_ids"), pieces).groupBy("shard")
-            .agg(F.sum("n_ids").alias("n")).collect()}
+    narrow = coded.select("doc_id", "n_ids")
+    cuts = F.array(*[F.lit(k / CUTS) for k in range(1, CUTS)])
+    ends: list[int] = []
+    while True:
+        found = (with_shard(narrow, ends).groupBy("shard")
+                 .agg(F.sum("n_ids").alias("n"), F.percentile_approx("doc_id", cuts, 100 * CUTS).alias("cuts")).collect())
+        new = {x for r in found if 2 * r["n"] > shard_ids for x in r["cuts"] or []} - set(ends)
+        if not new or len(found) == 1 and found[0]["n"] <= shard_ids:
+            break
+        ends = sorted(new | set(ends))
+    sums = {r["shard"]: r["n"] for r in found}
     bounds, held = [], 0
-    for k, end in enumerate(pieces):
+    for k, end in enumerate(ends):
         held += sums.get(k, 0)
         if held + sums.get(k + 1, 0) > shard_ids:
             bounds.append(end)
@@ -193,8 +192,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
     spark = docs.sparkSession
     spec = bpe.tokenizer_spec(spark, tokenizer)
     kind = "<u2" if bpe.Codec(spec.value).id_bytes == 2 and end_id < 1 << 16 else "<u4"
-    coded = _compact(bpe.encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")),
-                                tokenizer).select("doc_id", "ids"), "ids", end_id, kind)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    coded = _compact(bpe.encode(own, tokenizer, keep=["doc_id"]), "ids", end_id, kind)
     coded = stage(coded, "ids")
     ranks = frequency_ranks(coded, kind)
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
@@ -203,8 +202,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
     for r in ranks.collect():
         table[r["id"]] = r["rank"]
     rank_of = spark.sparkContext.broadcast(table)
-    sharded = with_shard(coded, shard_bounds(coded, shard_ids))
-    sizes = {r["shard"]: r["n"] for r in sharded.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
+    bounds = shard_bounds(coded, shard_ids)
+    sharded = with_shard(coded, bounds)
+    narrow = with_shard(coded.select("doc_id", "n_ids"), bounds)
+    sizes = {r["shard"]: r["n"] for r in narrow.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
     base, total = {}, 0
     for s in sorted(sizes):
         base[s] = total
