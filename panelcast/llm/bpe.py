@@ -38,7 +38,8 @@ from .common import extended, non_null_text, stage, text_slices, tokenizer_spec,
 
 LEAF_BYTES = 2048        # an unsplit run up to this is merged at once
 JOIN_TOKENS = 8          # first window on each side of a join
-TABLE_WORDS = 100_000    # distinct pre-tokens in each of a worker's two tables
+TABLE_WORDS = 200_000    # distinct pre-tokens in each of a worker's two tables
+ENCODE_BYTES = 4 << 20   # text whose distinct pre-tokens are looked up together
 LONG_CHARS = 200_000     # texts above are cut into pieces
 PIECE_CHARS = 50_000
 _MARK = b"\xff"          # stands for the word end; never a byte of UTF-8
@@ -335,7 +336,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", long_
 
     def whole(batches):
         c = codec(spec.value)
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, ENCODE_BYTES):
             col = non_null_text(batch.column(batch.schema.get_field_index(text)))
             found = {ids: c.encode(col)}
             if decoded:
@@ -390,7 +391,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches):
         c = codec(spec.value)
-        for batch in text_slices(batches, ids):
+        for batch in text_slices(batches, ids, ENCODE_BYTES):
             col = pc.fill_null(batch.column(batch.schema.get_field_index(ids)), b"")
             yield with_columns(batch, {text: c.decode(pa.concat_arrays([col, col.slice(0, 0)]))})
 

@@ -44,17 +44,17 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of at most SLICE_BYTES of ``column``."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of rows of at most ``most`` bytes of ``column``."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        if batch.num_rows == 0 or col.nbytes <= SLICE_BYTES:
+        if batch.num_rows == 0 or col.nbytes <= most:
             yield batch
             continue
         lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
-            if i > start and size + n > SLICE_BYTES:
+            if i > start and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .bpe import Codec, Recent, codec
+from .bpe import ENCODE_BYTES, Codec, Recent, codec
 from .common import extended, non_null_text, text_slices, tokenizer_spec, with_columns
 
 CONTEXT_TOKENS = 1024
@@ -78,7 +78,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "
     def run(batches):
         c, whole = codec(spec.value), proven.value
         table = _COUNTS.setdefault(hash(spec.value), Recent(lambda word: len(c.tree(word))))
-        for batch in text_slices(batches, text):
+        for batch in text_slices(batches, text, ENCODE_BYTES):
             col = non_null_text(batch.column(batch.schema.get_field_index(text)))
             yield with_columns(batch, {n_tokens: pa.array(_column(c, whole, table, col))})
 
