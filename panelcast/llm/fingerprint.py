@@ -1,18 +1,20 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so
-its size follows the text and sketches of very unequal texts stay comparable:
-the union of two sketches is the sketch of the union, and the share of one's
-hashes in the other estimates containment without bias. The fraction is 1 here,
-so likeness is exact for texts of any length. Only DataFrame and SQL functions
-are used.
+A sketch keeps every shingle hash below a fixed fraction (1/``scale``) of the
+hash range, so its size follows the text and sketches of very unequal texts
+stay comparable: the union of two sketches gives the sketch of the union, and
+the share of one's hashes in the other estimates containment without bias.
+So that short texts have one too, a sketch keeps at least the ``least``
+smallest hashes, or all if there are no more. Two sketches are compared up to
+the hash that both are complete to. Only DataFrame and SQL functions are used.
 
 Words are runs of letters and digits of the lower-cased text; a text of fewer
 than ``n`` words but some has one shingle, all its words. A fingerprint is the
 sorted distinct kept hashes in hexadecimal, joined by commas, behind the MD5 of
 the text, so equal texts have equal fingerprints and texts without a word still
-differ from others. The likeness is 1 for equal texts, else the Jaccard
-similarity of the sketches (0 where both are empty).
+differ from others. The likeness is 1 for equal texts, else the estimated
+Jaccard similarity of the shingles (0 where there are none), exact for texts
+of fewer than ``least`` shingles.
 
 The next document is that of the next lower id, and after the last comes the
 first; rows of the same id are ordered by text, a null id is the lowest, a
@@ -26,7 +28,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NGRAM = 5
-SCALE = 1  # one shingle hash in so many is kept: a larger one leaves most short texts without any
+BITS = 44    # of a shingle's hash
+SCALE = 8    # one shingle hash in so many is kept, and
+LEAST = 64   # at least so many of a text
 COARSE = 256           # ranges of ids by quantiles, and
 RANGE_BYTES = 32 << 20  # text in one of their even parts
 
@@ -37,40 +41,72 @@ def _let(value: Column, body) -> Column:
 
 
 def shingle_hashes(text: Column, n: int = NGRAM) -> Column:
-    """64-bit hashes of all word shingles of a text."""
+    """``BITS``-bit hashes of all word shingles of a text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def of(h: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(h) - n + 1, F.lit(1)))
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(
-            F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, n))))
+            F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(h, i, n)), 64 - BITS)))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def sketch(text: Column, n: int = NGRAM, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes below 1/scale of the hash range."""
-    least = -(1 << 63)
-    last = least + (1 << 64) // scale - 1
-    found = shingle_hashes(text, n)
-    return F.sort_array(F.array_distinct(found if scale == 1 else F.filter(found, lambda h: h <= F.lit(last))))
+def _bound(scale: int) -> Column:
+    return F.lit((1 << BITS) // scale)
 
 
-def merge(a: Column, b: Column) -> Column:
+def _kept(hashes: Column, scale: int, least: int) -> Column:
+    """Sorted distinct hashes below 1/scale of the range, or the ``least`` smallest."""
+    def sized(low: Column) -> Column:
+        return F.when(F.size(low) >= least, low).otherwise(
+            F.slice(F.sort_array(F.array_distinct(hashes)), 1, least))
+
+    return _let(F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < _bound(scale)))), sized)
+
+
+def _complete_to(a: Column, scale: int, least: int) -> Column:
+    """The hash up to which a sketch holds every hash of its text."""
+    return F.when(F.size(a) < least, F.lit(1 << BITS)).otherwise(
+        F.greatest(_bound(scale) - 1, F.element_at(a, -1)))
+
+
+def _compared(a: Column, b: Column, scale: int, least: int, body) -> Column:
+    """``body(a, b, top)``: two sketches and the hash that both are complete to."""
+    def inner(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        top = F.least(_complete_to(x, scale, least), _complete_to(y, scale, least))
+        return _let(top, lambda t: body(x, y, t))
+
+    return _let(F.struct(a.alias("x"), b.alias("y")), inner)
+
+
+def _up_to(a: Column, top: Column) -> Column:
+    return F.size(F.filter(a, lambda h: h <= top))
+
+
+def sketch(text: Column, n: int = NGRAM, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Sorted distinct shingle hashes below 1/scale of the hash range, at least the ``least`` smallest."""
+    return _let(shingle_hashes(text, n), lambda found: _kept(found, scale, least))
+
+
+def merge(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return _compared(a, b, scale, least, lambda x, y, top: _let(
+        F.filter(F.array_union(x, y), lambda h: h <= top), lambda both: _kept(both, scale, least)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has (null: a's sketch is empty)."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Estimated share of a's shingles that b has (null: no hash of a can be compared)."""
+    return _compared(a, b, scale, least, lambda x, y, top: F.try_divide(
+        F.size(F.array_intersect(x, y)), _up_to(x, top)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity (0 where both sketches are empty)."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+def jaccard(a: Column, b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Estimated Jaccard similarity (0 where there is nothing to compare)."""
+    return _compared(a, b, scale, least, lambda x, y, top: _let(
+        F.size(F.array_intersect(x, y)), lambda both: F.coalesce(
+            F.try_divide(both, _up_to(x, top) + _up_to(y, top) - both), F.lit(0.0))))
 
 
 def likeness(text_a: Column, a: Column, text_b: Column, b: Column) -> Column:
@@ -81,9 +117,10 @@ def render(digest: Column, a: Column) -> Column:
     return F.concat_ws(":", digest, F.array_join(F.transform(a, F.hex), ","))
 
 
-def add_sketch(df: DataFrame, text: str = "text", to: str = "sketch", n: int = NGRAM, scale: int = SCALE) -> DataFrame:
+def add_sketch(df: DataFrame, text: str = "text", to: str = "sketch", n: int = NGRAM, scale: int = SCALE,
+               least: int = LEAST) -> DataFrame:
     """Add the sketch of every whole text."""
-    return df.withColumn(to, sketch(F.coalesce(F.col(f"`{text}`"), F.lit("")), n, scale))
+    return df.withColumn(to, sketch(F.coalesce(F.col(f"`{text}`"), F.lit("")), n, scale, least))
 
 
 def id_ranges(df: DataFrame, coarse: int = COARSE, range_bytes: int = RANGE_BYTES) -> tuple[Column, int]:

@@ -63,26 +63,30 @@ def test_archives_of_odd_pages(spark, tmp_path):
 # fingerprints
 
 
-def brute_sketch(text, n=fingerprint.NGRAM, scale=fingerprint.SCALE):
+def brute_shingles(text, n=fingerprint.NGRAM):
     import regex
 
-    def signed(x):
-        return x - (1 << 64) if x >> 63 else x
-
-    words = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
     out = set()
     for k in range(max(len(words) - n + 1, 1)) if words else ():
         h = 42
         for w in words[k: k + n]:
-            h = xxhash.xxh64_intdigest(struct.pack("<q", w), seed=h)
-        if signed(h) < -(1 << 63) + (1 << 64) // scale:
-            out.add(signed(h))
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", w), seed=h)
+        out.add(h >> 64 - fingerprint.BITS)
     return sorted(out)
 
 
+def brute_sketch(text, scale=fingerprint.SCALE, least=fingerprint.LEAST):
+    """The sketch, and the hash that it is complete to."""
+    every = brute_shingles(text)
+    low = [h for h in every if h < (1 << fingerprint.BITS) // scale]
+    kept = low if len(low) >= least else every[:least]
+    return kept, 1 << fingerprint.BITS if len(kept) < least else max(kept[-1], (1 << fingerprint.BITS) // scale - 1)
+
+
 def test_fingerprints_equal_brute_force(spark, no_docs):
     random.seed(6)
-    texts = [" ".join(random.choices([f"w{k}é" for k in range(50)], k=random.choice([0, 3, 60, 300]))) for _ in range(30)]
+    texts = [" ".join(random.choices([f"w{k}é" for k in range(50)], k=random.choice([0, 3, 60, 70, 300, 900]))) for _ in range(30)]
     texts += ["", None, texts[2], "😀" * 10, "Same, TEXT here", "same text here"]
     rows = [(k * 3, t, "en", "s", 1) for k, t in enumerate(texts)]
     docs = frame(spark, rows).withColumn("sketch", F.lit(1)).withColumn("part", F.lit(2))
@@ -92,7 +96,8 @@ def test_fingerprints_equal_brute_force(spark, no_docs):
     text = {k * 3: t or "" for k, t in enumerate(texts)}
 
     def like(a, b):
-        x, y = set(brute_sketch(a)), set(brute_sketch(b))
+        (x, to_x), (y, to_y) = brute_sketch(a), brute_sketch(b)
+        x, y = ({h for h in kept if h <= min(to_x, to_y)} for kept in (x, y))
         return 1.0 if a == b else len(x & y) / len(x | y) if x | y else 0.0
 
     for k, i in enumerate(ids):
@@ -102,8 +107,11 @@ def test_fingerprints_equal_brute_force(spark, no_docs):
         r = got[i]
         assert r["n_chars"] == len(own)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == hashlib.md5(own.encode()).hexdigest() + ":" + ",".join(f"{h & (1 << 64) - 1:X}" for h in brute_sketch(own))
+        assert r["fingerprint"] == hashlib.md5(own.encode()).hexdigest() + ":" + ",".join(f"{h:X}" for h in brute_sketch(own)[0])
         assert (r["near_edited"], r["near_next"]) == pytest.approx((like(own, edited), like(own, after)))
+        x, y = set(brute_shingles(own)), set(brute_shingles(edited))
+        if own != edited and max(len(x), len(y)) < fingerprint.LEAST:
+            assert r["near_edited"] == pytest.approx(len(x & y) / len(x | y) if x | y else 0.0)
     assert fingerprint.report(no_docs).count() == 0
 
 
@@ -117,6 +125,27 @@ def test_next_rows_across_any_ranges(spark, coarse, size):
     assert got == {i: f"text of {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
 
 
+def test_sketches_merge_at_any_lengths(spark):
+    random.seed(8)
+    words = [f"w{k}" for k in range(3000)]
+    pairs = []
+    for k in (0, 3, 30, 67, 68, 69, 90, 400, 2500):
+        for m in (0, 20, 68, 300, 2900):
+            start = random.randrange(100)
+            pairs.append((" ".join(words[start: start + k]), " ".join(words[100: 100 + m])))
+    a, b = F.col("a"), F.col("b")
+    for scale, least in ((8, 64), (1, 1), (4, 1), (64, 10)):
+        x, y = fingerprint.sketch(a, 5, scale, least), fingerprint.sketch(b, 5, scale, least)
+        for r in spark.createDataFrame(pairs, "a string, b string").select(
+                a, b, fingerprint.merge(x, y, scale, least).alias("m"),
+                fingerprint.containment(x, y, scale, least).alias("c")).collect():
+            union = sorted(set(brute_shingles(r["a"])) | set(brute_shingles(r["b"])))
+            low = [h for h in union if h < (1 << fingerprint.BITS) // scale]
+            assert r["m"] == (low if len(low) >= least else union[:least])
+            if brute_shingles(r["a"]) and set(brute_shingles(r["a"])) <= set(brute_shingles(r["b"])) and r["c"] is not None:
+                assert r["c"] == 1.0
+
+
 def test_odd_rows_and_merged_sketches(spark, odd_docs):
     rows = fingerprint.report(odd_docs).collect()
     assert len(rows) == odd_docs.count()
