@@ -93,16 +93,23 @@ def adf_default_maxlag(nobs: int) -> int:
     return max(0, min(nobs // 2 - 2, int(math.ceil(12.0 * (nobs / 100.0) ** 0.25))))
 
 
-def ols_centered(s: np.ndarray, n: float, cols: list[int], yi: int):
-    """OLS with an intercept from a raw moment matrix ``s`` whose column 0 is
-    the constant. Returns (beta over ``cols``, ssr, inverse of the centred
-    cross-product matrix)."""
-    sx = s[0, cols]
-    sy = s[0, yi]
-    cxx = s[np.ix_(cols, cols)] - np.outer(sx, sx) / n
-    cxy = s[cols, yi] - sx * sy / n
-    cyy = s[yi, yi] - sy * sy / n
-    inv = np.linalg.pinv(cxx, hermitian=True)
+def ols_centered(c: np.ndarray, cols: list[int], yi: int):
+    """OLS with an intercept from the centred cross-products ``c``. Returns
+    (beta over ``cols``, ssr, inverse of their cross-product matrix)."""
+    cxy = c[cols, yi]
+    inv = np.linalg.pinv(c[np.ix_(cols, cols)], hermitian=True)
     beta = inv @ cxy
-    ssr = float(cyy - beta @ cxy)
-    return beta, max(ssr, 0.0), inv
+    return beta, max(float(c[yi, yi] - beta @ cxy), 0.0), inv
+
+
+def nested_ssr(c: np.ndarray) -> np.ndarray:
+    """Residual sums of the last variable on the first 1, 2, ... others, from
+    centred cross-products: one Cholesky factor, whose last row holds what each
+    further variable explains. One that depends on those before explains nothing."""
+    k = len(c)
+    low = np.zeros((k, k))
+    for j in range(k - 1):
+        d = c[j, j] - low[j, :j] @ low[j, :j]
+        if d > 1e-12 * c[j, j]:
+            low[j:, j] = (c[j:, j] - low[j:, :j] @ low[j, :j]) / math.sqrt(d)
+    return np.maximum(c[-1, -1] - np.cumsum(low[-1, :-1] ** 2), 0.0)

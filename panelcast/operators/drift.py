@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from panelcast.functions import stats
 from panelcast.functions.exact import exact_comoment
 from panelcast.functions.numeric import nan_to_null
+from panelcast.operators.matrices import key_matrices
 from panelcast.session import cut_lineage
 
 
@@ -255,20 +256,6 @@ def _adf_frame(df: DataFrame, value: str, key: str, order: str, max_lag: int | N
     return framed, m
 
 
-def _moments(rows: DataFrame, key: str, cols: list[str], extra: list[str]) -> DataFrame:
-    k = len(cols)
-    q = [f"`{c}`" for c in cols]
-    cross = ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("nobs"), F.expr(f"array({cross})").alias("m"),
-                                 *[F.first(e).alias(e) for e in extra])
-
-
-def _unpack(m, k):
-    s = np.zeros((k, k))
-    s[np.triu_indices(k)] = np.asarray(m, dtype=float)
-    return s + np.triu(s, 1).T
-
-
 def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "month",
         max_lag: int | None = None, autolag: str | None = "aic", alpha: float = 0.05) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, per key.
@@ -276,16 +263,16 @@ def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "
     Regress dy_t on [1, y_{t-1}, dy_{t-1} .. dy_{t-p}]; the statistic is the
     t-value of y_{t-1}. With ``autolag='aic'`` every p in 0..max_lag is fitted
     on the common sample (rows with all max_lag lags) and the smallest AIC
-    wins; the chosen p is then refitted on its own sample. Default max_lag is
+    wins; one factor in lag order gives the residuals of every p; the chosen p is then refitted on its own sample. Default max_lag is
     ceil(12 (n/100)^(1/4)) capped at n//2 - 2.
 
-    Two grouped aggregations of cross-products (partial aggregation); the
-    small per-key solves run on one row per key.
+    Two passes fold the rows into a moment matrix per key; the small solves
+    run on one row per key.
     """
-    from panelcast.functions.stats import adf_critical_values, adf_pvalue, ols_centered
+    from panelcast.functions.stats import adf_critical_values, adf_pvalue, nested_ssr, ols_centered
     framed, m = _adf_frame(df, value, key, order, max_lag)
     lags = [f"dl{j}" for j in range(1, m + 1)]
-    cols = ["_one", "ylag", *lags, "dy"]
+    cols = ["ylag", *lags, "dy"]
     k = len(cols)
     key_type = df.schema[key].dataType
 
@@ -296,17 +283,16 @@ def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "
 
     if autolag:
         common = framed.where(F.col("t") >= F.col("max_lag") + 2).select(
-            key, F.lit(1.0).alias("_one"), "ylag", *zeroed(F.col("max_lag")), "dy", "max_lag")
-        mom = _moments(common, key, cols, ["max_lag"])
+            key, "ylag", *zeroed(F.col("max_lag")), "dy", "max_lag")
+        mom = key_matrices(common, [key, "max_lag"], cols)
 
         def choose(batches):
             for pdf in batches:
                 best, ic = [], []
-                for nobs, mm, ml in zip(pdf["nobs"], pdf["m"], pdf["max_lag"]):
-                    s, n = _unpack(mm, k), float(nobs)
-                    cand = []
-                    for p in range(int(ml) + 1):
-                        _, ssr, _ = ols_centered(s, n, [1, *range(2, 2 + p)], k - 1)
+                for raw, ml in zip(pdf["m"], pdf["max_lag"]):
+                    total = np.frombuffer(raw).reshape(k + 2, k)
+                    n, cand = total[0, 0], []
+                    for p, ssr in enumerate(nested_ssr(total[2:])[: int(ml) + 1]):
                         if ssr <= 0:  # perfect fit: the criterion is -inf
                             cand.append((-np.inf, p))
                             continue
@@ -324,26 +310,27 @@ def adf(df: DataFrame, value: str = "close", key: str = "ticker", order: str = "
                                          F.lit(None).cast("double").alias("ic_best"))
 
     own = framed.join(chosen, on=key, how="inner").where(F.col("t") >= F.col("used_lag") + 2)
-    own = own.select(key, F.lit(1.0).alias("_one"), "ylag", *zeroed(F.col("used_lag")), "dy",
-                     "used_lag", "ic_best")
-    mom2 = _moments(own, key, cols, ["used_lag", "ic_best"])
+    own = own.select(key, "ylag", *zeroed(F.col("used_lag")), "dy", "used_lag", "ic_best")
+    mom2 = key_matrices(own, [key, "used_lag", "ic_best"], cols)
 
     def fit(batches):
         for pdf in batches:
-            stat, pval, c1, c5, c10 = [], [], [], [], []
-            for nobs, mm, p in zip(pdf["nobs"], pdf["m"], pdf["used_lag"]):
-                s, n, p = _unpack(mm, k), float(nobs), int(p)
-                beta, ssr, inv = ols_centered(s, n, [1, *range(2, 2 + p)], k - 1)
+            nobs, stat, pval, c1, c5, c10 = [], [], [], [], [], []
+            for raw, p in zip(pdf["m"], pdf["used_lag"]):
+                total, p = np.frombuffer(raw).reshape(k + 2, k), int(p)
+                n = total[0, 0]
+                nobs.append(int(n))
+                beta, ssr, inv = ols_centered(total[2:], list(range(p + 1)), k - 1)
                 dof = n - (p + 2)
                 se = np.sqrt(ssr / dof * inv[0, 0]) if dof > 0 else np.nan
                 t = float(beta[0] / se) if se and np.isfinite(se) and se > 0 else float("nan")
                 stat.append(t)
                 pval.append(adf_pvalue(t))
-                cv = adf_critical_values(int(nobs))
+                cv = adf_critical_values(int(n))
                 c1.append(cv["1%"])
                 c5.append(cv["5%"])
                 c10.append(cv["10%"])
-            yield pd.DataFrame({key: pdf[key], "nobs": pdf["nobs"], "used_lag": pdf["used_lag"],
+            yield pd.DataFrame({key: pdf[key], "nobs": nobs, "used_lag": pdf["used_lag"],
                                 "ic_best": pdf["ic_best"], "adf_stat": stat, "p_value": pval,
                                 "crit_1pct": c1, "crit_5pct": c5, "crit_10pct": c10})
     schema = StructType([StructField(key, key_type), StructField("nobs", LongType()),

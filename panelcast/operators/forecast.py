@@ -1,14 +1,14 @@
 """Forecasting per entity: OLS fits, predictions, signals, backtest tables.
 
 Many small models (one per ticker) are fitted from per-key sufficient
-statistics gathered in ONE grouped aggregation (partial aggregation, so a hot
-key is combined map-side). Only the k x k solve runs in Python, once per key,
-on a row that is already reduced to a few hundred numbers.
+statistics: exact sums for one feature, a mergeable moment matrix for many,
+both combined map-side. The k x k solve runs once per key, on its one matrix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from panelcast.functions.exact import exact_comoment, exact_sum
 from panelcast.functions.numeric import pct_change
+from panelcast.operators.matrices import key_matrices, merge_complete
 from panelcast.operators.split import apply_scaler, scaler_stats
 
 # ---------------------------------------------------------------------------
@@ -61,42 +62,23 @@ def predict_single(df: DataFrame, coef: DataFrame, x: str, key: str | Sequence[s
 # ---------------------------------------------------------------------------
 
 
-def _moment_aggs(zs: Sequence[str], y: str) -> list[Column]:
-    # SQL text: one JVM-side parse instead of thousands of Python Column calls
-    k = len(zs)
-    q = [f"`{z}`" for z in zs]
-    cross = ", ".join(f"sum({q[i]} * {q[j]})" for i in range(k) for j in range(i, k))
-    return [F.count(F.lit(1)).alias("n"),
-            F.expr(f"array({', '.join(f'sum({c})' for c in q)})").alias("sz"),
-            F.sum(y).alias("sy"),
-            F.expr(f"array({cross})").alias("szz"),
-            F.expr(f"array({', '.join(f'sum({c} * `{y}`)' for c in q)})").alias("szy")]
-
-
 def _solver(k: int, rcond: float, top: int | None = None):
-    iu = np.triu_indices(k)
-
     def solve(batches):
         for pdf in batches:
             intercepts, coefs, ranks = [], [], []
-            for n, sz, sy, szz, szy in zip(pdf["n"], pdf["sz"], pdf["sy"], pdf["szz"], pdf["szy"]):
-                n = float(n)
-                sz = np.asarray(sz, dtype=float)
-                m = np.zeros((k, k))
-                m[iu] = np.asarray(szz, dtype=float)
-                m = m + np.triu(m, 1).T
-                czz = m - np.outer(sz, sz) / n
-                czy = np.asarray(szy, dtype=float) - sz * sy / n
+            for raw in pdf["m"]:
+                total = np.frombuffer(raw).reshape(k + 3, k + 1)
+                mean, czz, czy = total[1], total[2: k + 2, :k], total[2: k + 2, k]
                 beta = np.linalg.pinv(czz, rcond=rcond, hermitian=True) @ czy
                 if top is not None and top < k:
                     best = np.sort(np.argsort(-np.abs(beta), kind="stable")[:top])
                     kept = np.linalg.pinv(czz[np.ix_(best, best)], rcond=rcond, hermitian=True) @ czy[best]
                     beta = np.zeros(k)
                     beta[best] = kept
-                intercepts.append(sy / n - float(beta @ sz) / n)
+                intercepts.append(float(mean[k] - beta @ mean[:k]) if total[0, 0] else None)
                 coefs.append(beta.tolist())
                 ranks.append(int(np.linalg.matrix_rank(czz, tol=rcond * max(1.0, np.abs(czz).max()))))
-            out = pdf.drop(columns=["n", "sz", "sy", "szz", "szy"])
+            out = pdf.drop(columns=["m"])
             out["intercept"] = intercepts
             out["coef"] = coefs
             out["rank"] = ranks
@@ -124,7 +106,7 @@ def fit_ols(df: DataFrame, features: Sequence[str], y: str = "y", key: str | Seq
     scaled = scaled.select(*keys, y, train_flag,
                            *[F.col(f + "__z").alias(z) for f, z in zip(features, zs)])
     train = scaled.where(F.col(train_flag) == F.lit(False))
-    moments = train.groupBy(*keys).agg(*_moment_aggs(zs, y))
+    moments = key_matrices(train, keys, [*zs, y])
     schema = StructType([*[df.schema[k] for k in keys], StructField("intercept", DoubleType()),
                          StructField("coef", ArrayType(DoubleType())),
                          StructField("rank", IntegerType())])
@@ -305,9 +287,9 @@ def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int
     """G8 + A11 per ticker: k-fold (contiguous, unshuffled) CV R2 of OLS.
 
     Features are standardised once with train statistics (as the source
-    scales before cross-validating). Raw moment matrices are additive, so
-    one aggregation per (ticker, fold) gives every fold's training moments
-    as total - fold; the k solves and held-out scores per ticker run on one
+    scales before cross-validating). Moment matrices merge, so one pass per
+    (ticker, fold) gives every fold's training moments as the others' merged;
+    the k solves and held-out scores per ticker run on one
     row per ticker. Returns (ticker, cv_r2_mean, cv_r2_std (population),
     n_folds).
     """
@@ -319,47 +301,30 @@ def cv_ols_r2(df: DataFrame, features: Sequence[str], y: str = "y", n_folds: int
     stats = scaler_stats(data, feats, key, flag)
     z = apply_scaler(data, stats, feats, key, suffix="__z")
     z = fold_ids(z, n_folds, key, order, "fold")
-    # R2 doesn't depend on the level of y, but raw products far from zero lose digits
-    from pyspark.sql import Window
-    z = z.withColumn(y, F.col(y) - F.avg(y).over(Window.partitionBy(key)))
-    cols = ["1D"] + [f"`{f}__z`" for f in feats] + [f"`{y}`"]
-    m = len(cols)
-    cross = ", ".join(f"sum({cols[i]} * {cols[j]})" for i in range(m) for j in range(i, m))
-    mom = z.groupBy(key, "fold").agg(F.expr(f"array({cross})").alias("m"))
+    cols = [f"{f}__z" for f in feats] + [y]
+    k = len(feats)
+    mom = key_matrices(z, [key, "fold"], cols)
     per_key = mom.groupBy(key).agg(F.collect_list(F.struct("fold", "m")).alias("folds"))
-    iu = np.triu_indices(m)
-
-    def unpack(v):
-        s = np.zeros((m, m))
-        s[iu] = np.asarray(v, dtype=float)
-        return s + np.triu(s, 1).T
 
     def score(batches):
         for pdf in batches:
             means, stds, counts = [], [], []
             for folds in pdf["folds"]:
-                mats = {int(f["fold"]): unpack(f["m"]) for f in folds}
-                total = sum(mats.values())
+                mats = {int(f["fold"]): np.frombuffer(f["m"]).reshape(k + 3, k + 1) for f in folds}
                 r2s = []
                 for f, held in sorted(mats.items()):
-                    tr = total - held
+                    others = [m for g, m in sorted(mats.items()) if g != f]
+                    if not others:
+                        continue
+                    tr = reduce(merge_complete, others)
                     n_tr, n_te = tr[0, 0], held[0, 0]
                     if n_tr < 2 or n_te < 1:
                         continue
-                    sx, sy = tr[0, 1:m - 1], tr[0, m - 1]
-                    cxx = tr[1:m - 1, 1:m - 1] - np.outer(sx, sx) / n_tr
-                    cxy = tr[1:m - 1, m - 1] - sx * sy / n_tr
-                    beta = np.linalg.pinv(cxx, rcond=rcond, hermitian=True) @ cxy
-                    b0 = sy / n_tr - beta @ sx / n_tr
-                    # held-out SSres around the fold's own means (well conditioned):
-                    # sum (yc - beta.xc)^2 + n_te (ybar - b0 - beta.xbar)^2
-                    hx, hy = held[0, 1:m - 1], held[0, m - 1]
-                    xbar, ybar = hx / n_te, hy / n_te
-                    hxx = held[1:m - 1, 1:m - 1] - np.outer(hx, hx) / n_te
-                    hxy = held[1:m - 1, m - 1] - hx * hy / n_te
-                    hyy = held[m - 1, m - 1] - hy * hy / n_te
-                    ss_res = hyy - 2 * beta @ hxy + beta @ hxx @ beta \
-                        + n_te * (ybar - b0 - beta @ xbar) ** 2
+                    beta = np.linalg.pinv(tr[2: k + 2, :k], rcond=rcond, hermitian=True) @ tr[2: k + 2, k]
+                    # held-out SSres around the fold's own means (well conditioned)
+                    off = held[1, k] - tr[1, k] - beta @ (held[1, :k] - tr[1, :k])
+                    hxx, hxy, hyy = held[2: k + 2, :k], held[2: k + 2, k], held[k + 2, k]
+                    ss_res = hyy - 2 * beta @ hxy + beta @ hxx @ beta + n_te * off ** 2
                     if hyy <= 0:
                         r2s.append(1.0 if ss_res <= 0 else 0.0)
                     else:

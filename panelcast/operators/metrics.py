@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from panelcast.functions.numeric import round_half_even
 from panelcast.operators.forecast import r2_expr
+from panelcast.operators.matrices import key_matrices
 
 RUN_KEYS = ("ticker", "model", "horizon")
 
@@ -105,39 +107,31 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], key: str | None = "ti
                        digits: int | None = 4) -> DataFrame:
     """Pearson r for every ordered column pair (pairwise complete), long.
 
-    Each task turns its rows into one matrix of centred moments per key and
-    batch; the matrices of a key are merged pair by pair. The plan is the same
-    for any number of columns. Constant columns have no r.
+    Each task turns its rows into one matrix of centred moments per key, and a
+    key's matrices are merged (``matrices.key_matrices``). Constant columns
+    have no r.
     """
     cols = list(cols)
     k = len(cols)
-    keyed = df.select((F.col(f"`{key}`") if key else F.lit("")).cast("string").alias("_k"),
-                      *[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
+    keys = [key] if key else []
 
-    def partial(batches):
+    def finish(batches):
         for pdf in batches:
-            for name, part in pdf.groupby("_k", dropna=False, sort=False):
-                x = part.iloc[:, 1:].to_numpy(dtype=float)
-                yield pd.DataFrame({"_k": [None if pd.isna(name) else name], "m": [_moments(x).tobytes()]})
-
-    def finish(group, rows):
-        total = None
-        for raw in rows["m"]:
-            one = np.frombuffer(raw).reshape(6, k, k)
-            total = one if total is None else _merged(total, one)
-        scale = np.sqrt(np.maximum(total[3], 0) * np.maximum(total[4], 0))
-        # a variance that is rounding only is none
-        tiny = (total[3] <= 1e-14 * total[0] * total[1] ** 2) | (total[4] <= 1e-14 * total[0] * total[2] ** 2)
-        r = np.divide(total[5], scale, out=np.full((k, k), np.nan), where=(scale > 0) & ~tiny & (total[0] > 1))
-        return pd.DataFrame({"_k": group[0], "a": np.repeat(np.arange(k), k), "b": np.tile(np.arange(k), k),
-                             "r": np.clip(r.ravel(), -1, 1)})
-
-    out = (keyed.mapInPandas(partial, "_k string, m binary").groupBy("_k")
-           .applyInPandas(finish, "_k string, a int, b int, r double"))
+            for at, raw in zip(pdf[key] if key else [""] * len(pdf), pdf["m"]):
+                total = np.frombuffer(raw).reshape(6, k, k)
+                scale = np.sqrt(np.maximum(total[3], 0) * np.maximum(total[4], 0))
+                # a variance that is rounding only is none
+                tiny = (total[3] <= 1e-14 * total[0] * total[1] ** 2) | (total[4] <= 1e-14 * total[0] * total[2] ** 2)
+                r = np.divide(total[5], scale, out=np.full((k, k), np.nan), where=(scale > 0) & ~tiny & (total[0] > 1))
+                yield pd.DataFrame({**({key: at} if key else {}), "_a": np.repeat(np.arange(k), k),
+                                    "_b": np.tile(np.arange(k), k), "_r": np.clip(r.ravel(), -1, 1)})
+
+    schema = StructType([*[df.schema[c] for c in keys], StructField("_a", IntegerType()),
+                         StructField("_b", IntegerType()), StructField("_r", DoubleType())])
+    out = key_matrices(df, keys, cols, _moments, _merged).mapInPandas(finish, schema)
     names = F.array(*[F.lit(c) for c in cols])
-    out = out.select(*([F.col("_k").cast(df.schema[key].dataType).alias(key)] if key else []),
-                     F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"),
-                     F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    out = out.select(*keys, F.get(names, F.col("_a")).alias("col_a"), F.get(names, F.col("_b")).alias("col_b"),
+                     F.when(~F.isnan("_r"), F.col("_r")).alias("r"))
     return out if digits is None else out.withColumn("r", round_half_even("r", digits))
 
 

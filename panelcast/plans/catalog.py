@@ -298,6 +298,13 @@ def adf_test(spark, sf):
     return drift.adf_test(testdata.prices(spark, sf)).withColumn("p_value", F.round("p_value", 8))
 
 
+def adf_short_lags(spark, sf):
+    """The lag search over 0 and 1, and the statistic of the chosen lag."""
+    found = drift.adf(testdata.prices(spark, sf), max_lag=1)
+    return found.select("ticker", "nobs", "used_lag", F.round("ic_best", 6).alias("ic_best"),
+                        F.round("adf_stat", 6).alias("adf_stat"))
+
+
 def adf_autolag(spark, sf):
     return drift.adf(testdata.prices(spark, sf))
 
@@ -590,7 +597,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     ols_forecast, backtest_signals, signal_counts, buy_sell_markers,
     metrics_summary, top_models, bias_directional, bias_correction,
     horizon_grid, experiment_suite,
-    ks_drift_statistic, ks_drift_statistic_monthly, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_autolag,
+    ks_drift_statistic, ks_drift_statistic_monthly, ks_drift_test, ks_drift_flag, adf_lag0, adf_test, adf_short_lags, adf_autolag,
     multi_linear_forecast, gbt_forecast, rf_feature_importance, cv_folds, cv_r2, cv_ols_r2, ticker_top_features,
     universe_sweep,
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,

@@ -535,6 +535,31 @@ SELECT ticker, n, gamma, adf_stat, round(raw, 8) AS p_value, coalesce(raw < 0.05
 
 SQL["adf_test"] = _adf_test_sql()
 
+# co-moments of the level (a), the lagged change (b) and the change (y); both lags compete on the rows from t = 3
+SQL["adf_short_lags"] = f"""WITH {prices_cte()},
+d AS (
+  SELECT ticker, month, row_number() OVER {W} AS t, lag(close) OVER {W} - avg(close) OVER (PARTITION BY ticker) AS a,
+         close - lag(close) OVER {W} AS y FROM prices),
+f AS (SELECT *, lag(y) OVER {W} AS b FROM d),
+g AS (
+  SELECT ticker, count(*) AS n, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, var_pop(y) * count(*) AS yy,
+         covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bb_y
+  FROM f WHERE t >= 3 GROUP BY ticker),
+z AS (
+  SELECT ticker, count(*) AS n0, var_pop(a) * count(*) AS aa0, var_pop(y) * count(*) AS yy0,
+         covar_pop(a, y) * count(*) AS ay0 FROM f WHERE t >= 2 GROUP BY ticker),
+s AS (
+  SELECT *, aa * bb - ab * ab AS det, yy - ay * ay / aa AS short,
+         yy - (bb * ay * ay - 2 * ab * ay * bb_y + aa * bb_y * bb_y) / (aa * bb - ab * ab) AS long
+  FROM g JOIN z USING (ticker)),
+c AS (
+  SELECT *, n * (ln(2 * pi()) + ln(short / n) + 1) + 4 AS ic0, n * (ln(2 * pi()) + ln(long / n) + 1) + 6 AS ic1 FROM s)
+SELECT ticker, CASE WHEN ic1 < ic0 THEN n ELSE n0 END AS nobs, CAST(CASE WHEN ic1 < ic0 THEN 1 ELSE 0 END AS INTEGER) AS used_lag,
+       round(least(ic0, ic1), 6) AS ic_best,
+       round(CASE WHEN ic1 < ic0 THEN (bb * ay - ab * bb_y) / det / sqrt(long / (n - 3) * bb / det)
+             ELSE ay0 / aa0 / sqrt((yy0 - ay0 * ay0 / aa0) / (n0 - 2) / aa0) END, 6) AS adf_stat
+FROM c"""
+
 SQL["provider_json_flatten"] = f"WITH {ind_cte()}\nSELECT series_id, month, value FROM ind"
 SQL["traded_universe"] = f"WITH {prices_cte()}\nSELECT DISTINCT ticker FROM prices"
 _wide_cols = [(f"{safe_name(t)}_{c.title()}", f"max(CASE WHEN ticker = {_q(t)} THEN {c} END)")
