@@ -11,10 +11,12 @@ First pass: stop-word density, length and link density call a block good, bad,
 near good or short. Second pass: short and near-good blocks take the label of
 their nearest decided neighbours on both sides; if these differ, near-good
 blocks and headings of good text become good, and other short ones take the
-nearer's label, the one before on a tie. Blocks inside an article or main part
-by tag or role start as good, since the page itself has decided; link-filled
-ones there are good next to good text, or between it if no paragraph, item or
-cell holds them. Inside a part by name only, the rules hold with half the
+nearer's label, the one before on a tie. Inside an article or main part by tag
+or role both passes run with the part's own stop-word density as the measure:
+a block is good unless it has fewer stop words than chance allows at that
+density, near good if only somewhat fewer or if a paragraph, item or cell holds
+it, else bad; link-filled ones there are good next to good text, or between it
+if nothing holds them. Inside a part by name only, the rules hold with half the
 stop-word density, and all of it is kept if they find no good text in it.
 
 Where no block of a part has a stop word (a language that the list doesn't
@@ -45,6 +47,8 @@ from .common import extended, text_slices, with_columns
 SHORT, LONG = 70, 200           # characters of a short and of a long block
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 MOST_LINKS = 0.5                # share of a block's characters inside links
+#: Standard deviations below a marked part's own stop-word density: somewhat fewer, and more than chance allows.
+FEWER, FAR_FEWER = 2.0, 4.0
 
 #: Common words of English, French, German and Spanish.
 STOP_WORDS = frozenset("""
@@ -78,7 +82,7 @@ toolbar topbar widget widgets""".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ARTICLE = {"article": 3, "main": 2}
 #: Names of elements that hold the article where no element is one by its tag.
-HOLDERS = frozenset("p li dd dt td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+HOLDERS = frozenset("p li dd dt td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 NAMED_ARTICLE = frozenset("article content entry main post story".split())
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -267,14 +271,13 @@ def stop_words(text: str) -> tuple[int, int]:
     return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in found), len(found)
 
 
-def first_pass(block: Block, known: bool = True) -> str:
+def first_pass(block: Block, known: bool = True, own: float = 0.0) -> str:
     """good, bad, near, short, or link: filled by links inside an article;
-    ``known``: whether stop words tell anything in this part."""
+    ``known``: whether stop words tell anything in this part; ``own``: the
+    stop-word density of the marked parts together."""
     density = block.linked / len(block.text)
     if density > MOST_LINKS:
         return "link" if block.article > 1 else "bad"
-    if block.article > 1:
-        return "good"
     # scripts that no stop word is known of may say as much in fewer characters, of more bytes
     size = len(block.text) if known else len(block.text.encode())
     if size < SHORT:
@@ -282,6 +285,11 @@ def first_pass(block: Block, known: bool = True) -> str:
     if not known:
         return "good" if size > LONG else "near"
     count, words = stop_words(block.text)
+    if block.article > 1:
+        fewer = (own * words - count) / max(own * (1 - own) * words, 1.0) ** 0.5
+        if fewer < FEWER:
+            return "good"
+        return "near" if fewer < FAR_FEWER or block.held else "bad"
     stop = count / words
     part = 0.5 if block.article else 1.0  # a name is evidence, no verdict
     if stop >= STOP_HIGH * part:
@@ -289,37 +297,43 @@ def first_pass(block: Block, known: bool = True) -> str:
     return "near" if stop >= STOP_LOW * part else "bad"
 
 
+def nearest(labels: list[str], decided: tuple[str, ...] = ("good", "bad")) -> tuple[list[int], list[int]]:
+    """Places of the nearest decided label before and after each one, -1 if none."""
+    sides = []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        place, here = [-1] * len(labels), -1
+        for k in order:
+            place[k] = here
+            here = k if labels[k] in decided else here
+        sides.append(place)
+    return sides[0], sides[1]
+
+
 def second_pass(found: list[Block]) -> None:
-    """Decide short and near blocks by their nearest decided neighbours."""
+    """Decide short and near blocks by their nearest decided neighbours, then
+    link-filled ones of an article by all others'."""
     first = [b.label for b in found]
-    decided = [k for k, x in enumerate(first) if x in ("good", "bad")]
-    before, here = [], -1
+    before, after = nearest(first)
     for k, x in enumerate(first):
-        before.append(here)
-        here = k if x in ("good", "bad") else here
-    after, here = [0] * len(first), -1
-    for k in range(len(first) - 1, -1, -1):
-        after[k] = here
-        here = k if first[k] in ("good", "bad") else here
-    for k, x in enumerate(first):
-        if x in ("good", "bad"):
-            continue
-        if x == "link":
-            sides = [first[j] if j >= 0 else "" for j in (before[k], after[k])]
-            enough = 1 if found[k].held and "bad" not in sides else 2
-            found[k].label = "good" if sides.count("good") >= enough else "bad"
-            continue
-        if not decided:
-            found[k].label = "good"
+        if x not in ("short", "near"):
             continue
         a, b = before[k], after[k]
         sides = {first[j] for j in (a, b) if j >= 0}
-        if len(sides) == 1:
+        if not sides:
+            found[k].label = "good"
+        elif len(sides) == 1:
             found[k].label = "good" if x == "near" and found[k].heading else sides.pop()
         elif x == "near" or found[k].heading and first[b] == "good":
             found[k].label = "good"
         else:
             found[k].label = first[a] if k - a <= b - k else first[b]
+    labels = [b.label for b in found]
+    before, after = nearest(labels)
+    for k, x in enumerate(labels):
+        if x == "link":
+            sides = [labels[j] if j >= 0 else "" for j in (before[k], after[k])]
+            enough = 1 if found[k].held and "bad" not in sides else 2
+            found[k].label = "good" if sides.count("good") >= enough else "bad"
 
 
 def main_text(page: str | None) -> str:
@@ -349,8 +363,10 @@ def chosen(found: list[Block]) -> str:
 def labelled(found: list[Block]) -> list[Block]:
     """The good blocks of a part by both passes."""
     known = any(stop_words(b.text)[0] for b in found)
+    marked = [stop_words(b.text) for b in found if b.article > 1]
+    own = sum(c for c, _ in marked) / max(sum(w for _, w in marked), 1)
     for b in found:
-        b.label = first_pass(b, known)
+        b.label = first_pass(b, known, own)
     named = [b for b in found if b.article == 1]
     if named and len(named) == len(found) and not any(b.label in ("good", "near") for b in named):
         for b in named:

@@ -315,6 +315,53 @@ def test_the_part_with_most_of_the_text_counts():
     assert html_text.main_text(f"<p>{body}</p><div class=post><p>Teaser</p></div><p>{body}</p>").count("this is the text") == 6
 
 
+def test_both_passes_run_inside_a_marked_article():
+    body = "This is the text that we have for you and it is about the way in which they were made. " * 3
+    advert = "Buy cheap watches now limited offer save money today click order fast shipping worldwide quality brand names " * 4
+    page = f"<article><h1>Title</h1><p>{body}</p><div>{advert}</div><p>{body}</p><p>Short end.</p></article>"
+    assert html_text.main_text(page) == f"Title {body.strip()} {body.strip()} Short end."
+    # a paragraph, a quoted or a preformatted part stays between good text
+    for tag in ("p", "pre", "blockquote"):
+        held = page.replace("<div>", f"<{tag}>").replace("</div>", f"</{tag}>")
+        assert advert.split()[1] in html_text.main_text(held)
+    # an article of short lines, of few words, or without a known stop word is kept
+    assert html_text.main_text("<article><div>One line</div><div>Next line</div></article>") == "One line Next line"
+    foreign = "лорем ипсум долор сит амет " * 10
+    assert html_text.main_text(f"<article><div>{foreign}</div><div>лорем</div></article>").count("лорем") == 11
+
+
+def brute_second_pass(labels, headings):
+    """Labels of short and near blocks by looking at every other block."""
+    out = []
+    for k, x in enumerate(labels):
+        decided = [j for j, y in enumerate(labels) if y in ("good", "bad")]
+        left, right = [j for j in decided if j < k], [j for j in decided if j > k]
+        if x in ("good", "bad"):
+            out.append(x)
+        elif not decided:
+            out.append("good")
+        elif not left or not right:
+            only = labels[left[-1] if left else right[0]]
+            out.append("good" if x == "near" and headings[k] else only)
+        elif labels[left[-1]] == labels[right[0]]:
+            out.append("good" if x == "near" and headings[k] else labels[right[0]])
+        elif x == "near" or headings[k] and labels[right[0]] == "good":
+            out.append("good")
+        else:
+            out.append(labels[min((left[-1], right[0]), key=lambda j: abs(j - k))])
+    return out
+
+
+def test_second_pass_against_brute_force():
+    draw = random.Random(5)
+    for _ in range(400):
+        labels = [draw.choice(["good", "bad", "near", "short"]) for _ in range(draw.randint(0, 12))]
+        headings = [draw.random() < 0.2 for _ in labels]
+        found = [html_text.Block("x", 0, h, 0, label=y) for y, h in zip(labels, headings)]
+        html_text.second_pass(found)
+        assert [b.label for b in found] == brute_second_pass(labels, headings)
+
+
 def test_links_of_an_article_stay_next_to_its_text():
     page = "<article><p>Read these:</p><ul><li><a href=a>First book</a><li><a href=b>Second book</a></ul></article>"
     assert html_text.main_text(page) == "Read these: First book Second book"
