@@ -527,6 +527,14 @@ def ticker_gbt_forecast(spark, sf):
     return forecast.backtest(scored, "GBT", 1, neutral="")
 
 
+def forest_sweep(spark, sf):
+    """Metrics of every ticker and horizon on the ticker's own ten features by its forest."""
+    from panelcast.plans import experiments
+    feat = feature_table(spark, sf)
+    res, _ = experiments.forest_sweep(feat, clean.columns_except(feat, "close", ("ticker", "month")))
+    return res
+
+
 def _experiment_panel(spark, sf):
     feat = pipeline.experiment_features(testdata.prices(spark, sf), testdata.indicators(spark, sf), TEST_EXPERIMENTS)
     return feat, list(dict.fromkeys(f for e in TEST_EXPERIMENTS for f in e.feature_list()))
@@ -603,6 +611,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     score_saved_model, streaming_monthly_bars, streaming_drift_updates,
     provider_json_flatten, traded_universe, wide_prices, feature_inputs, preview_bars, long_histories,
     latest_runs, sorted_metrics, feature_names, ticker_ranges, linear_residuals,
-    tree_root_split, boosted_first_round, ticker_forest_importance, ticker_forest_cv, ticker_gbt_forecast,
+    tree_root_split, boosted_first_round, ticker_forest_importance, ticker_forest_cv, ticker_gbt_forecast, forest_sweep,
     experiment_models, experiment_linear_residuals, asof_trades, score_model_versions,
 )}

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import forecast, metrics, split
+from panelcast.operators import clean, forecast, metrics, split, trees
 from panelcast.plans import pipeline
 from panelcast.plans.pipeline import Experiment
 from panelcast.session import cut_lineage
@@ -108,3 +108,40 @@ def universe_sweep(feat: DataFrame, candidates: Sequence[str], horizons: Sequenc
         m = metrics.regression_metrics(bt, digits=None).join(coef.select("ticker", best.alias("top_features")), "ticker")
         res = m if res is None else res.unionByName(m)
     return res, metrics.top_k(res, n_models, "r2", ["ticker", "horizon"])
+
+
+def forest_features(feat: DataFrame, candidates: Sequence[str], n_features: int = 10, target: str = "close",
+                    test_size: float = 0.2, num_trees: int = 50, max_depth: int = 5) -> DataFrame:
+    """(ticker, top_features): the names of each ticker's ``n_features``
+    most important candidates, best first, by a forest on its train rows.
+
+    Rows that miss a candidate or the target are left out before the split;
+    equal importances are ordered by name. All tickers' forests grow at once.
+    """
+    rows = split.chrono_split(clean.drop_missing(feat, [*candidates, target]), test_size)
+    nodes, _ = trees.fit_forest(rows, candidates, target, num_trees=num_trees, max_depth=max_depth)
+    best = metrics.top_k_per_group(trees.importances(nodes, candidates), n_features, ["ticker"], "importance", ["feature"])
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "feature")))
+    return best.groupBy("ticker").agg(F.transform(in_order, lambda x: x["feature"]).alias("top_features"))
+
+
+def forest_sweep(feat: DataFrame, candidates: Sequence[str], horizons: Sequence[int] = (1, 3), n_features: int = 10,
+                 n_models: int = 10, models: Sequence[str] = ("linear",), num_trees: int = 50, max_depth: int = 5,
+                 rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Each ticker's own best features by its forest, a model on them for
+    each horizon, and the ``n_models`` best runs by R2.
+
+    Ticker and horizon are keys of one plan. A ticker's other candidates are
+    constant for it, so that they take no part in its models. Returns (results
+    with the ticker's ``top_features``, top runs).
+    """
+    feat = cut_lineage(feat)
+    own = cut_lineage(forest_features(feat, candidates, n_features, num_trees=num_trees, max_depth=max_depth))
+    cols = [f"_own_{i}" for i in range(len(candidates))]
+    masked = feat.join(own, "ticker").select(
+        "ticker", "month", "close",
+        *[F.when(F.array_contains("top_features", f), F.col(f"`{f}`").cast("double")).otherwise(F.lit(0.0)).alias(c)
+          for f, c in zip(candidates, cols)])
+    bt = pipeline.model_backtests(masked, cols, horizons, models, rounds=rounds)
+    res = metrics.regression_metrics(bt, digits=None).join(own, "ticker")
+    return res, metrics.top_k(res, n_models, "r2", ["ticker", "model", "horizon"])

@@ -158,3 +158,34 @@ def test_models_are_one_grid(spark, panel):
     assert all(r["predicted"] is not None for r in rows)
     with pytest.raises(ValueError, match="lstm"):
         pipeline.model_backtests(feat, FEATS, (1,), models=("lstm",))
+
+
+def test_sweep_ranks_by_forests_and_fits_on_each_tickers_own_features(spark):
+    from panelcast.plans.experiments import forest_features, forest_sweep
+    r = np.random.default_rng(11)
+    names = ["f0", "f1", "f2", "close"]
+    rows = []
+    for k, t in enumerate(("AA", "BB")):
+        x = r.normal(size=(80, 3)).round(4)
+        close = np.round(50 + 9 * x[:, 2 * k] + r.normal(size=80) * 0.2, 4)
+        rows += [(t, dt.date(2010 + m // 12, m % 12 + 1, 1), float(close[m]), *map(float, x[m])) for m in range(80)]
+    df = spark.createDataFrame(rows, "ticker string, month date, close double, f0 double, f1 double, f2 double").repartition(4)
+    own = {q.ticker: q.top_features for q in forest_features(df, names[:3], 2, num_trees=10).collect()}
+    assert own["AA"][0] == "f0" and own["BB"][0] == "f2" and all(len(v) == 2 for v in own.values())
+
+    res, best = forest_sweep(df, names[:3], horizons=(1, 2), n_features=1, n_models=3, num_trees=10)
+    got = {(q.ticker, q.horizon): q for q in res.collect()}
+    assert set(got) == {(t, h) for t in ("AA", "BB") for h in (1, 2)}
+    for (t, h), q in got.items():
+        mine = [w for w in rows if w[0] == t]
+        x = np.array([w[3 + ["f0", "f1", "f2"].index(q.top_features[0])] for w in mine])[:-h]
+        y = np.array([w[2] for w in mine])[h:]
+        n = len(y) - math.ceil(0.2 * len(y))
+        a = np.c_[np.ones(n), x[:n]]
+        said = np.c_[np.ones(len(y) - n), x[n:]] @ np.linalg.lstsq(a, y[:n], rcond=None)[0]
+        assert q.rmse == pytest.approx(math.sqrt(np.mean((y[n:] - said) ** 2)), rel=1e-8)
+        assert q.n == len(y) - n
+    want = sorted(got.values(), key=lambda q: -q.r2)[:3]
+    assert [(q.ticker, q.horizon) for q in best.collect()] == [(q.ticker, q.horizon) for q in want]
+    empty, _ = forest_sweep(df.limit(0), names[:3], horizons=(1,), num_trees=2, max_depth=2)
+    assert empty.count() == 0
