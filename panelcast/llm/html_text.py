@@ -36,6 +36,7 @@ import html
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,6 +102,11 @@ class Block:
     held: bool = False  # in a paragraph, item or cell
     label: str = ""
 
+    @cached_property
+    def stops(self) -> tuple[int, int]:
+        """(stop words, words)."""
+        return stop_words(self.text)
+
 
 class Tags:
     """Tags, comments and declarations of a page, one after the other."""
@@ -284,7 +290,7 @@ def first_pass(block: Block, known: bool = True, own: float = 0.0) -> str:
         return "bad" if block.linked and not block.article else "short"
     if not known:
         return "good" if size > LONG else "near"
-    count, words = stop_words(block.text)
+    count, words = block.stops
     if block.article > 1:
         fewer = (own * words - count) / max(own * (1 - own) * words, 1.0) ** 0.5
         if fewer < FEWER:
@@ -362,8 +368,8 @@ def chosen(found: list[Block]) -> str:
 
 def labelled(found: list[Block]) -> list[Block]:
     """The good blocks of a part by both passes."""
-    known = any(stop_words(b.text)[0] for b in found)
-    marked = [stop_words(b.text) for b in found if b.article > 1]
+    known = any(b.stops[0] for b in found)
+    marked = [b.stops for b in found if b.article > 1]
     own = sum(c for c, _ in marked) / max(sum(w for _, w in marked), 1)
     for b in found:
         b.label = first_pass(b, known, own)
