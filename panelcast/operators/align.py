@@ -96,32 +96,48 @@ def align_asof(prices: DataFrame, indicators: DataFrame, ids: Sequence[str],
 SEGMENTS = 256  # parts of a series, in time
 
 
-def carry_last(df: DataFrame, by: str, ts: str, order: Sequence[str], value: str, out: str,
+def _edges_below(edges: str, micros: Column, rows: DataFrame, out: str, most: int) -> DataFrame:
+    """``out``: how many of a row's ascending ``edges`` (``most`` at most) lie below ``micros``.
+
+    A binary search of one column a halving, so a row costs log2(``most``)
+    comparisons in compiled code instead of ``most`` calls of a lambda.
+    """
+    rows = rows.withColumn(out, F.lit(0))
+    for k in reversed(range(most.bit_length())):
+        below = F.get(edges, F.col(out) + (2**k - 1)) < micros  # null beyond the last edge, or without edges
+        rows = rows.withColumn(out, F.col(out) + F.when(below, 2**k).otherwise(0))
+    return rows
+
+
+def carry_last(df: DataFrame, by: str | None, ts: str, order: Sequence[str], value: str, out: str,
                segments: int = SEGMENTS) -> DataFrame:
     """D3 for rows at any times: ``out`` is the last ``value`` that isn't null at
-    or before each row, by (``ts``, ``order``), within ``by``.
+    or before each row, by (``ts``, ``order``), within ``by`` (None: all rows are one series).
 
     A series is cut in time into segments of about equal rows (equal times stay
-    together). Values are carried inside each segment; each segment's last value
-    is carried over the segments' own short list, and fills what had none
-    before it. So no task holds more of a series than a segment.
+    together). Each segment's last value is carried over the segments' own short
+    list and enters the segments after it as a row before all others; then values
+    are carried inside the segments. So no task holds more of a series than a
+    segment, and rows are sorted once.
     """
+    keys = [by] if by else []
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     cuts = F.array(*[F.lit(k / segments) for k in range(1, segments)])
-    edges = df.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(micros, cuts, 100 * segments).alias("_edges"))
-    rows = df.join(edges, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
-    rows = rows.withColumn("_segment", F.coalesce(F.size(F.filter("_edges", lambda e: e < micros)), F.lit(0))).drop("_edges")
-    inside = Window.partitionBy(by, "_segment").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.struct(ts, *order)
-    ends = (rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col("_segment").alias("_of"))
-            .agg(F.max_by(value, place).alias("_end")))
+    edges = F.sort_array(F.percentile_approx(micros, cuts, 20 * segments)).alias("_edges")
+    if by:
+        edged = df.join(df.groupBy(F.col(by).alias("_by")).agg(edges), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    else:  # one list for all rows: no shuffle to join it
+        edged = df.withColumn("_edges", df.select(edges).scalar())
+    rows = _edges_below("_edges", micros, edged, "_segment", segments - 1).drop("_edges")
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*keys, "_segment").agg(F.max_by(value, F.struct(ts, *order)).alias("_end"))
     # a segment's carry comes from the nearest earlier one that has a value: at most ``segments`` rows a series
-    nxt = F.lead("_of", 1, segments).over(Window.partitionBy("_by").orderBy("_of"))
-    spans = ends.select("_by", "_end", (F.col("_of") + 1).alias("_first"), nxt.alias("_upto")).select(
-        "_by", "_end", F.explode(F.sequence("_first", F.greatest("_first", "_upto"))).alias("_to"))
-    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    return (local.join(spans, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_segment") == F.col("_to")), "left")
-            .withColumn(out, F.coalesce("_local", "_end")).drop("_local", "_end", "_segment", "_by", "_to"))
+    nxt = F.lead("_segment", 1, segments).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_segment"))
+    spans = ends.select(*keys, "_end", (F.col("_segment") + 1).alias("_first"), nxt.alias("_upto"))
+    carried = spans.select(*keys, F.col("_end").alias(value), F.explode(F.sequence("_first", F.greatest("_first", "_upto"))).alias("_segment"),
+                           F.lit(False).alias("_given")).where(F.col("_segment") < segments)
+    both = rows.withColumn("_given", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_segment").orderBy("_given", ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(out, F.last(value, ignorenulls=True).over(inside)).where("_given").drop("_segment", "_given")
 
 
 def asof_join(left: DataFrame, right: DataFrame, ts: str, values: Sequence[str], by: str | None = None,
@@ -135,15 +151,17 @@ def asof_join(left: DataFrame, right: DataFrame, ts: str, values: Sequence[str],
     rows are merged in time and the values carried (``carry_last``), so a series
     that holds all rows is spread over many tasks.
     """
-    keys = [F.col(by).alias("_key")] if by else [F.lit(0).alias("_key")]
-    ties = [f"_t{k}" for k in range(len(tie))]
-    old = left.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    keys = [F.col(by).alias("_key")] if by else []
+    ties, cols = [f"_t{k}" for k in range(len(tie))], [f"_c{k}" for k in range(len(left.columns))]
+    old = left.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"),
+                      *[F.col(c).alias(name) for c, name in zip(left.columns, cols, strict=True)])
     new = right.where(F.col(ts).isNotNull() & (F.col(by).isNotNull() if by else F.lit(True))).select(
         *keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*values).alias("_value"),
         *[F.col(c).alias(t) for c, t in zip(tie, ties, strict=True)])
     both = old.unionByName(new, allowMissingColumns=True)
-    done = carry_last(both, "_key", "_ts", ["_side", *ties], "_value", "_last", segments)
-    return done.where(F.col("_side") == 1).select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in values])
+    done = carry_last(both, "_key" if by else None, "_ts", ["_side", *ties], "_value", "_last", segments)
+    return done.where(F.col("_side") == 1).select(*[F.col(name).alias(c) for c, name in zip(left.columns, cols, strict=True)],
+                                               *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
 def shared_periods(panel: DataFrame, key: str = "ticker", month: str = "month",

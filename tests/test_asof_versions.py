@@ -35,6 +35,37 @@ def test_asof_equals_brute_force(spark, segments):
     assert got == want
 
 
+@pytest.mark.parametrize("segments", [2, 7, 256])
+def test_asof_of_one_series_equals_brute_force(spark, segments):
+    r = random.Random(segments)
+    left = [(at(r.choice([None, *range(200)])), k) for k in range(400)]
+    right = [(at(r.choice([None, *range(20, 60), *range(120, 190)])), k, r.choice([None, 1.5, float(k)])) for k in range(120)]
+    ldf = spark.createDataFrame(left, "ts timestamp, id long").repartition(4)
+    rdf = spark.createDataFrame(right, "ts timestamp, seq long, v double").repartition(3)
+    got = {r["id"]: (r["seq"], r["v"]) for r in align.asof_join(ldf, rdf, "ts", ["seq", "v"], tie=["seq"], segments=segments).collect()}
+    want = {}
+    for ts, k in left:
+        best = max((x for x in right if ts is not None and x[0] is not None and x[0] <= ts), key=lambda x: (x[0], x[1]), default=None)
+        want[k] = (best[1], best[2]) if best else (None, None)
+    assert got == want
+
+
+def test_asof_of_one_series_moves_its_rows_once(spark):
+    # joins of all rows to the list of segments or of their carries, and a lambda a row and edge, took most of the time
+    ldf = spark.range(50).select(F.timestamp_seconds("id").alias("ts"), "id")
+    rdf = spark.range(9).select(F.timestamp_seconds(F.col("id") * 7).alias("ts"), F.col("id").alias("v"))
+    plan = align.asof_join(ldf, rdf, "ts", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 2, 6, 7, 8, 255])
+def test_edges_below(spark, most):
+    edges = sorted(random.Random(most).choices(range(300), k=most))
+    df = spark.range(-2, 302).select("id", F.array(*[F.lit(e).cast("long") for e in edges]).alias("edges"))
+    got = {r["id"]: r["n"] for r in align._edges_below("edges", F.col("id"), df, "n", most).collect()}
+    assert got == {k: sum(e < k for e in edges) for k in range(-2, 302)}
+
+
 def test_asof_of_empty_sides(spark):
     ldf = spark.createDataFrame([(at(1), 1)], "ts timestamp, id long")
     rdf = spark.createDataFrame([(at(0), 9)], "ts timestamp, v long")
@@ -50,6 +81,13 @@ def test_values_are_carried_over_segments_without_any(spark):
     assert got == {k: None if k < 3 else 1.0 if k < 90 else 2.0 for k in range(100)}
 
 
+def test_values_of_one_series_are_carried_over_segments_without_any(spark):
+    rows = [(at(k), k, 1.0 if k == 3 else 2.0 if k == 90 else None) for k in range(100)]
+    df = spark.createDataFrame(rows, "ts timestamp, seq long, v double").repartition(5)
+    got = {r["seq"]: r["last"] for r in align.carry_last(df, None, "ts", ["seq"], "v", "last", 16).collect()}
+    assert got == {k: None if k < 3 else 1.0 if k < 90 else 2.0 for k in range(100)}
+
+
 @pytest.fixture(scope="module")
 def versions(spark, tmp_path_factory):
     rows = [(t, D(2020 + m // 12, m % 12 + 1, 1), float(m % 7), float(m * m % 11), m, s) for t, s in (("A", 1.0), ("B", -2.0)) for m in range(48)]
